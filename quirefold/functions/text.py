@@ -11,6 +11,7 @@ from quirefold import fixed_values as fv
 
 # Unicode white space, spelled out because the JVM's \s is ASCII only.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 BREAK = "\u0001"
 
 
@@ -24,16 +25,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+$", "")
+    return F.rtrim(c, F.lit(SPACES))
+
+
+def spaced(c: Column) -> Column:
+    """Every white-space character as a plain blank; native and cheaper than a pattern."""
+    return F.translate(c, SPACES, " " * len(SPACES))
 
 
 def words(c: Column) -> Column:
     """White-space separated words, no empties."""
-    return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(spaced(c), " "), lambda w: w != "")
 
 
 def estimate_tokens(c: Column) -> Column:
@@ -43,8 +49,8 @@ def estimate_tokens(c: Column) -> Column:
 
 def bm25_tokens(c: Column) -> Column:
     """Words of more than one character, lower case; ``-`` and ``/`` separate, other marks stay."""
-    spaced = F.translate(c, "-/", "  ")
-    return F.transform(F.filter(words(spaced), lambda w: F.length(w) > 1), F.lower)
+    apart = F.translate(c, "-/", "  ")
+    return F.transform(F.filter(F.split(spaced(apart), " "), lambda w: F.length(w) > 1), F.lower)
 
 
 def split_sentences(c: Column, keep_empty: bool = False) -> Column:
@@ -63,13 +69,13 @@ def split_sentences(c: Column, keep_empty: bool = False) -> Column:
             keeps_open = last.isin(fv.SENTENCE_ABBREVIATIONS) | ((F.length(last) == 2) & last.endswith("."))
             return F.when(last == "", F.lit(None).cast("boolean")).otherwise(~keeps_open)
 
-        return let(F.lower(F.regexp_extract(piece, f"([^{SPACE[1:-1]}]+){SPACE}*$", 1)), decide)
+        return let(F.lower(F.substring_index(F.rtrim(spaced(piece)), " ", -1)), decide)
 
     def rejoined(p: Column) -> Column:
         def closed(piece: Column, i: Column) -> Column:
             earlier = F.filter(F.slice(p["flags"], F.lit(1), i), lambda f: f.isNotNull())
             inherited = F.coalesce(F.try_element_at(earlier, F.lit(-1)), F.lit(True))
-            flag = F.coalesce(F.get(p["flags"], i), inherited)
+            flag = F.coalesce(F.get(p["flags"], i), inherited) & (i < F.size(p["flags"]) - 1)
             return F.concat(piece, F.when(flag, F.lit(BREAK)).otherwise(F.lit("")))
 
         return F.array_join(F.transform(p["pieces"], closed), "")

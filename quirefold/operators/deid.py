@@ -213,15 +213,24 @@ def unmask(masked_docs: DataFrame, mapping: DataFrame) -> DataFrame:
 def leak_reasons(text: Column, originals: Column) -> Column:
     """Why ``text`` is unsafe: detector hits, and raw values of three characters or more."""
     patterns = {c: p for c, p, _ in fv.PII_DETECTORS}
-    hits = [F.when(text.rlike(UNICODE + patterns[c]), F.lit(c)) for c in fv.LEAK_CATEGORIES]
-    raw = F.exists(originals, lambda v: (F.length(strip(v)) >= 3) & F.contains(text, v))
-    return F.array_compact(F.array(*hits, F.when(raw, F.lit("RAW_VALUE"))))
+
+    def reasons(p: Column) -> Column:
+        hits = [F.when(p["text"].rlike(UNICODE + patterns[c]), F.lit(c)) for c in fv.LEAK_CATEGORIES]
+        raw = F.exists(p["values"], lambda v: (F.length(strip(v)) >= 3) & F.contains(p["text"], v))
+        return F.array_compact(F.array(*hits, F.when(raw, F.lit("RAW_VALUE"))))
+
+    return let(F.struct(text.alias("text"), originals.alias("values")), reasons)
+
+
+def _leaking(reasons: Column) -> Column:
+    """Only rows with a reason; a generator, because a filter would be pushed below the
+    masking projection and repeat its work."""
+    return F.explode(F.filter(F.array(reasons), lambda r: F.size(r) > 0)).alias("reasons")
 
 
 def leak_audit(deidentified: DataFrame, text: str = "masked_text") -> DataFrame:
     """Documents that leak, with reasons; empty when masking is sound."""
-    reasons = leak_reasons(F.col(text), F.map_keys("tags"))
-    return deidentified.select("doc_id", reasons.alias("reasons")).filter(F.size("reasons") > 0)
+    return deidentified.select("doc_id", _leaking(leak_reasons(F.col(text), F.map_keys("tags"))))
 
 
 def leak_audit_long(masked_docs: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -229,7 +238,7 @@ def leak_audit_long(masked_docs: DataFrame, mapping: DataFrame) -> DataFrame:
     originals = mapping.groupBy("doc_id").agg(F.collect_list("original").alias("originals"))
     joined = masked_docs.join(originals, "doc_id", "left")
     values = F.coalesce("originals", F.array().cast("array<string>"))
-    return joined.select("doc_id", leak_reasons(F.col("masked_text"), values).alias("reasons")).filter(F.size("reasons") > 0)
+    return joined.select("doc_id", _leaking(leak_reasons(F.col("masked_text"), values)))
 
 
 def assert_no_leak(audit: DataFrame) -> None:

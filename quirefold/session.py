@@ -53,6 +53,16 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a scan that has fewer splits than the session has cores.
+
+    A table of that size is a handful of files; a large table has more splits than cores
+    and passes through untouched, so no text is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast when it has at most ``max_rows`` rows, else as it is.
 
