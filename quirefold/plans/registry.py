@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 from quirefold import fixed_values as fv
 from quirefold.functions import text as tx
 from quirefold.functions import vectors as vec
+from quirefold.operators import answers as an
 from quirefold.operators import chunking, deid, dense, fusion, governance, layout, lexical
+from quirefold.operators import claims as cl
+from quirefold.operators import evaluation as ev
+from quirefold.operators import querylog as ql
+from quirefold.operators import study as st
 from quirefold.plans import fixtures as fx
+from quirefold.plans.batch_qa import batch_qa
 from quirefold.plans.hybrid import hybrid_retrieve
+from quirefold.session import shared_dir, written
+from quirefold.sources import corpus as corpus_source
+from quirefold.sources import ingest, sinks
+from quirefold.streaming import jobs as sj
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -277,3 +287,369 @@ def _(spark, sf):
 @query("R17_hybrid_retrieve")
 def _(spark, sf):
     return _retrieval(spark, sf).hits
+
+
+# --- query log ---------------------------------------------------------------
+@query("Q1_sanitize_text")
+def _(spark, sf):
+    return fx.raw_log(spark, sf).select("conv_id", "turn", ql.sanitize(F.col("text")).alias("sanitized"))
+
+
+@query("Q2_guard_inspect")
+def _(spark, sf):
+    g = ql.guard(fx.attack_log(spark, sf))
+    return g.select("conv_id", "turn", "is_safe", F.array_join("threats", ",").alias("threats"), F.length("sanitized_text").alias("n_chars"))
+
+
+@query("Q2_threat_counts")
+def _(spark, sf):
+    return ql.threat_counts(ql.guard(fx.attack_log(spark, sf)))
+
+
+LEXICON = {"THE": "Definite Word", "LA": "Second Word", "IST": "Third Word", "TION": "Suffix Word"}
+
+
+@query("Q3_expand_acronyms")
+def _(spark, sf):
+    c = fx.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", ql.expand_acronyms(fx.ascii_text(F.col("text")), LEXICON).alias("expanded"))
+
+
+@query("Q4_classify_intent")
+def _(spark, sf):
+    log = fx.intent_log(spark, sf)
+    return log.select("conv_id", "turn", ql.classify_intent(F.col("text")).alias("intent"))
+
+
+@query("Q5_route_intent")
+def _(spark, sf):
+    return ql.route(fx.intent_log(spark, sf)).select("conv_id", "turn", "intent", "confidence", "reason")
+
+
+@query("Q6_route_summary")
+def _(spark, sf):
+    return ql.route_summary(ql.route(fx.intent_log(spark, sf)))
+
+
+# --- answers and claims ------------------------------------------------------
+def _found(spark, sf):
+    questions, docs = fx.questions(spark, sf), fx.corpus(spark, sf)
+    hits = hybrid_retrieve(questions, docs).hits
+    # five hits per question, read by several branches: written once
+    return questions, written(an.with_content(hits, docs, questions.count()))
+
+
+@query("A1_assemble_context")
+def _(spark, sf):
+    _, found = _found(spark, sf)
+    return an.assemble_context(found).select("query_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
+
+
+@query("A2_extractive_answer")
+def _(spark, sf):
+    questions, found = _found(spark, sf)
+    return an.extractive_answer(found, questions)
+
+
+@query("A3_extract_citations")
+def _(spark, sf):
+    questions, found = _found(spark, sf)
+    drafts = questions.select("query_id", F.concat("text", F.lit(" [1] see [3], [12] and [3] [2].")).alias("answer"))
+    titles = fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"))
+    cited = an.extract_citations(drafts, found, titles)
+    return cited.select("query_id", "citation_index", "inline_tag", "chunk_id", "source_title", "page_number", "highlight_text")
+
+
+@query("A4_extract_claims")
+def _(spark, sf):
+    claims = cl.extract_claims(fx.answers(spark, sf), fx.PART_NAME)
+    return claims.select("answer_id", "entity", "dosage", "unit", "route", "frequency", "passage")
+
+
+def _verified(spark, sf):
+    rows = fx.answers(spark, sf)
+    return cl.verify_claims(cl.extract_claims(rows, fx.PART_NAME), fx.sources(rows))
+
+
+@query("A5_verify_claims")
+def _(spark, sf):
+    return _verified(spark, sf).select("answer_id", "entity", "dosage", "status", "nli_score", "explanation")
+
+
+@query("A6_enrich_entities")
+def _(spark, sf):
+    rows = cl.extract_claims(fx.answers(spark, sf), fx.PART_NAME).select("answer_id", "entity")
+    return cl.enrich_entities(rows, fx.part_reference(spark, sf))
+
+
+@query("A7_conflict_summary")
+def _(spark, sf):
+    return cl.conflict_summary(_verified(spark, sf))
+
+
+KEYWORDS = ["the", "and", "von", "que"]
+
+
+def _batch(spark, sf):
+    docs = fx.corpus(spark, sf)
+    titles = fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"))
+    return batch_qa(fx.questions(spark, sf), docs, titles, keywords=KEYWORDS)
+
+
+@query("A8_batch_qa")
+def _(spark, sf):
+    return _batch(spark, sf).answers
+
+
+@query("A9_parse_generated_items")
+def _(spark, sf):
+    return an.parse_cards(fx.replies(spark, sf), topic="topic", reference="book", fallback=fx.card_fallback(spark))
+
+
+@query("A10_source_context_sample")
+def _(spark, sf):
+    chunks = chunking.chunk_documents(fx.table(spark, sf, "documents"))
+    return an.source_context_sample(chunks).select("doc_id", F.md5("context").alias("context_md5"))
+
+
+@query("A11_confidence_bands")
+def _(spark, sf):
+    gate = _retrieval(spark, sf).gate
+    return an.confidence_bands(gate, refused=~F.col("passed"))
+
+
+# --- evaluation --------------------------------------------------------------
+@query("E1_hit_rate")
+def _(spark, sf):
+    _, found = _found(spark, sf)
+    return ev.hit_rate(ev.hits_at_k(fx.golden(spark, sf), found))
+
+
+@query("E2_faithfulness")
+def _(spark, sf):
+    _, found = _found(spark, sf)
+    return ev.faithfulness(ev.claim_entailment(fx.golden(spark, sf), found))
+
+
+@query("E3_citation_accuracy")
+def _(spark, sf):
+    _, found = _found(spark, sf)
+    return ev.citation_accuracy(ev.citations_valid(fx.golden(spark, sf), found))
+
+
+@query("E4_run_deltas")
+def _(spark, sf):
+    return ev.run_deltas(fx.eval_runs(spark, sf), "run_id", ["hit_rate", "faithfulness"])
+
+
+@query("E5_eval_summary")
+def _(spark, sf):
+    return ev.eval_summary(fx.eval_runs(spark, sf), fx.golden(spark, sf), "run_id", ["hit_rate", "faithfulness"])
+
+
+@query("E6_eval_details")
+def _(spark, sf):
+    questions, docs = fx.questions(spark, sf), fx.corpus(spark, sf)
+    r = hybrid_retrieve(questions, docs)
+    found = written(an.with_content(r.hits, docs, questions.count()))
+    return ev.eval_details(fx.golden(spark, sf), found, fusion.confidence_gate(found, questions))
+
+
+# --- study -------------------------------------------------------------------
+@query("T1_grade_quizzes")
+def _(spark, sf):
+    graded = st.grade_quizzes(*fx.quiz(spark, sf))
+    return graded.select("question_id", "chosen", "selected_text", "correct_text", "is_correct")
+
+
+@query("T2_quiz_scores")
+def _(spark, sf):
+    return st.quiz_scores(st.grade_quizzes(*fx.quiz(spark, sf)), "user_id", "quiz")
+
+
+@query("T3_sm2_replay")
+def _(spark, sf):
+    return st.sm2_replay(fx.reviews(spark, sf))
+
+
+@query("T4_sm2_stream")
+def _(spark, sf):
+    files = sj.staged_in_order(fx.reviews(spark, sf), "us", 3)
+    out, marks = shared_dir(spark), shared_dir(spark)
+    stream = spark.readStream.schema("card_id long, us long, review_id long, rating string").parquet(files)
+    sj.run_to_end(sj.sm2_stream(stream), "update", sj.batch_writer(out), marks)
+    return sj.latest_cards(spark, out).withColumn("ease", F.round("ease", 2))
+
+
+@query("T5_review_sessions")
+def _(spark, sf):
+    return st.review_sessions(fx.reviews(spark, sf))
+
+
+@query("T6_user_study_stats")
+def _(spark, sf):
+    return st.user_stats(fx.study_sessions(spark, sf))
+
+
+@query("T7_topic_breakdown")
+def _(spark, sf):
+    return st.topic_breakdown(fx.study_sessions(spark, sf))
+
+
+@query("T8_item_counts")
+def _(spark, sf):
+    decks = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("deck_id"))
+    cards = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("deck_id"))
+    return st.item_counts(decks, cards, "deck_id")
+
+
+@query("T9_mastery_bands")
+def _(spark, sf):
+    return st.mastery_bands(st.topic_breakdown(fx.study_sessions(spark, sf)))
+
+
+# --- governance, paging, streams ---------------------------------------------
+@query("G1_visible_rows")
+def _(spark, sf):
+    seen = governance.visible_rows(fx.corpus(spark, sf), fx.principals(spark, sf), "source")
+    return seen.select("principal", "chunk_id", "source")
+
+
+@query("G2_page")
+def _(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    return governance.page(docs, 3, F.desc("n_chars"), "doc_id")
+
+
+@query("G3_rate_audit")
+def _(spark, sf):
+    return governance.rate_audit(fx.requests(spark, sf).drop("ts"), fx.request_limits(spark))
+
+
+@query("G4_rate_stream")
+def _(spark, sf):
+    rows = fx.requests(spark, sf).select("user", "scope", F.timestamp_micros("us").alias("ts"), "us")
+    files = sj.staged_files(rows, 4)
+    out, marks = shared_dir(spark), shared_dir(spark)
+    stream = spark.readStream.schema("user long, scope string, ts timestamp, us long").parquet(files)
+    sj.run_to_end(sj.rate_stream(stream, "1 hour"), "update", sj.batch_writer(out), marks)
+    last = spark.read.parquet(out).groupBy("user", "scope", "window_start").agg(F.max_by("n", "batch_id").alias("n"))
+    return last.select("user", "scope", F.unix_micros("window_start").alias("window_us"), "n")
+
+
+@query("G5_note_stream")
+def _(spark, sf):
+    files = sj.staged_files(fx.notes(spark, sf).select("doc_id", "text"), 4)
+    root, marks = shared_dir(spark), shared_dir(spark)
+    stream = spark.readStream.schema("doc_id long, text string").parquet(files)
+    sj.run_to_end(stream, "append", sj.note_sink(root, "\n"), marks)
+    masked = spark.read.parquet(f"{root}/masked").select("doc_id", "masked_text", "pii_entity_count")
+    paragraphs = spark.read.parquet(f"{root}/paragraphs").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs"))
+    return masked.join(paragraphs, "doc_id")
+
+
+@query("G6_activity_sessions")
+def _(spark, sf):
+    return governance.activity_sessions(fx.event_log(spark, sf).select(F.col("user_id").alias("user"), "us"))
+
+
+# --- sources and sinks -------------------------------------------------------
+@query("S1_load_corpus")
+def _(spark, sf):
+    docs = fx.table(spark, sf, "documents").withColumn("is_active", F.col("n_chars") >= 500)
+    return corpus_source.load_corpus(docs, newest="doc_id").select("doc_id", "source", "lang", "n_chars")
+
+
+@query("S2_load_golden")
+def _(spark, sf):
+    existing = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    talk = fx.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
+    return corpus_source.insert_absent(existing, existing.unionByName(talk).unionByName(talk), "question", "id")
+
+
+def _relabelled(spark, sf):
+    """All documents as stored chunks, and the labelled ones ingested again with other text."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    old = chunking.note_paragraphs(docs, "\n")
+    again = docs.join(fx.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    new = chunking.note_paragraphs(again.withColumn("text", F.concat(F.lit("Second edition.\n"), "text")), "\n")
+    return old, new
+
+
+@query("S3_replace_document_chunks")
+def _(spark, sf):
+    return ingest.replace_document_chunks(*_relabelled(spark, sf))
+
+
+@query("S3_upsert_chunks_sink")
+def _(spark, sf):
+    old, new = _relabelled(spark, sf)
+    path = shared_dir(spark)
+    sinks.write_chunks(old, path, 8)
+    sinks.upsert_chunks(spark, path, new, 8)
+    return spark.read.parquet(path).drop("doc_bucket")
+
+
+def _audit(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    checks = {
+        "no text": tx.strip(F.col("text")) == "",
+        "file too large": F.col("n_chars") > 10_000,
+        "size mismatch": F.length("text") != F.col("n_chars"),
+    }
+    return ingest.ingest_audit(docs, chunking.chunk_documents(docs), checks)
+
+
+@query("S4_ingest_audit")
+def _(spark, sf):
+    return _audit(spark, sf)
+
+
+@query("S4_ingest_summary")
+def _(spark, sf):
+    return ingest.ingest_summary(_audit(spark, sf))
+
+
+@query("S5_document_chunks")
+def _(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    return ingest.chunk_counts(docs, chunking.chunk_documents(docs))
+
+
+@query("S6_persist_answers")
+def _(spark, sf):
+    asked = fx.table(spark, sf, "benchmark")
+    conversations = asked.select("item_id", sinks.conversation_title(F.col("text")).alias("title"))
+    messages = asked.select("item_id", F.lit("user").alias("role"), F.md5("text").alias("content_md5"))
+    root = shared_dir(spark)
+    for _attempt in range(2):  # a repeated run replaces its own rows
+        sinks.persist_answers({"conversations": conversations, "messages": messages}, root, "run1")
+    back = spark.read.parquet(f"{root}/conversations").join(spark.read.parquet(f"{root}/messages").drop("run_id"), "item_id")
+    return back.select("item_id", "title", "role", "content_md5", "run_id")
+
+
+@query("S7_export_markdown")
+def _(spark, sf):
+    return sinks.export_markdown(fx.table(spark, sf, "conversations"), "Conversation export", "Check before use.")
+
+
+@query("S7_export_json")
+def _(spark, sf):
+    rows = sinks.export_json(fx.table(spark, sf, "conversations"))
+    back = F.from_json("record", "id long, messages array<struct<turn:long,role:string,content:string>>")
+    flat = rows.select("part", F.inline(F.array(back))).select("id", "part", F.inline("messages"))
+    return flat.select("id", "part", "turn", "role", F.md5("content").alias("content_md5"))
+
+
+@query("S8_bulk_ingest")
+def _(spark, sf):
+    manifest = fx.table(spark, sf, "documents").select("doc_id", "text", F.concat("source", F.lit("/"), "doc_id").alias("title"))
+    known = fx.table(spark, sf, "labels").join(manifest.select("doc_id", "title"), "doc_id").select("title")
+    return ingest.bulk_ingest(corpus_source.unregistered(manifest, known))[1]
+
+
+@query("S9_denormalize_names")
+def _(spark, sf):
+    nation = fx.table(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    customers = fx.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return corpus_source.denormalize(customers, nation, "c_nationkey", "n_name", "nation_name")
