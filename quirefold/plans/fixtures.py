@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import bm25_tokens
+from quirefold.operators.governance import limits_table
 from quirefold.session import spread
 
 
@@ -239,10 +240,8 @@ def requests(spark, sf_dir) -> DataFrame:
 
 
 def request_limits(spark) -> DataFrame:
-    from quirefold.operators.governance import limits_table
-
-    scopes = ["signup", "error", "click", "view", "purchase"]
-    return limits_table(spark, {s: (2, 3600) for s in scopes})
+    """Two requests per user and hour, tight enough for the event log to breach it."""
+    return limits_table(spark, {"user": (2, 3600)})
 
 
 def replies(spark, sf_dir) -> DataFrame:

@@ -523,7 +523,8 @@ def _(spark, sf):
 
 @query("G3_rate_audit")
 def _(spark, sf):
-    return governance.rate_audit(fx.requests(spark, sf).drop("ts"), fx.request_limits(spark))
+    asked = fx.requests(spark, sf).drop("ts").withColumn("scope", F.lit("user"))
+    return governance.rate_audit(asked, fx.request_limits(spark))
 
 
 @query("G4_rate_stream")
