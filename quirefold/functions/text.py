@@ -47,10 +47,29 @@ def estimate_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.size(words(c)) * F.lit(fv.TOKENS_PER_WORD)).cast("int"))
 
 
+def _bm25_words(c: Column) -> Column:
+    apart = F.translate(c, "-/" + SPACES, " " * (2 + len(SPACES)))
+    return F.filter(F.split(apart, " "), lambda w: F.length(w) > 1)
+
+
 def bm25_tokens(c: Column) -> Column:
     """Words of more than one character, lower case; ``-`` and ``/`` separate, other marks stay."""
-    apart = F.translate(c, "-/", "  ")
-    return F.transform(F.filter(F.split(spaced(apart), " "), lambda w: F.length(w) > 1), F.lower)
+    return F.transform(_bm25_words(c), F.lower)
+
+
+def bm25_length(c: Column) -> Column:
+    """Number of tokens, without making them."""
+    return F.size(_bm25_words(c))
+
+
+def unnest(c: Column, *names: str) -> Column:
+    """Rows of an array of structs, its elements computed once.
+
+    A generator over a bare column makes the optimizer test the column's size below the
+    projection that computes it, and extracting fields afterwards repeats that projection
+    per field; a generator over an expression with named outputs does neither.
+    """
+    return F.inline(F.filter(c, lambda s: s.isNotNull() | F.lit(False))).alias(*names)
 
 
 def split_sentences(c: Column, keep_empty: bool = False) -> Column:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
-from quirefold.functions.text import let, match_offsets, strip
+from quirefold.functions.text import let, match_offsets, strip, unnest
 
 SPAN = "struct<start:int,end:int,category:string,original:string,detector:int>"
+SPAN_FIELDS = ["start", "end", "category", "original", "detector"]
 UNICODE = "(?U)"
 
 
@@ -153,7 +154,7 @@ def deidentify(docs: DataFrame) -> DataFrame:
 
 def mapping_table(deidentified: DataFrame) -> DataFrame:
     """The restricted table (doc_id, placeholder, original, category)."""
-    rows = deidentified.select("doc_id", F.explode("tags").alias("original", "placeholder"))
+    rows = deidentified.select("doc_id", unnest(F.map_entries("tags"), "original", "placeholder"))
     return rows.withColumn("category", F.regexp_extract("placeholder", r"^\[([A-Z]+)_", 1)).select(
         "doc_id", "placeholder", "original", "category"
     )
@@ -161,15 +162,14 @@ def mapping_table(deidentified: DataFrame) -> DataFrame:
 
 def spans_long(docs: DataFrame, propagate: bool = True) -> DataFrame:
     """One row per candidate span."""
-    rows = with_spans(docs, propagate).select("doc_id", F.explode("spans").alias("s"))
-    return rows.select("doc_id", "s.*")
+    return with_spans(docs, propagate).select("doc_id", unnest(F.col("spans"), *SPAN_FIELDS))
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
     """:func:`resolved` over a span table."""
     row = F.struct("start", "end", "category", "original", "detector")
     docs = spans.groupBy("doc_id").agg(F.collect_list(row).alias("spans"))
-    return docs.select("doc_id", F.explode(resolved(F.col("spans"))).alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", unnest(resolved(F.col("spans")), *SPAN_FIELDS))
 
 
 def assign_placeholders(spans: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
-from quirefold.functions.text import bm25_tokens
+from quirefold.functions.text import bm25_length, bm25_tokens
 from quirefold.operators.topk import topk_join
+from quirefold.session import written
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -22,19 +23,24 @@ def postings(corpus: DataFrame) -> DataFrame:
 
 def corpus_size(corpus: DataFrame) -> DataFrame:
     """One row: number of chunks and mean length in tokens."""
-    return corpus.select(F.size(bm25_tokens(F.col("text"))).alias("dl")).agg(
+    return corpus.select(bm25_length(F.col("text")).alias("dl")).agg(
         F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_len")
     )
 
 
+def document_frequency(corpus: DataFrame) -> DataFrame:
+    """(term, df). Tokens are made distinct inside their row and counted map-side first, so a
+    stop word costs one partial count per task."""
+    tokens = corpus.select(F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
+    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def term_stats(corpus: DataFrame) -> DataFrame:
-    """(term, df, idf) over the whole vocabulary.
+    """(term, df, idf) over the whole vocabulary; a negative idf becomes a quarter of the mean idf.
 
-    Tokens are made distinct inside their row and counted map-side first, so a stop word
-    costs a partial sum per task. A negative idf becomes a quarter of the mean idf.
+    The counts are written once: the mean, the lowest idf and the query join all read them.
     """
-    tokens = corpus.select(F.array_distinct(bm25_tokens(F.col("text"))).alias("terms"))
-    df = tokens.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = written(document_frequency(corpus))
     n = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
     raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).scalar()

@@ -165,7 +165,7 @@ def offsets(pattern: str, group: int, category: str, number: int, source: str =
 
 DETECTED = [
     NOTES,
-    "found AS (" + "\nUNION ALL ".join(offsets(lit(p.replace(r"[\w\s,.-]*", r"[\pL\pN_\s,.-]*")), g, c, n) for n, (c, p, g) in enumerate(fv.PII_DETECTORS)) + ")",
+    "found AS (" + "\nUNION ALL ".join(offsets(lit(p.replace(r"[\w\s,.-]*\b", r"(?:[\pL\pN_\s,.-]*[\pL\pN_])?")), g, c, n) for n, (c, p, g) in enumerate(fv.PII_DETECTORS)) + ")",
     f"""base AS (SELECT doc_id, (e_start + length(whole) - length(original))::BIGINT AS start, (e_start + length(whole))::BIGINT AS "end", category, original, detector
   FROM found WHERE category <> 'PATIENT' OR NOT list_has_any(string_split_regex(original, '\\s+'), {str(fv.NOT_A_NAME)}))""",
     "names AS (SELECT DISTINCT doc_id, original AS name FROM base WHERE category = 'PATIENT' AND length(original) >= 3)",
@@ -302,7 +302,7 @@ BM25 = [
 ]
 ORACLES["R9_bm25_stats"] = with_(BM25[:6], "SELECT term, df, round(idf, 6) AS idf FROM idfs")
 ORACLES["R9_bm25_postings"] = with_(BM25[:3], "SELECT chunk_id, term, tf FROM post")
-ORACLES["R10_bm25_topk"] = with_(BM25, "SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM bm")
+ORACLES["R10_bm25_topk"] = with_(BM25, f"SELECT query_id, chunk_id, {half_up('score', 4)} AS score, rank FROM bm")
 ORACLES["R11_overlap_topk"] = with_(
     BM25[:3] + BM25[6:8] + ["ov AS (SELECT query_id, chunk_id, count(*)::DOUBLE AS score FROM qtf JOIN post USING (term) GROUP BY ALL)"],
     _TOP.format("ov"),
@@ -328,14 +328,14 @@ HYBRID = (
         "rated AS (SELECT f.*, len(list_intersect(q, t))::DOUBLE / greatest(1, len(q)) AS ratio, greatest(dense_score, CASE WHEN bm25_score > 0 THEN least(0.85::DOUBLE, bm25_score / 6) ELSE 0 END) AS eff FROM fused f JOIN qset USING (query_id) JOIN toks USING (chunk_id))",
         f"""rescored AS (SELECT *, {half_up('''least(1, greatest(0, CASE WHEN ratio > 0 AND eff > 0 THEN eff * 0.5::DOUBLE + least(1, ratio) * 0.5::DOUBLE
   WHEN ratio > 0 THEN least(0.95::DOUBLE, ratio) ELSE dense_score * 0.25::DOUBLE END))''', 4)} AS rerank_score FROM rated)""",
-        """hits AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, round(rrf_score, 9) DESC, dense_rank, bm25_rank, chunk_id) AS rank,
-  rerank_score, round(dense_score, 4) AS dense_score, round(bm25_score, 4) AS bm25_score, round(rrf_score, 6) AS rrf_score FROM rescored QUALIFY rank <= 5)""",
+        f"""hits AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, round(rrf_score, 9) DESC, dense_rank, bm25_rank, chunk_id) AS rank,
+  rerank_score, round(dense_score, 4) AS dense_score, {half_up('bm25_score', 4)} AS bm25_score, round(rrf_score, 6) AS rrf_score FROM rescored QUALIFY rank <= 5)""",
         "gate AS (SELECT item_id AS query_id, coalesce(max(rerank_score), 0) AS best_score, coalesce(max(rerank_score), 0) >= 0.5 AND count(hits.query_id) > 0 AS passed FROM benchmark LEFT JOIN hits ON hits.query_id = item_id GROUP BY item_id)",
     ]
 )
 ORACLES["R13_rrf_fuse"] = with_(
     HYBRID,
-    "SELECT query_id, chunk_id, dense_rank, bm25_rank, round(dense_score, 4) AS dense_score, round(bm25_score, 4) AS bm25_score, round(rrf_score, 6) AS rrf_score FROM fused",
+    f"SELECT query_id, chunk_id, dense_rank, bm25_rank, round(dense_score, 4) AS dense_score, {half_up('bm25_score', 4)} AS bm25_score, round(rrf_score, 6) AS rrf_score FROM fused",
 )
 ORACLES["R14_rerank"] = with_(HYBRID, "SELECT query_id, chunk_id, rank, rerank_score FROM hits")
 ORACLES["R15_confidence_gate"] = with_(HYBRID, "SELECT * FROM gate")

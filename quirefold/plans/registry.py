@@ -135,7 +135,7 @@ def _(spark, sf):
 
 @query("P7_unmask")
 def _(spark, sf):
-    masked = deid.deidentify(fx.notes(spark, sf))
+    masked = written(deid.deidentify(fx.notes(spark, sf)).select("doc_id", "masked_text", "tags"))
     restored = deid.unmask(masked.select("doc_id", "masked_text"), deid.mapping_table(masked))
     return restored.select("doc_id", "original_text")
 
@@ -157,7 +157,7 @@ def _(spark, sf):
 
 @query("P9_note_diff")
 def _(spark, sf):
-    masked = deid.deidentify(fx.notes(spark, sf))
+    masked = written(deid.deidentify(fx.notes(spark, sf)).select("doc_id", "source", "masked_text", "tags"))
     mapping = deid.mapping_table(masked)
     return deid.note_diff(masked.select("doc_id", "source", "masked_text"), mapping, fx.principals(spark, sf))
 
