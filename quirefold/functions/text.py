@@ -135,11 +135,12 @@ def matches_any_word(c: Column, terms: list[str]) -> Column:
     return c.rlike(r"(?U)\b(?:" + "|".join(quoted(t) for t in terms) + r")\b")
 
 
-def match_offsets(text: Column, pattern: Column | str, group: int = 0) -> Column:
+def match_offsets(text: Column, pattern: Column | str, group: int = 0, hint: str | None = None) -> Column:
     """Array of (start, end, value) for every match, 0-based, in text order.
 
     The text between matches and the matches themselves tell the offsets, so no scan
-    leaves the JVM. With ``group`` 1 the group must close the match.
+    leaves the JVM. With ``group`` 1 the group must close the match. ``hint`` is a substring
+    every match holds; texts without it skip the pattern.
     """
     regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
     spans = "array<struct<start:int,end:int,value:string>>"
@@ -162,4 +163,7 @@ def match_offsets(text: Column, pattern: Column | str, group: int = 0) -> Column
         zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(spans).alias("out"))
         return F.aggregate(p["whole"], zero, step, lambda acc: acc["out"])
 
-    return F.when(F.regexp_like(text, regex), let(parts, fold)).otherwise(F.array().cast(spans))
+    possible = F.regexp_like(text, regex)
+    if hint:
+        possible = F.contains(text, F.lit(hint)) & possible
+    return F.when(possible, let(parts, fold)).otherwise(F.array().cast(spans))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold import fixed_values as fv
-from quirefold.functions.text import let
+from quirefold.functions.text import let, unnest
 
 VECTOR = T.ArrayType(T.DoubleType())
 MEMO_ENTRIES = 1_000_000
@@ -90,5 +90,5 @@ def cosine01(a: Column, b: Column) -> Column:
 
 def sparse(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, dim, weight) rows of the non-zero entries."""
-    rows = df.select(key, F.posexplode(vector).alias("dim", "weight"))
-    return rows.filter(F.col("weight") != 0)
+    entries = F.transform(vector, lambda x, i: F.struct(i.alias("dim"), x.alias("weight")))
+    return df.select(key, unnest(F.filter(entries, lambda e: e["weight"] != 0), "dim", "weight"))

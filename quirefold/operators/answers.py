@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
 from quirefold.functions.text import claim_sentences, contains_any, strip, words
-from quirefold.session import BROADCAST_ROWS
+from quirefold.session import BROADCAST_ROWS, small_side
 
 
 def with_content(hits: DataFrame, corpus: DataFrame, n_queries_bound: int | None = None) -> DataFrame:
@@ -105,7 +105,7 @@ def extract_citations(answers: DataFrame, found: DataFrame, documents: DataFrame
     tags = answers.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)))).alias("tag"))
     numbered = tags.select("query_id", F.expr("try_cast(tag AS int)").alias("rank")).distinct()
     cited = numbered.join(found, ["query_id", "rank"])
-    need = F.broadcast(cited.select("doc_id").distinct())
+    need = small_side(cited.select("doc_id").distinct())
     titles = documents.join(need, "doc_id", "left_semi").select("doc_id", F.col("title").alias("d_title"))
     out = cited.join(titles, "doc_id", "left")
     title = F.coalesce("d_title", F.lit(fv.DEFAULT_SOURCE_TITLE))

@@ -26,7 +26,7 @@ def detected(text: Column) -> Column:
     """Array of candidate spans, by detector order and then text order."""
     arrays = []
     for number, (category, pattern, group) in enumerate(fv.PII_DETECTORS):
-        found = match_offsets(text, UNICODE + pattern, group)
+        found = match_offsets(text, UNICODE + pattern, group, "@" if category == "EMAIL" else None)
         if category == "PATIENT":
             found = F.filter(found, lambda m: _name_ok(m["value"]))
         arrays.append(_labelled(found, category, number))

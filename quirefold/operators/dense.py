@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
 from quirefold.operators.topk import topk_join
+from quirefold.session import small_side
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -30,17 +31,15 @@ class CosineScorer:
     def prepare(self, queries):
         allowed = None
         if self.filtered:
-            allowed = [None if a is None else set(a) for a in queries["allowed"]]
+            allowed = [set(a) for a in queries["allowed"]]
         return _matrix(queries["embedding"]), allowed
 
     def score(self, prepared, corpus):
         q, allowed = prepared
         scores = np.clip((q @ _matrix(corpus["embedding"]).T + 1) / 2, 0, 1)
         if allowed is not None:
-            docs = corpus["doc_id"].to_numpy()
             for i, some in enumerate(allowed):
-                if some is not None:
-                    scores[i, [d not in some for d in docs]] = -np.inf
+                scores[i, ~corpus["doc_id"].isin(some).to_numpy()] = -np.inf
         return scores
 
 
@@ -108,4 +107,4 @@ def index_count(vectors: DataFrame) -> DataFrame:
 
 def delete_documents(vectors: DataFrame, doomed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Vectors left after the documents in ``doomed`` are removed."""
-    return vectors.join(doomed.select(key).distinct(), key, "left_anti")
+    return vectors.join(small_side(doomed.select(key).distinct()), key, "left_anti")

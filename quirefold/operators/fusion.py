@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
 from quirefold.functions.text import bm25_tokens
-from quirefold.session import BROADCAST_ROWS
+from quirefold.session import BROADCAST_ROWS, small_side
 
 
 def candidate_pool(*arms: DataFrame) -> DataFrame:
-    """Union of candidate arms, one row per chunk; on a repeat the earlier arm wins."""
-    pool = None
-    for number, arm in enumerate(arms):
-        tagged = arm.withColumn("_arm", F.lit(number))
-        pool = tagged if pool is None else pool.unionByName(tagged)
-    row = F.struct("_arm", *[c for c in arms[0].columns if c != "chunk_id"])
-    best = pool.groupBy("chunk_id").agg(F.min_by(row, "_arm").alias("r"))
-    return best.select("chunk_id", "r.*").drop("_arm")
+    """Union of candidate arms, one row per chunk; on a repeat the earlier arm wins.
+
+    Chunks are unique inside an arm. Later arms lose the ids of earlier ones, and only ids
+    are sent for that: put the short arm (dense hits) first.
+    """
+    pool, ids = arms[0], arms[0].select("chunk_id")
+    for arm in arms[1:]:
+        fresh = arm.join(small_side(ids), "chunk_id", "left_anti")
+        pool = pool.unionByName(fresh)
+        ids = ids.unionByName(fresh.select("chunk_id"))
+    return pool
 
 
 def rrf_fuse(dense: DataFrame, lexical: DataFrame, k: int = fv.RRF_K) -> DataFrame:

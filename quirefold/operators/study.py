@@ -85,11 +85,15 @@ def sm2_replay(reviews: DataFrame, cap: int = fv.INTERVAL_CAP_DAYS) -> DataFrame
     )
     by_day = F.array_sort(F.collect_list(F.struct("day", "codes")))
     cards = days.groupBy("card_id").agg(
-        F.array_join(F.transform(by_day, lambda r: r["codes"]), "").alias("codes"),
+        by_day.alias("by_day"),
         F.max("last_us").alias("last_us"), F.sum("n").alias("n_reviews"),
     )
     start = F.struct(F.lit(fv.START_EASE).alias("ease"), F.lit(1).alias("interval_days"), F.lit(0).alias("reps"))
-    folded = F.aggregate(F.split("codes", ""), start, lambda s, c: sm2_step(s, c, cap))
+
+    def one_day(state: Column, day: Column) -> Column:
+        return F.aggregate(F.split(day["codes"], ""), state, lambda s, c: sm2_step(s, c, cap))
+
+    folded = F.aggregate("by_day", start, one_day)
     out = cards.withColumn("s", folded)
     return out.select(
         "card_id", "n_reviews", "s.reps", "s.interval_days", F.round("s.ease", 2).alias("ease"),

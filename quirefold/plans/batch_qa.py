@@ -13,7 +13,7 @@ from quirefold.operators import claims as cl
 from quirefold.operators import querylog as ql
 from quirefold.operators.fusion import confidence_gate
 from quirefold.plans.hybrid import hybrid_retrieve
-from quirefold.session import written
+from quirefold.session import small_side, written
 
 
 @dataclass
@@ -35,8 +35,8 @@ def batch_qa(
     """Route, expand, retrieve, gate, answer or refuse, cite and verify.
 
     Only questions routed to retrieval reach it; the rest keep their route and no answer.
-    The routed questions and the final hits are small and read several times, so each is
-    written once.
+    The routed questions, the final hits and the drafts are small and read several times, so
+    each is written once.
     """
     routed = ql.route(questions, keywords=keywords)
     routed = written(routed.select("query_id", ql.expand_acronyms(F.col("text")).alias("text"), "intent", "confidence"))
@@ -44,8 +44,8 @@ def batch_qa(
     r = hybrid_retrieve(asked, corpus, threshold=threshold)
     found = written(an.with_content(r.hits, corpus, asked.count()))
     gate = confidence_gate(found, asked, threshold)
-    kept = found.join(F.broadcast(gate.filter("passed").select("query_id")), "query_id", "left_semi")
-    drafted = an.extractive_answer(kept, asked)
+    kept = found.join(small_side(gate.filter("passed").select("query_id")), "query_id", "left_semi")
+    drafted = written(an.extractive_answer(kept, asked))
     citations = an.extract_citations(drafted, kept, documents)
     claims = cl.extract_claims(drafted.select(F.col("query_id").alias("answer_id"), "answer"), entity_pattern)
     sources = kept.select(F.col("query_id").alias("answer_id"), F.col("rank").alias("seq"), "content")

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.operators.chunking import chunk_documents
+from quirefold.session import small_side
 
 
 def replace_document_chunks(existing: DataFrame, incoming: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Re-ingest: old chunks of every incoming document go, the new ones come."""
-    kept = existing.join(incoming.select(key).distinct(), key, "left_anti")
+    """Re-ingest: old chunks of every incoming document go, the new ones come.
+
+    Only the incoming ids meet the old table; while they are few it is not shuffled.
+    """
+    kept = existing.join(small_side(incoming.select(key).distinct()), key, "left_anti")
     return kept.unionByName(incoming)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.session import written
+from quirefold.session import small_side, written
 
 PART_TURNS = 10_000
 
@@ -28,7 +28,7 @@ def upsert_chunks(spark: SparkSession, path: str, incoming: DataFrame, n_buckets
     fresh = incoming.withColumn("doc_bucket", bucket_of("doc_id", n_buckets))
     touched = fresh.select("doc_bucket").distinct()
     old = spark.read.parquet(path).join(F.broadcast(touched), "doc_bucket", "left_semi")
-    kept = old.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti")
+    kept = old.join(small_side(fresh.select("doc_id").distinct()), "doc_id", "left_anti")
     staged = written(kept.select(*fresh.columns).unionByName(fresh))
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
 
