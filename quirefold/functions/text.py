@@ -47,19 +47,10 @@ def estimate_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.size(words(c)) * F.lit(fv.TOKENS_PER_WORD)).cast("int"))
 
 
-def _bm25_words(c: Column) -> Column:
-    apart = F.translate(c, "-/" + SPACES, " " * (2 + len(SPACES)))
-    return F.filter(F.split(apart, " "), lambda w: F.length(w) > 1)
-
-
 def bm25_tokens(c: Column) -> Column:
     """Words of more than one character, lower case; ``-`` and ``/`` separate, other marks stay."""
-    return F.transform(_bm25_words(c), F.lower)
-
-
-def bm25_length(c: Column) -> Column:
-    """Number of tokens, without making them."""
-    return F.size(_bm25_words(c))
+    apart = F.translate(c, "-/" + SPACES, " " * (2 + len(SPACES)))
+    return F.transform(F.filter(F.split(apart, " "), lambda w: F.length(w) > 1), F.lower)
 
 
 def unnest(c: Column, *names: str) -> Column:

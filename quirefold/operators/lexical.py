@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
-from quirefold.functions.text import bm25_length, bm25_tokens
+from quirefold.functions.text import bm25_tokens, let
 from quirefold.operators.topk import topk_join
 from quirefold.session import written
 
@@ -21,28 +21,39 @@ def postings(corpus: DataFrame) -> DataFrame:
     return terms.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_size(corpus: DataFrame) -> DataFrame:
-    """One row: number of chunks and mean length in tokens."""
-    return corpus.select(bm25_length(F.col("text")).alias("dl")).agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_len")
-    )
+# A separator, so no token holds it: marks the rows that count chunks by length.
+LENGTH_MARK = "\x1f"
 
 
-def document_frequency(corpus: DataFrame) -> DataFrame:
-    """(term, df). Tokens are made distinct inside their row and counted map-side first, so a
-    stop word costs one partial count per task."""
-    tokens = corpus.select(F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
-    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def corpus_counts(corpus: DataFrame) -> DataFrame:
+    """(term, n): chunks holding each term and, under a mark, chunks of each length.
 
+    One pass gives everything BM25 needs to know of the corpus. Terms are made distinct
+    inside their row and counted map-side first, so a stop word costs one partial count per
+    task. The table is the size of the vocabulary; it is written once because the mean idf,
+    the mean length and the query join all read it.
+    """
 
-def term_stats(corpus: DataFrame) -> DataFrame:
-    """(term, df, idf) over the whole vocabulary; a negative idf becomes a quarter of the mean idf.
+    def marked(tokens):
+        return F.concat(F.array_distinct(tokens), F.array(F.concat(F.lit(LENGTH_MARK), F.size(tokens))))
 
-    The counts are written once: the mean, the lowest idf and the query join all read them.
-    """
-    df = written(document_frequency(corpus))
-    n = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
-    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    rows = corpus.select(F.explode(let(bm25_tokens(F.col("text")), marked)).alias("term"))
+    return written(rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+
+
+def corpus_size(counts: DataFrame) -> DataFrame:
+    """One row: number of chunks and mean length in tokens."""
+    length = F.substring("term", 2, 20).cast("long")
+    return counts.filter(F.col("term").startswith(LENGTH_MARK)).agg(
+        F.sum("n").alias("n_chunks"), (F.sum(length * F.col("n")) / F.sum("n")).alias("avg_len")
+    )
+
+
+def term_stats(counts: DataFrame) -> DataFrame:
+    """(term, df, idf) over the whole vocabulary; a negative idf becomes a quarter of the mean idf."""
+    n = corpus_size(counts).select("n_chunks").scalar()
+    terms = counts.filter(~F.col("term").startswith(LENGTH_MARK)).withColumnRenamed("n", "df")
+    raw = terms.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).scalar()
     idf = F.when(F.col("raw") < 0, mean * fv.BM25_EPSILON).otherwise(F.col("raw"))
     return raw.select("term", "df", idf.alias("idf"))
@@ -123,8 +134,9 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, **bounds
 
     Chunks that share no term with the query score zero and are left out.
     """
-    stats = term_stats(corpus)
-    avg_len = corpus_size(corpus).first()["avg_len"]
+    counts = corpus_counts(corpus)
+    stats = term_stats(counts)
+    avg_len = corpus_size(counts).first()["avg_len"]
     known = query_terms(queries, stats)
     chunks = corpus.select("chunk_id", "text")
     hits = topk_join(known, chunks, Bm25Scorer(avg_len or 1.0), k, **bounds)

@@ -9,6 +9,7 @@ from quirefold import fixed_values as fv
 from quirefold.functions.text import let
 
 DAY_US = 86_400_000_000
+SLICE_US = 3_600_000_000
 
 
 def grade_quizzes(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -73,27 +74,27 @@ def sm2_replay(reviews: DataFrame, cap: int = fv.INTERVAL_CAP_DAYS) -> DataFrame
     """Card state after its whole review log (card_id, us, review_id, rating).
 
     The fold is sequential per card, so its input is made small first: reviews of one card
-    and day become a string of one character each, ordered inside that group. A much
+    and hour become a string of one character each, ordered inside that group. A much
     reviewed card is thereby sorted in many tasks, and its fold reads one byte per review.
     """
-    day = F.floor(F.col("us") / DAY_US)
-    coded = reviews.select("card_id", day.alias("day"), "us", "review_id", rating_code(F.col("rating")).alias("c"))
+    hour = F.floor(F.col("us") / SLICE_US)
+    coded = reviews.select("card_id", hour.alias("hour"), "us", "review_id", rating_code(F.col("rating")).alias("c"))
     ordered = F.array_sort(F.collect_list(F.struct("us", "review_id", "c")))
-    days = coded.groupBy("card_id", "day").agg(
+    slices = coded.groupBy("card_id", "hour").agg(
         F.array_join(F.transform(ordered, lambda r: r["c"]), "").alias("codes"),
         F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"),
     )
-    by_day = F.array_sort(F.collect_list(F.struct("day", "codes")))
-    cards = days.groupBy("card_id").agg(
-        by_day.alias("by_day"),
+    in_order = F.array_sort(F.collect_list(F.struct("hour", "codes")))
+    cards = slices.groupBy("card_id").agg(
+        in_order.alias("slices"),
         F.max("last_us").alias("last_us"), F.sum("n").alias("n_reviews"),
     )
     start = F.struct(F.lit(fv.START_EASE).alias("ease"), F.lit(1).alias("interval_days"), F.lit(0).alias("reps"))
 
-    def one_day(state: Column, day: Column) -> Column:
-        return F.aggregate(F.split(day["codes"], ""), state, lambda s, c: sm2_step(s, c, cap))
+    def one_slice(state: Column, part: Column) -> Column:
+        return F.aggregate(F.split(part["codes"], ""), state, lambda s, c: sm2_step(s, c, cap))
 
-    folded = F.aggregate("by_day", start, one_day)
+    folded = F.aggregate("slices", start, one_slice)
     out = cards.withColumn("s", folded)
     return out.select(
         "card_id", "n_reviews", "s.reps", "s.interval_days", F.round("s.ease", 2).alias("ease"),

@@ -209,14 +209,14 @@ def reviews(spark, sf_dir) -> DataFrame:
 
 
 def quiz(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Every event as a quiz question and, for most, an answer."""
+    """Every event as a quiz question; errors stay unanswered."""
     e = event_log(spark, sf_dir)
     questions = e.select(
         F.col("event_id").alias("question_id"), "user_id", F.col("event_type").alias("quiz"),
         F.array(*[F.lit(o) for o in ("north", "east", "south", "west")]).alias("options"),
         (F.col("user_id") % 4).cast("int").alias("correct_index"),
     )
-    answers = e.filter("k % 11 <> 0").select(F.col("event_id").alias("question_id"), (F.col("k") % 5).cast("int").alias("chosen"))
+    answers = e.filter("event_type <> 'error'").select(F.col("event_id").alias("question_id"), (F.col("k") % 5).cast("int").alias("chosen"))
     return questions, answers
 
 

@@ -561,7 +561,7 @@ ORACLES["E6_eval_details"] = with_(
 
 # --- study -------------------------------------------------------------------
 QUIZ = EVENTS + [
-    """graded AS (SELECT event_id AS question_id, user_id, event_type AS quiz, (user_id % 4)::INT AS correct_index, CASE WHEN k % 11 <> 0 THEN (k % 5)::INT END AS chosen,
+    """graded AS (SELECT event_id AS question_id, user_id, event_type AS quiz, (user_id % 4)::INT AS correct_index, CASE WHEN event_type <> 'error' THEN (k % 5)::INT END AS chosen,
   ['north', 'east', 'south', 'west'] AS o FROM e)"""
 ]
 ORACLES["T1_grade_quizzes"] = with_(

@@ -229,7 +229,7 @@ def _(spark, sf):
 
 @query("R9_bm25_stats")
 def _(spark, sf):
-    stats = lexical.term_stats(fx.corpus(spark, sf))
+    stats = lexical.term_stats(lexical.corpus_counts(fx.corpus(spark, sf)))
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
