@@ -240,8 +240,9 @@ def requests(spark, sf_dir) -> DataFrame:
 
 
 def request_limits(spark) -> DataFrame:
-    """Two requests per user and hour, tight enough for the event log to breach it."""
-    return limits_table(spark, {"user": (2, 3600)})
+    """Limits per event type, tight enough for the event log to breach them."""
+    loose, tight = (2, 21600), (1, 7200)
+    return limits_table(spark, {"signup": tight, "error": loose, "click": loose, "view": tight, "purchase": loose})
 
 
 def replies(spark, sf_dir) -> DataFrame:

@@ -620,9 +620,13 @@ ORACLES["G2_page"] = "SELECT doc_id, source, n_chars FROM documents ORDER BY n_c
 ORACLES["G3_rate_audit"] = with_(
     EVENTS
     + [
-        """counted AS (SELECT event_id AS request_id, user_id AS "user", 'user' AS scope, us, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n_in_window FROM e)"""
+        """counted AS (SELECT event_id AS request_id, user_id AS "user", event_type AS scope, us,
+  count(*) OVER (PARTITION BY user_id, event_type ORDER BY us RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW) AS n_short,
+  count(*) OVER (PARTITION BY user_id, event_type ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS n_long FROM e)""",
+        """limited AS (SELECT request_id, "user", scope, us, CASE WHEN scope IN ('signup', 'view') THEN n_short ELSE n_long END AS n_in_window,
+  CASE WHEN scope IN ('signup', 'view') THEN 1 ELSE 2 END AS max_requests FROM counted)""",
     ],
-    "SELECT *, 2 AS max_requests FROM counted WHERE n_in_window > 2",
+    "SELECT * FROM limited WHERE n_in_window > max_requests",
 )
 ORACLES["G4_rate_stream"] = with_(
     EVENTS, """SELECT user_id AS "user", event_type AS scope, us // 3600000000 * 3600000000 AS window_us, count(*) AS n FROM e GROUP BY ALL"""

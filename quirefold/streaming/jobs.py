@@ -38,6 +38,7 @@ def sm2_stream(reviews: DataFrame, cap: int = fv.INTERVAL_CAP_DAYS) -> DataFrame
     """Card state kept across micro-batches; emits a card's state whenever it is reviewed.
 
     Reviews of one micro-batch are put in time order per card; batches must arrive in order.
+    The source's ``maxFilesPerTrigger`` bounds what a batch holds for one card.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -93,15 +94,18 @@ def rate_stream(requests: DataFrame, window: str = "1 minute", slide: str | None
     return counts.select("user", "scope", F.col("w.start").alias("window_start"), "n")
 
 
-def note_sink(root: str, delimiter: str = "\n\n"):
+def note_sink(root: str, delimiter: str = "\n\n", mapping_root: str | None = None):
     """Per micro-batch: mask notes, check them, and write masked text, mapping and paragraphs.
 
+    ``mapping_root`` puts the mapping, which restores the originals, into a folder of its own
+    with stricter access; the staged rows hold it too and go there as well.
+
     A note that leaks or already holds placeholders goes to quarantine without its text.
     Each table gets the batch's own folder, overwritten on replay.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stage = f"{root}/stage/batch_id={batch_id}"
+        stage = f"{mapping_root or root}/stage/batch_id={batch_id}"
         done = deid.deidentify(batch)
         reasons = deid.leak_reasons(F.col("masked_text"), F.map_keys("tags"))
         done.select("doc_id", "masked_text", "tags", "pii_entity_count", "quarantined", reasons.alias("reasons")).write.mode(
@@ -117,7 +121,8 @@ def note_sink(root: str, delimiter: str = "\n\n"):
             "quarantine": staged.filter(bad).select("doc_id", "reasons", "quarantined"),
         }
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+            base = mapping_root if mapping_root and name == "mapping" else root
+            df.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
 
     return write
 
@@ -132,7 +137,7 @@ def staged_files(df: DataFrame, n_files: int) -> str:
 def staged_in_order(df: DataFrame, order: str, n_slices: int) -> str:
     """The same with the rows of consecutive ranges of ``order`` written one slice after the other."""
     path = shared_dir(df.sparkSession)
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    lo, hi = df.agg(F.coalesce(F.min(order), F.lit(0)), F.coalesce(F.max(order), F.lit(0))).first()
     step = (hi - lo) // n_slices + 1
     for i in range(n_slices):
         part = df.filter((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step))
