@@ -29,15 +29,22 @@ def page_columns(blocks: DataFrame) -> DataFrame:
 def reading_order(blocks: DataFrame) -> DataFrame:
     """Blocks with column id (-1 full width, 0, 1) and reading number per page.
 
-    Grouping and ranking share the page as key, so this is one shuffle.
+    Grouping and ranking share the page as key, so this is one shuffle. The section heading
+    and the text length are taken before it, so a reader that needs only those does not move
+    the text.
     """
     mid = F.col("page_width") / 2
     page = Window.partitionBy(*PAGE)
+    body = strip(F.col("text"))
+    solid = blocks.filter(_is_text()).select(
+        *PAGE, "block_no", "page_width", "x0", "y0", "x1", "y1", body.alias("text"),
+        heading(body).alias("heading"), F.length(body).alias("chars"),
+    )
     width = F.col("x1") - F.col("x0")
-    narrow = _is_text() & (width <= F.col("page_width") * 0.75)
+    narrow = width <= F.col("page_width") * 0.75
     left = narrow & (F.col("x1") <= mid * 1.15)
     right = narrow & ~(F.col("x1") <= mid * 1.15) & (F.col("x0") >= mid * 0.85)
-    counted = blocks.withColumn("n_left", F.count_if(left).over(page)).withColumn("n_right", F.count_if(right).over(page))
+    counted = solid.withColumn("n_left", F.count_if(left).over(page)).withColumn("n_right", F.count_if(right).over(page))
     two = (F.col("n_left") >= 2) & (F.col("n_right") >= 2)
     col_id = (
         F.when(width > F.col("page_width") * 0.72, -1)
@@ -45,9 +52,7 @@ def reading_order(blocks: DataFrame) -> DataFrame:
         .otherwise(0)
     )
     boxes = [F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")]
-    placed = counted.filter(_is_text()).select(
-        *PAGE, "block_no", strip(F.col("text")).alias("text"), *boxes, col_id.alias("column_id")
-    )
+    placed = counted.select(*PAGE, "block_no", "text", *boxes, col_id.alias("column_id"), "heading", "chars")
     order = page.orderBy(F.col("column_id") + 1, "y0", "block_no")
     return placed.withColumn("reading_no", F.row_number().over(order) - 1)
 
@@ -66,16 +71,16 @@ def section_carry(blocks: DataFrame) -> DataFrame:
     scanned page. The hand-over runs over one summary row per page, not over blocks.
     """
     raw = Window.partitionBy(*PAGE).orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = blocks.withColumn("in_page", F.last(heading(F.col("text")), ignorenulls=True).over(raw))
+    marked = blocks.withColumn("in_page", F.last("heading", ignorenulls=True).over(raw))
     pages = marked.groupBy(*PAGE).agg(
-        F.max_by("in_page", "reading_no").alias("carry_out"), F.sum(F.length("text")).alias("chars")
+        F.max_by("in_page", "reading_no").alias("carry_out"), F.sum("chars").alias("chars")
     )
     pages = pages.withColumn("carry_out", F.when(F.col("chars") >= 50, F.col("carry_out")))
     before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     carried = pages.select(*PAGE, F.last("carry_out", ignorenulls=True).over(before).alias("carry_in"))
     joined = marked.join(carried, PAGE)
     section = F.coalesce("in_page", "carry_in", F.lit(fv.FIRST_SECTION))
-    return joined.withColumn("section_title", section).drop("in_page", "carry_in")
+    return joined.withColumn("section_title", section).drop("in_page", "carry_in", "heading", "chars")
 
 
 def scanned_pages(blocks: DataFrame, cells: DataFrame | None = None, minimum: int = 50) -> DataFrame:
