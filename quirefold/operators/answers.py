@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
-from quirefold.functions.text import claim_sentences, contains_any, strip, words
+from quirefold.functions.text import claim_sentences, contains_any, let, strip, unnest, words
 from quirefold.session import BROADCAST_ROWS, small_side
 
 
@@ -62,12 +62,19 @@ def extractive_answer(found: DataFrame, queries: DataFrame, entities: list[str]
     asked = queries.select("query_id", q_words.alias("q_words"), named(F.lower("text"), names).alias("asked"))
 
     body = F.array_join(F.filter(F.transform(F.split("content", "\n"), strip), lambda s: s != ""), " ")
-    sentences = found.select("query_id", "rank", F.posexplode(claim_sentences(body)).alias("pos", "raw"))
-    cleaned = sentences.select("query_id", "rank", "pos", _cleaned(F.col("raw")).alias("s"))
-    low = F.lower(F.col("s"))
-    useful = cleaned.filter(
-        (F.length("s") >= fv.ANSWER_MIN_CHARS) & (F.col("s").rlike(r"(?U)\d") | contains_any(low, fv.ANSWER_KEYWORDS))
-    ).withColumn("low", low)
+
+    def entry(raw: Column, pos: Column) -> Column:
+        s = _cleaned(raw)
+        return let(s, lambda c: F.struct(pos.alias("pos"), c.alias("s"), F.lower(c).alias("low")))
+
+    def worth(e: Column) -> Column:
+        return (F.length(e["s"]) >= fv.ANSWER_MIN_CHARS) & (
+            e["s"].rlike(r"(?U)\d") | contains_any(e["low"], fv.ANSWER_KEYWORDS)
+        )
+
+    # cleaned and sifted inside the row: a filter on rows would repeat the cleaning per test
+    entries = F.filter(F.transform(claim_sentences(body), entry), worth)
+    useful = found.select("query_id", "rank", unnest(entries, "pos", "s", "low"))
     once = Window.partitionBy("query_id", "low").orderBy("rank", "pos")
     distinct = useful.withColumn("seen", F.row_number().over(once)).filter("seen = 1").join(asked, "query_id")
 
