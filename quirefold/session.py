@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,14 @@ def build_session(app: str = "quirefold", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is
-    unset (a local test session) a temporary folder stands in.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only in a local session,
+    where driver and tasks are one process, a temporary folder stands in; elsewhere it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quirefold-")
     return f"{root.rstrip('/')}/quirefold-{uuid.uuid4().hex}"
 
