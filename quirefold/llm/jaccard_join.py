@@ -30,7 +30,7 @@ from quirefold.llm import arrays as A
 from quirefold.llm.components import components
 from quirefold.session import written
 
-BINS = 1 << 16
+BINS = 1 << 20
 SLABS = 64
 FREQUENT = 4.0
 LANES = 8
@@ -49,7 +49,7 @@ def large_from(num: int, den: int) -> int:
 
 
 def shingle_sets(column: pa.Array, width: int):
-    """The sorted 64-bit shingle hashes of each text, text by text."""
+    """Chunks of whole texts as (tokens, offsets): the sorted distinct 64-bit shingle hashes of each text, end to end."""
     data, starts = A.text_bytes(column)
     for first, last in A.chunks(starts):
         part = data[starts[first] : starts[last]]
@@ -58,48 +58,55 @@ def shingle_sets(column: pa.Array, width: int):
         grams = hashes.copy()
         for k in range(1, width):
             grams = A.mix(grams[:-1] * np.uint64(3) + hashes[k:]) if len(grams) > 1 else grams[:0]
-        for i in range(last - first):
-            a, b = at[i], at[i + 1]
-            if b - a >= width:
-                yield np.unique(grams[a : b - width + 1])
-            elif b > a:
-                short = hashes[a]
-                for k in range(a + 1, b):
-                    short = A.mix(np.array([short * np.uint64(3) + hashes[k]]))[0]
-                yield A.mix(np.array([short + np.uint64(b - a)]))
-            else:
-                yield np.zeros(0, np.uint64)
+        size = np.diff(at)
+        for i in np.flatnonzero((size > 0) & (size < width)):  # the whole sequence is the one shingle
+            short = hashes[at[i] : at[i] + 1]
+            for k in range(at[i] + 1, at[i + 1]):
+                short = A.mix(short * np.uint64(3) + hashes[k])
+            grams = np.append(grams, np.zeros(max(0, at[i] + 1 - len(grams)), np.uint64))
+            grams[at[i]] = A.mix(short + np.uint64(size[i]))[0]
+        count = np.where(size >= width, size - width + 1, np.minimum(size, 1))
+        tokens = grams[A.ragged(at[:-1], count)]
+        ends = np.cumsum(count)
+        for i, j in zip(ends - count, ends, strict=True):
+            tokens[i:j].sort()
+        fresh = np.ones(len(tokens) + 1, bool)
+        fresh[1:-1] = tokens[1:] != tokens[:-1]
+        fresh[ends - count] = True
+        fresh = fresh[:-1]
+        offsets = np.concatenate(([0], np.cumsum(fresh)))[np.concatenate(([0], ends))]
+        yield tokens[fresh], offsets
 
 
 def _bins(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(48)).astype(np.int64)
+    return (tokens >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+
+
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+    return (total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)
 
 
 def _describe(width: int):
     def run(batches):
-        counts = np.zeros(BINS, np.int64)
+        counts = np.zeros(BINS, np.int32)
+        bits = LANES * 64
         names = [f.split()[0] for f in SETS.split(", ")]
         for batch in batches:
-            rows = []
-            for tokens in shingle_sets(batch.column("text"), width):
-                counts += np.bincount(_bins(tokens), minlength=BINS) if len(tokens) > 4096 else 0
-                if len(tokens) <= 4096:
-                    np.add.at(counts, _bins(tokens), 1)
-                lanes = np.zeros(LANES * 64, np.int64)
-                np.add.at(lanes, (tokens & np.uint64(LANES * 64 - 1)).astype(np.int64), 1)
-                parity = np.packbits((lanes & 1).astype(np.uint8)).view(np.int64)
-                with np.errstate(over="ignore"):
-                    k1, k2 = A.mix(tokens).sum(dtype=np.uint64), A.mix(tokens + np.uint64(77)).sum(dtype=np.uint64)
-                rows.append((len(tokens), k1, k2, *parity))
-            columns = list(zip(*rows, strict=True)) or [[]] * (3 + LANES)
-            ints = [pa.array(np.array(c).astype(np.uint64).view(np.int64) if j in (1, 2) else np.array(c, np.int64)) for j, c in enumerate(columns)]
+            parts = []
+            for tokens, offsets in shingle_sets(batch.column("text"), width):
+                np.add.at(counts, _bins(tokens), 1)
+                m = len(offsets) - 1
+                lane = np.repeat(np.arange(m), np.diff(offsets)) * bits + (tokens & np.uint64(bits - 1)).astype(np.int64)
+                parity = np.packbits((np.bincount(lane, minlength=m * bits) & 1).astype(np.uint8)).view(np.int64).reshape(m, LANES)
+                parts.append((np.diff(offsets), _sums(A.mix(tokens), offsets), _sums(A.mix(tokens + np.uint64(77)), offsets), *parity.T))
+            ints = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)] or [pa.array([], pa.int64())] * (3 + LANES)
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *ints, pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))], names=names)
         size = BINS // SLABS
-        slabs = [counts[i * size : (i + 1) * size].astype(np.int32) for i in range(SLABS)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SLABS, pa.int64())] * (4 + LANES) + [pa.array(range(SLABS), pa.int32()), pa.array([list(s) for s in slabs], pa.list_(pa.int32()))], names=names
-        )
+        for i in range(SLABS):
+            slab = pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(counts[i * size : (i + 1) * size]))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * (4 + LANES) + [pa.array([i], pa.int32()), slab], names=names)
 
     return run
 
@@ -137,12 +144,22 @@ def _index(width: int, num: int, den: int, frequent: np.ndarray):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-            found, sizes = [], []
-            for tokens in shingle_sets(batch.column("text"), width):
-                found.append(signatures(tokens, frequent, num, den) if len(tokens) else tokens)
-                sizes.append(len(found[-1]))
-            sig = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(ids, sizes))], names=["sig", "doc_id"])
+            done = 0
+            for tokens, offsets in shingle_sets(batch.column("text"), width):
+                mine = ids[done : done + len(offsets) - 1]
+                done += len(mine)
+                size = np.diff(offsets)
+                row = np.repeat(np.arange(len(mine)), size)
+                rare = ~frequent[_bins(tokens)]
+                before = np.concatenate(([0], np.cumsum(rare)))
+                spare = slack(size, num, den)
+                plain = before[offsets[1:]] - before[offsets[:-1]] > spare
+                take = rare & plain[row] & (before[:-1] - before[offsets[:-1]][row] <= spare[row])
+                sig, owner = [A.mix(tokens[take])], [mine[row[take]]]
+                for i in np.flatnonzero(~plain & (size > 0)):
+                    sig.append(signatures(tokens[offsets[i] : offsets[i + 1]], frequent, num, den))
+                    owner.append(np.full(len(sig[-1]), mine[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(owner))], names=["sig", "doc_id"])
 
     return run
 
@@ -150,12 +167,12 @@ def _index(width: int, num: int, den: int, frequent: np.ndarray):
 def _sets_of(width: int, wanted: A.IdFilter):
     def run(batches):
         for batch in batches:
-            keep = wanted.maybe(batch.column("slot").to_numpy(zero_copy_only=False))
-            batch = batch.filter(pa.array(keep))
-            sets = [t.view(np.int64) for t in shingle_sets(batch.column("text"), width)]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), values], names=["doc_id", "tokens"])
+            batch = batch.filter(pa.array(wanted.maybe(batch.column("slot").to_numpy(zero_copy_only=False))))
+            ids, done = batch.column("doc_id").cast(pa.int64()), 0
+            for tokens, offsets in shingle_sets(batch.column("text"), width):
+                sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(done, len(offsets) - 1), sets], names=["doc_id", "tokens"])
+                done += len(offsets) - 1
 
     return run
 
