@@ -16,12 +16,14 @@ Signatures held by one text only fall out of an aggregation. In each remaining g
 is compared with the group's first text, which links groups of copies with a number of comparisons linear in
 the group. Only texts of one group that are still in different components are then compared with each other, behind
 two exact bounds: the sizes, and the parity bit maps (``8 * 64`` bits, their difference never exceeds that of the sets).
+Long sets fill those maps, so a third bound compares maps as long as the sets (folded to the shorter of two).
 Whatever is left is verified on the full sets. No link is lost and no group is gathered in one place.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ FREQUENT = 4.0
 LANES = 8
 SMALL_PAIRS = 64
 
-SETS = "doc_id long, n long, k1 long, k2 long, " + ", ".join(f"p{i} long" for i in range(LANES)) + ", slab int, counts array<int>"
+SETS = "doc_id long, n long, k1 long, k2 long, " + ", ".join(f"p{i} long" for i in range(LANES)) + ", parity binary, slab int, counts array<int>"
 
 
 def slack(n: int | np.ndarray, num: int, den: int):
@@ -87,26 +89,47 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)
 
 
+def _long_parity(tokens: np.ndarray) -> bytes | None:
+    """The parity of the tokens in about as many bits as there are tokens; short sets need none beside the fixed map."""
+    if len(tokens) <= LANES * 32:
+        return None
+    bits = 1 << len(tokens).bit_length()
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Bits in which two long maps differ, after the larger is folded to the length of the smaller."""
+    out = np.zeros(len(a), np.int64)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x is not None and y is not None:
+            u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            size = min(len(u), len(v))
+            u, v = (np.bitwise_xor.reduce(w.reshape(-1, size)) for w in (u, v))
+            out[i] = np.bitwise_count(u ^ v).sum()
+    return pd.Series(out)
+
+
 def _describe(width: int):
     def run(batches):
         counts = np.zeros(BINS, np.int32)
         bits = LANES * 64
         names = [f.split()[0] for f in SETS.split(", ")]
         for batch in batches:
-            parts = []
+            parts, maps = [], []
             for tokens, offsets in shingle_sets(batch.column("text"), width):
                 np.add.at(counts, _bins(tokens), 1)
                 m = len(offsets) - 1
                 lane = np.repeat(np.arange(m), np.diff(offsets)) * bits + (tokens & np.uint64(bits - 1)).astype(np.int64)
                 parity = np.packbits((np.bincount(lane, minlength=m * bits) & 1).astype(np.uint8)).view(np.int64).reshape(m, LANES)
+                maps.extend(_long_parity(tokens[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True))
                 parts.append((np.diff(offsets), _sums(A.mix(tokens), offsets), _sums(A.mix(tokens + np.uint64(77)), offsets), *parity.T))
             ints = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)] or [pa.array([], pa.int64())] * (3 + LANES)
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *ints, pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *ints, pa.array(maps, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))], names=names)
         size = BINS // SLABS
         for i in range(SLABS):
             slab = pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(counts[i * size : (i + 1) * size]))
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * (4 + LANES) + [pa.array([i], pa.int32()), slab], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * (4 + LANES) + [pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), slab], names=names)
 
     return run
 
@@ -186,9 +209,13 @@ def _close(a: str, b: str, num: int, den: int):
     )
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are linked, judged on their full sets."""
-    pairs = written(pairs)
+    apart = F.pandas_udf(_apart, "long")
+    maps = classes.select("doc_id", "n", "parity")
+    for c in "ba":
+        pairs = pairs.join(maps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")), c)
+    pairs = written(pairs.where(apart("pa", "pb") * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b"))
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     slotted = texts.withColumn("slot", A.IdFilter.slot_column("doc_id"))
     sets = slotted.mapInArrow(_sets_of(width, A.IdFilter.of(ids, "doc_id")), "doc_id long, tokens array<long>")
@@ -215,18 +242,18 @@ def link_components(
     described = written(texts.mapInArrow(_describe(width), SETS))
     frequent = frequent_bins(described)
     info = described.where("slab is null").drop("slab", "counts")
-    classes = info.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", *[f"p{i}" for i in range(LANES)]).agg(F.min("doc_id").alias("doc_id"))
+    classes = info.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", *[f"p{i}" for i in range(LANES)]).agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity"))
     index = texts.where("doc_id is not null").mapInArrow(_index(width, num, den, frequent), "sig long, doc_id long")
     groups = index.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("sig", "lead")
     classes = written(classes)
-    members = written(index.join(groups, "sig").join(classes.drop("k1", "k2"), "doc_id"))
+    members = written(index.join(groups, "sig").join(classes.drop("k1", "k2", "parity"), "doc_id"))
 
-    lead = classes.select(F.col("doc_id").alias("lead"), *[c for c in classes.columns if c not in ("doc_id", "k1", "k2")])
+    lead = classes.select(F.col("doc_id").alias("lead"), *[c for c in classes.columns if c not in ("doc_id", "k1", "k2", "parity")])
     first = (
         members.where("doc_id <> lead").select(*members.drop("sig").columns).distinct().alias("x").join(lead.alias("y"), F.expr("x.lead = y.lead"))
         .where(_close("x", "y", num, den)).select(F.col("y.lead").alias("a"), F.col("x.doc_id").alias("b")).distinct()
     )
-    links = written(verify(first, texts, width, num, den))
+    links = written(verify(first, classes, texts, width, num, den))
     tied = components(links)
 
     placed = members.drop("lead").join(tied.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -237,7 +264,7 @@ def link_components(
         x.join(y, F.expr("x.sig = y.sig")).where("x.doc_id < y.doc_id and x.component <> y.component").where(_close("x", "y", num, den))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     )
-    more = verify(across, texts, width, num, den)
+    more = verify(across, classes, texts, width, num, den)
     final = components(links.union(more)).select(F.col("node").alias("rep"), "component")
     by_class = classes.select("k1", "k2", F.col("doc_id").alias("rep")).join(final, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("found"))
     return (

@@ -74,3 +74,13 @@ def test_empty_and_odd_tables(spark):
     long = spark.createDataFrame([(1, "w " * 60000 + "x"), (2, "w " * 60000 + "x"), (3, "u")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in J.link_components(long).collect()} == {1: 1, 2: 1, 3: 3}
     assert J.keep_first(long).count() == 2
+
+
+def test_bounds_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (300, 700, 5000):
+        x = rng.integers(0, 2**63, n, np.uint64)
+        y = np.concatenate((x[: n - n // 7], rng.integers(0, 2**63, n // 20, np.uint64)))
+        maps = [J._long_parity(np.unique(v)) for v in (x, y)]
+        apart = int(J._apart(*([m] for m in maps))[0])
+        assert 0 < apart <= n // 7 + n // 20
