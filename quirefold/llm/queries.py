@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirefold.llm import jaccard_join
+from quirefold.llm import jaccard_join, suffix_dedup
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes."""
+    out = suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,4 +19,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}
