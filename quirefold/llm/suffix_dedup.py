@@ -8,7 +8,7 @@ brought together without sorting all suffixes of the corpus:
 2. Anchors that occur once end there. Where all segments of an anchor are the same bytes, or a segment occurs twice, its windows repeat.
 3. The different segments of one anchor (edges of passages, edited copies) are joined to one string with a terminator each; a task takes
    many anchors at once, up to ``BATCH`` bytes. On its Burrows-Wheeler transform, intervals of equal prefixes are extended backward breadth
-   first, which sets the common prefix of neighbouring suffixes by increasing value. The expansion stops at ``limit``:
+   first (from the ranks of 32-byte prefixes, which the construction of the transform yields anyway), which sets the common prefix of neighbouring suffixes by increasing value. The expansion stops at ``limit``:
    what is unset then shares at least ``limit`` bytes.
 4. An anchor with more than ``GROUP`` different segments would make a large group. Its windows are halved by their distance to the anchor, and the
    bytes common to a half join the key, until groups are small; at single windows the key is the whole window. Nothing is capped.
@@ -30,8 +30,8 @@ from quirefold.session import written
 
 ANCHOR = 32
 GROUP = 48
-BATCH = 1 << 20
-START = 8
+BATCH = 1 << 18
+START = 32
 LOW = np.uint64(0xFFFFFFFF)
 SEGMENTS = "anchor long, seg long, row long, lo long, hi long, apos long"
 
@@ -171,13 +171,12 @@ def _cut(limit: int):
     """The bytes of the listed segments of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             out = []
             for text, row, wanted in zip(texts, batch.column("row").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 out.extend((w["anchor"], w["seg"], row, w["lo"], w["hi"], w["apos"], text[w["lo"] : w["hi"] + limit]) for w in wanted)
-            for i in range(0, len(out), 20000):
-                yield _rows(out[i : i + 20000])
+            yield _rows(out)
 
     return run
 
@@ -264,8 +263,7 @@ def _maybe(wanted: A.IdFilter, names: list[str], keep: bool = True):
 
 def _remove():
     def run(batches):
-        names = None
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             names = [c for c in batch.schema.names if c not in ("row", "spans")]
             kept, counts = [], []
             for text, spans in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
