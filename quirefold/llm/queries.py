@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import jaccard_join, suffix_dedup
+from quirefold.llm import jaccard_join, suffix_dedup, templates, toxicity
+
+
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that any document repeats, also with other numbers, names or units."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return templates.leaks(docs, items)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a fifth of the ids teach nothing."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score_texts(docs.select("doc_id", "text"), labels, learn=_remainder(5) != 0)
+    return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,4 +36,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
 
 
-QUERIES = {"op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}

@@ -88,6 +88,7 @@ def repeated_starts(bodies: list[bytes], limit: int) -> tuple[np.ndarray, np.nda
     begin = np.cumsum(size) - size
     n = int(size.sum())
     stop = begin + size - 1
+    base = 1 << (min(START, limit).bit_length() - 1)
     text = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64) + m
     text[stop] = np.arange(m)  # one terminator each, below all bytes
     rank, step, early = text, 1, None
@@ -101,9 +102,9 @@ def repeated_starts(bodies: list[bytes], limit: int) -> tuple[np.ndarray, np.nda
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh) - 1
         step *= 2
-        if step == START:
+        if step == base:
             early = rank
-        if fresh.all() or step >= max(size.max(), START):
+        if fresh.all() or step >= max(size.max(), base):
             early = rank if early is None else early
             break
     bwt = text[order - 1]
@@ -121,7 +122,7 @@ def repeated_starts(bodies: list[bytes], limit: int) -> tuple[np.ndarray, np.nda
     known[1:n] = starts[1:] != starts[:-1]
     lower = np.flatnonzero(known[:n])
     upper = np.concatenate((lower[1:], [n])) - 1
-    for _ in range(min(START, step), limit):  # prefixes one byte longer each time
+    for _ in range(min(base, step), limit):  # prefixes one byte longer each time
         at = A.ragged(lower, upper - lower + 1)
         top, bottom = np.repeat(lower, upper - lower + 1), np.repeat(upper, upper - lower + 1)
         ok = inner[at]
