@@ -151,7 +151,9 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, seed: int = 7) ->
     w = start_weights(seed)
     labels = np.asarray(labels, np.int64)
     data, starts = A.text_bytes(texts)
-    word, head, at = inputs(data, starts)
+    parts = [inputs(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]) for i, j in A.chunks(starts)]
+    word, head = (np.concatenate([np.zeros(0, np.int32), *(p[k] for p in parts)]) for k in (0, 1))
+    at = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(p[2]) for p in parts)]))))
     first, length, text = windows(at)
     if len(set(labels[text])) < 2:
         w["o"][:] = 0
@@ -166,7 +168,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, seed: int = 7) ->
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items() if k not in ("word", "head")}
     step, positives = 0, max(1, labels.sum())
     for epoch in range(epochs):
-        score = np.concatenate([forward(w, word, head, first[i : i + 4096], length[i : i + 4096]) for i in range(0, len(first), 4096)])
+        score = np.concatenate([forward(w, word, head, first[i : i + 1024], length[i : i + 1024]) for i in range(0, len(first), 1024)])
         ranked = np.lexsort((-score, text))
         place = np.arange(len(ranked)) - np.searchsorted(text[ranked], text[ranked])
         chosen = ranked[place < np.where(labels[text[ranked]] == 1, 1, 2)]
