@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import arrays as A
+from quirefold.session import written
 
 WINDOW = 8
 SOLID = 5
@@ -141,7 +142,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = texts.mapInArrow(_emit(_window_filter(items)), WINDOWS).select(F.col("id").alias("doc_id"), "hash", F.col("slots").alias("theirs")).distinct()
     sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("hash").alias("n_windows"))
     known = items.select(F.col("id").alias("item_id"), "hash", F.col("slots").alias("ours")).distinct()
-    hits = found.join(known, "hash")
+    hits = written(found.join(known, "hash"))
     # the pairs (value of the item, value of the text) of all slots; a clash takes the windows that use it out
     pair = F.transform(
         F.split("ours", "\x1f"), lambda v, i: F.struct(F.substring_index(v, "=", -1).alias("o"), F.substring_index(F.get(F.split("theirs", "\x1f"), i), "=", -1).alias("t"))
