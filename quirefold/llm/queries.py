@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import jaccard_join, suffix_dedup, templates, toxicity
+import corpus_pipeline
+from quirefold.llm import jaccard_join, merge_dropout, suffix_dedup, templates, toxicity
 
 
 def _remainder(n: int):
@@ -25,6 +26,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all candidate merges is skipped."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = merge_dropout.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), 0.1, 1)
+    return out.select("doc_id", "pieces", "n_tokens", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "lossless")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes."""
     out = suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200)
@@ -36,4 +46,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"pipeline": corpus_pipeline.run, "op7_merge_dropout": op7_merge_dropout, "op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}

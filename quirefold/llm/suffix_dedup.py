@@ -295,8 +295,25 @@ def remove_repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", te
     each = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row")).withColumn("slot", A.IdFilter.slot_column("row"))
     cut = A.IdFilter.of(spans.select("row").distinct(), "row")
-    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, text string, row long"
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, row long"
     yes, no = (texts.mapInArrow(_maybe(cut, ["doc_id", "text", "row"], keep), schema) for keep in (True, False))
     no = no.withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
     joined = yes.join(each, "row", "left").select("doc_id", "text", "row", "spans").union(no)
-    return joined.mapInArrow(_remove(), f"doc_id {dict(texts.dtypes)['doc_id']}, text string, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(_remove(), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, kept binary, n_bytes long, n_removed long, n_spans long")
+
+
+def without_repeats(docs: DataFrame, limit: int = 200) -> DataFrame:
+    """``docs`` with texts that lack their repeated strings, all rows and columns kept; n_chars is brought up to date.
+
+    Bytes of a character that a cut split go with it. A null text stays null.
+    """
+    names = docs.columns
+    extra = [c for c in names if c not in ("doc_id", "text")]
+    packed = docs.select(F.struct("doc_id", *extra).alias("doc_id"), "text")
+    out = remove_repeats(packed, limit)
+    # make_valid_utf8 puts U+FFFD in the place of a split character; one that the text had itself goes with them where something was cut
+    clean = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    out = out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(clean)).select("doc_id.*", "text")
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    return out.select(*names)

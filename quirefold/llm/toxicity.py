@@ -172,7 +172,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, seed: int = 7) ->
         ranked = np.lexsort((-score, text))
         place = np.arange(len(ranked)) - np.searchsorted(text[ranked], text[ranked])
         chosen = ranked[place < np.where(labels[text[ranked]] == 1, 1, 2)]
-        rng.shuffle(chosen)
+        chosen = np.concatenate([rng.permutation(chosen) for _ in range(max(1, -(-3000 // len(chosen))))])  # few texts pass several times an epoch
         for i in range(0, len(chosen), 128):
             some = chosen[i : i + 128]
             y = labels[text[some]].astype(np.float32)
