@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quirefold.llm import jaccard_join, merge_dropout, suffix_dedup, templates, toxicity
+from quirefold.llm import jaccard_join, licenses, merge_dropout, quality, suffix_dedup, templates, toxicity
 
 
 def _remainder(n: int):
@@ -26,6 +26,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a quarter of the ids teach nothing."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.score_texts(docs.select("doc_id", "text"), labels, learn=_remainder(4) != 2)
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence texts and notices that are a whole document or a whole line of one."""
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), licenses.known(spark))
+
+
 def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of all candidate merges is skipped."""
     import public_tokenizers
@@ -46,4 +58,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
 
 
-QUERIES = {"pipeline": corpus_pipeline.run, "op7_merge_dropout": op7_merge_dropout, "op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"pipeline": corpus_pipeline.run, "op5_quality": op5_quality, "op6_license_lookup": op6_license_lookup, "op7_merge_dropout": op7_merge_dropout, "op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}
