@@ -59,6 +59,7 @@ def half_peaks(w, ids: np.ndarray, again: np.ndarray) -> np.ndarray:
     rows = x.reshape(-1, STRIDE * WIDTH)
     near = rows @ w["f"][: STRIDE * WIDTH]
     near[:-1] += (rows @ w["f"][STRIDE * WIDTH :])[1:]
+    near[ids[::STRIDE] == PAD] = 0  # behind a text's end; what follows belongs to another
     return near.reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
 
 
