@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
@@ -138,3 +138,15 @@ class IdFilter:
     def maybe(self, slots: np.ndarray) -> np.ndarray:
         s = slots.astype(np.uint64)
         return (self.words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) == 1
+
+
+def range_of(column: str, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` lie below the value: a search over two levels of arrays, so that a row costs their square root."""
+    if not cuts:
+        return F.lit(0)
+    step = max(2, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda values: F.size(F.filter(values, lambda c: c < F.col(column)))
+    group = below(F.array(*[F.lit(int(g[-1])) for g in groups]))
+    nested = F.array(*[F.array(*[F.lit(int(c)) for c in g]) for g in groups])
+    return F.when(group >= len(groups), len(cuts)).otherwise(group * step + below(F.get(nested, group)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quirefold.llm import jaccard_join, licenses, merge_dropout, quality, suffix_dedup, templates, toxicity
+from quirefold.llm import chat_tree, jaccard_join, licenses, merge_dropout, quality, spotsigs, suffix_dedup, templates, token_store, toxicity
 
 
 def _remainder(n: int):
@@ -19,6 +19,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(docs, items)
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text beside its edited form and the next text."""
+    return spotsigs.compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    odd = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*more.columns).union(more)
+    return chat_tree.read_back(*chat_tree.build(rows, path), path)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of a fifth of the ids teach nothing."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
@@ -47,6 +63,15 @@ def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "pieces", "n_tokens", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "lossless")
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level pieces, id 2 after each document."""
+    import public_tokenizers
+
+    folder = token_store.new_folder(spark)
+    shards = token_store.write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return token_store.read_store(shards, folder)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes."""
     out = suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200)
@@ -58,4 +83,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
 
 
-QUERIES = {"pipeline": corpus_pipeline.run, "op5_quality": op5_quality, "op6_license_lookup": op6_license_lookup, "op7_merge_dropout": op7_merge_dropout, "op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op2_spotsigs": op2_spotsigs, "op3_chat_tree": op3_chat_tree, "pipeline": corpus_pipeline.run, "op5_quality": op5_quality, "op6_license_lookup": op6_license_lookup, "op7_merge_dropout": op7_merge_dropout, "op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op8_token_store": op8_token_store, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}
