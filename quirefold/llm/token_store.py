@@ -22,7 +22,7 @@ import hashlib
 import os
 import struct
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ DICTIONARY_BYTES = 112_640
 SHARD_ROWS = 4096
 MAX_SHARDS = 16_384
 LEVEL = 3
-CACHE = 200_000
+CACHE = 1_000_000
 SOLID = np.zeros(256, bool)
 SOLID[33:127] = True
 
@@ -82,16 +82,16 @@ def encode(path: str, data: np.ndarray, starts: np.ndarray, end_id: int) -> tupl
     whole = [i for i in range(len(starts) - 1) if any(s in raw[starts[i] : starts[i + 1]] for s in special)] if any(s in raw for s in special) else []
     _, one, which = np.unique(A.spans_hash(A.prefix_hash(data), begin, end), return_index=True, return_inverse=True)
     texts = [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
-    new = [t for t in texts if t not in cache]
-    fresh = {}
+    lists = [cache.get(t) for t in texts]
+    new = [k for k, v in enumerate(lists) if v is None]
     if new:
-        for t, e in zip(new, model.encode_batch_fast([t.decode("utf-8", "replace") for t in new], add_special_tokens=False), strict=True):
-            fresh[t] = e.ids
-    lists = [cache.get(t) or fresh.get(t) or [] for t in texts]
-    if len(cache) < CACHE:
-        cache.update(fresh)
-    count = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum()))
+        room = len(cache) < CACHE
+        for k, e in zip(new, model.encode_batch_fast([texts[k].decode("utf-8", "replace") for k in new], add_special_tokens=False), strict=True):
+            lists[k] = array("I", e.ids).tobytes()
+            if room:
+                cache[texts[k]] = lists[k]
+    count = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+    flat = np.frombuffer(b"".join(lists), np.uint32)
     at = np.cumsum(count) - count
     ids = flat[A.ragged(at[which], count[which])]
     ends = np.concatenate(([0], np.cumsum(count[which])))[first]
@@ -118,7 +118,7 @@ def _frames(path: str, end_id: int, width: str, dictionary: bytes):
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         for batch in batches:
             data, starts = A.text_bytes(batch.column("text"))
-            for i, j in A.chunks(starts, 2 * A.CHUNK):
+            for i, j in A.chunks(starts, 4 * A.CHUNK):
                 ids, at = encode(path, data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], end_id)
                 body = ids.astype(width)
                 frames = [pack.compress(body[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
