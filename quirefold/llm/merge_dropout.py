@@ -27,7 +27,7 @@ VARIANTS = 8
 LONG = 48
 MARK = "▁"
 NONE = np.int64(1) << np.int64(62)
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 K1, K2, K3, K4 = (np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -169,7 +169,9 @@ def segment(table: Pieces, chars: np.ndarray, offsets: np.ndarray, keys: np.ndar
         stay[hit + 1] = False
         hit = np.cumsum(stay)[hit] - 1
         unit, start, sym, made, pri = unit[stay], start[stay], sym[stay], made[stay], pri[stay]
-        again = np.union1d(hit, np.maximum(hit - 1, 0))
+        touched = np.zeros(len(sym), bool)
+        touched[hit] = touched[np.maximum(hit - 1, 0)] = True
+        again = np.flatnonzero(touched)
         made[again], pri[again] = priority(again)
     unit, start, sym = (np.concatenate([np.zeros(0, np.int64), *(d[k] for d in done)]) for k in range(3))
     order = np.argsort(unit * (int(size.max(initial=0)) + 1) + start, kind="stable")

@@ -39,7 +39,7 @@ DICTIONARY_BYTES = 112_640
 SHARD_ROWS = 4096
 MAX_SHARDS = 16_384
 LEVEL = 3
-CACHE = 1_000_000
+CACHE = 800_000
 SOLID = np.zeros(256, bool)
 SOLID[33:127] = True
 
@@ -118,7 +118,7 @@ def _frames(path: str, end_id: int, width: str, dictionary: bytes):
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         for batch in batches:
             data, starts = A.text_bytes(batch.column("text"))
-            for i, j in A.chunks(starts, 4 * A.CHUNK):
+            for i, j in A.chunks(starts, 2 * A.CHUNK):
                 ids, at = encode(path, data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], end_id)
                 body = ids.astype(width)
                 frames = [pack.compress(body[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
