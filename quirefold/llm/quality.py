@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import arrays as A
-from quirefold.llm.toxicity import apply_score, sigmoid, training_rows
+from quirefold.llm.toxicity import apply_score, learned, sigmoid, training_rows
 
 PER_CLASS = 1000
 CHUNKS = 6
@@ -160,4 +160,4 @@ def score_texts(docs: DataFrame, labels: DataFrame, learn=None, per_class: int =
     labels other than 0 and 1 are left out; an empty table stays empty.
     """
     rows = training_rows(docs, labels, "quality", F.lit(True) if learn is None else learn, per_class)
-    return apply_score(docs, scorer(fit(rows["text"].combine_chunks(), rows["y"].to_numpy())))
+    return apply_score(docs, scorer(learned(rows, fit)))

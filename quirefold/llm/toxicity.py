@@ -12,6 +12,8 @@ bounded step. Everything else is one Arrow pass over all texts with 3 MB of weig
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,9 +141,9 @@ def gradients(w, kept, p, y, weight):
 
 def log_odds(bucket: np.ndarray, at: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """How much likelier a bucket is in toxic texts, counted once per text, pulled to 0 where rare."""
-    text = np.repeat(np.arange(len(labels)), np.diff(at))
-    pairs = np.unique(text * BUCKETS + bucket)
-    counts = [np.bincount((pairs % BUCKETS)[labels[pairs // BUCKETS] == y], minlength=BUCKETS) for y in (0, 1)]
+    counts = np.zeros((2, BUCKETS))
+    for y, a, b in zip(labels, at[:-1], at[1:], strict=True):
+        counts[y, np.unique(bucket[a:b])] += 1
     share = [(c + 0.5) / (1 + (labels == y).sum()) for y, c in enumerate(counts)]
     return np.log(share[1] / share[0]) * (1 - np.exp(-counts[1] / 4 - counts[0] / 8))
 
@@ -168,7 +170,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, seed: int = 7) ->
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items() if k not in ("word", "head")}
     step, positives = 0, max(1, labels.sum())
     for epoch in range(epochs):
-        score = np.concatenate([forward(w, word, head, first[i : i + 1024], length[i : i + 1024]) for i in range(0, len(first), 1024)])
+        score = np.concatenate([forward(w, word, head, first[i : i + 512], length[i : i + 512]) for i in range(0, len(first), 512)])
         ranked = np.lexsort((-score, text))
         place = np.arange(len(ranked)) - np.searchsorted(text[ranked], text[ranked])
         chosen = ranked[place < np.where(labels[text[ranked]] == 1, 1, 2)]
@@ -213,12 +215,26 @@ def scorer(w):
     return score
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int) -> pa.Table:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled texts of either class, the smallest by a hash of the id; all copies of a row's label count once."""
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).where(learn).dropDuplicates(["doc_id"])
     picks = [known.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(picks[0].union(picks[1])), "doc_id")
-    return rows.orderBy("doc_id", F.xxhash64("text")).limit(4 * per_class).select("text", "y").toArrow()
+    return rows.orderBy("doc_id", F.xxhash64("text")).limit(4 * per_class).select("text", "y")
+
+
+def learned(rows: DataFrame, fit) -> dict[str, np.ndarray]:
+    """The weights that ``fit`` finds for the bounded training rows; it runs in one task, and the driver gets the weights alone."""
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t, packed = pa.Table.from_batches(got).combine_chunks(), io.BytesIO()
+            np.savez(packed, **fit(t["text"].combine_chunks(), t["y"].to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array([packed.getvalue()], pa.binary())], names=["weights"])
+
+    found = rows.coalesce(1).mapInArrow(run, "weights binary").collect()
+    return dict(np.load(io.BytesIO(found[0].weights))) if found else fit(pa.array([], pa.string()), np.zeros(0, np.int64))
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, learn=None, per_class: int = PER_CLASS) -> DataFrame:
@@ -228,8 +244,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, learn=None, per_class: int =
     evidence, below 0.5; labels other than 0 and 1 are left out; an empty table stays empty.
     """
     rows = training_rows(docs, labels, "toxic", F.lit(True) if learn is None else learn, per_class)
-    w = fit(rows["text"].combine_chunks(), rows["y"].to_numpy())
-    return apply_score(docs, scorer(w))
+    return apply_score(docs, scorer(learned(rows, fit)))
 
 
 def apply_score(docs: DataFrame, score) -> DataFrame:
