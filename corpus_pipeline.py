@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import jaccard_join, merge_dropout, suffix_dedup, templates, toxicity
+from quirefold.llm import arrays, jaccard_join, merge_dropout, suffix_dedup, templates, toxicity
 from quirefold.session import written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    arrays.short_batches(spark)
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

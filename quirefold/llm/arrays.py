@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
@@ -107,6 +107,11 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(first - at, count)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python tasks in short Arrow batches: the session's usual 10,000 rows of long texts cost a task some hundred MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class IdFilter:
     """A bit map of fixed size that says of an id 'perhaps' or 'no'; it is followed by an exact join.
 

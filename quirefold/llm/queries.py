@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quirefold.llm import chat_tree, jaccard_join, licenses, merge_dropout, quality, spotsigs, suffix_dedup, templates, token_store, toxicity
+from quirefold.llm import arrays, chat_tree, jaccard_join, licenses, merge_dropout, quality, spotsigs, suffix_dedup, templates, token_store, toxicity
 
 
 def _remainder(n: int):
@@ -67,6 +67,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level pieces, id 2 after each document."""
     import public_tokenizers
 
+    arrays.short_batches(spark)
     folder = token_store.new_folder(spark)
     shards = token_store.write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return token_store.read_store(shards, folder)
@@ -74,6 +75,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes."""
+    arrays.short_batches(spark)
     out = suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
