@@ -218,7 +218,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, n
     pairs = written(pairs.where(apart("pa", "pb") * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b"))
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     slotted = texts.withColumn("slot", A.IdFilter.slot_column("doc_id"))
-    sets = slotted.mapInArrow(_sets_of(width, A.IdFilter.of(ids, "doc_id")), "doc_id long, tokens array<long>")
+    sets = slotted.mapInArrow(A.tidy(_sets_of(width, A.IdFilter.of(ids, "doc_id"))), "doc_id long, tokens array<long>")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
     return (
@@ -239,11 +239,11 @@ def link_components(
     Other columns of ``docs`` are not read. No rows give no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(texts.mapInArrow(_describe(width), SETS))
+    described = written(texts.mapInArrow(A.tidy(_describe(width)), SETS))
     frequent = frequent_bins(described)
     info = described.where("slab is null").drop("slab", "counts")
     classes = info.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", *[f"p{i}" for i in range(LANES)]).agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity"))
-    index = texts.where("doc_id is not null").mapInArrow(_index(width, num, den, frequent), "sig long, doc_id long")
+    index = texts.where("doc_id is not null").mapInArrow(A.tidy(_index(width, num, den, frequent)), "sig long, doc_id long")
     groups = index.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("sig", "lead")
     classes = written(classes)
     members = written(index.join(groups, "sig").join(classes.drop("k1", "k2", "parity"), "doc_id"))

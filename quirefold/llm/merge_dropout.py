@@ -258,4 +258,4 @@ def encode_texts(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
                     names=names + [f.name for f in new],
                 )
 
-    return docs.mapInArrow(run, StructType(kept + new))
+    return docs.mapInArrow(A.tidy(run), StructType(kept + new))

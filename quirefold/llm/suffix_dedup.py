@@ -219,7 +219,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, start, end): byte ranges covered by repeated strings, possibly overlapping; ``row`` as in row_key."""
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where(F.octet_length("text") >= limit)
-    found = texts.mapInArrow(_find_segments(limit), SEGMENTS)
+    found = texts.mapInArrow(A.tidy(_find_segments(limit)), SEGMENTS)
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("n > 1").select("anchor", F.expr("s0 = s1").alias("uniform"))
     again = written(found.join(anchors, "anchor"))
     covered = [again.where("uniform").select("row", F.col("lo").alias("start"), (F.col("hi") + limit).alias("end"))]
@@ -232,18 +232,18 @@ def repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col:
     covered.append(again.where("not uniform").join(twice, ["anchor", "seg"]).select("row", F.col("lo").alias("start"), (F.col("hi") + limit).alias("end")))
     wanted = kinds.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "lo", "hi", "apos")).alias("wanted"))
     wanted_filter = A.IdFilter.of(kinds.select("row").distinct(), "row")
-    near = texts.withColumn("slot", A.IdFilter.slot_column("row")).mapInArrow(_maybe(wanted_filter, ["row", "text"]), "row long, text string")
-    rows = written(near.join(wanted, "row").mapInArrow(_cut(limit), f"{SEGMENTS}, body binary"))
+    near = texts.withColumn("slot", A.IdFilter.slot_column("row")).mapInArrow(A.tidy(_maybe(wanted_filter, ["row", "text"])), "row long, text string")
+    rows = written(near.join(wanted, "row").mapInArrow(A.tidy(_cut(limit)), f"{SEGMENTS}, body binary"))
     cell = limit - min(ANCHOR, limit) + 1
     while True:
         sizes = rows.groupBy("anchor").agg(F.count("*").alias("variants"))
         small = rows.join(sizes.where(f"variants between 2 and {GROUP}").select("anchor"), "anchor", "left_semi").select("anchor", "row", "lo", "body")
-        covered.append(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_expand(limit), "row long, start long, end long"))
+        covered.append(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(A.tidy(_expand(limit)), "row long, start long, end long"))
         big = rows.join(sizes.where(f"variants > {GROUP}").select("anchor"), "anchor", "left_semi")
         if cell == 1 or big.isEmpty():
             break
         cell = -(-cell // 2)
-        parts = written(big.select("anchor", "seg", "row", "lo", "hi", "apos", "body").mapInArrow(_halve(limit, cell), f"{SEGMENTS}, body binary"))
+        parts = written(big.select("anchor", "seg", "row", "lo", "hi", "apos", "body").mapInArrow(A.tidy(_halve(limit, cell)), f"{SEGMENTS}, body binary"))
         same = parts.groupBy("anchor", "seg").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo")).alias("one"))
         covered.append(parts.join(same.where("c > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select("row", F.col("lo").alias("start"), (F.col("hi") + limit).alias("end")))
         rows = written(parts.join(same.select("anchor", "seg", F.col("one.row").alias("row"), F.col("one.lo").alias("lo")), ["anchor", "seg", "row", "lo"], "left_semi").select(*rows.columns))
@@ -296,10 +296,10 @@ def remove_repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row")).withColumn("slot", A.IdFilter.slot_column("row"))
     cut = A.IdFilter.of(spans.select("row").distinct(), "row")
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, row long"
-    yes, no = (texts.mapInArrow(_maybe(cut, ["doc_id", "text", "row"], keep), schema) for keep in (True, False))
+    yes, no = (texts.mapInArrow(A.tidy(_maybe(cut, ["doc_id", "text", "row"], keep)), schema) for keep in (True, False))
     no = no.withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
     joined = yes.join(each, "row", "left").select("doc_id", "text", "row", "spans").union(no)
-    return joined.mapInArrow(_remove(), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(A.tidy(_remove()), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def without_repeats(docs: DataFrame, limit: int = 200) -> DataFrame:

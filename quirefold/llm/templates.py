@@ -137,9 +137,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item. Other columns are not read.
     """
     source = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null")
-    items = source.mapInArrow(_emit(None), WINDOWS)
+    items = source.mapInArrow(A.tidy(_emit(None)), WINDOWS)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    found = texts.mapInArrow(_emit(_window_filter(items)), WINDOWS).select(F.col("id").alias("doc_id"), "hash", F.col("slots").alias("theirs")).distinct()
+    found = texts.mapInArrow(A.tidy(_emit(_window_filter(items))), WINDOWS).select(F.col("id").alias("doc_id"), "hash", F.col("slots").alias("theirs")).distinct()
     sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("hash").alias("n_windows"))
     known = items.select(F.col("id").alias("item_id"), "hash", F.col("slots").alias("ours")).distinct()
     hits = written(found.join(known, "hash"))

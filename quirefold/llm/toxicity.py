@@ -233,7 +233,7 @@ def learned(rows: DataFrame, fit) -> dict[str, np.ndarray]:
             np.savez(packed, **fit(t["text"].combine_chunks(), t["y"].to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array([packed.getvalue()], pa.binary())], names=["weights"])
 
-    found = rows.coalesce(1).mapInArrow(run, "weights binary").collect()
+    found = rows.coalesce(1).mapInArrow(A.tidy(run), "weights binary").collect()
     return dict(np.load(io.BytesIO(found[0].weights))) if found else fit(pa.array([], pa.string()), np.zeros(0, np.int64))
 
 
@@ -255,7 +255,7 @@ def apply_score(docs: DataFrame, score) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column("text")))], names=[*names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(A.tidy(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def reject(docs: DataFrame, labels: DataFrame, at_least: float = 0.5, **kwargs) -> DataFrame:
