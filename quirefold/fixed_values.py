@@ -221,7 +221,7 @@ CARD_SECONDS = 20
 REVIEW_SECONDS = 15
 START_EASE = 2.5
 MIN_EASE = 1.3
-INTERVAL_CAP_DAYS = 36500
+LAST_DATE_US = 253_402_300_799_999_999  # end of the year 9999: later review dates cannot be held
 
 # --- fixed values: request limits, (limit, seconds) by scope -----------------
 RATE_LIMITS = {

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
 from quirefold.functions.text import bm25_tokens, let
-from quirefold.operators.topk import topk_join
+from quirefold.operators.topk import filled, topk_join
 from quirefold.session import written
 
 
@@ -105,7 +105,7 @@ class _TermScorer:
 
 
 class Bm25Scorer(_TermScorer):
-    decimals = 6
+    decimals = 10  # sums of equal terms in another order still tie
 
     def __init__(self, avg_len: float, k1: float = fv.BM25_K1, b: float = fv.BM25_B):
         self.avg_len, self.k1, self.b = avg_len, k1, b
@@ -132,7 +132,7 @@ class OverlapScorer(_TermScorer):
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, **bounds) -> DataFrame:
     """Top-k chunks per query by BM25; a query whose best score is not positive falls back to overlap.
 
-    Chunks that share no term with the query score zero and are left out.
+    Lists short of k are filled with chunks of score zero, by id.
     """
     counts = corpus_counts(corpus)
     stats = term_stats(counts)
@@ -142,13 +142,14 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, **bounds
     hits = topk_join(known, chunks, Bm25Scorer(avg_len or 1.0), k, **bounds)
     floor = stats.agg(F.min("idf")).first()[0]
     if floor is None or floor > 0:
-        return hits  # every shared term adds a positive amount, so no query needs the fallback
+        # every shared term adds a positive amount, so no query needs the fallback
+        return filled(hits, queries, corpus, k)
     missed = known.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    return hits.unionByName(topk_join(missed, chunks, OverlapScorer(), k, **bounds))
+    return filled(hits.unionByName(topk_join(missed, chunks, OverlapScorer(), k, **bounds)), queries, corpus, k)
 
 
 def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, **bounds) -> DataFrame:
-    """Top-k chunks per query by the number of distinct shared tokens."""
+    """Top-k chunks per query by the number of distinct shared tokens; short lists are filled by id."""
     own = queries.select("query_id", F.array_distinct(bm25_tokens(F.col("text"))).alias("t"))
     terms = own.select("query_id", F.transform("t", lambda t: F.struct(t.alias("term"))).alias("terms"))
-    return topk_join(terms, corpus.select("chunk_id", "text"), OverlapScorer(), k, **bounds)
+    return filled(topk_join(terms, corpus.select("chunk_id", "text"), OverlapScorer(), k, **bounds), queries, corpus, k)

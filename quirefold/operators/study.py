@@ -49,57 +49,73 @@ def rating_code(rating: Column) -> Column:
     return code
 
 
-def sm2_step(s: Column, code: Column, cap: int = fv.INTERVAL_CAP_DAYS) -> Column:
-    """One review: ``s`` has ease, interval and reps."""
+def sm2_step(s: Column, us: Column, code: Column) -> Column:
+    """One review: ``s`` has ease, interval_days, reps, last_us and rejected.
+
+    A review whose next date lies beyond the last date there is changes nothing but the count of rejected ones.
+    """
     ease, days, reps = s["ease"], s["interval_days"], s["reps"] + 1
 
     def state(e: Column, d: Column, n: Column) -> Column:
-        return F.struct(e.cast("double").alias("ease"), d.cast("int").alias("interval_days"), n.cast("int").alias("reps"))
+        return F.struct(e.cast("double").alias("ease"), d.cast("double").alias("days"), n.cast("int").alias("reps"))
 
     def grown(factor: Column) -> Column:
-        return F.greatest(F.lit(1), F.least(F.lit(cap), F.floor(factor)))
+        return F.greatest(F.lit(1.0), F.floor(factor).cast("double"))
 
-    good = F.when(reps == 1, 1).when(reps == 2, 6).otherwise(grown(days * ease))
-    easy = F.when(reps == 1, 3).when(reps == 2, 10).otherwise(grown(days * ease * 1.3))
-    return (
+    good = F.when(reps == 1, 1.0).when(reps == 2, 6.0).otherwise(grown(days * ease))
+    easy = F.when(reps == 1, 3.0).when(reps == 2, 10.0).otherwise(grown(days * ease * 1.3))
+    rated = (
         F.when(code == "0", state(F.greatest(F.lit(fv.MIN_EASE), ease - 0.2), F.lit(1), F.lit(0)))
         .when(code == "1", state(F.greatest(F.lit(fv.MIN_EASE), ease - 0.15), grown(days * F.lit(1.2)), reps))
         .when(code == "2", state(ease, good, reps))
         .when(code == "3", state(ease + 0.15, easy, reps))
         .otherwise(state(ease, days, s["reps"]))
     )
+    left = F.lit(fv.LAST_DATE_US) - us
+    room = (left - F.pmod(left, F.lit(DAY_US))) / DAY_US
+
+    def settled(r: Column) -> Column:
+        fits = r["days"] <= room
+        return F.struct(
+            F.when(fits, r["ease"]).otherwise(ease).alias("ease"),
+            F.when(fits, r["days"].cast("int")).otherwise(days).alias("interval_days"),
+            F.when(fits, r["reps"]).otherwise(s["reps"]).alias("reps"),
+            F.when(fits, us).otherwise(s["last_us"]).alias("last_us"),
+            F.when(fits, s["rejected"]).otherwise(s["rejected"] + 1).alias("rejected"),
+        )
+
+    return let(rated, settled)
 
 
-def sm2_replay(reviews: DataFrame, cap: int = fv.INTERVAL_CAP_DAYS) -> DataFrame:
+def sm2_replay(reviews: DataFrame) -> DataFrame:
     """Card state after its whole review log (card_id, us, review_id, rating).
 
     The fold is sequential per card, so its input is made small first: reviews of one card
-    and hour become a string of one character each, ordered inside that group. A much
-    reviewed card is thereby sorted in many tasks, and its fold reads one byte per review.
+    and hour are ordered in their own group and keep only a time and one character each.
+    A much reviewed card is thereby sorted in many tasks. Intervals grow without a cap;
+    ``n_rejected`` counts the reviews whose next date could not be held.
     """
     hour = F.floor(F.col("us") / SLICE_US)
     coded = reviews.select("card_id", hour.alias("hour"), "us", "review_id", rating_code(F.col("rating")).alias("c"))
     ordered = F.array_sort(F.collect_list(F.struct("us", "review_id", "c")))
     slices = coded.groupBy("card_id", "hour").agg(
-        F.array_join(F.transform(ordered, lambda r: r["c"]), "").alias("codes"),
-        F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"),
+        F.transform(ordered, lambda r: F.struct(r["us"].alias("us"), r["c"].alias("c"))).alias("log"), F.count(F.lit(1)).alias("n"),
     )
-    in_order = F.array_sort(F.collect_list(F.struct("hour", "codes")))
-    cards = slices.groupBy("card_id").agg(
-        in_order.alias("slices"),
-        F.max("last_us").alias("last_us"), F.sum("n").alias("n_reviews"),
+    in_order = F.array_sort(F.collect_list(F.struct("hour", "log")))
+    cards = slices.groupBy("card_id").agg(in_order.alias("slices"), F.sum("n").alias("n_reviews"))
+    start = F.struct(
+        F.lit(fv.START_EASE).alias("ease"), F.lit(1).alias("interval_days"), F.lit(0).alias("reps"),
+        F.lit(None).cast("long").alias("last_us"), F.lit(0).cast("long").alias("rejected"),
     )
-    start = F.struct(F.lit(fv.START_EASE).alias("ease"), F.lit(1).alias("interval_days"), F.lit(0).alias("reps"))
 
     def one_slice(state: Column, part: Column) -> Column:
-        return F.aggregate(F.split(part["codes"], ""), state, lambda s, c: sm2_step(s, c, cap))
+        return F.aggregate(part["log"], state, lambda s, r: sm2_step(s, r["us"], r["c"]))
 
-    folded = F.aggregate("slices", start, one_slice)
-    out = cards.withColumn("s", folded)
+    out = cards.withColumn("s", F.aggregate("slices", start, one_slice))
     return out.select(
-        "card_id", "n_reviews", "s.reps", "s.interval_days", F.round("s.ease", 2).alias("ease"),
-        F.col("last_us").alias("last_reviewed_us"),
-        (F.col("last_us") + F.col("s.interval_days").cast("long") * DAY_US).alias("next_review_us"),
+        "card_id", "n_reviews", F.col("s.rejected").alias("n_rejected"), "s.reps", "s.interval_days", F.round("s.ease", 2).alias("ease"),
+        F.col("s.last_us").alias("last_reviewed_us"),
+        (F.col("s.last_us") + F.col("s.interval_days").cast("long") * DAY_US).alias("next_review_us"),
     )
 
 

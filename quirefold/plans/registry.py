@@ -312,7 +312,7 @@ LEXICON = {"THE": "Definite Word", "LA": "Second Word", "IST": "Third Word", "TI
 @query("Q3_expand_acronyms")
 def _(spark, sf):
     c = fx.table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", ql.expand_acronyms(fx.ascii_text(F.col("text")), LEXICON).alias("expanded"))
+    return c.select("conv_id", "turn", ql.expand_acronyms(F.col("text"), LEXICON).alias("expanded"))
 
 
 @query("Q4_classify_intent")

@@ -15,45 +15,52 @@ from quirefold.operators.chunking import note_paragraphs
 from quirefold.operators.study import DAY_US, rating_code
 from quirefold.session import shared_dir
 
-CARD = "card_id long, n_reviews long, reps int, interval_days int, ease double, last_reviewed_us long, next_review_us long"
-CARD_STATE = "ease double, interval_days int, reps int, n long"
+CARD = "card_id long, n_reviews long, n_rejected long, reps int, interval_days int, ease double, last_reviewed_us long, next_review_us long"
+CARD_STATE = "ease double, interval_days int, reps int, n long, rejected long, last long"
 
 
-def _next(state: tuple[float, int, int], code: str, cap: int) -> tuple[float, int, int]:
+def _next(state: tuple[float, int, int], code: str) -> tuple[float, int, int]:
     """The rating rule for one review, as in the batch fold."""
     ease, days, reps = state
+    if code == "-":
+        return state
     if code == "0":
         return max(fv.MIN_EASE, ease - 0.2), 1, 0
     reps += 1
     if code == "1":
-        return max(fv.MIN_EASE, ease - 0.15), max(1, min(cap, int(days * 1.2))), reps
+        return max(fv.MIN_EASE, ease - 0.15), max(1, int(days * 1.2)), reps
     if reps <= 2:
         days = {("2", 1): 1, ("2", 2): 6, ("3", 1): 3, ("3", 2): 10}[code, reps]
     else:
-        days = max(1, min(cap, int(days * ease if code == "2" else days * ease * 1.3)))
+        days = max(1, int(days * ease if code == "2" else days * ease * 1.3))
     return ease + (0.15 if code == "3" else 0.0), days, reps
 
 
-def sm2_stream(reviews: DataFrame, cap: int = fv.INTERVAL_CAP_DAYS) -> DataFrame:
+def sm2_stream(reviews: DataFrame) -> DataFrame:
     """Card state kept across micro-batches; emits a card's state whenever it is reviewed.
 
     Reviews of one micro-batch are put in time order per card; batches must arrive in order.
-    The source's ``maxFilesPerTrigger`` bounds what a batch holds for one card.
+    The source's ``maxFilesPerTrigger`` bounds what a batch holds for one card. As in the batch
+    fold, a review whose next date cannot be held is counted as rejected and changes nothing else.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ease, days, reps, n = state.get if state.exists else (fv.START_EASE, 1, 0, 0)
+        ease, days, reps, n, rejected, last = state.get if state.exists else (fv.START_EASE, 1, 0, 0, 0, 0)
         log = pd.concat(list(batches)).sort_values(["us", "review_id"])
-        for code in log["code"]:
-            if code != "-":
-                ease, days, reps = _next((ease, days, reps), code, cap)
+        for us, code in zip(log["us"].tolist(), log["code"]):
+            rated = _next((ease, days, reps), code)
+            if us + rated[1] * DAY_US <= fv.LAST_DATE_US:
+                (ease, days, reps), last = rated, us
+            else:
+                rejected += 1
         n += len(log)
-        state.update((float(ease), int(days), int(reps), int(n)))
-        last = int(log["us"].max())
+        state.update((float(ease), int(days), int(reps), int(n), int(rejected), int(last)))
+        seen = n > rejected
         yield pd.DataFrame(
             {
-                "card_id": [key[0]], "n_reviews": [n], "reps": [reps], "interval_days": [days], "ease": [float(ease)],
-                "last_reviewed_us": [last], "next_review_us": [last + days * DAY_US],
+                "card_id": [key[0]], "n_reviews": [n], "n_rejected": [rejected], "reps": [reps], "interval_days": [days], "ease": [float(ease)],
+                "last_reviewed_us": pd.array([last if seen else None], dtype="Int64"),
+                "next_review_us": pd.array([last + days * DAY_US if seen else None], dtype="Int64"),
             }
         )
 

@@ -24,7 +24,6 @@ def replay(ratings):
         else:
             days = 3 if reps == 1 else 10 if reps == 2 else int(days * ease * 1.3)
             ease += 0.15
-        days = min(days, 36500)
     return reps, days, ease
 
 
