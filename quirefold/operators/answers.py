@@ -146,19 +146,20 @@ def _items(replies: DataFrame, schema: str, count: int) -> DataFrame:
     return rows.select("reply_id", "item_no", "item.*")
 
 
-def _or_fallback(items: DataFrame, replies: DataFrame, fallback: DataFrame | None) -> DataFrame:
+def _or_fallback(items: DataFrame, replies: DataFrame, fallback: DataFrame | None, count: int) -> DataFrame:
     if fallback is None:
         return items
     empty = replies.select("reply_id").join(items.select("reply_id").distinct(), "reply_id", "left_anti")
     names = [c for c in items.columns if c != "reply_id"]
-    rows = fallback.agg(F.sort_array(F.collect_list(F.struct(*names)))).scalar()
+    first = fallback.select(*names).orderBy("item_no").limit(count)
+    rows = first.agg(F.sort_array(F.collect_list(F.struct(*names)))).scalar()
     return items.unionByName(empty.select("reply_id", F.inline(rows)))
 
 
 def parse_quiz_items(replies: DataFrame, count: int = 5, fallback: DataFrame | None = None) -> DataFrame:
     """Quiz questions in model replies (reply_id, reply): a text and exactly four options.
 
-    Replies without a valid item get the rows of ``fallback`` (item_no and the same fields).
+    Replies without a valid item get the first ``count`` rows of ``fallback`` (item_no and the same fields).
     """
     items = _items(replies, QUIZ_ITEM, count).filter(F.col("question_text").isNotNull() & (F.size("options") == 4))
     filled = items.select(
@@ -168,10 +169,10 @@ def parse_quiz_items(replies: DataFrame, count: int = 5, fallback: DataFrame | N
         F.coalesce("source_reference", F.lit(fv.DEFAULT_SOURCE_TITLE)).alias("source_reference"),
         F.coalesce("page_number", F.lit(1)).alias("page_number"),
     )
-    return _or_fallback(filled, replies, fallback)
+    return _or_fallback(filled, replies, fallback, count)
 
 
-def parse_cards(replies: DataFrame, count: int = 8, topic: str = "", reference: str = "", fallback: DataFrame | None = None) -> DataFrame:
+def parse_cards(replies: DataFrame, count: int = 6, topic: str = "", reference: str = "", fallback: DataFrame | None = None) -> DataFrame:
     """Flashcards in model replies: front and back, defaults filled."""
     items = _items(replies, CARD_ITEM, count).filter(F.col("front").isNotNull() & F.col("back").isNotNull())
     filled = items.select(
@@ -180,7 +181,7 @@ def parse_cards(replies: DataFrame, count: int = 8, topic: str = "", reference:
         F.coalesce("source_reference", F.lit(reference)).alias("source_reference"),
         F.coalesce("page_number", F.lit(1)).alias("page_number"),
     )
-    return _or_fallback(filled, replies, fallback)
+    return _or_fallback(filled, replies, fallback, count)
 
 
 def source_context_sample(chunks: DataFrame, n: int = 8) -> DataFrame:

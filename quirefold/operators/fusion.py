@@ -65,15 +65,15 @@ def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, k: int
     """Final k per query from fused candidates, by dense, lexical and overlap evidence.
 
     Candidates are at most ``per_query`` rows for each query. Where the count of queries
-    makes that small they are broadcast to the corpus, so chunk texts stay where they are
+    makes that small their ids and scores are broadcast to the corpus (query words join the matches), so chunk texts stay where they are
     and only matched chunks are tokenized.
     """
     q = queries.select("query_id", content_tokens(F.col("text")).alias("q_tokens"))
-    asked = candidates.join(q, "query_id")
+    asked = candidates
     most = BROADCAST_ROWS // per_query
     if queries.limit(most + 1).count() <= most:
         asked = F.broadcast(asked)
-    c = corpus.select("chunk_id", "text").join(asked, "chunk_id")
+    c = corpus.select("chunk_id", "text").join(asked, "chunk_id").join(q, "query_id")
     shared = F.size(F.array_intersect("q_tokens", bm25_tokens(F.col("text"))))
     ratio = shared / F.greatest(F.lit(1), F.size("q_tokens"))
     c = c.select(*candidates.columns, ratio.alias("ratio"))

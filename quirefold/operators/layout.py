@@ -63,19 +63,23 @@ def heading(text: Column) -> Column:
     return F.when(line.rlike("(?U)" + fv.SECTION_HEADING) & (F.length(line) < 80), line)
 
 
-def section_carry(blocks: DataFrame) -> DataFrame:
+def section_carry(blocks: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Ordered blocks with the section each belongs to.
 
     ``blocks`` as :func:`reading_order` returns them. Headings take effect in raw block
     order; a page hands on the section of its last block in reading order, unless it is a
-    scanned page. The hand-over runs over one summary row per page, not over blocks.
+    scanned page: little text and, by ``cells`` (doc_id, page_number), no table. The hand-over runs over one summary row per page, not over blocks.
     """
     raw = Window.partitionBy(*PAGE).orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = blocks.withColumn("in_page", F.last("heading", ignorenulls=True).over(raw))
     pages = marked.groupBy(*PAGE).agg(
         F.max_by("in_page", "reading_no").alias("carry_out"), F.sum("chars").alias("chars")
     )
-    pages = pages.withColumn("carry_out", F.when(F.col("chars") >= 50, F.col("carry_out")))
+    read = F.col("chars") >= 50
+    if cells is not None:
+        pages = pages.join(cells.select(*PAGE, F.lit(True).alias("has_table")).distinct(), PAGE, "left")
+        read = read | F.col("has_table").isNotNull()
+    pages = pages.withColumn("carry_out", F.when(read, F.col("carry_out")))
     before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     carried = pages.select(*PAGE, F.last("carry_out", ignorenulls=True).over(before).alias("carry_in"))
     joined = marked.join(carried, PAGE)

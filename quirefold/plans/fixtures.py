@@ -246,6 +246,23 @@ def replies(spark, sf_dir) -> DataFrame:
     return e.select(F.col("event_id").alias("reply_id"), F.when(F.col("event_type") == "error", "no items today").otherwise(good).alias("reply"))
 
 
+def quiz_replies(spark, sf_dir) -> DataFrame:
+    """Every event as a model reply with a question of four options and one of two."""
+    e = event_log(spark, sf_dir)
+    good = F.concat(
+        F.lit('Here: [{"question_text": "Q'), "event_id", F.lit('", "options": ["a", "b", "c", "'), "event_type", F.lit('"], "correct_option_index": '),
+        F.col("k") % 4, F.lit('}, {"question_text": "short", "options": ["a", "b"]}] end'),
+    )
+    return e.select(F.col("event_id").alias("reply_id"), F.when(F.col("event_type") == "view", "[]").otherwise(good).alias("reply"))
+
+
+def quiz_fallback(spark) -> DataFrame:
+    rows = [(n, f"Spare {n}", ["1", "2", "3", "4"], n, "why", "book", n + 1) for n in range(3)]
+    return spark.createDataFrame(
+        rows, "item_no int, question_text string, options array<string>, correct_option_index int, explanation string, source_reference string, page_number int"
+    )
+
+
 def card_fallback(spark) -> DataFrame:
-    row = [(0, "What is reviewed?", "The card", "basics", "", 1)]
+    row = [(n, "What is reviewed?", "The card", "basics", "", 1) for n in range(8)]
     return spark.createDataFrame(row, "item_no int, front string, back string, key_concept string, source_reference string, page_number int")

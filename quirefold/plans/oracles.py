@@ -517,7 +517,15 @@ EVENTS = ["e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us
 ORACLES["A9_parse_generated_items"] = with_(
     EVENTS,
     """SELECT event_id AS reply_id, 0 AS item_no, 'Q' || event_id AS front, 'A' || k AS back, 'topic' AS key_concept, 'book' AS source_reference, 3 AS page_number FROM e WHERE event_type <> 'error'
-UNION ALL SELECT event_id, 0, 'What is reviewed?', 'The card', 'basics', '', 1 FROM e WHERE event_type = 'error'""",
+UNION ALL SELECT event_id, unnest(range(6)), 'What is reviewed?', 'The card', 'basics', '', 1 FROM e WHERE event_type = 'error'""",
+)
+ORACLES["A9_parse_quiz_items"] = with_(
+    EVENTS,
+    """SELECT event_id AS reply_id, 0 AS item_no, 'Q' || event_id AS question_text, 'a|b|c|' || event_type AS options, k % 4 AS correct_option_index, '' AS explanation,
+  'Clinical Guidelines' AS source_reference, 1 AS page_number FROM e WHERE event_type <> 'view'
+UNION ALL SELECT event_id, n, 'Spare ' || n, '1|2|3|4', n, 'why', 'book', n + 1 FROM e, (SELECT unnest(range(2)) AS n) WHERE event_type = 'view'""".replace(
+        "'Clinical Guidelines'", lit(fv.DEFAULT_SOURCE_TITLE)
+    ),
 )
 CHUNKED = (
     sentence_ctes("documents", "doc_id")

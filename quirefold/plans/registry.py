@@ -406,6 +406,15 @@ def _(spark, sf):
     return an.parse_cards(fx.replies(spark, sf), topic="topic", reference="book", fallback=fx.card_fallback(spark))
 
 
+@query("A9_parse_quiz_items")
+def _(spark, sf):
+    items = an.parse_quiz_items(fx.quiz_replies(spark, sf), count=2, fallback=fx.quiz_fallback(spark))
+    return items.select(
+        "reply_id", "item_no", "question_text", F.array_join("options", "|").alias("options"), "correct_option_index", "explanation",
+        "source_reference", "page_number",
+    )
+
+
 @query("A10_source_context_sample")
 def _(spark, sf):
     chunks = chunking.chunk_documents(fx.table(spark, sf, "documents"))
@@ -474,9 +483,9 @@ def _(spark, sf):
 
 @query("T4_sm2_stream")
 def _(spark, sf):
-    files = sj.staged_in_order(fx.reviews(spark, sf), "us", 3)
+    files, _ = sj.staged_in_order(fx.reviews(spark, sf), "us", 3, "card_id")
     out, marks = shared_dir(spark), shared_dir(spark)
-    stream = spark.readStream.schema("card_id long, us long, review_id long, rating string").parquet(files)
+    stream = spark.readStream.schema("card_id long, us long, review_id long, rating string").option("maxFilesPerTrigger", 2).parquet(files)
     sj.run_to_end(sj.sm2_stream(stream), "update", sj.batch_writer(out), marks)
     return sj.latest_cards(spark, out).withColumn("ease", F.round("ease", 2))
 
@@ -529,10 +538,10 @@ def _(spark, sf):
 @query("G4_rate_stream")
 def _(spark, sf):
     rows = fx.requests(spark, sf).select("user", "scope", F.timestamp_micros("us").alias("ts"), "us")
-    files = sj.staged_files(rows, 4)
+    files, span_us = sj.staged_in_order(rows, "us", 3, "user")
     out, marks = shared_dir(spark), shared_dir(spark)
-    stream = spark.readStream.schema("user long, scope string, ts timestamp, us long").parquet(files)
-    sj.run_to_end(sj.rate_stream(stream, "1 hour"), "update", sj.batch_writer(out), marks)
+    stream = spark.readStream.schema("user long, scope string, ts timestamp, us long").option("maxFilesPerTrigger", 2).parquet(files)
+    sj.run_to_end(sj.rate_stream(stream, "1 hour", late=f"{span_us // 1_000_000 + 1} seconds"), "update", sj.batch_writer(out), marks)
     last = spark.read.parquet(out).groupBy("user", "scope", "window_start").agg(F.max_by("n", "batch_id").alias("n"))
     return last.select("user", "scope", F.unix_micros("window_start").alias("window_us"), "n")
 
@@ -540,9 +549,9 @@ def _(spark, sf):
 @query("G5_note_stream")
 def _(spark, sf):
     files = sj.staged_files(fx.notes(spark, sf).select("doc_id", "text"), 4)
-    root, marks = shared_dir(spark), shared_dir(spark)
-    stream = spark.readStream.schema("doc_id long, text string").parquet(files)
-    sj.run_to_end(stream, "append", sj.note_sink(root, "\n"), marks)
+    root, secret, marks = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 2).parquet(files)
+    sj.run_to_end(stream, "append", sj.note_sink(root, secret, "\n"), marks)
     masked = spark.read.parquet(f"{root}/masked").select("doc_id", "masked_text", "pii_entity_count")
     paragraphs = spark.read.parquet(f"{root}/paragraphs").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs"))
     return masked.join(paragraphs, "doc_id")

@@ -57,14 +57,17 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL_TABLE_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a scan that has fewer splits than the session has cores.
+    """Deal out a scanned table of at most 64 MB, which is often a single row group, over the cores.
 
-    A table of that size is a handful of files; a large table has more splits than cores
-    and passes through untouched, so no text is shuffled at scale.
+    The bound is on the files' bytes and not on the number of cores, so no larger table is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(str(size)) <= SMALL_TABLE_BYTES
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -101,18 +101,21 @@ def rate_stream(requests: DataFrame, window: str = "1 minute", slide: str | None
     return counts.select("user", "scope", F.col("w.start").alias("window_start"), "n")
 
 
-def note_sink(root: str, delimiter: str = "\n\n", mapping_root: str | None = None):
+def note_sink(root: str, mapping_root: str, delimiter: str = "\n\n"):
     """Per micro-batch: mask notes, check them, and write masked text, mapping and paragraphs.
 
-    ``mapping_root`` puts the mapping, which restores the originals, into a folder of its own
-    with stricter access; the staged rows hold it too and go there as well.
+    ``mapping_root`` is a folder of its own, with stricter access, for the mapping that restores
+    the originals; the staged rows hold it too and go there as well.
 
     A note that leaks or already holds placeholders goes to quarantine without its text.
     Each table gets the batch's own folder, overwritten on replay.
     """
 
+    if mapping_root.rstrip("/") == root.rstrip("/"):
+        raise ValueError("the mapping needs a folder apart from the masked text")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        stage = f"{mapping_root or root}/stage/batch_id={batch_id}"
+        stage = f"{mapping_root}/stage/batch_id={batch_id}"
         done = deid.deidentify(batch)
         reasons = deid.leak_reasons(F.col("masked_text"), F.map_keys("tags"))
         done.select("doc_id", "masked_text", "tags", "pii_entity_count", "quarantined", reasons.alias("reasons")).write.mode(
@@ -128,7 +131,7 @@ def note_sink(root: str, delimiter: str = "\n\n", mapping_root: str | None = Non
             "quarantine": staged.filter(bad).select("doc_id", "reasons", "quarantined"),
         }
         for name, df in tables.items():
-            base = mapping_root if mapping_root and name == "mapping" else root
+            base = mapping_root if name == "mapping" else root
             df.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
 
     return write
@@ -141,12 +144,16 @@ def staged_files(df: DataFrame, n_files: int) -> str:
     return path
 
 
-def staged_in_order(df: DataFrame, order: str, n_slices: int) -> str:
-    """The same with the rows of consecutive ranges of ``order`` written one slice after the other."""
+def staged_in_order(df: DataFrame, order: str, n_slices: int, key: str, n_files: int = 2) -> tuple[str, int]:
+    """The same with consecutive ranges of ``order`` written one after the other; the folder and a range's length.
+
+    A key is in one file of a range, so its rows arrive in order however files fall into batches,
+    and no row is later than one range.
+    """
     path = shared_dir(df.sparkSession)
     lo, hi = df.agg(F.coalesce(F.min(order), F.lit(0)), F.coalesce(F.max(order), F.lit(0))).first()
     step = (hi - lo) // n_slices + 1
     for i in range(n_slices):
         part = df.filter((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step))
-        part.write.mode("append").parquet(path)
-    return path
+        part.repartition(n_files, key).write.mode("append").parquet(path)
+    return path, step

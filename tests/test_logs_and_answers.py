@@ -111,6 +111,8 @@ def test_generated_items(spark):
     spare = spark.createDataFrame([(0, "f", ["1", "2", "3", "4"], 0, "", "s", 1)], "item_no int, question_text string, options array<string>, correct_option_index int, explanation string, source_reference string, page_number int")
     got = {(r["reply_id"], r["question_text"], r["correct_option_index"]) for r in an.parse_quiz_items(replies, fallback=spare).collect()}
     assert got == {(1, "q", 2), (2, "f", 0)}
+    more = spare.unionByName(spare.selectExpr("item_no + 1 AS item_no", *spare.columns[1:]))
+    assert an.parse_quiz_items(replies, 1, more).filter("reply_id = 2").count() == 1
 
 
 def test_evaluation(spark):

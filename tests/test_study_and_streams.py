@@ -45,9 +45,10 @@ def test_sm2_batch_and_stream_match_brute_force(spark):
     batch = {r["card_id"]: r for r in st.sm2_replay(df).collect()}
     assert {c: (r["reps"], r["interval_days"]) for c, r in batch.items()} == {c: w[:2] for c, w in want.items()}
     out, marks = shared_dir(spark), shared_dir(spark)
-    files = jobs.staged_in_order(df, "us", 3)
-    stream = spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", 1000).parquet(files)
+    files, _ = jobs.staged_in_order(df, "us", 3, "card_id")
+    stream = spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", 2).parquet(files)
     jobs.run_to_end(jobs.sm2_stream(stream), "update", jobs.batch_writer(out), marks)
+    assert spark.read.parquet(out).select("batch_id").distinct().count() > 1
     streamed = {r["card_id"]: r for r in jobs.latest_cards(spark, out).collect()}
     for c, w in want.items():
         assert (streamed[c]["reps"], streamed[c]["interval_days"], streamed[c]["n_reviews"]) == (*w[:2], batch[c]["n_reviews"])
@@ -64,6 +65,15 @@ def test_stream_state_survives_a_restart(spark):
     assert (row["n_reviews"], row["reps"], row["interval_days"]) == (5, 1, 1)
 
 
+def test_reviews_beyond_the_last_date_are_rejected(spark):
+    log = spark.createDataFrame([(1, i, i, "easy") for i in range(40)], REVIEW)
+    row = st.sm2_replay(log).first()
+    assert row["interval_days"] > 36_500 and row["n_rejected"] > 0 and row["n_reviews"] == 40
+    assert row["reps"] == 40 - row["n_rejected"] == row["last_reviewed_us"] + 1
+    again = st.sm2_replay(log.unionByName(spark.createDataFrame([(1, 40, 40, "again")], REVIEW))).first()
+    assert (again["reps"], again["interval_days"], again["last_reviewed_us"]) == (0, 1, 40)
+
+
 def test_grading_and_scores(spark):
     q = spark.createDataFrame([(1, "u", ["a", "b", "c", "d"], 1), (2, "u", ["a", "b", "c", "d"], 0), (3, "u", ["a", "b"], 1), (4, "u", ["a"], 0)], "question_id long, user string, options array<string>, correct_index int")
     a = spark.createDataFrame([(1, 1), (3, 7), (4, -1)], "question_id long, chosen int")
@@ -132,12 +142,12 @@ def test_rate_stream_drops_late_rows(spark):
 
 def test_note_stream_quarantines(spark):
     notes = spark.createDataFrame([(1, "Patient: Ann Lee called 415-555-0134.\n\nSecond part"), (2, "holds [PHONE_1] already")], "doc_id long, text string")
-    files, root, marks = jobs.staged_files(notes, 2), shared_dir(spark), shared_dir(spark)
-    jobs.run_to_end(spark.readStream.schema("doc_id long, text string").parquet(files), "append", jobs.note_sink(root), marks)
+    files, root, secret, marks = jobs.staged_files(notes, 2), shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    jobs.run_to_end(spark.readStream.schema("doc_id long, text string").parquet(files), "append", jobs.note_sink(root, secret), marks)
     read = lambda t: spark.read.parquet(f"{root}/{t}")
     assert read("masked").first()["masked_text"] == "Patient: [PATIENT_1] called [PHONE_1].\n\nSecond part"
     assert [r["doc_id"] for r in read("quarantine").collect()] == [2]
-    assert read("paragraphs").count() == 2 and read("mapping").count() == 2
+    assert read("paragraphs").count() == 2 and spark.read.parquet(f"{secret}/mapping").count() == 2
 
 
 def test_visibility_and_paging(spark):
