@@ -694,10 +694,15 @@ ORACLES["S5_document_chunks"] = with_(
 )
 ORACLES["S6_persist_answers"] = "SELECT item_id, substr(text, 1, 60) AS title, 'user' AS role, md5(text) AS content_md5, 'run1' AS run_id FROM benchmark"
 ORACLES["S7_export_markdown"] = """
-SELECT conv_id, 0 AS part, '# Conversation export' || chr(10) || '**Conversation**: `' || conv_id || '`' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-  || string_agg(CASE role WHEN 'user' THEN '### Query' ELSE '### Answer' END || ':' || chr(10) || text || chr(10), chr(10) ORDER BY turn)
-  || chr(10) || '---' || chr(10) || chr(10) || '> Check before use.' || chr(10) AS markdown FROM conversations GROUP BY conv_id"""
-ORACLES["S7_export_json"] = "SELECT conv_id AS id, 0 AS part, turn, role, md5(text) AS content_md5 FROM conversations"
+WITH ends AS (SELECT conv_id, count(*) + 1 AS last FROM conversations GROUP BY conv_id)
+SELECT conv_id, 0 AS seq, '# Conversation export' || chr(10) || '**Conversation**: `' || conv_id || '`' || chr(10) || chr(10) || '---' || chr(10) AS block FROM ends
+UNION ALL SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text), CASE role WHEN 'user' THEN '### Query' ELSE '### Answer' END || ':' || chr(10) || text || chr(10) FROM conversations
+UNION ALL SELECT conv_id, last, '---' || chr(10) || chr(10) || '> Check before use.' FROM ends"""
+ORACLES["S7_export_json"] = """
+WITH ends AS (SELECT conv_id, count(*) + 1 AS last FROM conversations GROUP BY conv_id)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, turn, role, md5(text) AS content_md5, NULL AS frame FROM conversations
+UNION ALL SELECT conv_id, 0, NULL, NULL, NULL, '{"id": ' || conv_id || ', "messages": [' FROM ends
+UNION ALL SELECT conv_id, last, NULL, NULL, NULL, ']}' FROM ends"""
 ORACLES["S8_bulk_ingest"] = with_(
     CHUNKED, "SELECT doc_id, count(*) AS n_chunks, 1 AS n_pages FROM spans WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id", True
 )

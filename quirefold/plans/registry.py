@@ -645,9 +645,9 @@ def _(spark, sf):
 @query("S7_export_json")
 def _(spark, sf):
     rows = sinks.export_json(fx.table(spark, sf, "conversations"))
-    back = F.from_json("record", "id long, messages array<struct<turn:long,role:string,content:string>>")
-    flat = rows.select("part", F.inline(F.array(back))).select("id", "part", F.inline("messages"))
-    return flat.select("id", "part", "turn", "role", F.md5("content").alias("content_md5"))
+    message = F.from_json(F.regexp_replace("block", "^,", ""), "turn long, role string, content string")
+    flat = rows.select("conv_id", "seq", F.when(F.col("block").rlike(r'^,?\{"turn'), message).alias("m"), "block")
+    return flat.select("conv_id", "seq", "m.turn", "m.role", F.md5("m.content").alias("content_md5"), F.when(F.col("m").isNull(), F.col("block")).alias("frame"))
 
 
 @query("S8_bulk_ingest")

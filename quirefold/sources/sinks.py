@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.session import small_side, written
 
-PART_TURNS = 10_000
-
 
 def bucket_of(key: str, n_buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_buckets)).cast("int")
@@ -45,34 +43,48 @@ def conversation_title(query: Column) -> Column:
     return F.substring(query, 1, 60)
 
 
+def _document(messages: DataFrame, opening: Column, body: Column, closing: Column) -> DataFrame:
+    """(conv_id, seq, block): the opening, each message in turn order, the closing."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    m = messages.withColumn("seq", F.row_number().over(order).cast("long"))
+    ends = messages.groupBy("conv_id").agg((F.count(F.lit(1)) + 1).alias("last"))
+    pairs = F.array(F.struct(F.lit(0).cast("long").alias("seq"), opening.alias("block")), F.struct(F.col("last").alias("seq"), closing.alias("block")))
+    return m.select("conv_id", "seq", body.alias("block")).unionByName(ends.select("conv_id", F.inline(pairs)))
+
+
 def export_markdown(messages: DataFrame, title: str, footer: str, citations: DataFrame | None = None) -> DataFrame:
-    """Conversations (conv_id, turn, role, text) as Markdown.
+    """Conversations (conv_id, turn, role, text) as ordered blocks of Markdown (conv_id, seq, block).
 
-    A conversation is written in parts of ten thousand turns, so no row gathers an
-    unbounded number of them; parts follow one another. The header opens the first part,
-    the footer closes the last. ``citations``: conv_id, turn, citation_index, line.
+    A conversation is one document of any length and no row gathers it; :func:`write_documents`
+    puts its blocks into one file. ``citations``: conv_id, turn, citation_index, line.
     """
     head = F.when(F.col("role") == "user", "### Query").otherwise("### Answer")
     body = F.concat(head, F.lit(":\n"), F.col("text"), F.lit("\n"))
-    m = messages.withColumn("part", F.floor(F.col("turn") / PART_TURNS))
+    m = messages
     if citations is not None:
         lines = F.array_sort(F.collect_list(F.struct("citation_index", "line")))
         cited = citations.groupBy("conv_id", "turn").agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("cites"))
         m = m.join(cited, ["conv_id", "turn"], "left")
         body = F.concat(body, F.when((F.col("role") == "assistant") & F.col("cites").isNotNull(),
                                      F.concat(F.lit("\n#### Citations:\n"), F.col("cites"), F.lit("\n"))).otherwise(""))
-    rows = F.array_sort(F.collect_list(F.struct("turn", body.alias("b"))))
-    parts = m.groupBy("conv_id", "part").agg(F.array_join(F.transform(rows, lambda r: r["b"]), "\n").alias("md"))
-    last = messages.groupBy("conv_id").agg(F.floor(F.max("turn") / PART_TURNS).alias("last"))
-    joined = parts.join(last, "conv_id")
-    opening = F.when(F.col("part") == 0, F.concat(F.lit(f"# {title}\n**Conversation**: `"), "conv_id", F.lit("`\n\n---\n\n"))).otherwise("")
-    closing = F.when(F.col("part") == F.col("last"), f"\n---\n\n> {footer}\n").otherwise("")
-    return joined.select("conv_id", "part", F.concat(opening, "md", closing).alias("markdown"))
-
-
-def export_json(messages: DataFrame) -> DataFrame:
-    """Conversations as JSON records, in the same parts."""
-    m = messages.withColumn("part", F.floor(F.col("turn") / PART_TURNS))
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    grouped = m.groupBy("conv_id", "part").agg(rows.alias("messages"))
-    return grouped.select("conv_id", "part", F.to_json(F.struct(F.col("conv_id").alias("id"), "messages")).alias("record"))
+    opening = F.concat(F.lit(f"# {title}\n**Conversation**: `"), "conv_id", F.lit("`\n\n---\n"))
+    return _document(m, opening, body, F.lit(f"---\n\n> {footer}"))
+
+
+def export_json(messages: DataFrame, citations: DataFrame | None = None) -> DataFrame:
+    """Conversations as ordered blocks that make one JSON object each, citations inside their message."""
+    m, fields = messages, ["turn", "role", F.col("text").alias("content")]
+    if citations is not None:
+        lines = F.array_sort(F.collect_list(F.struct("citation_index", "line")))
+        m = m.join(citations.groupBy("conv_id", "turn").agg(lines.alias("citations")), ["conv_id", "turn"], "left")
+        fields.append("citations")
+    body = F.concat(F.when(F.col("seq") > 1, ",").otherwise(""), F.to_json(F.struct(*fields)))
+    opening = F.concat(F.lit('{"id": '), F.to_json(F.struct("conv_id")).substr(F.lit(12), F.lit(1 << 30)))
+    opening = F.concat(F.regexp_replace(opening, r"\}$", ""), F.lit(', "messages": ['))
+    return _document(m, opening, body, F.lit("]}"))
+
+
+def write_documents(blocks: DataFrame, path: str) -> None:
+    """One text file per conversation: blocks are sorted on disk where need be and written one by one."""
+    laid = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    laid.select("conv_id", F.col("block").alias("value")).write.mode("overwrite").partitionBy("conv_id").text(path)

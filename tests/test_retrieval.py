@@ -76,7 +76,7 @@ def bm25_brute(rows, text, k):
     for i, d in docs.items():
         tf = Counter(d)
         scores[i] = sum(idf.get(w, 0) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(d) / avg)) for w in text.split())
-    ranked = sorted(((-round(s, 6), i) for i, s in scores.items() if s > 0))[:k]
+    ranked = sorted((-round(max(0, s), 10), i) for i, s in scores.items())[:k]
     return [i for _, i in ranked]
 
 
@@ -96,7 +96,7 @@ def test_overlap_stands_in_where_bm25_is_not_positive(spark):
     c = spark.createDataFrame([(1, "aa bb"), (2, "aa")], "chunk_id long, text string")
     q = spark.createDataFrame([(0, "aa bb"), (1, "zz")], "query_id long, text string")
     got = lexical.bm25_topk(q, c, 5).collect()
-    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in got} == {(0, 1, 2.0), (0, 2, 1.0)}
+    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in got} == {(0, 1, 2.0), (0, 2, 1.0), (1, 1, 0.0), (1, 2, 0.0)}
 
 
 def test_fusion_and_rerank_rules(spark):

@@ -45,13 +45,25 @@ def test_persisted_runs_replace_themselves(spark):
     assert back.count() == 2 and len(back.first()["title"]) == 60
 
 
-def test_exports_split_long_conversations(spark):
-    m = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes [1]"), (1, 10_000, "user", "late")], "conv_id long, turn long, role string, text string")
+def test_a_long_conversation_is_one_document(spark):
+    talk = [(1, t, "user" if t % 2 == 0 else "assistant", f"say {t}") for t in range(10_050)] + [(2, 7, "user", 'a "quoted"\nline')]
+    m = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
     c = spark.createDataFrame([(1, 1, 1, "- [1] Guide")], "conv_id long, turn long, citation_index int, line string")
-    parts = [r["markdown"] for r in sinks.export_markdown(m, "T", "care", c).orderBy("part").collect()]
-    assert len(parts) == 2 and parts[0].startswith("# T\n") and "#### Citations:\n- [1] Guide" in parts[0] and "care" not in parts[0]
-    assert parts[1].endswith("> care\n") and "### Query:\nlate" in parts[1]
-    assert [len(json.loads(r["record"])["messages"]) for r in sinks.export_json(m).orderBy("part").collect()] == [2, 1]
+
+    def documents(blocks):
+        path = shared_dir(spark)
+        sinks.write_documents(blocks, path)
+        rows = spark.read.text(path, wholetext=True).select("conv_id", "value").collect()
+        assert len(rows) == 2
+        return {r["conv_id"]: r["value"] for r in rows}
+
+    md = documents(sinks.export_markdown(m, "T", "care", c))
+    assert md[1].startswith("# T\n**Conversation**: `1`\n\n---\n\n### Query:\nsay 0\n\n### Answer:\nsay 1\n\n#### Citations:\n- [1] Guide\n\n### Query:\nsay 2\n")
+    assert md[1].endswith("### Answer:\nsay 10049\n\n---\n\n> care\n") and md[1].count("care") == 1
+    js = {k: json.loads(v) for k, v in documents(sinks.export_json(m, c)).items()}
+    assert js[1]["id"] == 1 and [x["content"] for x in js[1]["messages"]] == [t[3] for t in talk[:-1]]
+    assert js[1]["messages"][1]["citations"] == [{"citation_index": 1, "line": "- [1] Guide"}]
+    assert js[2]["messages"] == [{"turn": 7, "role": "user", "content": 'a "quoted"\nline'}]
 
 
 def test_audit_and_bulk(spark):

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -10,20 +11,23 @@ from quirefold.streaming import jobs
 REVIEW = "card_id long, us long, review_id long, rating string"
 
 
-def replay(ratings):
+def replay(log):
+    """(us, rating) pairs; a review whose next date lies after the year 9999 changes nothing."""
     ease, days, reps = 2.5, 1, 0
-    for r in ratings:
+    for us, r in log:
         if r == "again":
-            ease, days, reps = max(1.3, ease - 0.2), 1, 0
-            continue
-        reps += 1
-        if r == "hard":
-            days, ease = max(1, int(days * 1.2)), max(1.3, ease - 0.15)
+            new = max(1.3, ease - 0.2), 1, 0
+        elif r == "hard":
+            new = max(1.3, ease - 0.15), max(1, int(days * 1.2)), reps + 1
         elif r == "good":
-            days = 1 if reps == 1 else 6 if reps == 2 else int(days * ease)
+            new = ease, 1 if reps == 0 else 6 if reps == 1 else int(days * ease), reps + 1
         else:
-            days = 3 if reps == 1 else 10 if reps == 2 else int(days * ease * 1.3)
-            ease += 0.15
+            new = ease + 0.15, 3 if reps == 0 else 10 if reps == 1 else int(days * ease * 1.3), reps + 1
+        try:
+            datetime(1970, 1, 1) + timedelta(microseconds=us) + timedelta(days=new[1])
+        except OverflowError:
+            continue
+        ease, days, reps = new
     return reps, days, ease
 
 
@@ -40,7 +44,7 @@ def test_sm2_batch_and_stream_match_brute_force(spark):
     for card in range(12):
         ratings = [rng.choice(["again", "hard", "good", "good", "easy"]) for _ in range(rng.randint(1, 80))]
         rows += [(card, i * 7_000_000_000 + card, card * 1000 + i, r) for i, r in enumerate(ratings)]
-        want[card] = replay(ratings)
+        want[card] = replay([(i * 7_000_000_000 + card, r) for i, r in enumerate(ratings)])
     df = spark.createDataFrame(rows, REVIEW).repartition(5)
     batch = {r["card_id"]: r for r in st.sm2_replay(df).collect()}
     assert {c: (r["reps"], r["interval_days"]) for c, r in batch.items()} == {c: w[:2] for c, w in want.items()}

@@ -105,6 +105,9 @@ def test_sections_carry_over_pages_but_not_scanned_ones(spark):
     assert {(r["doc_id"], r["page_number"]): r["section_title"] for r in got} == {
         (1, 1): "1.1 First Topic", (1, 2): "2.2 Lost Topic", (1, 3): "1.1 First Topic", (2, 1): "Introduction",
     }
+    cells = spark.createDataFrame([(1, 2, 0), (1, 2, 1)], "doc_id long, page_number int, row int")
+    tabled = {(r["doc_id"], r["page_number"]): r["section_title"] for r in layout.section_carry(layout.reading_order(blocks), cells).collect()}
+    assert tabled[1, 3] == "2.2 Lost Topic" and len(tabled) == 4
     assert {r["page_number"] for r in layout.scanned_pages(blocks).collect()} == {2}
 
 
