@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
-from quirefold.operators.topk import topk_join
+from quirefold.functions.vectors import cosine01
+from quirefold.operators.topk import best_of, topk_join
 from quirefold.session import small_side
 
 
@@ -17,39 +20,31 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 class CosineScorer:
-    """(1 + cosine) / 2 of unit vectors, clipped, four decimals before ranking.
-
-    With an ``allowed`` list on a query only chunks of those documents count.
-    """
+    """(1 + cosine) / 2 of unit vectors, clipped, four decimals before ranking."""
 
     decimals = 4
     positive_only = False
 
-    def __init__(self, filtered: bool = False):
-        self.filtered = filtered
-
     def prepare(self, queries):
-        allowed = None
-        if self.filtered:
-            allowed = [set(a) for a in queries["allowed"]]
-        return _matrix(queries["embedding"]), allowed
+        return _matrix(queries["embedding"])
 
     def score(self, prepared, corpus):
-        q, allowed = prepared
-        scores = np.clip((q @ _matrix(corpus["embedding"]).T + 1) / 2, 0, 1)
-        if allowed is not None:
-            for i, some in enumerate(allowed):
-                scores[i, ~corpus["doc_id"].isin(some).to_numpy()] = -np.inf
-        return scores
+        return np.clip((prepared @ _matrix(corpus["embedding"]).T + 1) / 2, 0, 1)
+
+
+def hyperplanes(dim: int, n: int) -> np.ndarray:
+    """``n`` planes with entries 1 and -1: the sign of entry d of plane p is the first bit of md5('p:d'), so that SQL can rebuild them."""
+    sign = lambda d, p: 1.0 if hashlib.md5(f"{p}:{d}".encode()).digest()[0] < 128 else -1.0
+    return np.array([[sign(d, p) for p in range(n)] for d in range(dim)])
 
 
 class BandedScorer(CosineScorer):
-    """Cosine on pairs that share a band of random-hyperplane signs; other pairs are dropped."""
+    """Cosine on pairs that share a band of hyperplane signs; other pairs are dropped."""
 
-    def __init__(self, dim: int, bands: int = 16, bits: int = 4, seed: int = 42):
+    def __init__(self, dim: int, bands: int = 16, bits: int = 4):
         super().__init__()
         self.bands, self.bits = bands, bits
-        self.planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
+        self.planes = hyperplanes(dim, bands * bits)
 
     def signature(self, m: np.ndarray) -> np.ndarray:
         signs = (m @ self.planes > 0).reshape(len(m), self.bands, self.bits)
@@ -77,16 +72,15 @@ class BandedScorer(CosineScorer):
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, allow: DataFrame | None = None, **bounds) -> DataFrame:
     """Exact top-k by similarity.
 
-    ``allow`` (query_id, doc_id) restricts queries to listed documents; the corpus is cut
-    to the documents any query may see before a vector reaches Python.
+    ``allow`` (query_id, doc_id) restricts queries to listed documents, as many as there are; a query without a row in it finds
+    nothing. Its pairs are joined in the engine: a list is never gathered, and each task keeps k rows per query before the shuffle.
     """
     if allow is None:
         corpus = corpus.select("chunk_id", "embedding")
         return topk_join(queries.select("query_id", "embedding"), corpus, CosineScorer(), k, **bounds)
-    lists = allow.groupBy("query_id").agg(F.collect_set("doc_id").alias("allowed"))
-    limited = queries.select("query_id", "embedding").join(lists, "query_id")
-    visible = corpus.select("chunk_id", "doc_id", "embedding").join(allow.select("doc_id").distinct(), "doc_id", "left_semi")
-    return topk_join(limited, visible, CosineScorer(filtered=True), k, **bounds)
+    pairs = allow.select("query_id", "doc_id").distinct().join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    seen = corpus.select("chunk_id", "doc_id", "embedding").join(small_side(pairs), "doc_id")
+    return best_of(seen.select("query_id", "chunk_id", cosine01(F.col("embedding"), F.col("q")).alias("score")), k)
 
 
 def dense_topk_approx(queries: DataFrame, corpus: DataFrame, dim: int, k: int = fv.DEPTH, **knobs) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
 from quirefold.functions.text import bm25_tokens, let
-from quirefold.operators.topk import filled, topk_join
-from quirefold.session import written
+from quirefold.operators.topk import best_of, filled, topk_join
+from quirefold.session import small_side, written
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -129,15 +129,42 @@ class OverlapScorer(_TermScorer):
         return 1.0
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, **bounds) -> DataFrame:
+def bm25_within(queries: DataFrame, corpus: DataFrame, allow: DataFrame, known: DataFrame, scorer: Bm25Scorer, k: int) -> DataFrame:
+    """Top-k by BM25 among the documents that ``allow`` (query_id, doc_id) lists for a query.
+
+    Tokens meet the query's terms on document and term at once, so a frequent word costs no more than
+    the lists let through. Lists of any length stay in the engine.
+    """
+    pairs = allow.select("query_id", "doc_id").distinct().join(queries.select("query_id"), "query_id", "left_semi")
+    asked = pairs.join(known.select("query_id", F.inline("terms")), "query_id")
+    chunks = corpus.join(small_side(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    tokens = chunks.select("chunk_id", "doc_id", F.explode(let(bm25_tokens(F.col("text")), lambda t: F.transform(t, lambda w: F.struct(w.alias("term"), F.size(t).alias("length"))))).alias("t"))
+    met = tokens.select("chunk_id", "doc_id", "t.*").join(small_side(asked), ["doc_id", "term"])
+    tf, length = F.col("tf"), F.col("length")
+    weight = F.col("qtf") * F.col("idf") * tf * (scorer.k1 + 1) / (tf + scorer.k1 * (1 - scorer.b + scorer.b * length / scorer.avg_len))
+    scored = (
+        met.groupBy("query_id", "chunk_id", "term", "qtf", "idf", "length").agg(F.count(F.lit(1)).alias("tf"))
+        .groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), scorer.decimals).alias("bm25"), F.count(F.lit(1)).cast("double").alias("shared"))
+    )
+    hopeless = scored.groupBy("query_id").agg(F.max("bm25").alias("best")).filter("best <= 0")
+    every = chunks.select("chunk_id", "doc_id").join(small_side(pairs), "doc_id").select("query_id", "chunk_id")
+    rows = every.join(scored, ["query_id", "chunk_id"], "left").join(hopeless, "query_id", "left")
+    score = F.when(F.col("best").isNull(), F.greatest(F.col("bm25"), F.lit(0.0))).otherwise(F.col("shared"))
+    return best_of(rows.select("query_id", "chunk_id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
+
+
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, allow: DataFrame | None = None, **bounds) -> DataFrame:
     """Top-k chunks per query by BM25; a query whose best score is not positive falls back to overlap.
 
-    Lists short of k are filled with chunks of score zero, by id.
+    Lists short of k are filled with chunks of score zero, by id. ``allow`` (query_id, doc_id) restricts queries to listed documents, and a
+    query without a row in it finds nothing; term statistics are always those of the whole corpus.
     """
     counts = corpus_counts(corpus)
     stats = term_stats(counts)
     avg_len = corpus_size(counts).first()["avg_len"]
     known = query_terms(queries, stats)
+    if allow is not None:
+        return bm25_within(queries, corpus, allow, known, Bm25Scorer(avg_len or 1.0), k)
     chunks = corpus.select("chunk_id", "text")
     hits = topk_join(known, chunks, Bm25Scorer(avg_len or 1.0), k, **bounds)
     floor = stats.agg(F.min("idf")).first()[0]

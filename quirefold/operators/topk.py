@@ -84,13 +84,18 @@ def _search(scorer: Scorer, queries: pd.DataFrame, batches, k: int) -> pd.DataFr
     return best.rows(queries["query_id"].to_numpy())
 
 
+def best_of(scored: DataFrame, k: int) -> DataFrame:
+    """The k best rows (query_id, chunk_id, score) of each query with their rank; ties go to the smaller id. Tasks cut to k before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def filled(hits: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """``hits`` with every query's list brought up to k rows by score zero, smaller ids first.
 
     A list short of k hits lacks fewer than k rows, so the k smallest ids of the corpus hold
     enough that are not hits, and the corpus is not searched again.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ids = [r[0] for r in corpus.select("chunk_id").orderBy("chunk_id").limit(k).collect()]
     if not ids:
         return hits
@@ -98,8 +103,7 @@ def filled(hits: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> Da
     spare = short.select("query_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("chunk_id"))
     spare = spare.select("query_id", F.col("chunk_id").cast(hits.schema["chunk_id"].dataType).alias("chunk_id"))
     spare = spare.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    rows = hits.drop("rank").unionByName(spare)
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best_of(hits.drop("rank").unionByName(spare), k)
 
 
 def topk_join(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, max_queries: int = MAX_QUERIES,
@@ -129,5 +133,4 @@ def topk_join(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, max
             return _search(scorer, left, [right], k)
 
         partial = q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(cell, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best_of(partial, k)

@@ -29,6 +29,23 @@ def questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+SCOPE_LANGS = ["de", "en", "es", "fr"]
+
+
+def scopes(spark, sf_dir) -> DataFrame:
+    """The documents each question may see: those of one language for most, no list (all documents) for every fifth."""
+    lang = F.get(F.array(*[F.lit(x) for x in SCOPE_LANGS]), (F.col("query_id") % 5).cast("int"))
+    asked = questions(spark, sf_dir).select("query_id", lang.alias("lang")).filter("lang is not null")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(F.broadcast(asked), "lang").select("query_id", "doc_id")
+
+
+def note_turns(spark, sf_dir) -> DataFrame:
+    """Every conversation turn as a paragraph of a note."""
+    return table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("note_"), "conv_id", F.lit("_"), "turn").alias("chunk_id"), F.col("conv_id").alias("doc_id"), "text"
+    )
+
+
 def blocks(spark, sf_dir) -> DataFrame:
     """Every line of a document as a block on a page of eight; some lines start a section."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirefold import fixed_values as fv
 from quirefold.functions.vectors import hash_embed
 from quirefold.operators.dense import dense_topk
-from quirefold.operators.fusion import confidence_gate, rerank, rrf_fuse
+from quirefold.operators.fusion import candidate_pool, confidence_gate, rerank, rrf_fuse
 from quirefold.operators.lexical import bm25_topk
 from quirefold.session import small_side
 
@@ -36,16 +36,31 @@ def hybrid_retrieve(
     k: int = fv.FINAL_K,
     threshold: float = fv.CONFIDENCE_THRESHOLD,
     document_filter: DataFrame | None = None,
+    notes: DataFrame | None = None,
 ) -> Retrieval:
     """Dense and BM25 lists, fused, reranked and gated.
 
-    ``queries``: query_id, text. ``corpus``: chunk_id, text, and doc_id where a
-    ``document_filter`` (doc_id) narrows the corpus; the filter sits below every search.
+    ``queries``: query_id, text. ``corpus``: chunk_id, text, and doc_id where a filter or notes are given.
+    ``document_filter`` (doc_id) narrows the corpus below every search. With a query_id beside the doc_id it narrows single
+    queries: those it lists see their documents only, the others see all.
+    ``notes`` (chunk_id, doc_id, text) are searched beside the corpus; a chunk id that both hold counts once, as the corpus has it.
     """
-    if document_filter is not None:
+    if notes is not None:
+        cols = ["chunk_id", "doc_id", "text"]
+        corpus = candidate_pool(corpus.select(*cols), notes.select(*cols))
+    scoped = None
+    if document_filter is not None and "query_id" in document_filter.columns:
+        scoped = document_filter.select("query_id", "doc_id").distinct()
+    elif document_filter is not None:
         corpus = corpus.join(small_side(document_filter.select("doc_id").distinct()), "doc_id", "left_semi")
-    dense = dense_topk(embedded(queries), embedded(corpus), depth)
-    lexical = bm25_topk(queries, corpus, depth)
+    if scoped is None:
+        dense = dense_topk(embedded(queries), embedded(corpus), depth)
+        lexical = bm25_topk(queries, corpus, depth)
+    else:
+        free = queries.join(scoped.select("query_id").distinct(), "query_id", "left_anti")
+        asked, vectors = embedded(queries), embedded(corpus)
+        dense = dense_topk(embedded(free), vectors, depth).unionByName(dense_topk(asked, vectors, depth, allow=scoped))
+        lexical = bm25_topk(free, corpus, depth).unionByName(bm25_topk(queries, corpus, depth, allow=scoped))
     fused = rrf_fuse(dense, lexical)
     hits = rerank(fused, queries, corpus, k, per_query=2 * depth)
     return Retrieval(dense, lexical, fused, hits, confidence_gate(hits, queries, threshold))

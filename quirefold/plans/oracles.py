@@ -279,6 +279,18 @@ _ALL = "SELECT item_id AS query_id, doc_id AS chunk_id, coalesce(score, 0)::DOUB
 _TOP = "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {0} QUALIFY rank <= 20"
 ORACLES["R4_dense_topk"] = with_(_DENSE, _TOP.format("scored"))
 ORACLES["R4_dense_topk_filtered"] = with_(_DENSE + ["own AS (SELECT * FROM scored WHERE label = query_id)"], _TOP.format("own"))
+BANDED = _DENSE + [
+    "planes AS (SELECT p, d, CASE WHEN substr(md5(p || ':' || d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS w FROM range(64) a(p), range(64) b(d))",
+    "c_sig AS (SELECT vec_id AS chunk_id, p // 4 AS band, sum(CASE WHEN s > 0 THEN 1 << (p % 4)::INT ELSE 0 END) AS sig FROM (SELECT vec_id, p, sum(x * w) AS s FROM dims JOIN planes USING (d) GROUP BY ALL) GROUP BY ALL)",
+    "q_sig AS (SELECT query_id, p // 4 AS band, sum(CASE WHEN s > 0 THEN 1 << (p % 4)::INT ELSE 0 END) AS sig FROM (SELECT query_id, p, sum(x * w) AS s FROM means JOIN planes USING (d) GROUP BY ALL) GROUP BY ALL)",
+    "met AS (SELECT DISTINCT query_id, chunk_id FROM q_sig JOIN c_sig USING (band, sig))",
+    "near_ AS (SELECT * FROM scored JOIN met USING (query_id, chunk_id))",
+]
+ORACLES["R5_dense_topk_approx"] = with_(BANDED, _TOP.format("near_"))
+ORACLES["R5_recall"] = with_(
+    BANDED + ["exact AS (" + _TOP.format("scored") + ")", "found AS (" + _TOP.format("near_") + ")"],
+    "SELECT e.query_id, round(avg(CASE WHEN f.chunk_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 4) AS recall FROM exact e LEFT JOIN found f ON e.query_id = f.query_id AND e.chunk_id = f.chunk_id GROUP BY ALL",
+)
 ORACLES["R6_index_count"] = """
 SELECT 'before' AS state, count(*) AS n_vectors FROM embeddings
 UNION ALL SELECT 'after', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
@@ -348,6 +360,18 @@ ORACLES["R16_retrieval_report"] = with_(
 )
 ORACLES["R17_hybrid_retrieve"] = with_(HYBRID, "SELECT * FROM hits")
 
+_langs = "['de', 'en', 'es', 'fr'][item_id % 5 + 1]"
+SCOPED = [f"scope_ AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark JOIN documents ON item_id % 5 = 4 OR lang = {_langs})"] + [
+    c.replace(" HAVING score > 0", "").replace("10) AS score", "10) AS score, count(*) AS shared") if c.startswith("bm_raw AS")
+    else """bm_all AS (SELECT query_id, chunk_id, coalesce(CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN greatest(score, 0) ELSE shared END, 0)::DOUBLE AS score
+  FROM scope_ LEFT JOIN bm_raw USING (query_id, chunk_id))""" if c.startswith("bm_all AS")
+    else "dense_raw AS (SELECT query_id, chunk_id, round(greatest(0, least(1, (coalesce(s, 0) + 1) / 2)), 4) AS score FROM scope_ LEFT JOIN cos USING (query_id, chunk_id))" if c.startswith("dense_raw AS")
+    else c for c in HYBRID
+]
+ORACLES["R17_hybrid_scoped"] = with_(SCOPED, "SELECT * FROM hits")
+_pool = "pool AS (SELECT 'doc_' || doc_id AS doc_id, text FROM documents UNION ALL SELECT 'note_' || conv_id || '_' || turn, text FROM conversations)"
+ORACLES["R17_hybrid_notes"] = with_([_pool] + [c.replace("FROM documents", "FROM pool").replace("JOIN documents", "JOIN pool") for c in HYBRID], "SELECT * FROM hits")
+
 # --- query log ---------------------------------------------------------------
 
 

@@ -196,10 +196,14 @@ def _(spark, sf):
 
 
 @query("R5_dense_topk_approx")
+def _(spark, sf):
+    return dense.dense_topk_approx(fx.centroids(spark, sf), fx.vectors(spark, sf), dim=64)
+
+
+@query("R5_recall")
 def _(spark, sf):
     q, c = fx.centroids(spark, sf), fx.vectors(spark, sf)
-    approx = dense.dense_topk_approx(q, c, dim=64)
-    return dense.recall_of(approx, dense.dense_topk(q, c))
+    return dense.recall_of(dense.dense_topk_approx(q, c, dim=64), dense.dense_topk(q, c))
 
 
 @query("R6_index_count")
@@ -251,9 +255,7 @@ def _(spark, sf):
 @query("R12_candidate_pool")
 def _(spark, sf):
     docs = fx.corpus(spark, sf).select(F.concat(F.lit("doc_"), "chunk_id").alias("chunk_id"), "doc_id", F.md5("text").alias("content_md5"))
-    talk = fx.table(spark, sf, "conversations").select(
-        F.concat(F.lit("note_"), "conv_id", F.lit("_"), "turn").alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.md5("text").alias("content_md5")
-    )
+    talk = fx.note_turns(spark, sf).select("chunk_id", "doc_id", F.md5("text").alias("content_md5"))
     return fusion.candidate_pool(docs, talk, docs)
 
 
@@ -289,6 +291,17 @@ def _(spark, sf):
     return _retrieval(spark, sf).hits
 
 
+@query("R17_hybrid_scoped")
+def _(spark, sf):
+    return hybrid_retrieve(fx.questions(spark, sf), fx.corpus(spark, sf), document_filter=fx.scopes(spark, sf)).hits
+
+
+@query("R17_hybrid_notes")
+def _(spark, sf):
+    docs = fx.corpus(spark, sf).withColumn("chunk_id", F.concat(F.lit("doc_"), "chunk_id"))
+    return hybrid_retrieve(fx.questions(spark, sf), docs, notes=fx.note_turns(spark, sf)).hits
+
+
 # --- query log ---------------------------------------------------------------
 @query("Q1_sanitize_text")
 def _(spark, sf):

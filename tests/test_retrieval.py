@@ -65,6 +65,28 @@ def test_dense_grid_equals_broadcast_and_filter_holds(spark):
     assert dense.dense_topk(q, c.filter("chunk_id < 3"), 7).count() == 23 * 3
 
 
+def test_filters_per_query_and_notes(spark):
+    c, rows = corpus(spark)
+    texts = ["heart dose dose", "stroke risk score", "renal kidney missing", "nothing shared"]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    allow = spark.createDataFrame([(0, 1), (0, 1), (0, 3), (1, 2), (3, 4), (9, 1)], "query_id long, doc_id long")
+    got = {}
+    for r in lexical.bm25_topk(q, c, 8, allow=allow).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    seen = {0: {1, 3}, 1: {2}, 3: {4}}
+    docs = {i: d for i, d, _ in rows}
+    assert got == {i: [x for x in bm25_brute(rows, texts[i], 99) if docs[x] in seen[i]][:8] for i in seen}
+    hits = hybrid_retrieve(q, c, document_filter=allow).hits.collect()
+    plain = {(r["query_id"], r["chunk_id"], r["rank"]) for r in hybrid_retrieve(q, c).hits.collect()}
+    assert all(docs[r["chunk_id"]] in seen[r["query_id"]] for r in hits if r["query_id"] in seen)
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in hits if r["query_id"] == 2} == {x for x in plain if x[0] == 2}
+    note = spark.createDataFrame([(900, 0, "stroke risk score"), (5, 0, "never, the corpus holds this id")], "chunk_id long, doc_id long, text string")
+    with_note = hybrid_retrieve(q, c, notes=note).hits.filter("query_id = 1 and rank = 1").first()
+    assert with_note["chunk_id"] == 900
+    none = hybrid_retrieve(q, c, document_filter=allow.limit(0)).hits.collect()
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in none} == plain
+
+
 def bm25_brute(rows, text, k):
     docs = {i: t.split() for i, _, t in rows}
     n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
