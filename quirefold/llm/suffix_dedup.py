@@ -262,7 +262,9 @@ def _maybe(wanted: A.IdFilter, names: list[str], keep: bool = True):
     return run
 
 
-def _remove():
+def _remove(as_text: bool):
+    """Cut the spans out; what is left as bytes, or as text without the bytes of characters that a cut split."""
+
     def run(batches):
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             names = [c for c in batch.schema.names if c not in ("row", "spans")]
@@ -279,15 +281,17 @@ def _remove():
                 counts.append((len(text), len(text) - len(kept[-1]), runs))
             counts = np.array(counts, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [pa.array(kept, pa.binary())] + [pa.array(c) for c in counts], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"]
+                [batch.column(c) for c in names] + [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())] + [pa.array(c) for c in counts], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"]
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, text, kept (binary: the bytes left), n_bytes, n_removed, n_spans (maximal removed runs).
 
+    With ``as_text`` kept is a string and lacks the bytes of characters that a cut split; the counts are those of the cut.
+
     Texts are UTF-8; null is empty; nothing matches across texts. Strings are judged on the input, so all occurrences go, the first included, and
     equal rows remove each other from ``limit`` bytes on. A cut may split a character. Null ids are allowed; other columns are not read.
     """
@@ -299,7 +303,7 @@ def remove_repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", te
     yes, no = (texts.mapInArrow(A.tidy(_maybe(cut, ["doc_id", "text", "row"], keep)), schema) for keep in (True, False))
     no = no.withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
     joined = yes.join(each, "row", "left").select("doc_id", "text", "row", "spans").union(no)
-    return joined.mapInArrow(A.tidy(_remove()), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(A.tidy(_remove(as_text)), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def without_repeats(docs: DataFrame, limit: int = 200) -> DataFrame:
@@ -310,10 +314,8 @@ def without_repeats(docs: DataFrame, limit: int = 200) -> DataFrame:
     names = docs.columns
     extra = [c for c in names if c not in ("doc_id", "text")]
     packed = docs.select(F.struct("doc_id", *extra).alias("doc_id"), "text")
-    out = remove_repeats(packed, limit)
-    # make_valid_utf8 puts U+FFFD in the place of a split character; one that the text had itself goes with them where something was cut
-    clean = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    out = out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(clean)).select("doc_id.*", "text")
+    out = remove_repeats(packed, limit, as_text=True)
+    out = out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))).select("doc_id.*", "text")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
     return out.select(*names)

@@ -61,3 +61,9 @@ def test_split_characters_go_with_the_cut(spark):
     rows = [(1, "é" + "x" * 10 + "é"), (2, "ê" + "x" * 10 + "è")]
     out = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 11)
     assert {r.text for r in out.collect()} <= {"", "é", "ê", "è", "éé", "êè"}
+
+
+def test_replacement_characters_of_the_text_stay(spark):
+    rows = [(1, "a�b" + "x" * 11), (2, "c" + "x" * 11 + "�")]
+    out = {r.doc_id: r.text for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 11).collect()}
+    assert out == {1: "a�b", 2: "c�"}
