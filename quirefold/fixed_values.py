@@ -57,6 +57,8 @@ RERANK_STOP_WORDS = [
 # --- fixed values: query log -------------------------------------------------
 MIN_QUERY_LENGTH = 2
 MAX_QUERY_LENGTH = 2000
+TOO_SHORT_MESSAGE = "Query is too short or empty."
+TOO_LONG_MESSAGE = f"Query exceeds maximum allowed length of {MAX_QUERY_LENGTH} characters."
 # threat class -> patterns, in reporting order
 THREATS = {
     "instruction_override": [

@@ -36,8 +36,16 @@ def sanitize(c: Column) -> Column:
     return strip(F.array_join(F.transform(lines, lambda s: strip(F.regexp_replace(s, r"[ \t]+", " "))), "\n"))
 
 
-def guard(log: DataFrame, text: str = "text") -> DataFrame:
-    """``log`` with sanitized_text, threats (array, reporting order) and is_safe."""
+# What a deployment says in its own name; callers may pass their own.
+FLAGGED_MESSAGE = "This query was flagged as an attempt to change instructions or as unsupported formatting, and was not answered."
+REPLIES = {
+    "greeting": "Hello! Ask a question about the documents or notes.",
+    "off_topic": "Only questions about the documents and notes can be answered here.",
+}
+
+
+def guard(log: DataFrame, text: str = "text", flagged_message: str = FLAGGED_MESSAGE) -> DataFrame:
+    """``log`` with sanitized_text, threats (array, reporting order), is_safe and rejection_message (null where safe)."""
     s = F.col("sanitized_text")
     classes = []
     for name, patterns in fv.THREATS.items():
@@ -51,8 +59,15 @@ def guard(log: DataFrame, text: str = "text") -> DataFrame:
         .otherwise(F.array_compact(F.array(*classes)))
     )
     out = log.withColumn("sanitized_text", sanitize(F.col(text))).withColumn("threats", threats)
-    return out.withColumn("is_safe", F.size("threats") == 0).withColumn(
-        "sanitized_text", F.substring(s, 1, fv.MAX_QUERY_LENGTH)
+    message = (
+        F.when(F.col("is_safe"), F.lit(None).cast("string"))
+        .when(F.array_contains("threats", "insufficient_length"), fv.TOO_SHORT_MESSAGE)
+        .when(F.array_contains("threats", "length_exceeded"), fv.TOO_LONG_MESSAGE)
+        .otherwise(flagged_message)
+    )
+    return (
+        out.withColumn("is_safe", F.size("threats") == 0).withColumn("sanitized_text", F.substring(s, 1, fv.MAX_QUERY_LENGTH))
+        .withColumn("rejection_message", message)
     )
 
 

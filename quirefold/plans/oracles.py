@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quirefold import fixed_values as fv
+from quirefold.operators.querylog import FLAGGED_MESSAGE, REPLIES
 
 ORACLES: dict[str, str] = {}
 
@@ -409,7 +410,8 @@ ATTACKS = [
 ] + guard_ctes("attacks")
 ORACLES["Q2_guard_inspect"] = with_(
     ATTACKS,
-    "SELECT conv_id, turn, len(threats) = 0 AS is_safe, array_to_string(threats, ',') AS threats, least(2000, length(s)) AS n_chars FROM guarded",
+    f"""SELECT conv_id, turn, len(threats) = 0 AS is_safe, CASE WHEN len(threats) = 0 THEN NULL WHEN threats[1] = 'insufficient_length' THEN {lit(fv.TOO_SHORT_MESSAGE)}
+  WHEN threats[1] = 'length_exceeded' THEN {lit(fv.TOO_LONG_MESSAGE)} ELSE {lit(FLAGGED_MESSAGE)} END AS rejection_message, array_to_string(threats, ',') AS threats, least(2000, length(s)) AS n_chars FROM guarded""",
 )
 ORACLES["Q2_threat_counts"] = with_(ATTACKS, "SELECT threat, count(*) AS n FROM (SELECT unnest(threats) AS threat FROM guarded) GROUP BY threat")
 def ascii_words(x: str) -> str:
@@ -532,11 +534,21 @@ ORACLES["A7_conflict_summary"] = with_(
     """SELECT answer_id, (status = 'VERIFIED')::BIGINT AS n_verified, (status = 'UNSUPPORTED')::BIGINT AS n_unsupported, (status = 'CONFLICT')::BIGINT AS n_conflict,
   status = 'CONFLICT' AS needs_repair, CASE WHEN status = 'CONFLICT' THEN explanation ELSE '' END AS repair_instruction, '' AS banner FROM verified""",
 )
-ORACLES["A8_batch_qa"] = with_(
-    DRAFTED + ["bench AS (SELECT item_id AS query_id, text FROM benchmark)"] + route_ctes("bench", ["the", "and", "von", "que"]),
-    f"""SELECT r.query_id, r.intent, g.best_score, g.passed, CASE WHEN g.passed IS NULL THEN NULL WHEN g.passed THEN d.answer ELSE {lit(fv.NOT_FOUND_ANSWER)} END AS answer
-FROM routed r LEFT JOIN gate g ON g.query_id = r.query_id AND r.intent IN ('medical', 'note_query') LEFT JOIN drafted d ON d.query_id = g.query_id""",
+_replies = " ".join(f"WHEN r.intent = '{i}' THEN {lit(t)}" for i, t in REPLIES.items())
+BATCH = (
+    DRAFTED
+    + ["bench AS (SELECT item_id AS query_id, text FROM benchmark)"]
+    + route_ctes("bench", ["the", "and", "von", "que"])
+    + [
+        f"""batch AS (SELECT r.query_id, r.intent, g.best_score, g.passed, CASE WHEN g.passed THEN d.answer WHEN NOT g.passed THEN {lit(fv.NOT_FOUND_ANSWER)} {_replies} END AS answer,
+  coalesce(NOT g.passed, false) AS is_not_found
+FROM routed r LEFT JOIN gate g ON g.query_id = r.query_id AND r.intent IN ('medical', 'note_query') LEFT JOIN drafted d ON d.query_id = g.query_id)""",
+        r"tags AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(answer, '\[(\d+)\]', 1))::INT AS rank FROM batch WHERE passed)",
+        "cites AS (SELECT query_id, rank AS citation_index, '[' || rank || ']' AS inline_tag, chunk_id, source AS source_title, md5(substr(content, 1, 300)) AS highlight_md5 FROM tags JOIN found USING (query_id, rank))",
+    ]
 )
+ORACLES["A8_batch_qa"] = with_(BATCH, "SELECT * FROM batch")
+ORACLES["A8_citations"] = with_(BATCH, "SELECT * FROM cites")
 EVENTS = ["e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us, (props->>'$.k')::BIGINT AS k FROM events)"]
 ORACLES["A9_parse_generated_items"] = with_(
     EVENTS,
@@ -716,7 +728,11 @@ ORACLES["S4_ingest_summary"] = with_(
 ORACLES["S5_document_chunks"] = with_(
     CHUNKED, "SELECT doc_id, count(chunk_index) AS n_chunks FROM documents LEFT JOIN spans USING (doc_id) GROUP BY doc_id", True
 )
-ORACLES["S6_persist_answers"] = "SELECT item_id, substr(text, 1, 60) AS title, 'user' AS role, md5(text) AS content_md5, 'run1' AS run_id FROM benchmark"
+ORACLES["S6_persist_answers"] = with_(
+    BATCH,
+    """SELECT item_id, substr(text, 1, 60) AS title, 0 AS turn, 'user' AS role, md5(text) AS content_md5, NULL::DOUBLE AS confidence_score, false AS is_not_found, 0 AS n_citations, 'run1' AS run_id FROM benchmark
+UNION ALL SELECT item_id, substr(text, 1, 60), 1, 'assistant', md5(answer), best_score, is_not_found, (SELECT count(*) FROM cites c WHERE c.query_id = item_id), 'run1' FROM benchmark JOIN batch ON query_id = item_id""",
+)
 ORACLES["S7_export_markdown"] = """
 WITH ends AS (SELECT conv_id, count(*) + 1 AS last FROM conversations GROUP BY conv_id)
 SELECT conv_id, 0 AS seq, '# Conversation export' || chr(10) || '**Conversation**: `' || conv_id || '`' || chr(10) || chr(10) || '---' || chr(10) AS block FROM ends

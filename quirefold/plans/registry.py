@@ -17,7 +17,7 @@ from quirefold.operators import evaluation as ev
 from quirefold.operators import querylog as ql
 from quirefold.operators import study as st
 from quirefold.plans import fixtures as fx
-from quirefold.plans.batch_qa import batch_qa
+from quirefold.plans.batch_qa import batch_qa, persist_batch
 from quirefold.plans.hybrid import hybrid_retrieve
 from quirefold.session import shared_dir, written
 from quirefold.sources import corpus as corpus_source
@@ -311,7 +311,7 @@ def _(spark, sf):
 @query("Q2_guard_inspect")
 def _(spark, sf):
     g = ql.guard(fx.attack_log(spark, sf))
-    return g.select("conv_id", "turn", "is_safe", F.array_join("threats", ",").alias("threats"), F.length("sanitized_text").alias("n_chars"))
+    return g.select("conv_id", "turn", "is_safe", "rejection_message", F.array_join("threats", ",").alias("threats"), F.length("sanitized_text").alias("n_chars"))
 
 
 @query("Q2_threat_counts")
@@ -403,10 +403,10 @@ def _(spark, sf):
 KEYWORDS = ["the", "and", "von", "que"]
 
 
-def _batch(spark, sf):
+def _batch(spark, sf, entity_pattern=None):
     docs = fx.corpus(spark, sf)
     titles = fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"))
-    return batch_qa(fx.questions(spark, sf), docs, titles, keywords=KEYWORDS)
+    return batch_qa(fx.questions(spark, sf), docs, titles, keywords=KEYWORDS, entity_pattern=entity_pattern)
 
 
 @query("A8_batch_qa")
@@ -414,6 +414,18 @@ def _(spark, sf):
     return _batch(spark, sf).answers
 
 
+@query("A8_citations")
+def _(spark, sf):
+    return _batch(spark, sf).citations.select("query_id", "citation_index", "inline_tag", "chunk_id", "source_title", F.md5("highlight_text").alias("highlight_md5"))
+
+
+@query("A8_verifications")
+def _(spark, sf):
+    """Capitalised words beside a quantity count as entities, as the texts name no drugs."""
+    v = _batch(spark, sf, r"\b([A-Z][a-z]{3,})\b").verifications
+    return v.select(F.col("answer_id").alias("query_id"), "entity", "dosage", "status", "nli_score", "explanation")
+
+
 @query("A9_parse_generated_items")
 def _(spark, sf):
     return an.parse_cards(fx.replies(spark, sf), topic="topic", reference="book", fallback=fx.card_fallback(spark))
@@ -640,14 +652,16 @@ def _(spark, sf):
 
 @query("S6_persist_answers")
 def _(spark, sf):
-    asked = fx.table(spark, sf, "benchmark")
-    conversations = asked.select("item_id", sinks.conversation_title(F.col("text")).alias("title"))
-    messages = asked.select("item_id", F.lit("user").alias("role"), F.md5("text").alias("content_md5"))
-    root = shared_dir(spark)
+    root, batch = shared_dir(spark), _batch(spark, sf)
     for _attempt in range(2):  # a repeated run replaces its own rows
-        sinks.persist_answers({"conversations": conversations, "messages": messages}, root, "run1")
-    back = spark.read.parquet(f"{root}/conversations").join(spark.read.parquet(f"{root}/messages").drop("run_id"), "item_id")
-    return back.select("item_id", "title", "role", "content_md5", "run_id")
+        persist_batch(fx.questions(spark, sf), batch, root, "run1")
+    conversations, messages, cited = (spark.read.parquet(f"{root}/{t}") for t in ("conversations", "messages", "citations"))
+    counts = cited.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+    back = conversations.join(messages.drop("run_id"), "conv_id").join(counts, ["conv_id", "turn"], "left")
+    return back.select(
+        F.col("conv_id").alias("item_id"), "title", "turn", "role", F.md5("content").alias("content_md5"), "confidence_score", "is_not_found",
+        F.coalesce("n", F.lit(0)).alias("n_citations"), "run_id",
+    )
 
 
 @query("S7_export_markdown")

@@ -144,7 +144,7 @@ def test_batch_qa_gates_and_verifies(spark):
     titles = spark.createDataFrame([(1, "Guide")], "doc_id long, title string")
     out = batch_qa(asked, corpus, titles)
     rows = {r["query_id"]: r for r in out.answers.collect()}
-    assert rows[0]["passed"] and "[1]" in rows[0]["answer"] and rows[1]["answer"] is None
-    assert not rows[2]["passed"] and rows[2]["answer"].startswith("I'm not sure")
+    assert rows[0]["passed"] and "[1]" in rows[0]["answer"] and rows[1]["answer"].startswith("Only questions") and not rows[1]["is_not_found"]
+    assert not rows[2]["passed"] and rows[2]["is_not_found"] and rows[2]["answer"].startswith("I'm not sure")
     assert {r["source_title"] for r in out.citations.collect()} == {"Guide"}
     assert {r["status"] for r in out.verifications.collect()} == {"VERIFIED"}
