@@ -41,7 +41,7 @@ def hyperplanes(dim: int, n: int) -> np.ndarray:
 class BandedScorer(CosineScorer):
     """Cosine on pairs that share a band of hyperplane signs; other pairs are dropped."""
 
-    def __init__(self, dim: int, bands: int = 16, bits: int = 4):
+    def __init__(self, dim: int, bands: int = 20, bits: int = 4):
         super().__init__()
         self.bands, self.bits = bands, bits
         self.planes = hyperplanes(dim, bands * bits)

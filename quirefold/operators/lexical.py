@@ -153,13 +153,15 @@ def bm25_within(queries: DataFrame, corpus: DataFrame, allow: DataFrame, known:
     return best_of(rows.select("query_id", "chunk_id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, allow: DataFrame | None = None, **bounds) -> DataFrame:
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, allow: DataFrame | None = None,
+              counts: DataFrame | None = None, **bounds) -> DataFrame:
     """Top-k chunks per query by BM25; a query whose best score is not positive falls back to overlap.
 
     Lists short of k are filled with chunks of score zero, by id. ``allow`` (query_id, doc_id) restricts queries to listed documents, and a
     query without a row in it finds nothing; term statistics are always those of the whole corpus.
+    ``counts``: the corpus' :func:`corpus_counts`, where they are at hand.
     """
-    counts = corpus_counts(corpus)
+    counts = corpus_counts(corpus) if counts is None else counts
     stats = term_stats(counts)
     avg_len = corpus_size(counts).first()["avg_len"]
     known = query_terms(queries, stats)

@@ -11,7 +11,7 @@ from quirefold import fixed_values as fv
 from quirefold.functions.vectors import hash_embed
 from quirefold.operators.dense import dense_topk
 from quirefold.operators.fusion import candidate_pool, confidence_gate, rerank, rrf_fuse
-from quirefold.operators.lexical import bm25_topk
+from quirefold.operators.lexical import bm25_topk, corpus_counts
 from quirefold.session import small_side
 
 
@@ -60,7 +60,8 @@ def hybrid_retrieve(
         free = queries.join(scoped.select("query_id").distinct(), "query_id", "left_anti")
         asked, vectors = embedded(queries), embedded(corpus)
         dense = dense_topk(embedded(free), vectors, depth).unionByName(dense_topk(asked, vectors, depth, allow=scoped))
-        lexical = bm25_topk(free, corpus, depth).unionByName(bm25_topk(queries, corpus, depth, allow=scoped))
+        counts = corpus_counts(corpus)
+        lexical = bm25_topk(free, corpus, depth, counts=counts).unionByName(bm25_topk(queries, corpus, depth, allow=scoped, counts=counts))
     fused = rrf_fuse(dense, lexical)
     hits = rerank(fused, queries, corpus, k, per_query=2 * depth)
     return Retrieval(dense, lexical, fused, hits, confidence_gate(hits, queries, threshold))

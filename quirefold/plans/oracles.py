@@ -281,7 +281,7 @@ _TOP = "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_
 ORACLES["R4_dense_topk"] = with_(_DENSE, _TOP.format("scored"))
 ORACLES["R4_dense_topk_filtered"] = with_(_DENSE + ["own AS (SELECT * FROM scored WHERE label = query_id)"], _TOP.format("own"))
 BANDED = _DENSE + [
-    "planes AS (SELECT p, d, CASE WHEN substr(md5(p || ':' || d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS w FROM range(64) a(p), range(64) b(d))",
+    "planes AS (SELECT p, d, CASE WHEN substr(md5(p || ':' || d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS w FROM range(80) a(p), range(64) b(d))",
     "c_sig AS (SELECT vec_id AS chunk_id, p // 4 AS band, sum(CASE WHEN s > 0 THEN 1 << (p % 4)::INT ELSE 0 END) AS sig FROM (SELECT vec_id, p, sum(x * w) AS s FROM dims JOIN planes USING (d) GROUP BY ALL) GROUP BY ALL)",
     "q_sig AS (SELECT query_id, p // 4 AS band, sum(CASE WHEN s > 0 THEN 1 << (p % 4)::INT ELSE 0 END) AS sig FROM (SELECT query_id, p, sum(x * w) AS s FROM means JOIN planes USING (d) GROUP BY ALL) GROUP BY ALL)",
     "met AS (SELECT DISTINCT query_id, chunk_id FROM q_sig JOIN c_sig USING (band, sig))",
