@@ -82,3 +82,19 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert T.leaks(docs, items).count() == 0
     assert T.leaks(spark.createDataFrame([(1, "a b c d e f g h i")], "doc_id long, text string"), items).count() == 0
+
+
+def leaked(spark, docs, items):
+    got = T.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_renamed_at_sentence_starts(spark):
+    tom = "Tom has 12 apples. Tom gives 5 apples to Anna. How many apples does Tom have left?"
+    ben = "Ben has 30 apples. Ben gives 8 apples to Mia. How many apples does Ben have left?"
+    items = [(0, tom), (1, "The farmer sold three boxes of pears and then five more boxes to the market in town.")]
+    docs = [
+        (0, ben), (1, ben.lower()), (2, ben.upper()), (3, tom), (4, tom.lower()), (5, "A farmer sold seven boxes of pears and then two more boxes to the market in town."),
+        (6, "The farmer sold 7 boxes of pears and then 2 more boxes to the market in town."), (7, "Ben has 30 apples. Kim gives 8 apples to Mia. How many pears will Joe have left?"), (8, ben.replace("30", "thirty")),
+    ]
+    assert leaked(spark, docs, items) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1), (8, 0)}
