@@ -10,7 +10,8 @@ keeps the texts' other windows out of the shuffle, and a hash join with the item
 than ``SOLID`` words are left out, as templates of slots alone fit anything.
 
 A pair of text and item is a leak when at least ``MATCHED`` windows of the item (all, if it has fewer) are found with consistent slots:
-within one item a slot value always maps to the same value of the text, and different values to different ones.
+within one item a slot value always maps to the same value of the text, and different values to different ones. This is judged for each place of the
+text on its own (windows with one offset between text and item, and those with offsets up to ``NEAR`` apart, for words put in or left out) and for the whole text; the best counts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from quirefold.session import written
 WINDOW = 8
 SOLID = 5
 MATCHED = 6
+NEAR = 4
 # Measures that count as units after a number.
 UNITS = (
     "mm cm m km in ft yd mi miles mile meters metres meter metre kilometers kilometres feet foot inches inch mg g kg lb lbs oz grams gram kilograms pounds ounces "
@@ -238,7 +240,7 @@ def _window_filter(items: DataFrame) -> A.IdFilter:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched): every leaked item of every text.
 
-    n_windows counts the item's different windows, n_matched those found in the text with consistent slots. Items without a usable window match
+    n_windows counts the item's different windows, n_matched those found with consistent slots at the best place of the text. Items without a usable window match
     nothing; null or empty texts and items match nothing; null ids are left out; rows with the same id and text count once, and so do rows of an
     item. Other columns are not read.
     """
@@ -247,28 +249,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     wanted, shapes = _window_filter(items), sorted(r.shape for r in items.select("shape").distinct().collect())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     read = lambda data, starts: windows(data, starts, wanted, shapes)
-    found = texts.mapInArrow(A.tidy(_emit(read, FOUND)), FOUND).select(F.col("id").alias("doc_id"), "hash", F.col("slots").alias("theirs")).distinct()
+    found = texts.mapInArrow(A.tidy(_emit(read, FOUND)), FOUND).select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("there"), F.col("slots").alias("theirs")).distinct()
     sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("win").alias("n_windows"), F.countDistinct(F.when(F.col("free"), F.col("win"))).alias("n_free"))
-    known = items.select(F.col("id").alias("item_id"), "hash", F.col("slots").alias("ours"), "win", "free").distinct()
-    hits = written(found.join(known, "hash"))
+    known = items.groupBy(F.col("id").alias("item_id"), "hash", F.col("slots").alias("ours"), "win", "free").agg(F.min("at").alias("here"))
+    place = F.col("there") - F.col("here")
+    cell = F.floor(place / NEAR)
+    # the runs that a hit belongs to: the whole text, its offset, two cells of offsets that overlap by half
+    runs = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("long").alias("v")) for k, v in enumerate((F.lit(0), place, cell, cell - 1))])
+    hits = written(found.join(known, "hash").select("doc_id", "item_id", "hash", "ours", "theirs", "win", "free", F.explode(runs).alias("run")).distinct())
     # the pairs (value of the item, value of the text) of all slots; a clash takes the windows that use it out
     pair = F.transform(
         F.split("ours", "\x1f"), lambda v, i: F.struct(F.substring_index(v, "=", -1).alias("o"), F.substring_index(F.get(F.split("theirs", "\x1f"), i), "=", -1).alias("t"))
     )
-    pairs = hits.where("ours <> ''").select("doc_id", "item_id", "hash", "ours", "theirs", "win", F.explode(pair).alias("p")).select("doc_id", "item_id", "hash", "ours", "theirs", "win", "p.*")
-    used = pairs.groupBy("doc_id", "item_id", "o", "t").agg(F.countDistinct("win").alias("n"))
+    group = ["doc_id", "item_id", "run"]
+    row = [*group, "hash", "ours", "theirs"]
+    pairs = hits.where("ours <> ''").select(*row, "win", F.explode(pair).alias("p")).select(*row, "win", "p.*")
+    used = pairs.groupBy(*group, "o", "t").agg(F.countDistinct("win").alias("n"))
     # of clashing maps the one that most windows support stands (then the smaller value)
     rank = F.struct(-F.col("n"), "o", "t")
-    best_o = used.groupBy("doc_id", "item_id", "o").agg(F.min(rank).alias("b")).select("doc_id", "item_id", "b.o", "b.t")
-    best_t = used.groupBy("doc_id", "item_id", "t").agg(F.min(rank).alias("b")).select("doc_id", "item_id", "b.o", "b.t")
-    keys = ["doc_id", "item_id", "o", "t"]
+    best_o = used.groupBy(*group, "o").agg(F.min(rank).alias("b")).select(*group, "b.o", "b.t")
+    best_t = used.groupBy(*group, "t").agg(F.min(rank).alias("b")).select(*group, "b.o", "b.t")
+    keys = [*group, "o", "t"]
     clash = used.select(*keys).exceptAll(best_o.intersect(best_t))
-    bad = pairs.join(clash, keys, "left_semi").select("doc_id", "item_id", "hash", "ours", "theirs").distinct()
-    fine = hits.join(bad, ["doc_id", "item_id", "hash", "ours", "theirs"], "left_anti")
-    matched = fine.groupBy("doc_id", "item_id").agg(F.countDistinct("win").alias("n_matched"), F.countDistinct(F.when(F.col("free"), F.col("win"))).alias("m_free"))
+    bad = pairs.join(clash, keys, "left_semi").select(*row).distinct()
+    fine = hits.join(bad, row, "left_anti")
+    matched = fine.groupBy(*group).agg(F.countDistinct("win").alias("n_matched"), F.countDistinct(F.when(F.col("free"), F.col("win"))).alias("m_free"))
     # windows that names make too thin cannot be found renamed; where the others are at least half, they decide too
     renamed = (F.col("n_free") * 2 >= F.col("n_windows")) & (F.col("m_free") >= F.least(F.lit(MATCHED), "n_free"))
-    return matched.join(sizes, "item_id").where((F.col("n_matched") >= F.least(F.lit(MATCHED), "n_windows")) | renamed).select("doc_id", "item_id", "n_windows", "n_matched")
+    enough = matched.join(sizes, "item_id").where((F.col("n_matched") >= F.least(F.lit(MATCHED), "n_windows")) | renamed)
+    return enough.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

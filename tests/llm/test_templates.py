@@ -98,3 +98,11 @@ def test_renamed_at_sentence_starts(spark):
         (6, "The farmer sold 7 boxes of pears and then 2 more boxes to the market in town."), (7, "Ben has 30 apples. Kim gives 8 apples to Mia. How many pears will Joe have left?"), (8, ben.replace("30", "thirty")),
     ]
     assert leaked(spark, docs, items) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1), (8, 0)}
+
+
+def test_two_versions_in_one_text(spark):
+    pens = "In total 3 pens and 5 books cost how much money there"
+    other = pens.replace("3", "7").replace("5", "2")
+    mixed = pens.replace("3", "2").replace("5", "3")
+    docs = [(0, f"{pens}. {other}."), (1, f"{other}\n" * 5 + mixed), (2, " ".join((pens, "x " * 50, mixed, other))), (3, pens.replace("5", "3"))]
+    assert leaked(spark, docs, [(0, pens)]) == {(0, 0), (1, 0), (2, 0)}
