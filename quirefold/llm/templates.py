@@ -9,6 +9,9 @@ sentence without one (lower-cased and all-capital copies); which places are trie
 keeps the texts' other windows out of the shuffle, and a hash join with the items' windows decides. Readings with fewer
 than ``SOLID`` words are left out, as templates of slots alone fit anything.
 
+Items of fewer than ``WINDOW`` tokens have one window of their own length. Items that have no usable reading at all (few words, or slots everywhere) are
+looked for verbatim: their windows' tokens are compared as they stand, numbers and names included.
+
 A pair of text and item is a leak when at least ``MATCHED`` windows of the item (all, if it has fewer) are found with consistent slots:
 within one item a slot value always maps to the same value of the text, and different values to different ones. This is judged for each place of the
 text on its own (windows with one offset between text and item, and those with offsets up to ``NEAR`` apart, for words put in or left out) and for the whole text; the best counts.
@@ -40,6 +43,7 @@ NUMBER_WORDS = (
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
 ).split()
 FOUND = "id long, hash long, at long, slots string"
+VERBATIM = 1 << 2 * WINDOW
 WINDOWS = f"{FOUND}, win long, free boolean, shape int"
 
 TOKEN = np.zeros(256, bool)
@@ -125,9 +129,9 @@ class Tokens:
         return "\x1f".join(f"{k}={self.data[self.begin[i + k] : self.end[i + k]].tobytes().decode('utf-8', 'replace').lower()}" for k in places)
 
 
-def _hashes(template: np.ndarray, first: np.ndarray, size: int, names) -> np.ndarray:
+def _hashes(template: np.ndarray, first: np.ndarray, size: int, names, kind: int = 0) -> np.ndarray:
     """Of the windows of ``size`` tokens from ``first``, with names at these places."""
-    out = np.full(len(first), size, np.uint64)
+    out = np.full(len(first), size + kind, np.uint64)
     for k in range(size):
         out += (NAME if k in names else template[first + k]) * PLACE[k : k + 1]
     return A.mix(out)
@@ -141,12 +145,20 @@ def item_windows(data: np.ndarray, starts: np.ndarray) -> list[tuple]:
     """(item, hash, position, slots, window, free, shape) of all readings of all windows.
 
     ``window`` is the hash of the reading with the fewest slots and tells windows apart, ``free`` that the one with the most slots is usable too; ``shape`` is
-    the places of names with the length of the window above.
+    the places of names, with the length of the window above and ``VERBATIM`` for tokens as they stand.
     """
     t = Tokens(data, starts)
     out = []
-    for i in np.flatnonzero(t.same(WINDOW)):
-        out += _readings(t, int(i), WINDOW)
+    for a, b in zip(t.at[:-1].tolist(), t.at[1:].tolist(), strict=True):
+        size = min(WINDOW, b - a)
+        if not size:
+            continue
+        found = [row for i in range(a, b - size + 1) for row in _readings(t, i, size)]
+        if not found:
+            first = np.arange(a, b - size + 1)
+            hashes = _hashes(t.word, first, size, (), VERBATIM).view(np.int64).tolist()
+            found = [(int(t.text[a]), h, 0, "", h, True, VERBATIM | size << WINDOW) for h in dict.fromkeys(hashes)]
+        out += found
     return out
 
 
@@ -177,11 +189,16 @@ def windows(data: np.ndarray, starts: np.ndarray, wanted: A.IdFilter, shapes: li
     """(text, hash, position, slots) of the windows that may be wanted; slots lists their values by place."""
     t = Tokens(data, starts)
     out = []
-    for size in sorted({s >> WINDOW for s in shapes}):
+    for size in sorted({(s & VERBATIM - 1) >> WINDOW for s in shapes}):
         same = t.same(size)
         m = len(same)
         if not same.any():
             continue
+        if VERBATIM | size << WINDOW in shapes:
+            first = np.flatnonzero(same)
+            hashes = _hashes(t.word, first, size, (), VERBATIM)
+            hit = np.flatnonzero(wanted.maybe(hashes >> np.uint64(64 - A.IdFilter.BITS)))
+            out += [(x, h, 0, "") for x, h in sorted(set(zip(t.text[first[hit]].tolist(), hashes[hit].view(np.int64).tolist(), strict=True)))]
         total = lambda marks: np.concatenate(([0], np.cumsum(marks)))[size:] - np.concatenate(([0], np.cumsum(marks)))[:m]  # noqa: B023, E731
         for r, (template, slot) in enumerate(t.readings):
             good = same & (total(t.spelled) > 0) if r else same
@@ -240,8 +257,8 @@ def _window_filter(items: DataFrame) -> A.IdFilter:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched): every leaked item of every text.
 
-    n_windows counts the item's different windows, n_matched those found with consistent slots at the best place of the text. Items without a usable window match
-    nothing; null or empty texts and items match nothing; null ids are left out; rows with the same id and text count once, and so do rows of an
+    n_windows counts the item's different windows, n_matched those found with consistent slots at the best place of the text. Items without a usable reading are
+    found verbatim; null or empty texts and items match nothing; null ids are left out; rows with the same id and text count once, and so do rows of an
     item. Other columns are not read.
     """
     source = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null")

@@ -106,3 +106,12 @@ def test_two_versions_in_one_text(spark):
     mixed = pens.replace("3", "2").replace("5", "3")
     docs = [(0, f"{pens}. {other}."), (1, f"{other}\n" * 5 + mixed), (2, " ".join((pens, "x " * 50, mixed, other))), (3, pens.replace("5", "3"))]
     assert leaked(spark, docs, [(0, pens)]) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_short_and_slot_heavy_items(spark):
+    items = [(0, "Which river flows through the old town?"), (1, "What is 12 + 35 * 7 - 4 + 18?"), (2, "Who wrote Emma?"), (3, "9 + 8 - 7 * 6 + 5 - 4 + 3 * 2 - 1 = ?")]
+    docs = [
+        (0, "Ask: which river flows through the old town? Nobody knows."), (1, "so what is 12 + 35 * 7 - 4 + 18, please"), (2, "who wrote emma"), (3, "9+8-7*6+5-4+3*2-1"),
+        (4, "What is 12 + 35 * 7 - 4 + 19?"), (5, "Who wrote Ulysses?"), (6, "Which river flows through the new town?"), (7, "1 2 3 4 5 6 7 8 9"),
+    ]
+    assert leaked(spark, docs, items) == {(0, 0), (1, 1), (2, 2), (3, 3)}
