@@ -60,3 +60,19 @@ def test_one_class_or_nothing(spark):
     assert T.score_texts(docs.limit(0), none).count() == 0
     w = T.fit(pa.array(["", None, " "]), np.array([0, 1, 1]))
     assert np.isfinite(T.scorer(w)(pa.array(["x"]))).all()
+
+
+def test_characters_of_the_whole_word():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    texts, labels = [], []
+    for _ in range(600):
+        words, y = [word() for _ in range(rng.randint(5, 60))], int(rng.random() < 0.3)
+        if y:
+            words[rng.randrange(len(words))] = word() + rng.choice(["zzoof", "quirk"]) + word()
+        texts.append(" ".join(words))
+        labels.append(y)
+    score = T.scorer(T.fit(pa.array(texts[:500]), np.array(labels[:500])))
+    assert np.mean((score(pa.array(texts[500:])) >= 0.5) == np.array(labels[500:])) > 0.9  # the words themselves are new
+    run = "".join(word() for _ in range(40))
+    assert list(score(pa.array([run, run[:120] + "zzoofquirk" + run[120:]])) >= 0.5) == [False, True]  # no spaces
