@@ -1,11 +1,11 @@
 """Sentence-piece encoding with seeded merge dropout, and the decoding that undoes it.
 
 Merges run from an agenda: of all adjacent pairs whose join is a piece, the best-scored one (leftmost on a tie) is merged next. A candidate is a
-(start, middle, end) place in its unit; a keyed hash of seed, unit, variant and place skips it for good with probability ``dropout``.
+(start, middle, end) place in its unit; a keyed hash of seed, text, unit and place skips it for good with probability ``dropout``.
 Since no piece holds a space mark after another character, a text falls apart into units (a run of spaces and what
-follows), and units are encoded once per chunk of texts, all at the same time: every array round performs the next
-agenda merge of every unit. Long units use a heap instead, with the same result. ``VARIANTS`` independent
-segmentations of a unit exist per seed; which one an occurrence gets is a hash of the text and its place there.
+follows), and units are encoded at the same time: every array round performs the next agenda merge of every unit. Long units use a heap
+instead, with the same result. Every occurrence of a unit draws its own skips. Spellings are encoded without dropout once per chunk of texts; an occurrence that
+skips none of the candidates met there has that result, all others are encoded by themselves.
 
 The space mark itself and characters without a piece become byte pieces, so every text decodes to itself.
 """
@@ -23,9 +23,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from quirefold.llm import arrays as A
 
-VARIANTS = 8
 LONG = 48
 MARK = "▁"
+BLOCK = 1 << 16
 NONE = np.int64(1) << np.int64(62)
 CHUNK = 1 << 19
 K1, K2, K3, K4 = (np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -122,8 +122,8 @@ def _heap(table: Pieces, symbols: np.ndarray, key: np.uint64, dropout: float) ->
     return np.flatnonzero(alive), np.array(sym)[alive]
 
 
-def segment(table: Pieces, chars: np.ndarray, offsets: np.ndarray, keys: np.ndarray, dropout: float, long: int = LONG):
-    """Symbols of all units end to end: (unit, first character, symbol); characters without a piece have symbol ``size``."""
+def segment(table: Pieces, chars: np.ndarray, offsets: np.ndarray, keys: np.ndarray, dropout: float, long: int = LONG, met: list | None = None):
+    """Symbols of all units end to end: (unit, first character, symbol); characters without a piece have symbol ``size``. ``met`` gets all candidates of short units."""
     size = np.diff(offsets)
     done = []
     for u in np.flatnonzero(size > long):
@@ -145,6 +145,8 @@ def segment(table: Pieces, chars: np.ndarray, offsets: np.ndarray, keys: np.ndar
         a, b, inside, piece, rank = a[hit], b[hit], inside[hit], piece[hit], rank[hit]
         last = np.minimum(b + 1, len(sym) - 1)
         end = np.where((b + 1 < len(sym)) & (unit[last] == unit[b]), start[last], size[unit[b]])
+        if met is not None:
+            met.append((unit[a], start[a], start[b], end))
         live = ~skipped(keys[unit[a]], start[a], start[b], end, dropout)
         inside = inside[live]
         made[inside], pri[inside] = piece[live], rank[live] * 64 + start[a][live]
@@ -178,6 +180,30 @@ def segment(table: Pieces, chars: np.ndarray, offsets: np.ndarray, keys: np.ndar
     return unit[order], start[order], sym[order]
 
 
+def _dropped(table: Pieces, chars: np.ndarray, offsets: np.ndarray, which: np.ndarray, key: np.ndarray, dropout: float, met: list, done: tuple):
+    """(result of each occurrence, spelling of each result, results): those of ``done`` where an occurrence skips no candidate, and its own otherwise."""
+    size = np.diff(offsets)
+    unit, first, middle, last = (np.concatenate([np.zeros(0, np.int64), *(m[k] for m in met)]) for k in range(4))
+    order = np.argsort(unit, kind="stable")
+    first, middle, last = first[order], middle[order], last[order]
+    many = np.bincount(unit, minlength=len(size))
+    from_ = np.cumsum(many) - many
+    which, spelling, parts, n = which.copy(), [np.arange(len(size))], [done], len(size)
+    for i in range(0, len(which), BLOCK):
+        mine, keys = which[i : i + BLOCK], key[i : i + BLOCK]
+        at = A.ragged(from_[mine], many[mine])
+        owner = np.repeat(np.arange(len(mine)), many[mine])
+        skips = skipped(keys[owner], first[at], middle[at], last[at], dropout)
+        own = np.flatnonzero((np.bincount(owner[skips], minlength=len(mine)) > 0) | (size[mine] > LONG))
+        some = mine[own]
+        part = segment(table, chars[A.ragged(offsets[some], size[some])], np.concatenate(([0], np.cumsum(size[some]))), keys[own], dropout)
+        parts.append((part[0] + n, *part[1:]))
+        spelling.append(some)
+        which[i + own] = n + np.arange(len(own))
+        n += len(own)
+    return which, np.concatenate(spelling), tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+
+
 def encode(table: Pieces, data: np.ndarray, starts: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of whole texts; an empty text has no ids."""
     full = np.diff(starts) > 0
@@ -194,24 +220,28 @@ def encode(table: Pieces, data: np.ndarray, starts: np.ndarray, seed: int, dropo
     content = A.spans_hash(prefix, begin, end)
     whole = A.spans_hash(prefix, at[:-1], at[1:])
     place = np.arange(len(begin)) - first[:-1][text]
-    variant = A.mix(whole[text] + place.astype(np.uint64) * K4 + np.uint64(seed % (1 << 63))) % np.uint64(VARIANTS) if dropout > 0 else np.zeros(len(begin), np.uint64)
-    key = A.mix(content + variant * K1 + A.mix(np.array([seed % (1 << 63)], np.uint64)))
-    keys, one, which = np.unique(key, return_index=True, return_inverse=True)
+    _, one, which = np.unique(content, return_index=True, return_inverse=True)
     length = end[one] - begin[one]
     raw = data[A.ragged(begin[one], length)]
     chars = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
     offsets = heads[np.concatenate(([0], np.cumsum(length)))]
-    unit, start, sym = segment(table, chars, offsets, keys, dropout)
+    met = [] if dropout > 0 else None
+    unit, start, sym = segment(table, chars, offsets, np.zeros(len(one), np.uint64), 0.0, met=met)
+    spelling = np.arange(len(one))
+    if dropout > 0:
+        salt = np.uint64(seed % (1 << 63))
+        key = A.mix(content + A.mix(whole[text] + place.astype(np.uint64) * K4 + salt) * K1 + A.mix(np.array([salt])))
+        which, spelling, (unit, start, sym) = _dropped(table, chars, offsets, which, key, dropout, met, (unit, start, sym))
     odd = np.flatnonzero(sym == table.size)
     if len(odd):  # characters without a piece
-        spelled = [table.byte_id[list(chr(c).encode("utf-8", "surrogatepass"))] for c in chars[offsets[unit[odd]] + start[odd]]]
+        spelled = [table.byte_id[list(chr(c).encode("utf-8", "surrogatepass"))] for c in chars[offsets[spelling[unit[odd]]] + start[odd]]]
         count = np.ones(len(sym), np.int64)
         count[odd] = [len(b) for b in spelled]
         unit, flat = np.repeat(unit, count), np.repeat(sym, count)
         flat[np.repeat(sym, count) == table.size] = np.concatenate(spelled)
         sym = flat
-    count = np.bincount(unit, minlength=len(keys))
+    count = np.bincount(unit, minlength=len(spelling))
     from_ = np.cumsum(count) - count
     ids = sym[A.ragged(from_[which], count[which])].astype(np.int32)
     ends = np.concatenate(([0], np.cumsum(count[which])))

@@ -58,3 +58,21 @@ def test_on_tables(spark):
     assert len(out) == len(rows) and all(r.lossless and r.kept == "k" for r in out)
     assert {r.doc_id: r.decoded for r in out if r.doc_id in (3, 6, 99)} == {3: TEXTS[3], 6: TEXTS[6], 99: ""}
     assert M.encode_texts(docs.limit(0), MODEL).count() == 0
+
+
+def test_every_occurrence_draws_for_itself(monkeypatch):
+    one = " antidisestablishmentarianism"
+    table, text = M.pieces(MODEL), one[1:] + one * 3000
+    data, starts = A.text_bytes(pa.array([text]))
+    flat, _ = M.encode(table, data, starts, 1, 0.2)
+    cuts = np.cumsum(np.diff(table.bytes_at)[flat])
+    begin = np.searchsorted(cuts, np.arange(len(text) // (len(one) - 1)) * len(one), "right")
+    ways = {str(flat[a:b].tolist()) for a, b in zip(begin[:3000], begin[1:3001], strict=True)}
+    assert len(ways) > 100
+    # the shared results are those of encoding each occurrence by itself
+    texts = [*TEXTS, "the quick brown foxes were jumping over everything " * 40]
+    whole = ids(texts, 3, 0.1)
+    monkeypatch.setattr(M, "BLOCK", 7)
+    assert ids(texts, 3, 0.1) == whole
+    monkeypatch.setattr(M, "LONG", 0)  # each occurrence is encoded by itself
+    assert ids(texts, 3, 0.1) == whole
