@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quirefold.llm import arrays, chat_tree, jaccard_join, licenses, merge_dropout, quality, spotsigs, suffix_dedup, templates, token_store, toxicity
+from quirefold.llm import arrays, chat_tree, jaccard_join, licenses, merge_dropout, merkle, quality, spotsigs, suffix_dedup, templates, token_store, toxicity
 
 
 def _remainder(n: int):
@@ -85,4 +85,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
 
 
-QUERIES = {"op2_spotsigs": op2_spotsigs, "op3_chat_tree": op3_chat_tree, "pipeline": corpus_pipeline.run, "op5_quality": op5_quality, "op6_license_lookup": op6_license_lookup, "op7_merge_dropout": op7_merge_dropout, "op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op8_token_store": op8_token_store, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all rows by language; a third of the rows is tampered with and folded again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(_remainder(3) == 0, merkle.leaf(*columns[:-1], lowered))
+    manifest = merkle.build(docs.select("doc_id", "lang", merkle.leaf(*columns).alias("leaf"), tampered.alias("tampered")), "lang", "doc_id")
+    return merkle.fold(manifest, "tampered").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {"op2_spotsigs": op2_spotsigs, "op3_chat_tree": op3_chat_tree, "pipeline": corpus_pipeline.run, "op5_quality": op5_quality, "op6_license_lookup": op6_license_lookup, "op7_merge_dropout": op7_merge_dropout, "op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op8_token_store": op8_token_store, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join, "op13_merkle": op13_merkle}
