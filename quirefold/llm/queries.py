@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quirefold.llm import arrays, chat_tree, jaccard_join, licenses, merge_dropout, merkle, quality, spotsigs, suffix_dedup, templates, token_store, toxicity
+from quirefold.llm import arrays, chat_tree, jaccard_join, licenses, merge_dropout, merkle, quality, simhash, spotsigs, suffix_dedup, templates, token_store, toxicity, whitening
 
 
 def _remainder(n: int):
@@ -85,6 +85,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every usable vector and each of the first eight components."""
+    out, model, error = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    n, shares = (model.n, (model.values / model.trace).tolist()) if model and model.trace else (0, [])
+    each = out.select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.get(F.array(*[F.lit(s) for s in shares]).cast("array<double>"), F.col("at"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(error).cast("double").alias("identity_error")
+    )
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, at most three differing bits."""
+    return simhash.link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of all rows by language; a third of the rows is tampered with and folded again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -95,4 +111,4 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fold(manifest, "tampered").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {"op2_spotsigs": op2_spotsigs, "op3_chat_tree": op3_chat_tree, "pipeline": corpus_pipeline.run, "op5_quality": op5_quality, "op6_license_lookup": op6_license_lookup, "op7_merge_dropout": op7_merge_dropout, "op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op8_token_store": op8_token_store, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join, "op13_merkle": op13_merkle}
+QUERIES = {"op2_spotsigs": op2_spotsigs, "op3_chat_tree": op3_chat_tree, "pipeline": corpus_pipeline.run, "op5_quality": op5_quality, "op6_license_lookup": op6_license_lookup, "op7_merge_dropout": op7_merge_dropout, "op1_decontamination": op1_decontamination, "op4_toxicity": op4_toxicity, "op8_token_store": op8_token_store, "op9_suffix_dedup": op9_suffix_dedup, "op10_jaccard_join": op10_jaccard_join, "op11_whitening": op11_whitening, "op12_simhash": op12_simhash, "op13_merkle": op13_merkle}
