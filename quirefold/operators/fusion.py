@@ -66,15 +66,16 @@ def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, k: int
 
     Candidates are at most ``per_query`` rows for each query. Where the count of queries
     makes that small their ids and scores are broadcast to the corpus (query words join the matches), so chunk texts stay where they are
-    and only matched chunks are tokenized.
+    and only matched chunks are tokenized, or have their terms read where ``corpus`` is a store.
     """
     q = queries.select("query_id", content_tokens(F.col("text")).alias("q_tokens"))
     asked = candidates
     most = BROADCAST_ROWS // per_query
     if queries.limit(most + 1).count() <= most:
         asked = F.broadcast(asked)
-    c = corpus.select("chunk_id", "text").join(asked, "chunk_id").join(q, "query_id")
-    shared = F.size(F.array_intersect("q_tokens", bm25_tokens(F.col("text"))))
+    own = F.transform("terms", lambda t: t["term"]) if "terms" in corpus.columns else bm25_tokens(F.col("text"))
+    c = corpus.select("chunk_id", "terms" if "terms" in corpus.columns else "text").join(asked, "chunk_id").join(q, "query_id")
+    shared = F.size(F.array_intersect("q_tokens", own))
     ratio = shared / F.greatest(F.lit(1), F.size("q_tokens"))
     c = c.select(*candidates.columns, ratio.alias("ratio"))
     lexical = F.when(F.col("bm25_score") > 0, F.least(F.lit(0.85), F.col("bm25_score") / 6)).otherwise(0.0)

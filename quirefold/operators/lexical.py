@@ -1,44 +1,54 @@
-"""Lexical retrieval: corpus statistics, BM25 and token overlap."""
+"""Lexical retrieval: corpus statistics, BM25 and token overlap, over texts or a corpus store."""
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
-from quirefold.functions.text import bm25_tokens, let
-from quirefold.operators.topk import best_of, filled, topk_join
+from quirefold.functions.text import bm25_tokens
+from quirefold.operators.store import termed
+from quirefold.operators.topk import BestItems, best_of, filled
 from quirefold.session import small_side, written
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf) for every chunk."""
-    terms = corpus.select("chunk_id", F.explode(bm25_tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(chunk_id, term, tf) for every chunk; counted inside the row, nothing is shuffled."""
+    return termed(corpus).select("chunk_id", F.inline("terms")).select("chunk_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
 # A separator, so no token holds it: marks the rows that count chunks by length.
 LENGTH_MARK = "\x1f"
 
 
+def counted(corpus: DataFrame) -> DataFrame:
+    """(term, n) as :func:`corpus_counts` tells it, not yet written."""
+    terms = F.transform("terms", lambda t: t["term"])
+    rows = termed(corpus).select(F.explode(F.concat(terms, F.array(F.concat(F.lit(LENGTH_MARK), F.col("length"))))).alias("term"))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def corpus_counts(corpus: DataFrame) -> DataFrame:
     """(term, n): chunks holding each term and, under a mark, chunks of each length.
 
-    One pass gives everything BM25 needs to know of the corpus. Terms are made distinct
+    One pass gives everything BM25 needs to know of the corpus. Terms are distinct
     inside their row and counted map-side first, so a stop word costs one partial count per
     task. The table is the size of the vocabulary; it is written once because the mean idf,
     the mean length and the query join all read it.
     """
+    return written(counted(corpus))
 
-    def marked(tokens):
-        return F.concat(F.array_distinct(tokens), F.array(F.concat(F.lit(LENGTH_MARK), F.size(tokens))))
 
-    rows = corpus.select(F.explode(let(bm25_tokens(F.col("text")), marked)).alias("term"))
-    return written(rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+def changed_counts(counts: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """``counts`` after the chunks ``gone`` left the corpus and ``come`` joined it; only these two are read."""
+    less = counted(gone).select("term", (-F.col("n")).alias("n"))
+    return counts.unionByName(less).unionByName(counted(come)).groupBy("term").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def corpus_size(counts: DataFrame) -> DataFrame:
@@ -70,66 +80,114 @@ def query_terms(queries: DataFrame, stats: DataFrame) -> DataFrame:
     return weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "idf")).alias("terms"))
 
 
-class _TermScorer:
-    """Sparse product of query terms with a batch of chunks, one outer product per term."""
+MAX_QUERIES = 4096
+MAX_TERMS = 500_000
+SCORES_AT_ONCE = 4_000_000
+
+
+def bm25_weight(tf: Column | np.ndarray, length: Column | np.ndarray, avg_len: float):
+    """What one term of a chunk weighs before its idf."""
+    return tf * (fv.BM25_K1 + 1) / (tf + fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * length / avg_len))
+
+
+class QueryTerms:
+    """Some queries' weighted terms as sparse rows by term: what a task holds to score chunks.
+
+    ``queries``: query_id and an array ``terms`` of structs with term, weight.
+    """
+
+    def __init__(self, queries: pd.DataFrame):
+        self.ids = queries["query_id"].to_numpy()
+        rows = [(t["term"], q, float(t["weight"])) for q, terms in enumerate(queries["terms"]) for t in terms]
+        names = sorted({r[0] for r in rows})
+        number = {t: i for i, t in enumerate(names)}
+        self.terms = pa.array(names, pa.string())
+        no = np.array([number[r[0]] for r in rows], np.int64)
+        order = np.argsort(no, kind="stable")
+        self.query = np.array([r[1] for r in rows], np.int64)[order]
+        self.weight = np.array([r[2] for r in rows], np.float64)[order]
+        self.first = np.searchsorted(no[order], np.arange(len(names) + 1))
+
+
+def spread_out(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] numbers, then the same for every other entry."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
-    positive_only = True
 
-    def prepare(self, queries: pd.DataFrame):
-        index: dict[str, int] = {}
-        posting: list[tuple[list[int], list[float]]] = []
-        for q, terms in enumerate(queries["terms"]):
-            for t in terms:
-                at = index.setdefault(t["term"], len(index))
-                if at == len(posting):
-                    posting.append(([], []))
-                posting[at][0].append(q)
-                posting[at][1].append(self.query_weight(t))
-        return len(queries), index, [(np.array(q), np.array(w)) for q, w in posting]
+def matches(asked: QueryTerms, terms: pa.ListArray, lengths: np.ndarray, weigh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, chunk, contribution) of every term that a chunk shares with a query."""
+    flat = terms.flatten()
+    no = pc.index_in(flat.field("term"), value_set=asked.terms)
+    known = no.is_valid().to_numpy(zero_copy_only=False)
+    no = no.fill_null(0).to_numpy(zero_copy_only=False)[known]
+    chunk = np.repeat(np.arange(len(terms)), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[known]
+    tf = flat.field("tf").to_numpy(zero_copy_only=False)[known].astype(np.float64)
+    own = weigh(tf, lengths[chunk])
+    count = asked.first[no + 1] - asked.first[no]
+    at = spread_out(asked.first[no], count)
+    return asked.query[at], np.repeat(chunk, count), asked.weight[at] * np.repeat(own, count)
 
-    def score(self, prepared, corpus: pd.DataFrame) -> np.ndarray:
-        n_queries, index, posting = prepared
-        scores = np.zeros((n_queries, len(corpus)))
-        hits: dict[int, list[tuple[int, float]]] = {}
-        for d, text in enumerate(corpus["text"]):
-            tokens = [w.lower() for w in text.replace("-", " ").replace("/", " ").split() if len(w) > 1]
-            for term, tf in Counter(tokens).items():
-                at = index.get(term)
-                if at is not None:
-                    hits.setdefault(at, []).append((d, self.chunk_weight(tf, len(tokens))))
-        for at, pairs in hits.items():
-            q, w = posting[at]
-            d, v = zip(*pairs)
-            scores[np.ix_(q, d)] += np.outer(w, v)
-        return scores
 
+def term_lengths(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("length").to_numpy(zero_copy_only=False).astype(np.float64)
 
-class Bm25Scorer(_TermScorer):
-    decimals = 10  # sums of equal terms in another order still tie
 
-    def __init__(self, avg_len: float, k1: float = fv.BM25_K1, b: float = fv.BM25_B):
-        self.avg_len, self.k1, self.b = avg_len, k1, b
+def _scan(asked: QueryTerms, weigh, decimals: int, k: int):
+    step = max(1, SCORES_AT_ONCE // max(1, len(asked.ids)))
 
-    def query_weight(self, t) -> float:
-        return t["qtf"] * t["idf"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kinds = BestItems(len(asked.ids), k), None
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                q, d, x = matches(asked, batch.column("terms"), term_lengths(batch), weigh)
+                n = batch.num_rows
+                scores = np.bincount(q * n + d, weights=x, minlength=len(asked.ids) * n).reshape(-1, n).round(decimals)
+                scores[scores <= 0] = -np.inf
+                best.add(scores, batch.column("chunk_id").to_numpy(zero_copy_only=False))
+                kinds = batch.schema.field("chunk_id").type
+        if kinds is not None:
+            rows = best.rows(asked.ids)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["query_id"]), pa.array(rows["chunk_id"], kinds), pa.array(rows["score"])], names=["query_id", "chunk_id", "score"])
 
-    def chunk_weight(self, tf: int, length: int) -> float:
-        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.avg_len))
+    return run
 
 
-class OverlapScorer(_TermScorer):
-    """Number of distinct shared tokens."""
+def slices(queries: DataFrame) -> Iterator[QueryTerms]:
+    """The queries in slices that a task can hold: at most about ``MAX_QUERIES`` of them with ``MAX_TERMS`` terms, whatever their number."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("t")).first()
+    n = max(1, -(-size.n // MAX_QUERIES), -(-(size.t or 0) // MAX_TERMS))
+    for i in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        yield QueryTerms(part.toPandas())
 
-    decimals = 0
 
-    def query_weight(self, t) -> float:
-        return 1.0
+def score_schema(queries: DataFrame, corpus: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(corpus.dtypes)['chunk_id']}, score double"
 
-    def chunk_weight(self, tf: int, length: int) -> float:
-        return 1.0
 
+def scan_topk(queries: DataFrame, corpus: DataFrame, weigh, decimals: int, k: int) -> DataFrame:
+    """Top-k of positive scores, exact: one pass over the store for each slice of queries, k rows per query and task leave it."""
+    slim, found = corpus.select("chunk_id", "length", "terms"), None
+    for asked in slices(queries):
+        part = slim.mapInArrow(_scan(asked, weigh, decimals, k), score_schema(queries, corpus))
+        found = part if found is None else found.unionByName(part)
+    return best_of(found, k)
 
-def bm25_within(queries: DataFrame, corpus: DataFrame, allow: DataFrame, known: DataFrame, scorer: Bm25Scorer, k: int) -> DataFrame:
+
+DECIMALS = 10  # sums of equal terms in another order still tie
+
+
+def bm25_weights(known: DataFrame) -> DataFrame:
+    return known.select("query_id", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["qtf"] * t["idf"]).alias("weight"))).alias("terms"))
+
+
+def _one(tf, length):
+    return np.ones_like(tf)
+
+
+def bm25_within(queries: DataFrame, corpus: DataFrame, allow: DataFrame, known: DataFrame, avg_len: float, k: int) -> DataFrame:
     """Top-k by BM25 among the documents that ``allow`` (query_id, doc_id) lists for a query.
 
     Tokens meet the query's terms on document and term at once, so a frequent word costs no more than
@@ -138,14 +196,9 @@ def bm25_within(queries: DataFrame, corpus: DataFrame, allow: DataFrame, known:
     pairs = allow.select("query_id", "doc_id").distinct().join(queries.select("query_id"), "query_id", "left_semi")
     asked = pairs.join(known.select("query_id", F.inline("terms")), "query_id")
     chunks = corpus.join(small_side(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
-    tokens = chunks.select("chunk_id", "doc_id", F.explode(let(bm25_tokens(F.col("text")), lambda t: F.transform(t, lambda w: F.struct(w.alias("term"), F.size(t).alias("length"))))).alias("t"))
-    met = tokens.select("chunk_id", "doc_id", "t.*").join(small_side(asked), ["doc_id", "term"])
-    tf, length = F.col("tf"), F.col("length")
-    weight = F.col("qtf") * F.col("idf") * tf * (scorer.k1 + 1) / (tf + scorer.k1 * (1 - scorer.b + scorer.b * length / scorer.avg_len))
-    scored = (
-        met.groupBy("query_id", "chunk_id", "term", "qtf", "idf", "length").agg(F.count(F.lit(1)).alias("tf"))
-        .groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), scorer.decimals).alias("bm25"), F.count(F.lit(1)).cast("double").alias("shared"))
-    )
+    met = chunks.select("chunk_id", "doc_id", "length", F.inline("terms")).join(small_side(asked), ["doc_id", "term"])
+    weight = F.col("qtf") * F.col("idf") * bm25_weight(F.col("tf"), F.col("length"), avg_len)
+    scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), DECIMALS).alias("bm25"), F.count(F.lit(1)).cast("double").alias("shared"))
     hopeless = scored.groupBy("query_id").agg(F.max("bm25").alias("best")).filter("best <= 0")
     every = chunks.select("chunk_id", "doc_id").join(small_side(pairs), "doc_id").select("query_id", "chunk_id")
     rows = every.join(scored, ["query_id", "chunk_id"], "left").join(hopeless, "query_id", "left")
@@ -154,31 +207,41 @@ def bm25_within(queries: DataFrame, corpus: DataFrame, allow: DataFrame, known:
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, allow: DataFrame | None = None,
-              counts: DataFrame | None = None, **bounds) -> DataFrame:
+              counts: DataFrame | None = None) -> DataFrame:
     """Top-k chunks per query by BM25; a query whose best score is not positive falls back to overlap.
 
     Lists short of k are filled with chunks of score zero, by id. ``allow`` (query_id, doc_id) restricts queries to listed documents, and a
     query without a row in it finds nothing; term statistics are always those of the whole corpus.
+    ``corpus``: texts, or a store (:mod:`quirefold.operators.store`); of texts the narrow form is written once and read by every step.
     ``counts``: the corpus' :func:`corpus_counts`, where they are at hand.
     """
+    if "terms" not in corpus.columns:
+        corpus = written(termed(corpus))
     counts = corpus_counts(corpus) if counts is None else counts
     stats = term_stats(counts)
-    avg_len = corpus_size(counts).first()["avg_len"]
-    known = query_terms(queries, stats)
+    avg_len = corpus_size(counts).first()["avg_len"] or 1.0
+    known = written(query_terms(queries, stats))
     if allow is not None:
-        return bm25_within(queries, corpus, allow, known, Bm25Scorer(avg_len or 1.0), k)
-    chunks = corpus.select("chunk_id", "text")
-    hits = topk_join(known, chunks, Bm25Scorer(avg_len or 1.0), k, **bounds)
-    floor = stats.agg(F.min("idf")).first()[0]
+        return bm25_within(queries, corpus, allow, known, avg_len, k)
+    hits = scan_topk(bm25_weights(known), corpus, lambda tf, length: bm25_weight(tf, length, avg_len), DECIMALS, k)
+    floor = known.select(F.min(F.array_min(F.transform("terms", lambda t: t["idf"])))).first()[0]
     if floor is None or floor > 0:
         # every shared term adds a positive amount, so no query needs the fallback
         return filled(hits, queries, corpus, k)
+    hits = written(hits)
     missed = known.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    return filled(hits.unionByName(topk_join(missed, chunks, OverlapScorer(), k, **bounds)), queries, corpus, k)
+    if not missed.isEmpty():
+        hits = hits.unionByName(scan_topk(_ones(missed), corpus, _one, 0, k))
+    return filled(hits, queries, corpus, k)
+
+
+def _ones(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), F.lit(1.0).alias("weight"))).alias("terms"))
 
 
-def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, **bounds) -> DataFrame:
+def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH) -> DataFrame:
     """Top-k chunks per query by the number of distinct shared tokens; short lists are filled by id."""
     own = queries.select("query_id", F.array_distinct(bm25_tokens(F.col("text"))).alias("t"))
-    terms = own.select("query_id", F.transform("t", lambda t: F.struct(t.alias("term"))).alias("terms"))
-    return filled(topk_join(terms, corpus.select("chunk_id", "text"), OverlapScorer(), k, **bounds), queries, corpus, k)
+    asked = own.select("query_id", F.transform("t", lambda t: F.struct(t.alias("term"))).alias("terms"))
+    slim = termed(corpus)
+    return filled(scan_topk(_ones(asked), slim, _one, 0, k), queries, corpus, k)

@@ -35,7 +35,7 @@ class Scorer(Protocol):
         """Scores, one row per query and one column per corpus row; -inf drops a pair."""
 
 
-class _Best:
+class BestItems:
     """The k best items per query seen so far; ties go to the smaller id."""
 
     def __init__(self, n_queries: int, k: int):
@@ -72,7 +72,7 @@ class _Best:
 
 def _search(scorer: Scorer, queries: pd.DataFrame, batches, k: int) -> pd.DataFrame:
     prepared = scorer.prepare(queries)
-    best = _Best(len(queries), k)
+    best = BestItems(len(queries), k)
     step = max(1, SCORES_AT_ONCE // max(1, len(queries)))
     for batch in batches:
         for lo in range(0, len(batch), step):

@@ -315,9 +315,14 @@ BM25 = [
     "bm_all AS (" + _ALL.format("bm_raw") + ")",
     "bm AS (" + _TOP.format("bm_all") + ")",
 ]
-ORACLES["R9_bm25_stats"] = with_(BM25[:6], "SELECT term, df, round(idf, 6) AS idf FROM idfs")
+TERM_STATS = """
+WITH each AS (SELECT DISTINCT doc_id, unnest({tokens}) AS term FROM {table}), dfs AS (SELECT term, count(*) AS df FROM each GROUP BY term),
+raws AS (SELECT term, df, ln((SELECT count(*) FROM {table}) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * avg(raw) OVER () ELSE raw END, 6) AS idf FROM raws"""
+ORACLES["R9_bm25_stats"] = TERM_STATS.format(tokens=bm25("text"), table="documents")
 ORACLES["R9_bm25_postings"] = with_(BM25[:3], "SELECT chunk_id, term, tf FROM post")
 ORACLES["R10_bm25_topk"] = with_(BM25, f"SELECT query_id, chunk_id, {half_up('score', 4)} AS score, rank FROM bm")
+ORACLES["R10_bm25_index"] = ORACLES["R10_bm25_topk"]
 ORACLES["R11_overlap_topk"] = with_(
     BM25[:3] + BM25[6:8] + ["ov AS (SELECT query_id, chunk_id, count(*)::DOUBLE AS score FROM qtf JOIN post USING (term) GROUP BY ALL)", "ov_all AS (" + _ALL.format("ov") + ")"],
     _TOP.format("ov_all"),
@@ -361,6 +366,11 @@ ORACLES["R16_retrieval_report"] = with_(
 )
 ORACLES["R17_hybrid_retrieve"] = with_(HYBRID, "SELECT * FROM hits")
 
+EDITION = """edition AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN text ELSE 'Second edition. ' || text END AS text
+  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0)"""
+ORACLES["R9_store_stats"] = TERM_STATS.format(tokens=bm25("text"), table="edition").replace("WITH each", f"WITH {EDITION}, each", 1)
+ORACLES["R17_store_retrieve"] = with_([EDITION] + [c.replace("FROM documents", "FROM edition").replace("JOIN documents", "JOIN edition") for c in HYBRID], "SELECT * FROM hits")
+
 _langs = "['de', 'en', 'es', 'fr'][item_id % 5 + 1]"
 SCOPED = [f"scope_ AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark JOIN documents ON item_id % 5 = 4 OR lang = {_langs})"] + [
     c.replace(" HAVING score > 0", "").replace("10) AS score", "10) AS score, count(*) AS shared") if c.startswith("bm_raw AS")

@@ -11,7 +11,7 @@ from quirefold import fixed_values as fv
 from quirefold.functions import text as tx
 from quirefold.functions import vectors as vec
 from quirefold.operators import answers as an
-from quirefold.operators import chunking, deid, dense, fusion, governance, layout, lexical
+from quirefold.operators import chunking, deid, dense, fusion, governance, layout, lexical, lexical_index
 from quirefold.operators import claims as cl
 from quirefold.operators import evaluation as ev
 from quirefold.operators import querylog as ql
@@ -22,6 +22,7 @@ from quirefold.plans.hybrid import hybrid_retrieve
 from quirefold.session import shared_dir, written
 from quirefold.sources import corpus as corpus_source
 from quirefold.sources import ingest, sinks
+from quirefold.sources.store import CorpusStore
 from quirefold.streaming import jobs as sj
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,6 +248,13 @@ def _(spark, sf):
     return lexical.bm25_topk(fx.questions(spark, sf), fx.corpus(spark, sf)).withColumn("score", F.round("score", 4))
 
 
+@query("R10_bm25_index")
+def _(spark, sf):
+    """As R10, from an inverted index whose blocks are skipped where they cannot matter."""
+    index = lexical_index.build_index(fx.corpus(spark, sf))
+    return lexical_index.index_topk(fx.questions(spark, sf), index).withColumn("score", F.round("score", 4))
+
+
 @query("R11_overlap_topk")
 def _(spark, sf):
     return lexical.overlap_topk(fx.questions(spark, sf), fx.corpus(spark, sf))
@@ -291,6 +299,28 @@ def _(spark, sf):
     return _retrieval(spark, sf).hits
 
 
+def _second_edition(spark, sf):
+    """A store of all documents, in which the labelled ones were replaced by a second edition and the toxic ones deleted."""
+    docs, labels = fx.corpus(spark, sf), fx.table(spark, sf, "labels")
+    kept = labels.where("toxic = 0").select("doc_id")
+    again = docs.join(kept, "doc_id", "left_semi").withColumn("text", F.concat(F.lit("Second edition. "), "text"))
+    store = CorpusStore(spark, shared_dir(spark), 16).create(docs)
+    store.replace(again, labels.where("toxic = 1"))
+    return store
+
+
+@query("R9_store_stats")
+def _(spark, sf):
+    """Statistics kept up by what left and what came."""
+    return lexical.term_stats(_second_edition(spark, sf).counts()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("R17_store_retrieve")
+def _(spark, sf):
+    store = _second_edition(spark, sf)
+    return hybrid_retrieve(fx.questions(spark, sf), store.chunks(), counts=store.counts()).hits
+
+
 @query("R17_hybrid_scoped")
 def _(spark, sf):
     return hybrid_retrieve(fx.questions(spark, sf), fx.corpus(spark, sf), document_filter=fx.scopes(spark, sf)).hits
