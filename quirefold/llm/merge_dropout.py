@@ -27,7 +27,7 @@ LONG = 48
 MARK = "▁"
 BLOCK = 1 << 16
 NONE = np.int64(1) << np.int64(62)
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 K1, K2, K3, K4 = (np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
