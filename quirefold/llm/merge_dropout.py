@@ -3,7 +3,8 @@
 Merges run from an agenda: of all adjacent pairs whose join is a piece, the best-scored one (leftmost on a tie) is merged next. A candidate is a
 (start, middle, end) place in its unit; a keyed hash of seed, text, unit and place skips it for good with probability ``dropout``.
 Since no piece holds a space mark after another character, a text falls apart into units (a run of spaces and what
-follows), and units are encoded at the same time: every array round performs the next agenda merge of every unit. Long units use a heap
+follows), and units are encoded at the same time: every array round performs the next agenda merge of every unit, and symbols stay
+in place as linked lists, so that a round costs the merges and one pass for the best of each unit. Long units use a heap
 instead, with the same result. Every occurrence of a unit draws its own skips. Spellings are encoded without dropout once per chunk of texts; an occurrence that
 skips none of the candidates met there has that result, all others are encoded by themselves.
 
@@ -129,52 +130,61 @@ def segment(table: Pieces, chars: np.ndarray, offsets: np.ndarray, keys: np.ndar
     for u in np.flatnonzero(size > long):
         start, sym = _heap(table, table.char[chars[offsets[u] : offsets[u + 1]]], keys[u], dropout)
         done.append((np.full(len(sym), u), start, sym))
-    active = np.flatnonzero((size <= long) & (size > 0))
-    unit = np.repeat(active, size[active])
-    start = A.ragged(np.zeros(len(active), np.int64), size[active])
-    sym = table.char[chars[A.ragged(offsets[active], size[active])]]
-
-    def priority(at):
-        """Of the pairs (at, at + 1): (piece, rank with place)."""
-        nxt = at + 1
-        inside = np.flatnonzero((nxt < len(sym)) & (unit[np.minimum(nxt, len(sym) - 1)] == unit[at]))
-        made, pri = np.full(len(at), -1), np.full(len(at), NONE)
-        a, b = at[inside], nxt[inside]
-        piece, rank = table.pair(sym[a], sym[b])
+    unit = np.flatnonzero((size <= long) & (size > 0))
+    width = size[unit]
+    head = np.cumsum(width) - width
+    place = A.ragged(np.zeros(len(unit), np.int64), width)  # of a symbol in its unit; symbols stay where they began
+    sym = table.char[chars[offsets[np.repeat(unit, width)] + place]]
+    after, before = place + 1, place - 1
+    alive = np.ones(len(sym), bool)
+    made, pri = np.full(len(sym), -1), np.full(len(sym), NONE)
+
+    def rate(u, at, middle, end):
+        """Set piece and rank with place of the pairs that start at ``at``, in the units ``u``."""
+        piece, rank = table.pair(sym[at], sym[head[u] + middle])
+        pri[at] = NONE
         hit = np.flatnonzero(rank < NONE)
-        a, b, inside, piece, rank = a[hit], b[hit], inside[hit], piece[hit], rank[hit]
-        last = np.minimum(b + 1, len(sym) - 1)
-        end = np.where((b + 1 < len(sym)) & (unit[last] == unit[b]), start[last], size[unit[b]])
+        u, at, middle, end, piece, rank = u[hit], at[hit], middle[hit], end[hit], piece[hit], rank[hit]
+        first = at - head[u]
         if met is not None:
-            met.append((unit[a], start[a], start[b], end))
-        live = ~skipped(keys[unit[a]], start[a], start[b], end, dropout)
-        inside = inside[live]
-        made[inside], pri[inside] = piece[live], rank[live] * 64 + start[a][live]
-        return made, pri
-
-    made, pri = priority(np.arange(len(sym)))
-    while len(sym):
-        heads = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-        best = np.minimum.reduceat(pri, heads)
-        width = np.diff(np.concatenate((heads, [len(sym)])))
-        best = np.repeat(best, width)
-        over = best == NONE
-        if over.any():
-            done.append((unit[over], start[over], sym[over]))
-            go = ~over
-            unit, start, sym, made, pri, best = unit[go], start[go], sym[go], made[go], pri[go], best[go]
-            if not len(sym):
+            met.append((unit[u], first, middle, end))
+        live = ~skipped(keys[unit[u]], first, middle, end, dropout)
+        at = at[live]
+        made[at], pri[at] = piece[live], rank[live] * 64 + first[live]
+
+    owner = np.repeat(np.arange(len(unit)), width)
+    inside = np.flatnonzero(after < width[owner])
+    rate(owner[inside], inside, after[inside], after[inside] + 1)
+    while len(unit):
+        best = np.minimum.reduceat(pri, head)
+        open_ = best < NONE
+        if width[~open_].sum() * 4 >= len(sym):  # finished units leave
+            gone = np.repeat(~open_, width)
+            out = gone & alive
+            done.append((np.repeat(unit, width)[out], place[out], sym[out]))
+            sym, after, before, place, alive, made, pri = (x[~gone] for x in (sym, after, before, place, alive, made, pri))
+            unit, width, best = unit[open_], width[open_], best[open_]
+            head = np.cumsum(width) - width
+            if not len(unit):
                 break
-        hit = np.flatnonzero(pri == best)
-        sym[hit] = made[hit]
-        stay = np.ones(len(sym), bool)
-        stay[hit + 1] = False
-        hit = np.cumsum(stay)[hit] - 1
-        unit, start, sym, made, pri = unit[stay], start[stay], sym[stay], made[stay], pri[stay]
-        touched = np.zeros(len(sym), bool)
-        touched[hit] = touched[np.maximum(hit - 1, 0)] = True
-        again = np.flatnonzero(touched)
-        made[again], pri[again] = priority(again)
+            u = np.arange(len(unit))
+        else:
+            u = np.flatnonzero(open_)
+        first = best[u] & 63
+        at = head[u] + first
+        gone = head[u] + after[at]
+        sym[at] = made[at]
+        end = after[gone]
+        after[at] = end
+        alive[gone] = False
+        pri[gone] = pri[at] = NONE
+        follow = np.flatnonzero(end < width[u])
+        before[head[u[follow]] + end[follow]] = first[follow]
+        lead = np.flatnonzero(before[at] >= 0)
+        rate(
+            np.concatenate((u[follow], u[lead])), np.concatenate((at[follow], head[u[lead]] + before[at[lead]])),
+            np.concatenate((end[follow], first[lead])), np.concatenate((after[head[u[follow]] + end[follow]], end[lead])),
+        )
     unit, start, sym = (np.concatenate([np.zeros(0, np.int64), *(d[k] for d in done)]) for k in range(3))
     order = np.argsort(unit * (int(size.max(initial=0)) + 1) + start, kind="stable")
     return unit[order], start[order], sym[order]
