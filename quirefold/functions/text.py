@@ -82,13 +82,23 @@ def split_sentences(c: Column, keep_empty: bool = False) -> Column:
         return let(F.lower(F.substring_index(F.rtrim(spaced(piece)), " ", -1)), decide)
 
     def rejoined(p: Column) -> Column:
-        def closed(piece: Column, i: Column) -> Column:
-            earlier = F.filter(F.slice(p["flags"], F.lit(1), i), lambda f: f.isNotNull())
-            inherited = F.coalesce(F.try_element_at(earlier, F.lit(-1)), F.lit(True))
-            flag = F.coalesce(F.get(p["flags"], i), inherited) & (i < F.size(p["flags"]) - 1)
-            return F.concat(piece, F.when(flag, F.lit(BREAK)).otherwise(F.lit("")))
+        # places of the pieces that decide; a blank piece takes over what the last one before it decided
+        known = F.filter(F.transform(p["flags"], lambda f, i: F.struct(i.alias("i"), f.alias("f"))), lambda r: r["f"].isNotNull())
 
-        return F.array_join(F.transform(p["pieces"], closed), "")
+        def spread(k: Column) -> Column:
+            def run(r: Column, j: Column) -> Column:
+                upto = F.coalesce(F.get(k, j + 1)["i"], F.size(p["flags"]))
+                return F.array_repeat(r["f"], upto - r["i"])
+
+            before = F.array_repeat(F.lit(True), F.coalesce(F.get(k, F.lit(0))["i"], F.size(p["flags"])))
+            return F.concat(before, F.flatten(F.transform(k, run)))
+
+        def closed(q: Column) -> Column:
+            last = F.size(q["pieces"]) - 1
+            pieces = F.zip_with(q["pieces"], q["ends"], lambda piece, end: F.concat(piece, F.when(end, F.lit(BREAK)).otherwise(F.lit(""))))
+            return F.concat(F.array_join(F.slice(pieces, F.lit(1), last), ""), F.get(q["pieces"], last))
+
+        return let(F.struct(p["pieces"].alias("pieces"), let(known, spread).alias("ends")), closed)
 
     def trimmed(raw: Column) -> Column:
         n = F.size(raw)
@@ -126,21 +136,19 @@ def matches_any_word(c: Column, terms: list[str]) -> Column:
     return c.rlike(r"(?U)\b(?:" + "|".join(quoted(t) for t in terms) + r")\b")
 
 
-def match_offsets(text: Column, pattern: Column | str, group: int = 0, hint: str | None = None) -> Column:
+def match_offsets(text: Column, pattern: Column | str, group: int = 0, possible: Column | None = None) -> Column:
     """Array of (start, end, value) for every match, 0-based, in text order.
 
     The text between matches and the matches themselves tell the offsets, so no scan
-    leaves the JVM. With ``group`` 1 the group must close the match. ``hint`` is a substring
-    every match holds; texts without it skip the pattern.
+    leaves the JVM; a text without a match costs one pass. With ``group`` 1 the group must close the match. Texts that are
+    not ``possible`` skip the pattern.
     """
     regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
     spans = "array<struct<start:int,end:int,value:string>>"
-    whole = F.regexp_extract_all(text, regex, F.lit(0))
-    parts = F.struct(
-        F.split(text, regex, -1).alias("between"),
-        whole.alias("whole"),
-        (F.regexp_extract_all(text, regex, F.lit(group)) if group else whole).alias("value"),
-    )
+
+    def parts(whole: Column) -> Column:
+        value = F.transform(whole, lambda w: F.call_function("regexp_extract", w, regex, F.lit(group))) if group else whole
+        return F.struct(F.split(text, regex, -1).alias("between"), whole.alias("whole"), value.alias("value"))
 
     def fold(p: Column) -> Column:
         def step(acc: Column, m: Column) -> Column:
@@ -154,7 +162,6 @@ def match_offsets(text: Column, pattern: Column | str, group: int = 0, hint: str
         zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(spans).alias("out"))
         return F.aggregate(p["whole"], zero, step, lambda acc: acc["out"])
 
-    possible = F.regexp_like(text, regex)
-    if hint:
-        possible = F.contains(text, F.lit(hint)) & possible
-    return F.when(possible, let(parts, fold)).otherwise(F.array().cast(spans))
+    none = F.array().cast(spans)
+    found = let(F.regexp_extract_all(text, regex, F.lit(0)), lambda w: F.when(F.size(w) > 0, let(parts(w), fold)).otherwise(none))
+    return found if possible is None else F.when(possible, found).otherwise(none)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
 from quirefold.functions.text import SPACE, claim_sentences, match_offsets
-from quirefold.session import small_side
+from quirefold.operators import lexicon as lex
+from quirefold.session import small_side, written
 
 
 def entity_pattern(entities: list[str] | None = None, suffixes: str | None = fv.ENTITY_SUFFIX_PATTERN) -> str:
@@ -20,21 +21,27 @@ def _capitalized(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
-def extract_claims(answers: DataFrame, pattern: str | None = None) -> DataFrame:
+def extract_claims(answers: DataFrame, pattern: str | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """Claims of answers (answer_id, answer), one row per entity and dose, first sighting kept.
 
     Each mention takes the dose that starts nearest to it in its sentence. All of it is
-    column work on the answer's own row; only the removal of repeats shuffles.
+    column work on the answer's own row; only the removal of repeats shuffles. With a ``lexicon`` (entry) of any size in
+    place of the ``pattern``, the sentences' word runs meet it in a join, and the sentences that name an entry meet their hits.
     """
     pattern = pattern or entity_pattern()
     sent = answers.select("answer_id", F.posexplode(claim_sentences(F.col("answer"))).alias("sent_no", "passage"))
     p = F.col("passage")
+    named = F.explode(match_offsets(p, pattern))
+    if lexicon is not None:
+        hits = lex.longest(lex.mentions(sent, ["answer_id", "sent_no"], "passage", lexicon), ["answer_id", "sent_no"])
+        sent = sent.join(hits, ["answer_id", "sent_no"]).select("answer_id", "sent_no", "passage", F.explode(lex.placed(p, F.col("hits"))).alias("m"))
+        named = F.col("m")
     rows = sent.select(
         "answer_id", "sent_no", "passage",
         match_offsets(p, "(?U)" + fv.DOSE_PATTERN).alias("doses"),
         F.lower(F.regexp_extract(p, "(?U)" + fv.FREQUENCY_PATTERN, 0)).alias("frequency"),
         F.lower(F.regexp_extract(p, "(?U)" + fv.ROUTE_PATTERN, 0)).alias("route"),
-        F.explode(match_offsets(p, pattern)).alias("m"),
+        named.alias("m"),
     )
     distance = F.transform(
         "doses",
@@ -132,3 +139,42 @@ def conflict_summary(verified: DataFrame, attempts: int = 0) -> DataFrame:
         F.when(repair, F.col("told")).otherwise("").alias("repair_instruction"),
         F.when(conflict & ~repair, fv.REPAIR_BANNER).otherwise("").alias("banner"),
     )
+
+
+def without_conflicts(answers: DataFrame, verified: DataFrame) -> DataFrame:
+    """``answers`` (answer_id, answer) rewritten without the sentences of their conflicting claims.
+
+    Only answers that have such a claim and another sentence come back: the others need no new text, or there is none.
+    """
+    bad = verified.filter("status = 'CONFLICT'").groupBy("answer_id").agg(F.collect_set("sent_no").alias("bad"))
+    parts = answers.join(small_side(bad), "answer_id").withColumn("parts", claim_sentences(F.col("answer")))
+    kept = F.filter("parts", lambda s, i: ~F.array_contains(F.col("bad"), i))
+    return parts.select("answer_id", kept.alias("kept")).filter(F.size("kept") > 0).select("answer_id", F.array_join("kept", " ").alias("answer"))
+
+
+def repaired(answers: DataFrame, sources: DataFrame, pattern: str | None = None, writer=without_conflicts, tries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Answers after at most ``tries`` verifications, and the verdicts on their last text.
+
+    An answer with a conflict goes to ``writer`` (answers, verdicts -> answers with new text) and is verified again; answers without one are
+    verified once. Who still has a conflict after the last try, or for whom the writer has no other text, gets the warning at its
+    end. Rows: answer_id, answer, n_tries, n_conflict. Each round is written, and holds only what the round before left open.
+    """
+    settled, told = None, None
+    now = answers.select("answer_id", "answer")
+    for attempt in range(1, tries + 1):
+        verdicts = written(verify_claims(extract_claims(now, pattern), sources))
+        wrong = verdicts.groupBy("answer_id").agg(F.count_if(F.col("status") == "CONFLICT").alias("n_conflict"))
+        judged = now.join(wrong, "answer_id", "left").withColumn("n_conflict", F.coalesce("n_conflict", F.lit(0).cast("long")))
+        again = None
+        if attempt < tries:
+            again = written(writer(now, verdicts))
+            open_ = small_side(again.select("answer_id"))
+            judged, verdicts = judged.join(open_, "answer_id", "left_anti"), verdicts.join(open_, "answer_id", "left_anti")
+        banner = F.when(F.col("n_conflict") > 0, fv.REPAIR_BANNER).otherwise("")
+        done = written(judged.select("answer_id", F.concat("answer", banner).alias("answer"), F.lit(attempt).alias("n_tries"), "n_conflict"))
+        settled = done if settled is None else settled.unionByName(done)
+        told = verdicts if told is None else told.unionByName(verdicts)
+        if again is None or again.isEmpty():
+            break
+        now = again
+    return settled, told

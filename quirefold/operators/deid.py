@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
-from quirefold.functions.text import let, match_offsets, strip, unnest
+from quirefold.functions.text import contains_any, let, match_offsets, strip, unnest, words
 
 SPAN = "struct<start:int,end:int,category:string,original:string,detector:int>"
 SPAN_FIELDS = ["start", "end", "category", "original", "detector"]
@@ -19,14 +19,31 @@ UNICODE = "(?U)"
 
 def _name_ok(name: Column) -> Column:
     listed = F.array(*[F.lit(w) for w in fv.NOT_A_NAME])
-    return ~F.arrays_overlap(F.split(name, r"\s+"), listed)
+    return ~F.arrays_overlap(words(name), listed)
+
+
+def _signs(text: Column) -> dict[str, Column]:
+    """What a text must hold for a detector to find anything: substrings and digits that cost less to look for than its pattern."""
+    low = F.lower(text)
+    runs = text.rlike(r"\p{Nd}{3}")
+    return {
+        "EMAIL": F.contains(text, F.lit("@")),
+        "PHONE": runs,
+        "SSN": runs,
+        "AADHAAR": runs,
+        # parts of the words in front of the value that no other letter folds to
+        "MRN": contains_any(low, ["mrn", "cal record number", "med rec #"]),
+        "DOB": contains_any(low, ["dob", "date of b", "rthdate"]),
+        "ADDRESS": text.rlike(UNICODE + r"\d\s"),
+        "PATIENT": contains_any(text, ["PATIENT", "Pt", "Patient", "ATTENDING", "Dr.", "Doctor", "Physician", "Mr.", "Mrs.", "Ms."]),
+    }
 
 
 def detected(text: Column) -> Column:
     """Array of candidate spans, by detector order and then text order."""
-    arrays = []
+    arrays, signs = [], _signs(text)
     for number, (category, pattern, group) in enumerate(fv.PII_DETECTORS):
-        found = match_offsets(text, UNICODE + pattern, group, "@" if category == "EMAIL" else None)
+        found = match_offsets(text, UNICODE + pattern, group, signs.get(category))
         if category == "PATIENT":
             found = F.filter(found, lambda m: _name_ok(m["value"]))
         arrays.append(_labelled(found, category, number))
@@ -89,38 +106,64 @@ def resolved(spans: Column) -> Column:
     return F.aggregate(keyed, zero, step, lambda acc: acc["out"])
 
 
-def tags_of(spans: Column) -> Column:
-    """Map from original value to placeholder, numbered per category by first sighting."""
+CATEGORIES = [c for c, _, _ in fv.PII_DETECTORS]
 
-    def firsts(p: Column) -> Column:
-        return F.filter(p["spans"], lambda s, i: F.array_position(p["originals"], s["original"]) == i + 1)
 
-    def numbered(f: Column) -> Column:
-        def tag(s: Column, i: Column) -> Column:
-            number = F.size(F.filter(F.slice(f, F.lit(1), i + 1), lambda e: e["category"] == s["category"]))
-            name = F.concat(F.lit("["), s["category"], F.lit("_"), number, F.lit("]"))
-            return F.struct(s["original"].alias("k"), name.alias("v"))
+def named(spans: Column) -> Column:
+    """(tags, each): a map from original value to placeholder, numbered per category by first sighting, and the placeholder of every span.
 
-        return F.map_from_entries(F.transform(f, tag))
+    Equal values stand together once sorted; their first sightings, sorted by category and place, are numbered by how far they stand behind
+    the first of their category. Sorts and passes, so a text's cost grows with its spans and not with their square.
+    """
+    listed = F.array(*[F.lit(c) for c in CATEGORIES])
 
-    both = let(
-        spans, lambda s: F.struct(s.alias("spans"), F.transform(s, lambda e: e["original"]).alias("originals"))
-    )
-    return let(let(both, firsts), numbered)
+    def firsts(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, j)["original"] != F.get(s, j - 1)["original"]))
+
+        def run(at: Column) -> Column:
+            def first(st: Column, r: Column) -> Column:
+                own = F.get(s, st)
+                count = F.coalesce(F.get(at, r + 1), F.size(s)) - st
+                return F.struct(own["category"].alias("category"), own["i"].alias("i"), own["original"].alias("original"), st.alias("st"), count.alias("n"))
+
+            return F.sort_array(F.transform(at, first))
+
+        return F.struct(s.alias("s"), let(starts, run).alias("f"))
+
+    def numbered(p: Column) -> Column:
+        heads = let(F.transform(p["f"], lambda f: f["category"]), lambda cats: F.transform(listed, lambda c: F.array_position(cats, c)))
+
+        def tag(f: Column, j: Column, at: Column) -> Column:
+            number = j + 2 - F.get(at, F.array_position(listed, f["category"]).cast("int") - 1)
+            name = F.concat(F.lit("["), f["category"], F.lit("_"), number, F.lit("]"))
+            return F.struct(f["i"].alias("i"), f["original"].alias("original"), name.alias("tag"), f["st"].alias("st"), f["n"].alias("n"))
+
+        return F.struct(p["s"].alias("s"), let(heads, lambda at: F.transform(p["f"], lambda f, j: tag(f, j, at))).alias("t"))
+
+    def told(p: Column) -> Column:
+        entries = F.transform(F.array_sort(p["t"]), lambda t: F.struct(t["original"].alias("k"), t["tag"].alias("v")))
+        runs = F.sort_array(F.transform(p["t"], lambda t: F.struct(t["st"].alias("st"), t["n"].alias("n"), t["tag"].alias("tag"))))
+        by_value = F.flatten(F.transform(runs, lambda r: F.array_repeat(r["tag"], r["n"])))
+        back = F.sort_array(F.zip_with(p["s"], by_value, lambda s, t: F.struct(s["i"].alias("i"), t.alias("tag"))))
+        return F.struct(F.map_from_entries(entries).alias("tags"), F.transform(back, lambda b: b["tag"]).alias("each"))
+
+    placed = F.sort_array(F.transform(spans, lambda s, i: F.struct(s["original"].alias("original"), i.alias("i"), s["category"].alias("category"))))
+    none = F.struct(F.create_map().cast("map<string,string>").alias("tags"), F.array().cast("array<string>").alias("each"))
+    return F.when(F.size(spans) == 0, none).otherwise(let(let(let(placed, firsts), numbered), told))
 
 
-def masked(text: Column, spans: Column, tags: Column) -> Column:
-    """``text`` with every span replaced by its tag, assembled from the pieces between spans."""
+def masked(text: Column, spans: Column, each: Column) -> Column:
+    """``text`` with every span replaced by its placeholder in ``each``, assembled from the pieces between spans."""
 
     def assembled(p: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
             begin = F.when(i == 0, F.lit(0)).otherwise(F.get(p["spans"], i - 1)["end"])
-            return F.concat(F.substr(p["text"], begin + 1, s["start"] - begin), F.element_at(p["tags"], s["original"]))
+            return F.concat(F.substr(p["text"], begin + 1, s["start"] - begin), F.get(p["each"], i))
 
         last = F.try_element_at(p["spans"], F.lit(-1))["end"]
         return F.concat(F.array_join(F.transform(p["spans"], piece), ""), F.substr(p["text"], last + 1, F.length(p["text"])))
 
-    whole = F.struct(text.alias("text"), spans.alias("spans"), tags.alias("tags"))
+    whole = F.struct(text.alias("text"), spans.alias("spans"), each.alias("each"))
     return F.when(F.size(spans) == 0, text).otherwise(let(whole, assembled))
 
 
@@ -138,14 +181,14 @@ def deidentify(docs: DataFrame) -> DataFrame:
     A text that already holds a placeholder of ours cannot be restored, so it is marked
     ``quarantined``.
     """
-    categories = "|".join(c for c, _, _ in fv.PII_DETECTORS)
+    categories = "|".join(CATEGORIES)
     base = with_spans(docs).withColumn("spans", resolved(F.col("spans")))
-    base = base.withColumn("tags", tags_of(F.col("spans")))
+    base = base.withColumn("named", named(F.col("spans"))).withColumn("tags", F.col("named.tags"))
     return base.select(
         *[c for c in docs.columns],
         "spans",
         "tags",
-        masked(F.col("text"), F.col("spans"), F.col("tags")).alias("masked_text"),
+        masked(F.col("text"), F.col("spans"), F.col("named.each")).alias("masked_text"),
         F.size("spans").alias("spans_detected"),
         F.size("tags").alias("pii_entity_count"),
         F.col("text").rlike(rf"\[(?:{categories})_\d+\]").alias("quarantined"),

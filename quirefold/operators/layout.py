@@ -9,6 +9,7 @@ from quirefold import fixed_values as fv
 from quirefold.functions.text import strip
 
 PAGE = ["doc_id", "page_number"]
+SCANNED_BELOW = 50
 
 
 def _is_text(c: str = "text") -> Column:
@@ -63,31 +64,59 @@ def heading(text: Column) -> Column:
     return F.when(line.rlike("(?U)" + fv.SECTION_HEADING) & (F.length(line) < 80), line)
 
 
-def section_carry(blocks: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Ordered blocks with the section each belongs to.
+def page_sections(blocks: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ordered blocks with the last heading above each on its page (in_page), and per page what it takes over.
 
-    ``blocks`` as :func:`reading_order` returns them. Headings take effect in raw block
-    order; a page hands on the section of its last block in reading order, unless it is a
-    scanned page: little text and, by ``cells`` (doc_id, page_number), no table. The hand-over runs over one summary row per page, not over blocks.
+    The second table has a row for every page with text or a table: carry_in, the section handed on to it, and ``read``, false for scanned pages
+    (little text and, by ``cells``: doc_id, page_number, no table). A page hands on the section of its last block in
+    reading order unless it is scanned. This runs over one row per page, not over blocks.
     """
     raw = Window.partitionBy(*PAGE).orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = blocks.withColumn("in_page", F.last("heading", ignorenulls=True).over(raw))
     pages = marked.groupBy(*PAGE).agg(
         F.max_by("in_page", "reading_no").alias("carry_out"), F.sum("chars").alias("chars")
     )
-    read = F.col("chars") >= 50
+    read = F.coalesce(F.col("chars") >= SCANNED_BELOW, F.lit(False))
     if cells is not None:
-        pages = pages.join(cells.select(*PAGE, F.lit(True).alias("has_table")).distinct(), PAGE, "left")
+        pages = pages.join(cells.select(*PAGE, F.lit(True).alias("has_table")).distinct(), PAGE, "full_outer")
         read = read | F.col("has_table").isNotNull()
-    pages = pages.withColumn("carry_out", F.when(read, F.col("carry_out")))
+    pages = pages.withColumn("read", read)
     before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    carried = pages.select(*PAGE, F.last("carry_out", ignorenulls=True).over(before).alias("carry_in"))
-    joined = marked.join(carried, PAGE)
+    carry = F.last(F.when(F.col("read"), F.col("carry_out")), ignorenulls=True).over(before)
+    return marked, pages.select(*PAGE, carry.alias("carry_in"), "read")
+
+
+def section_carry(blocks: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Ordered blocks with the section each belongs to.
+
+    ``blocks`` as :func:`reading_order` returns them, ``cells`` as in :func:`page_sections`. Headings take effect in raw block order.
+    """
+    marked, pages = page_sections(blocks, cells)
+    joined = marked.join(pages.drop("read"), PAGE)
     section = F.coalesce("in_page", "carry_in", F.lit(fv.FIRST_SECTION))
     return joined.withColumn("section_title", section).drop("in_page", "carry_in", "heading", "chars")
 
 
-def scanned_pages(blocks: DataFrame, cells: DataFrame | None = None, minimum: int = 50) -> DataFrame:
+def page_stream(blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """Raw page blocks and table cells (doc_id, page_number, table_no, row, col, cell) as one ordered stream of text blocks.
+
+    Rows: doc_id, page_number, kind, no (in this order), column_id, text, section_title and box. A page's tables come first (kind 0, column -1,
+    no box, the section handed on to the page), as Markdown; its text follows in reading order (kind 1). Scanned pages without a table are left out.
+    """
+    marked, pages = page_sections(reading_order(blocks), cells)
+    box = ["x0", "y0", "x1", "y1"]
+    text = marked.join(pages.where("read"), PAGE).select(
+        *PAGE, F.lit(1).alias("kind"), F.col("reading_no").cast("long").alias("no"), "column_id", "text",
+        F.coalesce("in_page", "carry_in", F.lit(fv.FIRST_SECTION)).alias("section_title"), *box,
+    )
+    tables = table_markdown(cells, *PAGE, "table_no").join(pages, PAGE).select(
+        *PAGE, F.lit(0).alias("kind"), F.col("table_no").cast("long").alias("no"), F.lit(-1).alias("column_id"), F.col("markdown").alias("text"),
+        F.coalesce("carry_in", F.lit(fv.FIRST_SECTION)).alias("section_title"), *[F.lit(None).cast("double").alias(c) for c in box],
+    )
+    return tables.unionByName(text)
+
+
+def scanned_pages(blocks: DataFrame, cells: DataFrame | None = None, minimum: int = SCANNED_BELOW) -> DataFrame:
     """Pages that need character recognition: too little text and no table."""
     text = blocks.groupBy(*PAGE).agg(
         F.sum(F.when(_is_text(), F.length(strip(F.col("text")))).otherwise(0)).alias("chars")

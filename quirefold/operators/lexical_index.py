@@ -37,40 +37,44 @@ SEED_SHARE = 0.1
 SLACK = 1e-6
 
 
-def _blocks(batches):
-    """Blocks of a sorted part: a term's postings, at most ``BLOCK`` of them, the heaviest first."""
-    held, no, part = None, 0, TaskContext.get().partitionId()
-
-    def cut(table: pa.Table, last: bool):
-        nonlocal no
-        term = table["term"].combine_chunks()
-        n = len(term)
-        new = np.ones(n, bool)
-        if n > 1:
-            new[1:] = np.not_equal(*(pc.dictionary_encode(term).indices.to_numpy()[s] for s in (slice(1, None), slice(None, -1))))
-        first = np.flatnonzero(new)
-        place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-        starts = np.flatnonzero(place % BLOCK == 0)
-        done = len(starts) if last else len(starts) - 1  # the last block may go on in the next batch
-        ends = np.append(starts, n)[1 : done + 1]
-        starts = starts[:done]
-        upto = int(ends[-1]) if done else 0
-        offsets = pa.array(np.append(starts, upto).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, table[c].combine_chunks().slice(0, upto)) for c in ("chunk_id", "weight")]
-        ids = pa.array(part * (1 << 33) + no + np.arange(done), pa.int64())
-        no += done
-        top = table["weight"].to_numpy()[starts]
-        out = pa.RecordBatch.from_arrays([term.take(pa.array(starts)), ids, pa.array(top), pa.array((ends - starts).astype(np.int32)), *lists], names=["term", "block", "top", "n", "chunk_ids", "weights"])
-        return out, table.slice(upto)
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows >= 8 * BLOCK:
-            out, held = cut(held.combine_chunks(), False)
-            yield out
-    if held is not None and held.num_rows:
-        yield cut(held.combine_chunks(), True)[0]
+def _blocks(block: int):
+    """Blocks of a sorted part: a term's postings, at most ``block`` of them, the heaviest first."""
+
+    def run(batches):
+        held, no, part = None, 0, TaskContext.get().partitionId()
+
+        def cut(table: pa.Table, last: bool):
+            nonlocal no
+            term = table["term"].combine_chunks()
+            n = len(term)
+            new = np.ones(n, bool)
+            if n > 1:
+                new[1:] = np.not_equal(*(pc.dictionary_encode(term).indices.to_numpy()[s] for s in (slice(1, None), slice(None, -1))))
+            first = np.flatnonzero(new)
+            place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+            starts = np.flatnonzero(place % block == 0)
+            done = len(starts) if last else len(starts) - 1  # the last block may go on in the next batch
+            ends = np.append(starts, n)[1 : done + 1]
+            starts = starts[:done]
+            upto = int(ends[-1]) if done else 0
+            offsets = pa.array(np.append(starts, upto).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, table[c].combine_chunks().slice(0, upto)) for c in ("chunk_id", "weight")]
+            ids = pa.array(part * (1 << 33) + no + np.arange(done), pa.int64())
+            no += done
+            top = table["weight"].to_numpy()[starts]
+            out = pa.RecordBatch.from_arrays([term.take(pa.array(starts)), ids, pa.array(top), pa.array((ends - starts).astype(np.int32)), *lists], names=["term", "block", "top", "n", "chunk_ids", "weights"])
+            return out, table.slice(upto)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows >= 8 * block:
+                out, held = cut(held.combine_chunks(), False)
+                yield out
+        if held is not None and held.num_rows:
+            yield cut(held.combine_chunks(), True)[0]
+
+    return run
 
 
 @dataclass
@@ -89,7 +93,7 @@ class LexicalIndex:
         return lambda tf, length: lx.bm25_weight(tf, length, avg_len)
 
 
-def build_index(corpus: DataFrame, counts: DataFrame | None = None) -> LexicalIndex:
+def build_index(corpus: DataFrame, counts: DataFrame | None = None, block: int = BLOCK) -> LexicalIndex:
     """The index of texts or of a store; terms and counts alone are shuffled."""
     store = corpus if "terms" in corpus.columns else written(termed(corpus))
     counts = lx.corpus_counts(store) if counts is None else counts
@@ -98,7 +102,7 @@ def build_index(corpus: DataFrame, counts: DataFrame | None = None) -> LexicalIn
     order = ["term", F.desc("weight"), "chunk_id"]
     kind = dict(store.dtypes)["chunk_id"]
     laid = flat.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = laid.mapInArrow(_blocks, f"term string, block long, top double, n int, chunk_ids array<{kind}>, weights array<double>")
+    blocks = laid.mapInArrow(_blocks(block), f"term string, block long, top double, n int, chunk_ids array<{kind}>, weights array<double>")
     return LexicalIndex(store, counts, avg_len, written(blocks))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from quirefold import fixed_values as fv
 from quirefold.functions.text import contains_any, let, matches_any_word, strip, words
+from quirefold.operators.lexicon import with_phrase
+from quirefold.session import small_side
 
 WORD = r"\b[A-Za-z0-9\-\/]+\b"
 
@@ -115,8 +117,12 @@ def has_domain_term(c: Column, entities=None, acronyms=None, keywords=None) -> C
 
 
 def route(log: DataFrame, text: str = "text", note_id: str | None = None, assistant: str = "assistant",
-          keywords: list[str] | None = None) -> DataFrame:
-    """``log`` with intent, confidence and reason: guard first, then rules in order."""
+          keywords: list[str] | None = None, lexicon: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``log`` with intent, confidence and reason: guard first, then rules in order.
+
+    Domain keywords are a short list (``keywords``), or a ``lexicon`` (entry) of any size that the log meets in a join; ``keys`` then tell the rows
+    of the log apart.
+    """
     guarded = guard(log, text)
     s, low = F.col("sanitized_text"), F.lower(F.col("sanitized_text"))
     medical = F.col("_domain")
@@ -145,7 +151,12 @@ def route(log: DataFrame, text: str = "text", note_id: str | None = None, assist
         .when(salutation, verdict("greeting", 0.80, "salutation"))
         .otherwise(verdict("off_topic", 0.80, "unknown"))
     )
-    flagged = guarded.withColumn("_domain", has_domain_term(s, keywords=keywords))
+    if lexicon is None:
+        flagged = guarded.withColumn("_domain", has_domain_term(s, keywords=keywords))
+    else:
+        hits = small_side(with_phrase(guarded, keys, "sanitized_text", lexicon).withColumn("_hit", F.lit(True)))
+        known = has_domain_term(s, keywords=fv.ENTITIES)  # entities and abbreviations alone
+        flagged = guarded.join(hits, keys, "left").withColumn("_domain", known | F.col("_hit").isNotNull())
     return flagged.withColumn("_v", chosen).select(*guarded.columns, "_v.*")
 
 

@@ -38,7 +38,8 @@ def batch_qa(
     """Route, expand, retrieve, gate, answer or refuse, cite and verify.
 
     Only questions routed to retrieval reach it; unsafe ones get the guard's message, the others what ``replies`` holds for
-    their route. ``document_filter`` is that of hybrid_retrieve. An answer with a conflicting claim ends in the warning: there is no writer to ask again.
+    their route. ``document_filter`` is that of hybrid_retrieve. An answer with a conflicting claim is written again without that sentence and checked once
+    more; if the conflict stays it ends in the warning.
     The routed questions, the final hits and the drafts are small and read several times, so
     each is written once.
     """
@@ -50,13 +51,12 @@ def batch_qa(
     gate = confidence_gate(found, asked, threshold)
     kept = found.join(small_side(gate.filter("passed").select("query_id")), "query_id", "left_semi")
     drafted = written(an.extractive_answer(kept, asked))
-    citations = an.extract_citations(drafted, kept, documents)
-    claims = cl.extract_claims(drafted.select(F.col("query_id").alias("answer_id"), "answer"), entity_pattern)
     sources = kept.select(F.col("query_id").alias("answer_id"), F.col("rank").alias("seq"), "content")
-    verified = written(cl.verify_claims(claims, sources))
-    warned = cl.conflict_summary(verified, attempts=1).select(F.col("answer_id").alias("query_id"), "banner")
-    answered = gate.join(drafted, "query_id", "left").join(warned, "query_id", "left")
-    answer = F.when(F.col("passed"), F.concat("answer", F.coalesce("banner", F.lit("")))).otherwise(fv.NOT_FOUND_ANSWER)
+    final, verified = cl.repaired(drafted.select(F.col("query_id").alias("answer_id"), "answer"), sources, entity_pattern)
+    final = final.withColumnRenamed("answer_id", "query_id")
+    citations = an.extract_citations(final.select("query_id", "answer"), kept, documents)
+    answered = gate.join(final, "query_id", "left")
+    answer = F.when(F.col("passed"), F.col("answer")).otherwise(fv.NOT_FOUND_ANSWER)
     out = routed.join(answered.select("query_id", "best_score", "passed", answer.alias("answer")), "query_id", "left")
     said = F.coalesce("answer", "rejection_message", *[F.when(F.col("intent") == i, t) for i, t in (ql.REPLIES if replies is None else replies).items()])
     not_found = F.coalesce(~F.col("passed"), F.lit(False))

@@ -82,6 +82,14 @@ def region_cells(spark, sf_dir) -> DataFrame:
     return head.unionByName(body).select("table_no", "row", F.posexplode("v").alias("col", "cell"))
 
 
+def page_cells(spark, sf_dir) -> DataFrame:
+    """A table on the last page of every third document, often a short one, and for every sixth on a page of its own behind it."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 3 == 0)
+    last = F.floor((F.size(F.split("text", "\n")) - 1) / 8) + 1 + F.when(F.col("doc_id") % 6 == 0, 1).otherwise(0)
+    placed = docs.select("doc_id", last.cast("int").alias("page_number"), (F.col("doc_id") % 5).alias("table_no"))
+    return placed.join(F.broadcast(region_cells(spark, sf_dir)), "table_no").withColumn("table_no", F.lit(0))
+
+
 def notes(spark, sf_dir) -> DataFrame:
     """Documents opened by a patient line, so that every detector family has work."""
     docs = table(spark, sf_dir, "documents")
@@ -132,6 +140,17 @@ def answers(spark, sf_dir) -> DataFrame:
 PART_NAME = r"(?iU)\b((?:blue|cold|hot|large|new|old|red|small) (?:anvil|bolt|gear|gizmo|plate|ring|rod|widget))\b"
 
 
+def large_lexicon(spark, sf_dir, entries: list[str] | None = None) -> DataFrame:
+    """10^5 entries and more: every customer's name with suffixes, beside ``entries`` or the part names."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("entry")).distinct()
+    if entries is not None:
+        names = spark.createDataFrame([(e,) for e in entries], "entry string")
+    customers = table(spark, sf_dir, "customer")
+    times = F.sequence(F.lit(1), F.lit(max(1, -(-100_000 // max(1, customers.count())))))
+    filler = customers.select("c_custkey", F.explode(times).alias("i")).select(F.concat(F.lit("customer "), "c_custkey", F.lit(" of list "), "i").alias("entry"))
+    return names.unionByName(filler)
+
+
 def sources(answer_rows: DataFrame) -> DataFrame:
     return answer_rows.select("answer_id", F.lit(1).alias("seq"), F.col("source_text").alias("content"))
 

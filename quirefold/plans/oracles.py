@@ -133,6 +133,7 @@ ORACLES["L8_chunk_with_overlap"] = with_(
     "SELECT s.*, md5(CASE WHEN t LIKE '%.' THEN t ELSE t || '.' END) AS content_md5 FROM spans s JOIN texts USING (doc_id, chunk_index)",
     recursive=True,
 )
+ORACLES["L8_chunk_parallel"] = ORACLES["L8_chunk_with_overlap"]
 ORACLES["L8_chunk_blocks"] = with_(
     SECTIONS
     + sentence_ctes("sectioned", "doc_id, page_number, reading_no, section_title, x0, y0, x1, y1")
@@ -279,6 +280,7 @@ _DENSE = CENTROIDS + [
 _ALL = "SELECT item_id AS query_id, doc_id AS chunk_id, coalesce(score, 0)::DOUBLE AS score FROM benchmark CROSS JOIN documents LEFT JOIN {0} ON query_id = item_id AND chunk_id = doc_id"
 _TOP = "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {0} QUALIFY rank <= 20"
 ORACLES["R4_dense_topk"] = with_(_DENSE, _TOP.format("scored"))
+ORACLES["R5_cell_index"] = ORACLES["R4_dense_topk"]
 ORACLES["R4_dense_topk_filtered"] = with_(_DENSE + ["own AS (SELECT * FROM scored WHERE label = query_id)"], _TOP.format("own"))
 BANDED = _DENSE + [
     "planes AS (SELECT p, d, CASE WHEN substr(md5(p || ':' || d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS w FROM range(80) a(p), range(64) b(d))",
@@ -478,6 +480,7 @@ def route_ctes(source: str, keywords: list[str]) -> list[str]:
 
 ROUTED = INTENTS + route_ctes("intents", fv.DOMAIN_KEYWORDS)
 ORACLES["Q5_route_intent"] = with_(ROUTED, "SELECT conv_id, turn, intent, confidence, reason FROM routed")
+ORACLES["Q5_route_lexicon"] = ORACLES["Q5_route_intent"]
 ORACLES["Q6_route_summary"] = with_(
     ROUTED, "SELECT intent, count(*) AS n, round(avg(confidence), 4) AS avg_confidence FROM routed GROUP BY intent"
 )
@@ -530,6 +533,7 @@ PARTS = [
 ORACLES["A4_extract_claims"] = with_(
     PARTS, "SELECT answer_id, entity, size::VARCHAR AS dosage, 'mg' AS unit, 'oral' AS route, 'daily' AS frequency, nm || ' ' || size || ' mg daily oral [1].' AS passage FROM named_parts"
 )
+ORACLES["A4_claims_lexicon"] = ORACLES["A4_extract_claims"]
 ORACLES["A5_verify_claims"] = with_(PARTS, "SELECT answer_id, entity, size::VARCHAR AS dosage, status, nli_score, explanation FROM verified")
 ORACLES["A6_enrich_entities"] = with_(
     PARTS
@@ -544,6 +548,14 @@ ORACLES["A7_conflict_summary"] = with_(
     """SELECT answer_id, (status = 'VERIFIED')::BIGINT AS n_verified, (status = 'UNSUPPORTED')::BIGINT AS n_unsupported, (status = 'CONFLICT')::BIGINT AS n_conflict,
   status = 'CONFLICT' AS needs_repair, CASE WHEN status = 'CONFLICT' THEN explanation ELSE '' END AS repair_instruction, '' AS banner FROM verified""",
 )
+ORACLES["A8_repaired"] = with_(
+    PARTS
+    + [
+        """drafts AS (SELECT *, nm || ' ' || size || ' mg daily oral [1].' AS first_, CASE WHEN size % 7 = 0 THEN '' ELSE 'Keep dry [2].' END AS rest, status = 'CONFLICT' AS bad FROM verified)"""
+    ],
+    f"""SELECT answer_id, CASE WHEN bad AND rest <> '' THEN rest WHEN bad THEN first_ || {lit(fv.REPAIR_BANNER)} WHEN rest = '' THEN first_ ELSE first_ || ' ' || rest END AS answer,
+  CASE WHEN bad AND rest <> '' THEN 2 ELSE 1 END AS n_tries, CASE WHEN bad AND rest = '' THEN 1 ELSE 0 END AS n_conflict FROM drafts""",
+)
 _replies = " ".join(f"WHEN r.intent = '{i}' THEN {lit(t)}" for i, t in REPLIES.items())
 BATCH = (
     DRAFTED
@@ -693,6 +705,19 @@ ORACLES["G3_rate_audit"] = with_(
     ],
     "SELECT * FROM limited WHERE n_in_window > max_requests",
 )
+ORACLES["G3_admitted_stream"] = with_(
+    EVENTS
+    + [
+        """r AS (SELECT event_id, user_id, event_type, us, CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE 2 END AS most,
+  CASE WHEN event_type IN ('signup', 'view') THEN 7200000000 ELSE 21600000000 END AS span, row_number() OVER (PARTITION BY user_id, event_type ORDER BY us, event_id) AS n FROM e)""",
+        """adm(event_id, user_id, event_type, us, most, n, held, ok) AS (
+  SELECT event_id, user_id, event_type, us, most, n, [us], true FROM r WHERE n = 1
+  UNION ALL SELECT event_id, user_id, event_type, us, most, n, CASE WHEN len(live) < most THEN list_append(live, us) ELSE live END, len(live) < most
+  FROM (SELECT r.*, list_filter(adm.held, lambda t: t > r.us - r.span) AS live FROM adm JOIN r ON r.user_id = adm.user_id AND r.event_type = adm.event_type AND r.n = adm.n + 1))""",
+    ],
+    """SELECT event_id AS request_id, user_id AS "user", event_type AS scope, us, most AS max_requests, ok AS admitted FROM adm""",
+    True,
+)
 ORACLES["G4_rate_stream"] = with_(
     EVENTS, """SELECT user_id AS "user", event_type AS scope, us // 3600000000 * 3600000000 AS window_us, count(*) AS n FROM e GROUP BY ALL"""
 )
@@ -756,4 +781,40 @@ UNION ALL SELECT conv_id, last, NULL, NULL, NULL, ']}' FROM ends"""
 ORACLES["S8_bulk_ingest"] = with_(
     CHUNKED, "SELECT doc_id, count(*) AS n_chunks, 1 AS n_pages FROM spans WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id", True
 )
+_FAILING = "n_chars > 10000 OR length(text) <> n_chars"
+INGEST = (
+    [f"sound AS (SELECT * FROM documents WHERE NOT ({_FAILING}))"]
+    + [c.replace("FROM documents", "FROM sound") for c in SECTIONS[:-3]]
+    + [
+        """tabled AS (SELECT doc_id, CAST((len(string_split(text, chr(10))) - 1) // 8 + 1 + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS INT) AS page_number, doc_id % 5 AS region
+  FROM sound WHERE doc_id % 3 = 0)""",
+        "markdown_ AS (" + ORACLES["L5_table_markdown"].replace("WITH body AS", "WITH cells_ AS").replace("FROM body", "FROM cells_") + ")",
+        "texts_ AS (SELECT doc_id, page_number, sum(length(text)) AS chars, max_by(coalesce(in_page, chr(0)), reading_no) AS carry FROM within GROUP BY ALL)",
+        "pages_ AS (SELECT doc_id, page_number, coalesce(chars >= 50, false) OR region IS NOT NULL AS read_, carry FROM texts_ FULL JOIN tabled USING (doc_id, page_number))",
+        """carried AS (SELECT doc_id, page_number, read_, last_value(CASE WHEN read_ THEN nullif(carry, chr(0)) END IGNORE NULLS)
+  OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carry_in FROM pages_)""",
+        f"""stream_ AS (SELECT doc_id, page_number, 1 AS kind, reading_no AS no, text, coalesce(in_page, carry_in, '{fv.FIRST_SECTION}') AS section_title, x0, y0, x1, y1
+  FROM within JOIN carried USING (doc_id, page_number) WHERE read_
+  UNION ALL SELECT doc_id, page_number, 0, 0, markdown, coalesce(carry_in, '{fv.FIRST_SECTION}'), NULL, NULL, NULL, NULL
+  FROM tabled JOIN markdown_ ON table_no = region JOIN carried USING (doc_id, page_number))""",
+    ]
+    + sentence_ctes("stream_", "doc_id, page_number, kind, no, section_title, x0, y0, x1, y1")
+    + ["numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, kind, no, k) AS n FROM sent)"]
+    + CHUNK_FOLD
+)
+ORACLES["S8_ingest_pages"] = with_(
+    INGEST,
+    """SELECT s.doc_id, chunk_index, min_by(page_number, m.n) AS page_number, min_by(section_title, m.n) AS section_title, token_count, count(*) AS sentence_count,
+  coalesce(min(x0), 0) AS x0, coalesce(min(y0), 0) AS y0, coalesce(max(x1), 0) AS x1, coalesce(max(y1), 0) AS y1,
+  md5(string_agg(sentence, ' ' ORDER BY m.n) || CASE WHEN max_by(sentence, m.n) LIKE '%.' THEN '' ELSE '.' END) AS content_md5
+FROM spans s JOIN numbered m ON m.doc_id = s.doc_id AND m.n BETWEEN first_sentence AND last_sentence GROUP BY s.doc_id, chunk_index, token_count""",
+    recursive=True,
+)
+ORACLES["S8_ingest_pages_audit"] = with_(
+    INGEST + ["per AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)"],
+    f"""SELECT doc_id, CASE WHEN {_FAILING} THEN 'FAILED' ELSE 'COMPLETED' END AS status, coalesce(n, 0) AS chunks_created,
+  CASE WHEN n_chars > 10000 THEN 'text too large' WHEN length(text) <> n_chars THEN 'size mismatch' ELSE '' END AS error_message,
+  CASE WHEN {_FAILING} THEN 10 ELSE 100 END AS progress FROM documents LEFT JOIN per USING (doc_id)""",
+    recursive=True,
+)
 ORACLES["S9_denormalize_names"] = "SELECT c_custkey, c_nationkey, n_name AS nation_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey"

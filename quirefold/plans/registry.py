@@ -11,7 +11,7 @@ from quirefold import fixed_values as fv
 from quirefold.functions import text as tx
 from quirefold.functions import vectors as vec
 from quirefold.operators import answers as an
-from quirefold.operators import chunking, deid, dense, fusion, governance, layout, lexical, lexical_index
+from quirefold.operators import cells, chunk_stream, chunking, deid, dense, fusion, governance, layout, lexical, lexical_index
 from quirefold.operators import claims as cl
 from quirefold.operators import evaluation as ev
 from quirefold.operators import querylog as ql
@@ -80,6 +80,13 @@ def _(spark, sf):
     return chunks.select("doc_id", "chunk_index", "first_sentence", "last_sentence", "token_count", F.md5("content").alias("content_md5"))
 
 
+@query("L8_chunk_parallel")
+def _(spark, sf):
+    """The chunks of L8 by blocks of sentences: no task folds a document."""
+    chunks = chunk_stream.chunk_sentences(chunk_stream.document_sentences(fx.table(spark, sf, "documents")), block=512)
+    return chunks.select("doc_id", "chunk_index", "first_sentence", "last_sentence", "token_count", F.md5("content").alias("content_md5"))
+
+
 @query("L8_chunk_blocks")
 def _(spark, sf):
     ordered = layout.section_carry(layout.reading_order(fx.blocks(spark, sf)))
@@ -201,6 +208,19 @@ def _(spark, sf):
     return dense.dense_topk_approx(fx.centroids(spark, sf), fx.vectors(spark, sf), dim=64)
 
 
+@query("R5_cell_index")
+def _(spark, sf):
+    """Cells are read by bound until the k-th score is safe, so the result is that of a scan."""
+    return cells.cell_topk(fx.centroids(spark, sf), cells.build_cells(fx.vectors(spark, sf)))
+
+
+@query("R5_cell_recall")
+def _(spark, sf):
+    """Share of the exact lists that a search of the nearest cells with 70 % of the vectors finds."""
+    index, asked = cells.build_cells(fx.vectors(spark, sf)), fx.centroids(spark, sf)
+    return dense.recall_of(cells.cell_topk(asked, index, share=0.7, exact=False), dense.dense_topk(asked, fx.vectors(spark, sf)))
+
+
 @query("R5_recall")
 def _(spark, sf):
     q, c = fx.centroids(spark, sf), fx.vectors(spark, sf)
@@ -369,6 +389,14 @@ def _(spark, sf):
     return ql.route(fx.intent_log(spark, sf)).select("conv_id", "turn", "intent", "confidence", "reason")
 
 
+@query("Q5_route_lexicon")
+def _(spark, sf):
+    """Routing where the domain words are a lexicon of 10^5 phrases."""
+    lexicon = fx.large_lexicon(spark, sf, fv.DOMAIN_KEYWORDS)
+    routed = ql.route(fx.intent_log(spark, sf), lexicon=lexicon, keys=["conv_id", "turn"])
+    return routed.select("conv_id", "turn", "intent", "confidence", "reason")
+
+
 @query("Q6_route_summary")
 def _(spark, sf):
     return ql.route_summary(ql.route(fx.intent_log(spark, sf)))
@@ -409,6 +437,13 @@ def _(spark, sf):
     return claims.select("answer_id", "entity", "dosage", "unit", "route", "frequency", "passage")
 
 
+@query("A4_claims_lexicon")
+def _(spark, sf):
+    """Claims about any of 10^5 names."""
+    claims = cl.extract_claims(fx.answers(spark, sf), lexicon=fx.large_lexicon(spark, sf))
+    return claims.select("answer_id", "entity", "dosage", "unit", "route", "frequency", "passage")
+
+
 def _verified(spark, sf):
     rows = fx.answers(spark, sf)
     return cl.verify_claims(cl.extract_claims(rows, fx.PART_NAME), fx.sources(rows))
@@ -456,6 +491,14 @@ def _(spark, sf):
     return v.select(F.col("answer_id").alias("query_id"), "entity", "dosage", "status", "nli_score", "explanation")
 
 
+@query("A8_repaired")
+def _(spark, sf):
+    """Answers about parts after the repair round; every seventh size leaves no other sentence to fall back to."""
+    rows = fx.answers(spark, sf).join(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("answer_id"), "p_size"), "answer_id")
+    drafts = rows.withColumn("answer", F.when(F.col("p_size") % 7 == 0, F.regexp_replace("answer", " Keep dry.*$", "")).otherwise(F.col("answer")))
+    return cl.repaired(drafts, fx.sources(rows), fx.PART_NAME)[0]
+
+
 @query("A9_parse_generated_items")
 def _(spark, sf):
     return an.parse_cards(fx.replies(spark, sf), topic="topic", reference="book", fallback=fx.card_fallback(spark))
@@ -590,6 +633,20 @@ def _(spark, sf):
     return governance.rate_audit(fx.requests(spark, sf).drop("ts"), fx.request_limits(spark))
 
 
+@query("G3_admitted_stream")
+def _(spark, sf):
+    """Only admitted requests count; the stream is stopped after its first files and started again."""
+    rows = fx.requests(spark, sf).select("request_id", "user", "scope", F.timestamp_micros("us").alias("ts"), "us")
+    files, span_us = sj.staged_in_order(rows, "us", 3, "user")
+    sj.state_store(spark)
+    out, marks, kind = shared_dir(spark), shared_dir(spark), "request_id long, user long, scope string, ts timestamp, us long"
+    for most in (1, 2):  # the second run goes on from the first one's checkpoint
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", most).parquet(files)
+        admitted = sj.admitted_stream(stream, fx.request_limits(spark), late=f"{span_us // 1_000_000 + 1} seconds")
+        sj.run_to_end(admitted, "append", sj.batch_writer(out), marks, batches=2 if most == 1 else None)
+    return spark.read.parquet(out).drop("batch_id")
+
+
 @query("G4_rate_stream")
 def _(spark, sf):
     rows = fx.requests(spark, sf).select("user", "scope", F.timestamp_micros("us").alias("ts"), "us")
@@ -685,7 +742,7 @@ def _(spark, sf):
     root, batch = shared_dir(spark), _batch(spark, sf)
     for _attempt in range(2):  # a repeated run replaces its own rows
         persist_batch(fx.questions(spark, sf), batch, root, "run1")
-    conversations, messages, cited = (spark.read.parquet(f"{root}/{t}") for t in ("conversations", "messages", "citations"))
+    conversations, messages, cited = (sinks.finished(spark, root, t) for t in ("conversations", "messages", "citations"))
     counts = cited.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
     back = conversations.join(messages.drop("run_id"), "conv_id").join(counts, ["conv_id", "turn"], "left")
     return back.select(
@@ -714,6 +771,24 @@ def _(spark, sf):
     return ingest.bulk_ingest(corpus_source.unregistered(manifest, known))[1]
 
 
+def _pages(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    checks = {"text too large": F.col("n_chars") > 10_000, "size mismatch": F.length("text") != F.col("n_chars")}
+    return ingest.ingest_pages(docs, fx.blocks(spark, sf), fx.page_cells(spark, sf), checks, block=512)
+
+
+@query("S8_ingest_pages")
+def _(spark, sf):
+    """Pages to chunks: tables before text, scanned pages out, failing documents left aside."""
+    chunks = _pages(spark, sf)[0]
+    return chunks.select("doc_id", "chunk_index", "page_number", "section_title", "token_count", "sentence_count", "x0", "y0", "x1", "y1", F.md5("content").alias("content_md5"))
+
+
+@query("S8_ingest_pages_audit")
+def _(spark, sf):
+    return _pages(spark, sf)[1]
+
+
 @query("S9_denormalize_names")
 def _(spark, sf):
     nation = fx.table(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey")

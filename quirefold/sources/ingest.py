@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.operators.chunk_stream import BLOCK, block_sentences, chunk_sentences
 from quirefold.operators.chunking import chunk_documents
+from quirefold.operators.layout import page_stream
 from quirefold.session import small_side
 
 
@@ -37,6 +39,20 @@ def ingest_audit(docs: DataFrame, chunks: DataFrame, checks: dict[str, Column])
     )
 
 
+def ingest_pages(docs: DataFrame, blocks: DataFrame, cells: DataFrame, checks: dict[str, Column], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Chunks of all pages, and the audit of all documents.
+
+    ``docs``: the manifest, doc_id and what the ``checks`` read. A document that fails one of them has no chunk and its message in the audit; the
+    others go on. Tables and text of a page make one stream (see page_stream), which is cut in blocks of sentences, so no
+    task holds a document.
+    """
+    failed = F.coalesce(*[F.when(bad, True) for bad in checks.values()], F.lit(False))
+    sound = docs.where(~failed).select("doc_id")
+    stream = page_stream(blocks.join(small_side(sound), "doc_id", "left_semi"), cells.join(small_side(sound), "doc_id", "left_semi"))
+    chunks = chunk_sentences(block_sentences(stream, "page_number", "kind", "no"), block=block)
+    return chunks, ingest_audit(docs, chunks, checks)
+
+
 def ingest_summary(audit: DataFrame) -> DataFrame:
     return audit.groupBy("status").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("chunks_created").alias("n_chunks"))
 

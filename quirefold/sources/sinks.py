@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +35,56 @@ def upsert_chunks(spark: SparkSession, path: str, incoming: DataFrame, n_buckets
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
 
 
-def persist_answers(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
-    """Append one run's tables; a repeated run overwrites its own partition only."""
+def persist_answers(tables: dict[str, DataFrame], root: str, run_id: str) -> str:
+    """Write one run's tables so that they appear together; the attempt's name.
+
+    Every attempt has folders of its own. The table of finished runs, written last, names the attempt that counts for a run, and
+    :func:`finished` reads nothing else: an attempt that died, or the one that a repeated run replaces, is never seen beside it.
+    """
+    attempt = uuid.uuid4().hex
+    spark = None
     for name, df in tables.items():
-        df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("run_id").parquet(f"{root}/{name}")
+        spark = df.sparkSession
+        df.withColumn("run_id", F.lit(run_id)).withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("run_id", "attempt").parquet(f"{root}/{name}")
+    done = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(attempt).alias("attempt"))
+    done.coalesce(1).write.mode("append").parquet(f"{root}/{FINISHED}")
+    return attempt
+
+
+FINISHED = "finished_runs"
+
+
+def finished_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, attempt) of the finished runs, the last finished attempt of each; empty where none is."""
+    try:
+        rows = spark.read.parquet(f"{root}/{FINISHED}").select("*", "_metadata.file_modification_time", "_metadata.file_path")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "run_id string, attempt string")
+    return rows.groupBy("run_id").agg(F.max_by("attempt", F.struct("file_modification_time", "file_path")).alias("attempt"))
+
+
+def finished(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One table's rows of finished runs."""
+    rows = spark.read.parquet(f"{root}/{name}")
+    rows = rows.withColumn("run_id", F.col("run_id").cast("string")).withColumn("attempt", F.col("attempt").cast("string"))
+    return rows.join(small_side(finished_runs(spark, root)), ["run_id", "attempt"]).select(*[c for c in rows.columns if c != "attempt"])
+
+
+def sweep(spark: SparkSession, root: str, names: list[str]) -> int:
+    """Remove the attempts that no finished run counts; how many folders went. Not while a run is being written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    kept = {(r.run_id, r.attempt) for r in finished_runs(spark, root).toLocalIterator()}
+    gone = 0
+    for name in names:
+        found = files.globStatus(hadoop.Path(f"{root}/{name}/run_id=*/attempt=*"))
+        for status in found or []:
+            at = status.getPath()
+            if (unquote(at.getParent().getName()[7:]), at.getName()[8:]) not in kept:
+                gone += files.delete(at, True)
+    return gone
 
 
 def conversation_title(query: Column) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quirefold import fixed_values as fv
@@ -68,10 +71,30 @@ def sm2_stream(reviews: DataFrame) -> DataFrame:
     return slim.groupBy("card_id").applyInPandasWithState(update, CARD, CARD_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, mode: str, sink, checkpoint: str) -> None:
-    """Drain what is there and stop; ``sink(batch, batch_id)`` must be idempotent per batch."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+def run_to_end(stream: DataFrame, mode: str, sink, checkpoint: str, batches: int | None = None) -> None:
+    """Drain what is there and stop; ``sink(batch, batch_id)`` must be idempotent per batch.
+
+    With ``batches`` the query is stopped once so many micro-batches of this run are done; a later run goes on from the checkpoint.
+    """
+    done = []
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        if batches is None or len(done) < batches:
+            sink(batch, batch_id)
+            done.append(batch_id)
+        else:
+            raise _Enough
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(counted).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    except StreamingQueryException:
+        if batches is None or len(done) < batches:
+            raise
+
+
+class _Enough(Exception):
+    pass
 
 
 def batch_writer(path: str):
@@ -101,6 +124,87 @@ def rate_stream(requests: DataFrame, window: str = "1 minute", slide: str | None
     return counts.select("user", "scope", F.col("w.start").alias("window_start"), "n")
 
 
+ADMITTED = "request_id long, user long, scope string, us long, max_requests int, admitted boolean"
+
+
+class _Throttle(StatefulProcessor):
+    """Per user and scope the times of the accepted requests that still count, as many as the limit at most."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.accepted = handle.getListState("accepted", T.StructType([T.StructField("us", T.LongType())]))
+        self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        log = pd.concat(list(rows)).sort_values(["us", "request_id"])
+        held = [r[0] for r in self.accepted.get()] if self.accepted.exists() else []
+        said = []
+        for us, most, span in zip(log["us"].tolist(), log["max_requests"].tolist(), log["span"].tolist()):
+            held = [t for t in held if t > us - span]
+            said.append(len(held) < most)
+            if said[-1]:
+                held.append(us)
+        if held:
+            self.accepted.put([(t,) for t in held])
+        # a key is forgotten once its last accepted request no longer counts
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        expiry = max(int(log["us"].max() + log["span"].max()) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(expiry)
+        self.timer.update((expiry,))
+        log = log.assign(admitted=said)
+        yield log[["request_id", "user", "scope", "us", "max_requests", "admitted"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        self.timer.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def admitted_stream(requests: DataFrame, limits: DataFrame, late: str = "5 minutes") -> DataFrame:
+    """Whether each request is let through when only requests that were let through count.
+
+    ``requests``: request_id, user, scope, us, ts (event time); ``limits``: scope, max_requests, seconds, broadcast as they are one row per
+    scope. A request passes if fewer than ``max_requests`` accepted ones lie in the ``seconds`` before it; requests of one micro-batch are taken
+    in order of time and id. State is one short list of times per user and scope, dropped by a timer. Batches must arrive in
+    order up to ``late``; the operator leaves out rows later than that, which :func:`admission_sink` tells apart beforehand.
+    The session needs the RocksDB state store (``state_store``).
+    """
+    sized = requests.join(F.broadcast(limits), "scope").withColumn("span", F.col("seconds").cast("long") * 1_000_000)
+    rows = sized.select("request_id", "user", "scope", "us", "ts", "max_requests", "span").withWatermark("ts", late)
+    return rows.groupBy("user", "scope").transformWithStateInPandas(_Throttle(), ADMITTED, "Append", "eventTime")
+
+
+def state_store(spark: SparkSession) -> None:
+    """Use RocksDB for the state of the session's streams, which list state and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def admission_sink(path: str, late_us: int):
+    """Per micro-batch: requests later than ``late_us`` behind the newest of all earlier batches go to a table of their own.
+
+    Returns a splitter for the raw batches: on-time rows are written to ``path``/ontime, the others to ``path``/late, each batch in a folder of its
+    own, which a replay overwrites. The newest time so far is read back from the folders of earlier batches.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = None
+        if batch_id:
+            before = spark.read.parquet(f"{path}/newest").where(F.col("batch_id") < batch_id)
+            newest = before.agg(F.max("us")).first()[0]
+        bound = F.lit(newest - late_us if newest is not None else None).cast("long")
+        late = F.coalesce(F.col("us") < bound, F.lit(False))
+        batch.where(~late).write.mode("overwrite").parquet(f"{path}/ontime/batch_id={batch_id}")
+        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        batch.agg(F.max("us").alias("us")).write.mode("overwrite").parquet(f"{path}/newest/batch_id={batch_id}")
+
+    return write
+
+
 def note_sink(root: str, mapping_root: str, delimiter: str = "\n\n"):
     """Per micro-batch: mask notes, check them, and write masked text, mapping and paragraphs.
 

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quirefold.session import shared_dir
@@ -41,8 +43,27 @@ def test_persisted_runs_replace_themselves(spark):
     df = spark.createDataFrame([(1, "x" * 80)], "conv_id long, q string").select("conv_id", sinks.conversation_title(F.col("q")).alias("title"))
     for run in ("a", "a", "b"):
         sinks.persist_answers({"conversations": df}, root, run)
-    back = spark.read.parquet(f"{root}/conversations")
-    assert back.count() == 2 and len(back.first()["title"]) == 60
+    back = sinks.finished(spark, root, "conversations")
+    assert back.count() == 2 and len(back.first()["title"]) == 60 and back.columns == ["conv_id", "title", "run_id"]
+    assert sinks.sweep(spark, root, ["conversations"]) == 1 and sinks.sweep(spark, root, ["conversations"]) == 0
+    assert sinks.finished(spark, root, "conversations").count() == 2
+
+
+def test_a_run_that_dies_between_two_tables_is_not_seen(spark):
+    root = shared_dir(spark)
+    first, second = (spark.createDataFrame([(1, t)], "conv_id long, text string") for t in ("old", "new"))
+    broken = second.select("conv_id", F.raise_error(F.lit("lost")).alias("text"))
+    for tables in ({"a": second, "b": broken},):
+        with pytest.raises(Exception, match="lost"):
+            sinks.persist_answers(tables, root, "r")
+    assert sinks.finished(spark, root, "a").count() == 0
+    sinks.persist_answers({"a": first, "b": first}, root, "r")
+    with pytest.raises(Exception, match="lost"):
+        sinks.persist_answers({"a": second, "b": broken}, root, "r")
+    assert [r.text for t in "ab" for r in sinks.finished(spark, root, t).collect()] == ["old", "old"]
+    assert sinks.sweep(spark, root, ["a", "b"]) >= 2
+    sinks.persist_answers({"a": second, "b": second}, root, "r")
+    assert [r.text for t in "ab" for r in sinks.finished(spark, root, t).collect()] == ["new", "new"]
 
 
 def test_a_long_conversation_is_one_document(spark):
