@@ -10,10 +10,10 @@ brought together without sorting all suffixes of the corpus:
    many anchors at once, up to ``BATCH`` bytes. On its Burrows-Wheeler transform, intervals of equal prefixes are extended backward breadth
    first (from the ranks of 32-byte prefixes, which the construction of the transform yields anyway), which sets the common prefix of neighbouring suffixes by increasing value. The expansion stops at ``limit``:
    what is unset then shares at least ``limit`` bytes.
-4. An anchor with more than ``GROUP`` different segments would make a large group. Its windows are halved by their distance to the anchor, and the
-   bytes common to a half join the key, until groups are small; at single windows the key is the whole window. Nothing is capped.
+4. An anchor with more than ``GROUP`` different segments would make a large group. Its windows are parted by their distance to the anchor, four parts at a time, and the
+   bytes common to a part join the key, until groups are small; at single windows the key is the whole window. Nothing is capped.
 
-Segments, anchors and halves are joined by 64-bit hashes of their bytes.
+Segments, anchors and parts are joined by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -216,36 +216,41 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, start, end): byte ranges covered by repeated strings, possibly overlapping; ``row`` as in row_key."""
-    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where(F.octet_length("text") >= limit)
+def repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """(row, start, end): byte ranges covered by repeated strings, possibly overlapping; ``row`` as in row_key, or ``key`` where one is given.
+
+    What each round finds is written before the next one, so a plan holds one round and a lost executor costs one.
+    """
+    row = row_key(id_col, text_col) if key is None else key
+    texts = docs.select(row.alias("row"), F.col(text_col).alias("text")).where(F.octet_length("text") >= limit)
     found = texts.mapInArrow(A.tidy(_find_segments(limit)), SEGMENTS)
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("n > 1").select("anchor", F.expr("s0 = s1").alias("uniform"))
+    anchors = written(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("n > 1").select("anchor", F.expr("s0 = s1").alias("uniform")))
     again = written(found.join(anchors, "anchor"))
-    covered = [again.where("uniform").select("row", F.col("lo").alias("start"), (F.col("hi") + limit).alias("end"))]
+    span = ["row", F.col("lo").alias("start"), (F.col("hi") + limit).alias("end")]
 
     kinds = written(
         again.where("not uniform").groupBy("anchor", "seg").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo", "hi", "apos")).alias("one"))
         .select("anchor", "seg", "c", "one.*")
     )
     twice = kinds.where("c > 1").select("anchor", "seg")
-    covered.append(again.where("not uniform").join(twice, ["anchor", "seg"]).select("row", F.col("lo").alias("start"), (F.col("hi") + limit).alias("end")))
+    covered = [again.where("uniform").select(*span), written(again.where("not uniform").join(twice, ["anchor", "seg"], "left_semi").select(*span))]
     wanted = kinds.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "lo", "hi", "apos")).alias("wanted"))
     wanted_filter = A.IdFilter.of(kinds.select("row").distinct(), "row")
     near = texts.withColumn("slot", A.IdFilter.slot_column("row")).mapInArrow(A.tidy(_maybe(wanted_filter, ["row", "text"])), "row long, text string")
     rows = written(near.join(wanted, "row").mapInArrow(A.tidy(_cut(limit)), f"{SEGMENTS}, body binary"))
     cell = limit - min(ANCHOR, limit) + 1
     while True:
-        sizes = rows.groupBy("anchor").agg(F.count("*").alias("variants"))
-        small = rows.join(sizes.where(f"variants between 2 and {GROUP}").select("anchor"), "anchor", "left_semi").select("anchor", "row", "lo", "body")
-        covered.append(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(A.tidy(_expand(limit)), "row long, start long, end long"))
-        big = rows.join(sizes.where(f"variants > {GROUP}").select("anchor"), "anchor", "left_semi")
-        if cell == 1 or big.isEmpty():
+        sizes = written(rows.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"))
+        small = rows.join(sizes.where(f"variants <= {GROUP}").select("anchor"), "anchor", "left_semi").select("anchor", "row", "lo", "body")
+        covered.append(written(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(A.tidy(_expand(limit)), "row long, start long, end long")))
+        large = sizes.where(f"variants > {GROUP}").select("anchor")
+        if cell == 1 or large.isEmpty():
             break
-        cell = -(-cell // 2)
-        parts = written(big.select("anchor", "seg", "row", "lo", "hi", "apos", "body").mapInArrow(A.tidy(_halve(limit, cell)), f"{SEGMENTS}, body binary"))
-        same = parts.groupBy("anchor", "seg").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo")).alias("one"))
-        covered.append(parts.join(same.where("c > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select("row", F.col("lo").alias("start"), (F.col("hi") + limit).alias("end")))
+        cell = -(-cell // 4)
+        big = rows.join(large, "anchor", "left_semi").select("anchor", "seg", "row", "lo", "hi", "apos", "body")
+        parts = written(big.mapInArrow(A.tidy(_halve(limit, cell)), f"{SEGMENTS}, body binary"))
+        same = written(parts.groupBy("anchor", "seg").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo")).alias("one")))
+        covered.append(written(parts.join(same.where("c > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select(*span)))
         rows = written(parts.join(same.select("anchor", "seg", F.col("one.row").alias("row"), F.col("one.lo").alias("lo")), ["anchor", "seg", "row", "lo"], "left_semi").select(*rows.columns))
     out = covered[0]
     for more in covered[1:]:
@@ -287,17 +292,19 @@ def _remove(as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, key: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: id, text, kept (binary: the bytes left), n_bytes, n_removed, n_spans (maximal removed runs).
 
     With ``as_text`` kept is a string and lacks the bytes of characters that a cut split; the counts are those of the cut.
 
     Texts are UTF-8; null is empty; nothing matches across texts. Strings are judged on the input, so all occurrences go, the first included, and
     equal rows remove each other from ``limit`` bytes on. A cut may split a character. Null ids are allowed; other columns are not read.
+    Rows are told apart by ``key`` (a long; by default row_key).
     """
-    spans = written(repeats(docs, limit, id_col, text_col))
+    key = row_key(id_col, text_col) if key is None else key
+    spans = written(repeats(docs, limit, id_col, text_col, key))
     each = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row")).withColumn("slot", A.IdFilter.slot_column("row"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("row")).withColumn("slot", A.IdFilter.slot_column("row"))
     cut = A.IdFilter.of(spans.select("row").distinct(), "row")
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, row long"
     yes, no = (texts.mapInArrow(A.tidy(_maybe(cut, ["doc_id", "text", "row"], keep)), schema) for keep in (True, False))
@@ -309,12 +316,13 @@ def remove_repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", te
 def without_repeats(docs: DataFrame, limit: int = 200) -> DataFrame:
     """``docs`` with texts that lack their repeated strings, all rows and columns kept; n_chars is brought up to date.
 
-    Bytes of a character that a cut split go with it. A null text stays null.
+    Bytes of a character that a cut split go with it. A null text stays null. Every copy of a repeated string goes, the first one too, so
+    rows equal in all columns lose their texts from ``limit`` bytes on. Columns may have any type.
     """
     names = docs.columns
     extra = [c for c in names if c not in ("doc_id", "text")]
     packed = docs.select(F.struct("doc_id", *extra).alias("doc_id"), "text")
-    out = remove_repeats(packed, limit, as_text=True)
+    out = remove_repeats(packed, limit, as_text=True, key=row_key("doc_id.doc_id"))
     out = out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))).select("doc_id.*", "text")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))

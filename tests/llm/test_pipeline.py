@@ -67,3 +67,18 @@ def test_replacement_characters_of_the_text_stay(spark):
     rows = [(1, "a�b" + "x" * 11), (2, "c" + "x" * 11 + "�")]
     out = {r.doc_id: r.text for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 11).collect()}
     assert out == {1: "a�b", 2: "c�"}
+
+
+def test_repeats_beside_any_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a" + "x" * 30), (2, "b" + "x" * 30), (2, None), (None, "")], "doc_id long, text string")
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.lit(1))).withColumn("row", F.lit(1)).withColumn("spans", F.lit("s"))
+    out = suffix_dedup.without_repeats(docs, 20).collect()
+    assert sorted(((r.doc_id, r.text, r.m, r.row, r.spans) for r in out), key=str) == sorted([(1, "a", {"k": 1}, 1, "s"), (2, "b", {"k": 1}, 1, "s"), (2, None, {"k": 1}, 1, "s"), (None, "", {"k": 1}, 1, "s")], key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
