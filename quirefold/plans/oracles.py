@@ -694,6 +694,11 @@ ORACLES["T9_mastery_bands"] = with_(
 ORACLES["G1_visible_rows"] = """
 SELECT source AS principal, doc_id AS chunk_id, source FROM documents UNION ALL SELECT 'admin', doc_id, source FROM documents"""
 ORACLES["G2_page"] = "SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40"
+ORACLES["G1_visible_sets"] = """
+SELECT source AS principal, count(*) AS n_rows, false AS sees_all FROM documents WHERE source IS NOT NULL GROUP BY source
+UNION ALL SELECT 'admin', count(*), true FROM documents"""
+ORACLES["G2_page_directory"] = """
+SELECT n // 20 + 1 AS page, n_chars, doc_id FROM (SELECT doc_id, coalesce(n_chars, 0) AS n_chars, row_number() OVER (ORDER BY coalesce(n_chars, 0), doc_id) - 1 AS n FROM documents) WHERE n % 20 = 0"""
 ORACLES["G3_rate_audit"] = with_(
     EVENTS
     + [

@@ -628,6 +628,21 @@ def _(spark, sf):
     return governance.page(docs, 3, F.desc("n_chars"), "doc_id")
 
 
+@query("G1_visible_sets")
+def _(spark, sf):
+    """What each principal sees as bitmaps of row numbers; administrators are a mark."""
+    sets, _numbers = governance.visible_sets(fx.corpus(spark, sf), fx.principals(spark, sf), "source", "chunk_id")
+    return sets.groupBy("principal").agg(F.sum("n_rows").alias("n_rows"), F.max(F.col("part").isNull()).alias("sees_all"))
+
+
+@query("G2_page_directory")
+def _(spark, sf):
+    """The start of every page."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+    directory, _laid = governance.page_directory(docs, "n_chars", "doc_id")
+    return directory.select("page", F.col("first.n_chars").alias("n_chars"), F.col("first.doc_id").alias("doc_id"))
+
+
 @query("G3_rate_audit")
 def _(spark, sf):
     return governance.rate_audit(fx.requests(spark, sf).drop("ts"), fx.request_limits(spark))

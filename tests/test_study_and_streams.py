@@ -162,3 +162,59 @@ def test_visibility_and_paging(spark):
     assert gov.visible_to(df, "owner", "b", False).count() == 17 and gov.visible_to(df, "owner", "b", True).count() == 50
     assert [r["i"] for r in gov.page(df, 3, "i").collect()] == list(range(40, 50))
     assert [r["i"] for r in gov.page_after(df, "i", 9, 3).collect()] == [10, 11, 12]
+
+
+def test_visible_sets_let_the_same_rows_through(spark):
+    rows = [(i * 3, ["a", "b", "c"][i % 3]) for i in range(70_000)]
+    df = spark.createDataFrame(rows, "row_id long, owner string")
+    people = spark.createDataFrame([("a", False), ("c", False), ("x", True), ("y", True), ("nobody", False)], "principal string, is_admin boolean")
+    sets, numbers = gov.visible_sets(df, people, "owner", "row_id")
+    held = sets.collect()
+    assert len(held) == 2 * 3 + 2 and sum(r.n_rows for r in held if r.principal == "a") == sum(1 for r in rows if r[1] == "a")
+    for who in ("a", "x", "nobody"):
+        want = [r for r in rows if who == "x" or r[1] == who]
+        assert sorted(tuple(r) for r in gov.rows_of(df, sets, numbers, "row_id", who).collect()) == want
+
+
+def test_every_page_by_its_directory(spark):
+    rows = [(i % 17, i, f"t{i}") for i in range(95)]
+    df = spark.createDataFrame(rows, "size long, row_id long, t string")
+    directory, laid = gov.page_directory(df, "size", "row_id", size=10)
+    assert directory.count() == 10
+    for number in (1, 2, 9, 10, 11):
+        got = [tuple(r) for r in gov.directory_page(laid, directory, number, "size", "row_id", size=10).collect()]
+        assert got == sorted(rows)[(number - 1) * 10 : number * 10]
+
+
+def test_only_admitted_requests_count(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    log = sorted((1_700_000_000_000_000 + rng.randint(0, 300) * 1_000_000, i, rng.randint(1, 3), rng.choice(["ask", "quiz"])) for i in range(200))
+    rows = spark.createDataFrame([(i, u, s, us) for us, i, u, s in log], "request_id long, user long, scope string, us long").withColumn("ts", F.timestamp_micros("us"))
+    limits = gov.limits_table(spark, {"ask": (3, 60), "quiz": (1, 20)})
+    files, span = jobs.staged_in_order(rows.select("request_id", "user", "scope", "ts", "us"), "us", 4, "user")
+    jobs.state_store(spark)
+    out = f"{tmp_path}/out"
+    for batches in (2, None):
+        stream = spark.readStream.schema("request_id long, user long, scope string, ts timestamp, us long").option("maxFilesPerTrigger", 2).parquet(files)
+        jobs.run_to_end(jobs.admitted_stream(stream, limits, late=f"{span // 1_000_000 + 1} seconds"), "append", jobs.batch_writer(out), f"{tmp_path}/marks", batches)
+    held, want = {}, {}
+    for us, i, u, s in log:
+        most, seconds = {"ask": (3, 60), "quiz": (1, 20)}[s]
+        live = [t for t in held.get((u, s), []) if t > us - seconds * 1_000_000]
+        want[i] = len(live) < most
+        held[u, s] = [*live, us] if want[i] else live
+    got = spark.read.parquet(out)
+    assert {r.request_id: r.admitted for r in got.collect()} == want and got.select("batch_id").distinct().count() > 2
+
+
+def test_late_rows_get_a_table_of_their_own(spark, tmp_path):
+    sink = jobs.admission_sink(str(tmp_path), 10)
+    kind = "request_id long, us long"
+    sink(spark.createDataFrame([(1, 100), (2, 80)], kind), 0)
+    for _ in range(2):  # a replay changes nothing
+        sink(spark.createDataFrame([(3, 95), (4, 89), (5, 130)], kind), 1)
+    sink(spark.createDataFrame([(6, 121), (7, 119)], kind), 2)
+    ids = lambda t: sorted(r.request_id for r in spark.read.parquet(f"{tmp_path}/{t}").collect())
+    assert ids("ontime") == [1, 2, 3, 5, 6] and ids("late") == [4, 7]
