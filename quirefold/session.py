@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -57,6 +58,16 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left: the driver's cleaner drops their shuffle files and broadcasts when garbage is collected.
+
+    By itself that happens once in half an hour (spark.cleaner.periodicGC.interval), in which an iterative job can run hundreds of
+    stages; such jobs call this once a round.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 SMALL_TABLE_BYTES = 64 << 20
 
 
