@@ -1,10 +1,11 @@
 """Quality of whole texts: a convolutional network over bytes, in numpy.
 
-Each byte has a learned vector; one more channel says whether its word repeats the word before. ``FILTERS`` learned filters of eight bytes slide by four over the
+Each byte has a learned vector. ``FILTERS`` learned filters of ``REACH`` times ``STRIDE`` = 12 bytes slide by 4 over the
 whole text. Chunks of 512 bytes start every 256; a chunk keeps the largest response of each filter, a sigmoid turns those into its
 probability, and the text's score is the mean over all its chunks. Nothing is cut off: a text of any length is all chunks.
 
-The fit runs on at most ``PER_CLASS`` labelled texts of either class and ``CHUNKS`` chunks of each, the only bounded step.
+The fit runs on at most ``PER_CLASS`` labelled texts of either class, the only bounded step, and on all their chunks; a text's chunks
+weigh as much together as any other text's.
 """
 
 from __future__ import annotations
@@ -18,47 +19,38 @@ from quirefold.llm import arrays as A
 from quirefold.llm.toxicity import apply_score, learned, sigmoid, training_rows
 
 PER_CLASS = 1000
-CHUNKS = 6
 FILTERS = 16
-EMBED = 7
-WIDTH = EMBED + 1
+EMBED = 8
 HALF = 256
 STRIDE = 4
+REACH = 3
 PAD = 256
 
 
-def laid_out(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ids with every text padded to whole halves, the repeated-word channel, and the number of halves of each text."""
+def laid_out(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ids with every text padded to whole halves, and the number of halves of each text."""
     size = np.diff(starts)
-    halves = np.where(size > 0, -(-(size + STRIDE) // HALF), 0)
+    halves = np.where(size > 0, -(-(size + (REACH - 1) * STRIDE) // HALF), 0)
     to = (np.cumsum(halves) - halves) * HALF
-    ids, again = np.full(int(halves.sum()) * HALF, PAD, np.int16), np.zeros(int(halves.sum()) * HALF, np.float32)
-    place = A.ragged(to, size)
-    ids[place] = data
-    begin, end, at = A.words(data, starts)
-    if len(begin) > 1:
-        word = A.word_hashes(data, begin, end)
-        same = np.concatenate(([False], word[1:] == word[:-1]))
-        same[at[:-1][np.diff(at) > 0]] = False
-        again[place[A.ragged(begin[same], (end - begin)[same])]] = 1
-    return ids, again, halves
+    ids = np.full(int(halves.sum()) * HALF, PAD, np.int16)
+    ids[A.ragged(to, size)] = data
+    return ids, halves
 
 
 def start_weights(seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    w = {"e": rng.standard_normal((PAD + 1, EMBED)) * 0.5, "f": rng.standard_normal((2 * STRIDE * WIDTH, FILTERS)) * 0.2, "c": np.zeros(FILTERS), "o": rng.standard_normal(FILTERS) * 0.3, "b": np.zeros(1)}
+    w = {"e": rng.standard_normal((PAD + 1, EMBED)) * 0.5, "f": rng.standard_normal((REACH * STRIDE * EMBED, FILTERS)) * 0.2, "c": np.zeros(FILTERS), "o": rng.standard_normal(FILTERS) * 0.3, "b": np.zeros(1)}
     w["e"][PAD] = 0
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def half_peaks(w, ids: np.ndarray, again: np.ndarray) -> np.ndarray:
+def half_peaks(w, ids: np.ndarray) -> np.ndarray:
     """The largest response of each filter in each half chunk."""
-    x = np.empty((len(ids), WIDTH), np.float32)
-    x[:, :EMBED] = w["e"][ids]
-    x[:, EMBED] = again
-    rows = x.reshape(-1, STRIDE * WIDTH)
-    near = rows @ w["f"][: STRIDE * WIDTH]
-    near[:-1] += (rows @ w["f"][STRIDE * WIDTH :])[1:]
+    rows = w["e"][ids].reshape(-1, STRIDE * EMBED)
+    parts = w["f"].reshape(REACH, STRIDE * EMBED, FILTERS)
+    near = rows @ parts[0]
+    for k in range(1, REACH):
+        near[:-k] += (rows @ parts[k])[k:]
     near[ids[::STRIDE] == PAD] = 0  # behind a text's end; what follows belongs to another
     return near.reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
 
@@ -74,35 +66,37 @@ def combined(w, peaks: np.ndarray, halves: np.ndarray) -> np.ndarray:
     return np.where(chunks > 0, np.bincount(text, p, len(halves)) / np.maximum(chunks, 1), none)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 12, seed: int = 11) -> dict[str, np.ndarray]:
+def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, seed: int = 11) -> dict[str, np.ndarray]:
     """Weights from whole texts and 0/1 labels; without both classes every score is the share of label 1."""
     w, rng = start_weights(seed), np.random.default_rng(seed)
     labels = np.asarray(labels, np.float32)
-    rows, ys = [], []
+    rows, ys, shares = [], [], []
     data, starts = A.text_bytes(texts)
     for i, j in A.chunks(starts):
-        ids, again, halves = laid_out(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+        ids, halves = laid_out(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
         at = np.cumsum(halves) - halves
-        ids, again = np.append(ids, np.full(HALF, PAD, np.int16)), np.append(again, np.zeros(HALF, np.float32))
         for t in range(j - i):
-            for k in rng.permutation(max(halves[t] - 1, min(halves[t], 1)))[:CHUNKS]:
+            count = max(halves[t] - 1, min(halves[t], 1))
+            for k in range(count):
                 a = (at[t] + k) * HALF
                 b = a + (2 * HALF if halves[t] > 1 else HALF)
-                rows.append((np.append(ids[a:b], np.full(2 * HALF - (b - a), PAD, np.int16)), np.append(again[a:b], np.zeros(2 * HALF - (b - a), np.float32))))
+                rows.append(np.append(ids[a:b], np.full(2 * HALF - (b - a), PAD, np.int16)))
                 ys.append(labels[i + t])
+                shares.append(1 / count)
     y = np.array(ys, np.float32)
     if len(set(ys)) < 2:
         share = (labels.sum() + 0.01) / (len(labels) + 0.02)
         w["o"][:], w["b"][0] = 0, np.log(share / (1 - share))
         return w
-    ids, again = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
+    ids, share = np.array(rows), np.array(shares)
+    total = np.array([share[y == c].sum() for c in (0, 1)])
+    weight = (share * len(y) / (2 * total[y.astype(int)])).astype(np.float32)  # classes and texts count alike
     moment, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}, 0
     for _ in range(max(epochs, -(-400 * 64 // len(y)))):
         order = rng.permutation(len(y))
         for i in range(0, len(y), 64):
             some = order[i : i + 64]
-            g = gradients(w, ids[some], again[some], y[some], weight[some])
+            g = gradients(w, ids[some], y[some], weight[some])
             step += 1
             for k, v in g.items():
                 m, s = moment[k]
@@ -113,25 +107,26 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 12, seed: int = 11) -
     return w
 
 
-def chunk_probability(w, ids, again):
-    x = np.concatenate((w["e"][ids], again[:, :, None].astype(w["e"].dtype)), axis=2).reshape(len(ids), -1, STRIDE * WIDTH)
-    x = np.concatenate((x[:, :-1], x[:, 1:]), axis=2)
+def chunk_probability(w, ids):
+    x = w["e"][ids].reshape(len(ids), -1, STRIDE * EMBED)
+    n = x.shape[1] - REACH + 1
+    x = np.concatenate([x[:, k : k + n] for k in range(REACH)], axis=2)
     y = x @ w["f"]
     top = y.argmax(axis=1)
     peak = np.take_along_axis(y, top[:, None], axis=1)[:, 0] + w["c"]
     return sigmoid(np.maximum(peak, 0) @ w["o"] + w["b"][0]), x, top, peak
 
 
-def gradients(w, ids, again, y, weight) -> dict[str, np.ndarray]:
-    p, x, top, peak = chunk_probability(w, ids, again)
+def gradients(w, ids, y, weight) -> dict[str, np.ndarray]:
+    p, x, top, peak = chunk_probability(w, ids)
     d = ((p - y) * weight / len(y)).astype(w["e"].dtype)
     d_peak = d[:, None] * w["o"] * (peak > 0)
     seen = np.take_along_axis(x, top[:, :, None], axis=1)  # the bytes under each filter's largest response
     d_seen = d_peak[:, :, None] * w["f"].T
     g_e = np.zeros_like(w["e"])
-    place = top[:, :, None] * STRIDE + np.arange(2 * STRIDE)
+    place = top[:, :, None] * STRIDE + np.arange(REACH * STRIDE)
     which = np.take_along_axis(ids[:, None, :], place.reshape(len(ids), 1, -1), axis=2).ravel()
-    np.add.at(g_e, which, d_seen.reshape(-1, WIDTH)[:, :EMBED])
+    np.add.at(g_e, which, d_seen.reshape(-1, EMBED))
     g_e[PAD] = 0
     return {"o": np.maximum(peak, 0).T @ d, "b": d.sum(keepdims=True), "c": d_peak.sum(axis=0), "f": np.einsum("bfk,bf->kf", seen, d_peak), "e": g_e}
 
@@ -141,12 +136,12 @@ def scorer(w):
         data, starts = A.text_bytes(column)
         out = np.zeros(len(column))
         for i, j in A.chunks(starts):
-            ids, again, halves = laid_out(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+            ids, halves = laid_out(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
             total, step = int(halves.sum()), 1024
             peaks = []
             for k in range(0, total, step):  # each step also reads the half behind it, for the filters that reach over
                 to = min(k + step + 1, total) * HALF
-                peaks.append(half_peaks(w, ids[k * HALF : to], again[k * HALF : to])[:step])
+                peaks.append(half_peaks(w, ids[k * HALF : to])[:step])
             out[i:j] = combined(w, np.concatenate(peaks) if peaks else np.zeros((0, FILTERS)), halves)
         return out
 

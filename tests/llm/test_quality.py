@@ -40,13 +40,13 @@ def test_score_depends_on_the_text_alone():
 def test_gradients_match_differences():
     w = {k: v.astype(np.float64) for k, v in Q.start_weights(2).items()}
     rng = np.random.default_rng(1)
-    ids, again, y, weight = rng.integers(0, 256, (3, 512)), rng.integers(0, 2, (3, 512)).astype(float), np.array([1.0, 0, 1]), np.array([1.0, 2, 1])
+    ids, y, weight = rng.integers(0, 256, (3, 512)), np.array([1.0, 0, 1]), np.array([1.0, 2, 1])
 
     def loss():
-        p = Q.chunk_probability(w, ids, again)[0]
+        p = Q.chunk_probability(w, ids)[0]
         return -float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
 
-    g = Q.gradients(w, ids, again, y, weight)
+    g = Q.gradients(w, ids, y, weight)
     for k, v in g.items():
         i = np.unravel_index(np.abs(v).argmax(), v.shape)
         w[k][i] += 1e-5
@@ -62,3 +62,24 @@ def test_one_class_or_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 for r in Q.score_texts(docs, none).collect())
     assert Q.score_texts(docs.limit(0), none).count() == 0
+
+
+def test_forward_pass_as_plain_loops():
+    """Every chunk, filter and byte one by one."""
+    texts = ["", "a", "b" * 300, "some words " * 90, "é" * 700]
+    w = Q.fit(pa.array(texts), np.array([0, 1, 0, 1, 1]), 1)
+    got = Q.scorer(w)(pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        data = list(text.encode())
+        halves = -(-(len(data) + (Q.REACH - 1) * Q.STRIDE) // Q.HALF) if data else 0
+        ids = data + [Q.PAD] * (halves * Q.HALF + Q.REACH * Q.STRIDE - len(data))
+        peaks = []
+        for h in range(halves):
+            best = np.full(Q.FILTERS, -np.inf)
+            for at in range(h * Q.HALF, (h + 1) * Q.HALF, Q.STRIDE):
+                seen = np.concatenate([w["e"][b] for b in ids[at : at + Q.REACH * Q.STRIDE]])
+                best = np.maximum(best, seen @ w["f"] if ids[at] != Q.PAD else 0)
+            peaks.append(best)
+        chunks = [np.maximum(a, b) for a, b in zip(peaks[:-1], peaks[1:], strict=True)] or peaks
+        p = [1 / (1 + np.exp(-(np.maximum(c + w["c"], 0) @ w["o"] + w["b"][0]))) for c in chunks]
+        assert abs(score - (np.mean(p) if p else 1 / (1 + np.exp(-w["b"][0])))) < 1e-4
