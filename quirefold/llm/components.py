@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.session import written
+from quirefold.session import release, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -32,7 +32,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"), (F.col("moved") | (F.col("v") > F.col("m"))).alias("moved")
         )
         now = written(small.groupBy("u", "v").agg(F.max("moved").alias("moved")))
-        if now.where("moved").isEmpty():
+        still = not now.where("moved").isEmpty()
+        release(now.sparkSession)
+        if not still:
             break
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import arrays as A
 from quirefold.llm.components import components
-from quirefold.session import written
+from quirefold.session import release, written
 
 BINS = 1 << 20
 SLABS = 64
@@ -247,6 +247,7 @@ def link_components(
     groups = index.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("sig", "lead")
     classes = written(classes)
     members = written(index.join(groups, "sig").join(classes.drop("k1", "k2", "parity"), "doc_id"))
+    release(docs.sparkSession)
 
     lead = classes.select(F.col("doc_id").alias("lead"), *[c for c in classes.columns if c not in ("doc_id", "k1", "k2", "parity")])
     first = (

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import arrays as A
-from quirefold.session import written
+from quirefold.session import release, written
 
 ANCHOR = 32
 GROUP = 48
@@ -244,6 +244,7 @@ def repeats(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col:
         small = rows.join(sizes.where(f"variants <= {GROUP}").select("anchor"), "anchor", "left_semi").select("anchor", "row", "lo", "body")
         covered.append(written(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(A.tidy(_expand(limit)), "row long, start long, end long")))
         large = sizes.where(f"variants > {GROUP}").select("anchor")
+        release(docs.sparkSession)
         if cell == 1 or large.isEmpty():
             break
         cell = -(-cell // 4)
