@@ -143,7 +143,7 @@ def _scan(asked: QueryTerms, weigh, decimals: int, k: int):
                 batch = whole.slice(lo, step)
                 q, d, x = matches(asked, batch.column("terms"), term_lengths(batch), weigh)
                 n = batch.num_rows
-                scores = np.bincount(q * n + d, weights=x, minlength=len(asked.ids) * n).reshape(-1, n).round(decimals)
+                scores = np.bincount(q * n + d, weights=x, minlength=len(asked.ids) * n).astype(np.float64).reshape(-1, n).round(decimals)  # integers without a match
                 scores[scores <= 0] = -np.inf
                 best.add(scores, batch.column("chunk_id").to_numpy(zero_copy_only=False))
                 kinds = batch.schema.field("chunk_id").type

@@ -189,7 +189,7 @@ def _score(asked: lx.QueryTerms, weigh):
             pair_chunk = np.repeat(np.arange(n), wanted.value_lengths().to_numpy(zero_copy_only=False))
             pair_query = wanted.flatten().to_numpy(zero_copy_only=False)
             q, d, x = lx.matches(asked, batch.column("terms"), lx.term_lengths(batch), weigh)
-            scores = np.bincount(q * n + d, weights=x, minlength=len(asked.ids) * n)[pair_query * n + pair_chunk]
+            scores = np.bincount(q * n + d, weights=x, minlength=len(asked.ids) * n).astype(np.float64)[pair_query * n + pair_chunk]
             chunk = batch.column("chunk_id").take(pa.array(pair_chunk))
             yield pa.RecordBatch.from_arrays([pa.array(pair_query), chunk, pa.array(scores.round(lx.DECIMALS))], names=["query_id", "chunk_id", "score"])
 

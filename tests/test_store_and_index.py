@@ -67,6 +67,13 @@ def test_index_equals_scan(spark, block):
     assert held == sorted((r.term, r.chunk_id) for r in lexical.postings(docs).collect())
 
 
+def test_tasks_without_any_match(spark):
+    docs = corpus(spark, ["zz yy"] * 20 + ["aa"]).repartition(8)
+    asked = spark.createDataFrame([(1, "aa bb"), (2, "qq")], "query_id long, text string")
+    got = rows(lexical.bm25_topk(asked, docs, 2))
+    assert got == rows(lexical_index.index_topk(asked, lexical_index.build_index(docs), 2)) and [(q, c) for q, _, c, _ in got] == [(1, 20), (1, 0), (2, 0), (2, 1)]
+
+
 def test_index_in_slices(spark, monkeypatch):
     docs, asked = corpus(spark, texts(300, 5)), questions(spark, 40, 6)
     whole = rows(lexical.bm25_topk(asked, docs, 4))
