@@ -6,9 +6,6 @@ passes whatever the number of texts. Work goes in chunks of whole texts of about
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.session import tidy  # noqa: F401
+
 CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -115,21 +114,6 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def tidy(run):
-    """An Arrow pass that gives freed memory back when its partition ends; workers are reused and would keep it."""
-
-    @functools.wraps(run)
-    def passed(batches):
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not every C library can
-                ctypes.CDLL(None).malloc_trim(0)
-
-    return passed
-
-
 class IdFilter:
     """A bit map of fixed size that says of an id 'perhaps' or 'no'; it is followed by an exact join.
 

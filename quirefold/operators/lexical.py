@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quirefold import fixed_values as fv
 from quirefold.functions.text import bm25_tokens
 from quirefold.operators.store import termed
-from quirefold.operators.topk import BestItems, best_of, filled
-from quirefold.session import small_side, written
+from quirefold.operators.topk import MAX_QUERIES, MAX_SCOPED, SCORES_AT_ONCE, BestItems, best_of, best_rows, filled, sees, with_lists
+from quirefold.session import small_side, tidy, written
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -80,9 +80,9 @@ def query_terms(queries: DataFrame, stats: DataFrame) -> DataFrame:
     return weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "idf")).alias("terms"))
 
 
-MAX_QUERIES = 4096
 MAX_TERMS = 500_000
-SCORES_AT_ONCE = 4_000_000
+ROWS_AT_ONCE = 1024
+MATCHES_AT_ONCE = 500_000  # of a query and a chunk in a term: some 30 MB with what is made of them
 
 
 def bm25_weight(tf: Column | np.ndarray, length: Column | np.ndarray, avg_len: float):
@@ -115,8 +115,28 @@ def spread_out(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
-def matches(asked: QueryTerms, terms: pa.ListArray, lengths: np.ndarray, weigh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, chunk, contribution) of every term that a chunk shares with a query."""
+def matches(asked: QueryTerms, batch: pa.RecordBatch, weigh) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part of the batch, query, row of the part, contribution) of every term that a chunk shares with a query.
+
+    A part has at most ``MATCHES_AT_ONCE`` matches or one row, and scores of all its rows and queries stay below ``SCORES_AT_ONCE``: common words
+    match most pairs, so rows alone bound nothing.
+    """
+    step = max(1, min(ROWS_AT_ONCE, SCORES_AT_ONCE // max(1, len(asked.ids))))
+    for lo in range(0, batch.num_rows, step):
+        rows = batch.slice(lo, step)
+        chunk, own, first, count = _met(asked, rows.column("terms"), term_lengths(rows), weigh)
+        total = np.concatenate(([0], np.cumsum(np.bincount(chunk, weights=count, minlength=rows.num_rows))))
+        a = 0
+        while a < rows.num_rows:
+            b = max(int(np.searchsorted(total, total[a] + MATCHES_AT_ONCE, "right")) - 1, a + 1)
+            i, j = np.searchsorted(chunk, (a, b))
+            at = spread_out(first[i:j], count[i:j])
+            yield rows.slice(a, b - a), asked.query[at], np.repeat(chunk[i:j] - a, count[i:j]), asked.weight[at] * np.repeat(own[i:j], count[i:j])
+            a = b
+
+
+def _met(asked: QueryTerms, terms: pa.ListArray, lengths: np.ndarray, weigh) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, weight, first entry, entries) of every term of a chunk that queries ask for."""
     flat = terms.flatten()
     no = pc.index_in(flat.field("term"), value_set=asked.terms)
     known = no.is_valid().to_numpy(zero_copy_only=False)
@@ -124,40 +144,40 @@ def matches(asked: QueryTerms, terms: pa.ListArray, lengths: np.ndarray, weigh)
     chunk = np.repeat(np.arange(len(terms)), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[known]
     tf = flat.field("tf").to_numpy(zero_copy_only=False)[known].astype(np.float64)
     own = weigh(tf, lengths[chunk])
-    count = asked.first[no + 1] - asked.first[no]
-    at = spread_out(asked.first[no], count)
-    return asked.query[at], np.repeat(chunk, count), asked.weight[at] * np.repeat(own, count)
+    return chunk, own, asked.first[no], asked.first[no + 1] - asked.first[no]
 
 
 def term_lengths(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("length").to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-def _scan(asked: QueryTerms, weigh, decimals: int, k: int):
-    step = max(1, SCORES_AT_ONCE // max(1, len(asked.ids)))
+def _scan(asked: QueryTerms, weigh, decimals: int, k: int, own: np.ndarray | None = None):
+    """The k best rows of each query in a task; with ``own``, the queries' numbers in ``seen_by``, among the rows they see and down to a score of zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, kinds = BestItems(len(asked.ids), k), None
         for whole in batches:
-            for lo in range(0, whole.num_rows, step):
-                batch = whole.slice(lo, step)
-                q, d, x = matches(asked, batch.column("terms"), term_lengths(batch), weigh)
+            for batch, q, d, x in matches(asked, whole, weigh):
                 n = batch.num_rows
                 scores = np.bincount(q * n + d, weights=x, minlength=len(asked.ids) * n).astype(np.float64).reshape(-1, n).round(decimals)  # integers without a match
-                scores[scores <= 0] = -np.inf
+                if own is None:
+                    scores[scores <= 0] = -np.inf
+                else:
+                    scores = np.where(sees(batch, own), np.maximum(scores, 0), -np.inf)
                 best.add(scores, batch.column("chunk_id").to_numpy(zero_copy_only=False))
                 kinds = batch.schema.field("chunk_id").type
         if kinds is not None:
             rows = best.rows(asked.ids)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["query_id"]), pa.array(rows["chunk_id"], kinds), pa.array(rows["score"])], names=["query_id", "chunk_id", "score"])
+            if len(rows):
+                yield best_rows(rows, kinds)
 
-    return run
+    return tidy(run)
 
 
-def slices(queries: DataFrame) -> Iterator[QueryTerms]:
-    """The queries in slices that a task can hold: at most about ``MAX_QUERIES`` of them with ``MAX_TERMS`` terms, whatever their number."""
+def slices(queries: DataFrame, most: int = MAX_QUERIES) -> Iterator[QueryTerms]:
+    """The queries in slices that a task can hold: at most about ``most`` of them with ``MAX_TERMS`` terms, whatever their number."""
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("t")).first()
-    n = max(1, -(-size.n // MAX_QUERIES), -(-(size.t or 0) // MAX_TERMS))
+    n = max(1, -(-size.n // most), -(-(size.t or 0) // MAX_TERMS))
     for i in range(n):
         part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
         yield QueryTerms(part.toPandas())
@@ -190,20 +210,52 @@ def _one(tf, length):
 def bm25_within(queries: DataFrame, corpus: DataFrame, allow: DataFrame, known: DataFrame, avg_len: float, k: int) -> DataFrame:
     """Top-k by BM25 among the documents that ``allow`` (query_id, doc_id) lists for a query.
 
-    Tokens meet the query's terms on document and term at once, so a frequent word costs no more than
-    the lists let through. Lists of any length stay in the engine.
+    One pass over the chunks that any query of a slice sees: each has the numbers of its queries and is scored against their
+    terms, and a task keeps k rows per query. Lists stay in the engine, whatever their length. A query all of whose scores are
+    zero or less counts shared terms instead.
     """
+    once = written(corpus.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id"))
+    if not once.isEmpty():  # the copies of a repeated id are one chunk
+        copies = _joined_within(queries, corpus.join(small_side(once), "chunk_id", "left_semi"), allow, known, avg_len)
+        corpus = corpus.join(small_side(once), "chunk_id", "left_anti")
+    else:
+        copies = None
+    listed = allow.select("query_id").distinct().join(queries.select("query_id"), "query_id", "left_semi")
+    asked = written(listed.join(known, "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(known.schema["terms"].dataType))))
+    hits = _scan_within(bm25_weights(asked), corpus, allow, lambda tf, length: bm25_weight(tf, length, avg_len), DECIMALS, k)
+    if copies is not None:
+        hits = hits.unionByName(copies.select("query_id", "chunk_id", F.greatest(F.coalesce("bm25", F.lit(0.0)), F.lit(0.0)).alias("score")))
+    floor = known.select(F.min(F.array_min(F.transform("terms", lambda t: t["idf"])))).first()[0]
+    if floor is None or floor > 0:
+        return best_of(hits, k)
+    hits = written(hits)
+    missed = written(hits.groupBy("query_id").agg(F.max("score").alias("best")).where("best <= 0").select("query_id"))
+    again = _scan_within(_ones(asked.join(missed, "query_id", "left_semi")), corpus, allow, _one, 0, k)
+    if copies is not None:
+        again = again.unionByName(copies.join(missed, "query_id", "left_semi").select("query_id", "chunk_id", F.coalesce("shared", F.lit(0.0)).alias("score")))
+    return best_of(hits.join(missed, "query_id", "left_anti").unionByName(again), k)
+
+
+def _scan_within(asked: DataFrame, corpus: DataFrame, allow: DataFrame, weigh, decimals: int, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): the k best of each query and task among what ``allow`` lists, zeros too."""
+    slim, found = corpus.select("chunk_id", "doc_id", "length", "terms"), None
+    for part in slices(asked, MAX_SCOPED):
+        seen, own = with_lists(slim, allow, part.ids, dict(asked.dtypes)["query_id"])
+        rows = seen.mapInArrow(_scan(part, weigh, decimals, k, own), score_schema(asked, corpus))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _joined_within(queries: DataFrame, corpus: DataFrame, allow: DataFrame, known: DataFrame, avg_len: float) -> DataFrame:
+    """(query_id, chunk_id, bm25, shared) of all chunks that a query sees, a row for each copy; null where nothing is shared."""
     pairs = allow.select("query_id", "doc_id").distinct().join(queries.select("query_id"), "query_id", "left_semi")
     asked = pairs.join(known.select("query_id", F.inline("terms")), "query_id")
     chunks = corpus.join(small_side(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
     met = chunks.select("chunk_id", "doc_id", "length", F.inline("terms")).join(small_side(asked), ["doc_id", "term"])
     weight = F.col("qtf") * F.col("idf") * bm25_weight(F.col("tf"), F.col("length"), avg_len)
     scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), DECIMALS).alias("bm25"), F.count(F.lit(1)).cast("double").alias("shared"))
-    hopeless = scored.groupBy("query_id").agg(F.max("bm25").alias("best")).filter("best <= 0")
     every = chunks.select("chunk_id", "doc_id").join(small_side(pairs), "doc_id").select("query_id", "chunk_id")
-    rows = every.join(scored, ["query_id", "chunk_id"], "left").join(hopeless, "query_id", "left")
-    score = F.when(F.col("best").isNull(), F.greatest(F.col("bm25"), F.lit(0.0))).otherwise(F.col("shared"))
-    return best_of(rows.select("query_id", "chunk_id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
+    return every.join(scored, ["query_id", "chunk_id"], "left")
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = fv.DEPTH, allow: DataFrame | None = None,

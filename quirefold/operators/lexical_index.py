@@ -29,7 +29,7 @@ from quirefold import fixed_values as fv
 from quirefold.operators import lexical as lx
 from quirefold.operators.store import termed
 from quirefold.operators.topk import best_of, filled
-from quirefold.session import written
+from quirefold.session import tidy, written
 
 BLOCK = 128
 SEEDS = 3
@@ -183,32 +183,24 @@ def _score(asked: lx.QueryTerms, weigh):
     """Full scores of the (query, chunk) pairs that are asked for, from a chunk's own terms."""
 
     def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            wanted = batch.column("qs")
-            pair_chunk = np.repeat(np.arange(n), wanted.value_lengths().to_numpy(zero_copy_only=False))
-            pair_query = wanted.flatten().to_numpy(zero_copy_only=False)
-            q, d, x = lx.matches(asked, batch.column("terms"), lx.term_lengths(batch), weigh)
-            scores = np.bincount(q * n + d, weights=x, minlength=len(asked.ids) * n).astype(np.float64)[pair_query * n + pair_chunk]
-            chunk = batch.column("chunk_id").take(pa.array(pair_chunk))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_query), chunk, pa.array(scores.round(lx.DECIMALS))], names=["query_id", "chunk_id", "score"])
+        for whole in batches:
+            for batch, q, d, x in lx.matches(asked, whole, weigh):
+                n = batch.num_rows
+                wanted = batch.column("qs")
+                pair_chunk = np.repeat(np.arange(n), wanted.value_lengths().to_numpy(zero_copy_only=False))
+                pair_query = wanted.flatten().to_numpy(zero_copy_only=False)
+                scores = np.bincount(q * n + d, weights=x, minlength=len(asked.ids) * n).astype(np.float64)[pair_query * n + pair_chunk]
+                chunk = batch.column("chunk_id").take(pa.array(pair_chunk))
+                yield pa.RecordBatch.from_arrays([pa.array(pair_query), chunk, pa.array(scores.round(lx.DECIMALS))], names=["query_id", "chunk_id", "score"])
 
-    return run
+    return tidy(run)
 
 
 def _scored(index: LexicalIndex, asked: lx.QueryTerms, pairs: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score), the query by its number in the slice, of pairs (q, chunk_id)."""
     wanted = pairs.groupBy("chunk_id").agg(F.collect_list("q").alias("qs"))
     rows = index.store.select("chunk_id", "length", "terms").join(wanted, "chunk_id")
-    at_once = max(1, lx.SCORES_AT_ONCE // max(1, len(asked.ids)))
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, at_once):
-                yield from score([batch.slice(lo, at_once)])
-
-    score = _score(asked, index.weigh())
-    return rows.mapInArrow(run, f"query_id long, chunk_id {dict(index.store.dtypes)['chunk_id']}, score double")
+    return rows.mapInArrow(_score(asked, index.weigh()), f"query_id long, chunk_id {dict(index.store.dtypes)['chunk_id']}, score double")
 
 
 def _search(index: LexicalIndex, asked: lx.QueryTerms, k: int) -> DataFrame:

@@ -13,16 +13,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.session import tidy
+
 MAX_QUERIES = 4096
 CELL_ROWS = 20_000
-SCORES_AT_ONCE = 4_000_000
+SCORES_AT_ONCE = 500_000  # scores a task holds at once: 4 MB, and as much for each step of their making
+MAX_SCOPED = 1024
 
 
 class Scorer(Protocol):
@@ -76,7 +81,7 @@ def _search(scorer: Scorer, queries: pd.DataFrame, batches, k: int) -> pd.DataFr
     step = max(1, SCORES_AT_ONCE // max(1, len(queries)))
     for batch in batches:
         for lo in range(0, len(batch), step):
-            part = batch.iloc[lo : lo + step]
+            part = batch.iloc[lo : lo + step] if isinstance(batch, pd.DataFrame) else batch.slice(lo, step).to_pandas()
             scores = np.round(scorer.score(prepared, part), scorer.decimals)
             if scorer.positive_only:
                 scores[scores <= 0] = -np.inf
@@ -84,6 +89,31 @@ def _search(scorer: Scorer, queries: pd.DataFrame, batches, k: int) -> pd.DataFr
     return best.rows(queries["query_id"].to_numpy())
 
 
+def best_rows(rows: pd.DataFrame, item: pa.DataType) -> pa.RecordBatch:
+    """What :meth:`BestItems.rows` gives as a batch whose ids have the type ``item``."""
+    return pa.RecordBatch.from_arrays([pa.array(rows["query_id"]), pa.array(rows["chunk_id"], item), pa.array(rows["score"])], names=["query_id", "chunk_id", "score"])
+
+
+def with_lists(corpus: DataFrame, allow: DataFrame, ids: np.ndarray, kind: str) -> tuple[DataFrame, np.ndarray]:
+    """The rows of ``corpus`` that ``allow`` (query_id, doc_id) lists for any of the queries ``ids``, and the number of each query.
+
+    A row has the numbers of the queries that see it as an array ``seen_by``. A document's list is gathered before it meets the corpus, map-side first, so
+    that what is shuffled is a corpus row and a few bytes for each pair; the slice's own ids, ``MAX_SCOPED`` at most, are broadcast.
+    """
+    known, own = np.unique(ids, return_inverse=True)
+    names = corpus.sparkSession.createDataFrame(pd.DataFrame({"query_id": known, "no": np.arange(len(known), dtype=np.int32)}), f"query_id {kind}, no int")
+    lists = allow.select("query_id", "doc_id").join(F.broadcast(names), "query_id").groupBy("doc_id").agg(F.collect_set("no").alias("seen_by"))
+    return corpus.join(lists, "doc_id").drop("doc_id"), own
+
+
+def sees(batch: pa.RecordBatch, own: np.ndarray) -> np.ndarray:
+    """Which query (row) sees which row of the batch (column)."""
+    lists, n = batch.column("seen_by"), batch.num_rows
+    marks = np.zeros((int(own.max()) + 1 if len(own) else 0, n), bool)
+    marks[lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))] = True
+    return marks[own]
+
+
 def best_of(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows (query_id, chunk_id, score) of each query with their rank; ties go to the smaller id. Tasks cut to k before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -117,10 +147,13 @@ def topk_join(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, max
     head = queries.limit(max_queries + 1).toPandas()
     if len(head) <= max_queries:
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield _search(scorer, head, batches, k)
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for first in batches:
+                rows = _search(scorer, head, chain([first], batches), k)
+                if len(rows):
+                    yield best_rows(rows, first.schema.field("chunk_id").type)
 
-        partial = corpus.mapInPandas(scan, schema)
+        partial = corpus.mapInArrow(tidy(scan), schema)
     else:
         n_q = math.ceil(queries.count() / max_queries)
         n_c = math.ceil(corpus.count() / cell_rows)

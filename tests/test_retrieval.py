@@ -3,8 +3,11 @@ import math
 import random
 from collections import Counter
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quirefold.functions import vectors as vec
 from quirefold.functions.vectors import cosine01, embed_external, hash_embed, l2_normalize
 from quirefold.operators import dense, fusion, lexical
 from quirefold.plans.hybrid import hybrid_retrieve
@@ -157,3 +160,38 @@ def test_vectors_can_be_counted_and_deleted(spark):
     v = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "doc_id long, chunk_id string")
     left = dense.delete_documents(v, spark.createDataFrame([(1,)], "doc_id long"))
     assert dense.index_count(left).first()[0] == 1
+
+
+def test_lists_meet_chunks_and_not_their_terms(spark):
+    """A scoped search shuffles chunks and lists; no row for each chunk, query and term (or vector) is made."""
+    docs = spark.createDataFrame([(i, i, f"common words here {i}") for i in range(40)], "chunk_id long, doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"common words {q}") for q in range(6)], "query_id long, text string")
+    allow = docs.crossJoin(asked).where("(doc_id + query_id) % 3 = 0").select("query_id", "doc_id")
+    found = lexical.bm25_topk(asked, docs, 4, allow=allow)
+    assert "Generate inline(terms" not in found._jdf.queryExecution().optimizedPlan().toString()
+    lists = {(r.query_id, r.doc_id) for r in allow.collect()}
+    rows = found.collect()
+    assert len(rows) == 24 and {(r.query_id, r.chunk_id) for r in rows} <= lists
+    own = {r.query_id: r.chunk_id for r in rows if r["rank"] == 1}
+    assert own[0] == 0 and own[3] == 3
+    vectors = docs.select("chunk_id", "doc_id", F.array(F.lit(1.0), F.col("chunk_id").cast("double")).alias("embedding"))
+    q = asked.select("query_id", F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"))
+    near = dense.dense_topk(q, vectors, 4, allow=allow)
+    assert near.count() == 24 and {(r.query_id, r.chunk_id) for r in near.collect()} <= lists
+
+
+def test_scan_pieces_are_bounded_by_matches(monkeypatch):
+    """A word that all queries and chunks share: what a task holds is bounded by matches, not by the batch."""
+    monkeypatch.setattr(lexical, "MATCHES_AT_ONCE", 500)
+    asked = lexical.QueryTerms(pd.DataFrame({"query_id": range(100), "terms": [[{"term": "a", "weight": 1.0}]] * 100}))
+    batch = pa.RecordBatch.from_pylist([{"chunk_id": i, "length": 3, "terms": [{"term": "a", "tf": 1}]} for i in range(64)])
+    parts = list(lexical.matches(asked, batch, lambda tf, length: tf))
+    assert sum(p.num_rows for p, *_ in parts) == 64 and sum(len(q) for _, q, _, _ in parts) == 6400
+    assert max(len(q) for _, q, _, _ in parts) <= 500
+
+
+def test_embedding_holds_short_pieces_of_a_long_batch():
+    texts = pa.array(["one two", None] * 1000)
+    parts = list(vec._embed_pieces(iter([texts])))
+    assert max(len(p) for p in parts) <= vec.PIECE < 2000 and sum(len(p) for p in parts) == 2000
+    assert vec.MEMO_ENTRIES <= 100_000
