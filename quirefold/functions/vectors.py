@@ -7,19 +7,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold import fixed_values as fv
 from quirefold.functions.text import let, unnest
+from quirefold.session import tidy
 
 VECTOR = T.ArrayType(T.DoubleType())
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 100_000  # some 20 MB a memo
+PIECE = 256  # texts whose vectors are held at once
 
 
 def _memo(digest) -> Callable[[str], int]:
-    """Hash a token to a dimension, remembering the most recent million tokens per worker."""
+    """Hash a token to a dimension, remembering the most recent tokens per task."""
     seen: dict[str, int] = {}
 
     def dim(token: str) -> int:
@@ -46,16 +49,26 @@ def hash_vector(text: str, word_dim: Callable[[str], int], tri_dim: Callable[[st
     return vec / np.linalg.norm(vec)
 
 
-@F.pandas_udf(VECTOR)
-def hash_embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Arrow batches in, 384-dimensional unit vectors out.
+def _embed_pieces(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    word_dim, tri_dim = _memo(hashlib.md5), _memo(hashlib.sha256)
+    for batch in texts:
+        for lo in range(0, max(1, len(batch)), PIECE):
+            part = batch.slice(lo, PIECE)
+            out = np.zeros((len(part), fv.EMBED_DIM))
+            for i, text in enumerate(part):
+                out[i] = hash_vector(text.as_py() or "", word_dim, tri_dim)
+            at = np.arange(len(part) + 1, dtype=np.int32) * fv.EMBED_DIM
+            yield pa.ListArray.from_arrays(pa.array(at), pa.array(out.ravel()))
+
+
+@F.arrow_udf(VECTOR)
+def hash_embed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Arrow batches in, 384-dimensional unit vectors out, in pieces whose size does not depend on the batch.
 
     Character trigrams blow up as rows (one per character of the corpus), so they are
     counted inside the batch and only the vector leaves the task.
     """
-    word_dim, tri_dim = _memo(hashlib.md5), _memo(hashlib.sha256)
-    for batch in texts:
-        yield batch.map(lambda t: hash_vector(t or "", word_dim, tri_dim))
+    yield from tidy(_embed_pieces)(texts)
 
 
 def embed_external(df: DataFrame, text: str, batch_fn: Callable[[list[str]], list[list[float]]], out: str = "embedding") -> DataFrame:
