@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirefold import fixed_values as fv
 from quirefold.functions.text import SPACE, claim_sentences, match_offsets
 from quirefold.operators import lexicon as lex
-from quirefold.session import small_side, written
+from quirefold.session import sized_side, small_side, written
 
 
 def entity_pattern(entities: list[str] | None = None, suffixes: str | None = fv.ENTITY_SUFFIX_PATTERN) -> str:
@@ -33,7 +33,7 @@ def extract_claims(answers: DataFrame, pattern: str | None = None, lexicon: Data
     p = F.col("passage")
     named = F.explode(match_offsets(p, pattern))
     if lexicon is not None:
-        hits = lex.longest(lex.mentions(sent, ["answer_id", "sent_no"], "passage", lexicon), ["answer_id", "sent_no"])
+        hits = sized_side(written(lex.longest(lex.mentions(sent, ["answer_id", "sent_no"], "passage", lexicon), ["answer_id", "sent_no"])))
         sent = sent.join(hits, ["answer_id", "sent_no"]).select("answer_id", "sent_no", "passage", F.explode(lex.placed(p, F.col("hits"))).alias("m"))
         named = F.col("m")
     rows = sent.select(

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import let
-from quirefold.session import small_side
+from quirefold.session import BROADCAST_ROWS, written
 
 MAX_WORDS = 12
 PIECES = r"(?U)\w+|\W+"
+SLOT_BITS = 26  # a map of 8 MB
+ROW_WORDS = 512
 
 
 def _hashes(phrase: Column) -> list[Column]:
@@ -27,6 +29,28 @@ def phrases(lexicon: DataFrame, name: str = "entry") -> DataFrame:
     return entries.select("entry", F.regexp_count("entry", F.lit(r"(?U)\w+")).alias("n_words"), *_hashes(F.col("entry")))
 
 
+def _slot_map(known: DataFrame) -> DataFrame:
+    """(part, words): a bit map of 2^SLOT_BITS slots with a bit for each phrase, in rows of ROW_WORDS words of 64 bits.
+
+    Its size does not grow with the lexicon. It says of a run 'perhaps' or 'no'; the join on the whole hashes decides.
+    """
+    slot = F.shiftrightunsigned("h1", 64 - SLOT_BITS)
+    marks = known.select(slot.alias("slot")).select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+    words = marks.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
+    own = F.map_from_entries(F.collect_list(F.struct(F.expr(f"word % {ROW_WORDS}").alias("at"), "bits")))
+    rows = words.groupBy(F.expr(f"word div {ROW_WORDS}").alias("part")).agg(own.alias("own"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(ROW_WORDS - 1).cast("long"))
+    return rows.select("part", F.transform(every, lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0).cast("long"))).alias("words"))
+
+
+def _perhaps(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """The runs whose slot a phrase has: what can match and a few others, so that a text's runs do not all go into a shuffle."""
+    slot = F.shiftrightunsigned("h1", 64 - SLOT_BITS)
+    placed = runs.withColumn("slot", slot).withColumn("part", F.expr(f"slot div {64 * ROW_WORDS}"))
+    met = placed.join(F.broadcast(written(_slot_map(known))), "part")
+    return met.where(F.expr(f"(shiftrightunsigned(get(words, cast(slot div 64 % {ROW_WORDS} as int)), cast(slot % 64 as int)) & 1L) = 1")).select(*runs.columns)
+
+
 def _lengths(known: DataFrame) -> list[int]:
     found = [r.n_words for r in known.select("n_words").distinct().limit(MAX_WORDS + 1).collect()]
     if len(found) > MAX_WORDS or max(found, default=0) > MAX_WORDS:
@@ -53,15 +77,21 @@ def _runs(text: Column, lengths: list[int]) -> Column:
 def mentions(texts: DataFrame, keys: list[str], text: str, lexicon: DataFrame) -> DataFrame:
     """(``keys``, at, n_words, entry): every phrase at every place, overlapping ones too.
 
-    ``keys`` tell the texts apart; ``at`` counts words and what stands between them from 0.
+    ``keys`` tell the texts apart; ``at`` counts words and what stands between them from 0. A lexicon of more than ``BROADCAST_ROWS`` phrases meets the
+    runs in a shuffle, and only those that a bit map of its hashes lets through.
     """
-    known = phrases(lexicon)
+    known = written(phrases(lexicon))
     lengths = _lengths(known)
     if not lengths:
         return texts.select(*keys, F.lit(0).alias("at"), F.lit(0).alias("n_words"), F.lit("").alias("entry")).limit(0)
     runs = texts.select(*keys, F.inline(_runs(F.col(text), lengths)))
     slim = runs.select(*keys, "at", "n_words", *_hashes(F.col("run")))
-    return slim.join(small_side(known), ["n_words", "h1", "h2"]).select(*keys, "at", "n_words", "entry")
+    if known.count() <= BROADCAST_ROWS:
+        side = F.broadcast(known)
+    else:
+        # by the bytes of the texts' files the planner would broadcast their runs
+        slim, side = _perhaps(slim, known), known.hint("merge")
+    return slim.join(side, ["n_words", "h1", "h2"]).select(*keys, "at", "n_words", "entry")
 
 
 def longest(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quirefold import fixed_values as fv
 from quirefold.functions.text import contains_any, let, matches_any_word, strip, words
 from quirefold.operators.lexicon import with_phrase
-from quirefold.session import small_side
+from quirefold.session import sized_side, written
 
 WORD = r"\b[A-Za-z0-9\-\/]+\b"
 
@@ -154,7 +154,7 @@ def route(log: DataFrame, text: str = "text", note_id: str | None = None, assist
     if lexicon is None:
         flagged = guarded.withColumn("_domain", has_domain_term(s, keywords=keywords))
     else:
-        hits = small_side(with_phrase(guarded, keys, "sanitized_text", lexicon).withColumn("_hit", F.lit(True)))
+        hits = sized_side(written(with_phrase(guarded, keys, "sanitized_text", lexicon)).withColumn("_hit", F.lit(True)))
         known = has_domain_term(s, keywords=fv.ENTITIES)  # entities and abbreviations alone
         flagged = guarded.join(hits, keys, "left").withColumn("_domain", known | F.col("_hit").isNotNull())
     return flagged.withColumn("_v", chosen).select(*guarded.columns, "_v.*")

@@ -100,6 +100,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
 
 
+def sized_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """As :func:`small_side`, but above the bound neither side of the join is broadcast.
+
+    For joins whose other side is made by exploding rows: the planner tells its size by the bytes of the files it comes from, and would
+    gather many times as much in the driver.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast when it has at most ``max_rows`` rows, else as it is.
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quirefold.operators import lexicon
 from quirefold.operators import answers as an
 from quirefold.operators import claims as cl
 from quirefold.operators import evaluation as ev
@@ -148,3 +149,20 @@ def test_batch_qa_gates_and_verifies(spark):
     assert not rows[2]["passed"] and rows[2]["is_not_found"] and rows[2]["answer"].startswith("I'm not sure")
     assert {r["source_title"] for r in out.citations.collect()} == {"Guide"}
     assert {r["status"] for r in out.verifications.collect()} == {"VERIFIED"}
+
+
+def test_large_lexicon_shuffles_only_runs_that_may_match(spark, monkeypatch):
+    """Above the broadcast bound the runs of the texts are neither gathered nor shuffled as a whole, and the mentions stay the same."""
+    texts = spark.createDataFrame([(i, f"Red Gear {i} meets blue bolt and nothing else of note {i}") for i in range(50)], "k long, t string")
+    names = spark.createDataFrame([("red gear",), ("Blue Bolt",), ("absent name here",)], "entry string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    small = rows(lexicon.mentions(texts, ["k"], "t", names))
+    monkeypatch.setattr(lexicon, "BROADCAST_ROWS", 1)
+    large = lexicon.mentions(texts, ["k"], "t", names)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "slot" in plan
+    assert rows(large) == small and len(small) == 100
+    known = lexicon.phrases(names)
+    runs = known.select("entry", "n_words", "h1", "h2").unionByName(known.select("entry", "n_words", (-F.col("h1")).alias("h1"), "h2"))
+    assert {r.entry for r in lexicon._perhaps(runs, known).collect()} == {"red gear", "blue bolt", "absent name here"}
+    assert lexicon._perhaps(runs, known).count() < 6

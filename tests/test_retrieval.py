@@ -164,8 +164,8 @@ def test_vectors_can_be_counted_and_deleted(spark):
 
 def test_lists_meet_chunks_and_not_their_terms(spark):
     """A scoped search shuffles chunks and lists; no row for each chunk, query and term (or vector) is made."""
-    docs = spark.createDataFrame([(i, i, f"common words here {i}") for i in range(40)], "chunk_id long, doc_id long, text string")
-    asked = spark.createDataFrame([(q, f"common words {q}") for q in range(6)], "query_id long, text string")
+    docs = spark.createDataFrame([(i, i, f"common words here own{i}") for i in range(40)], "chunk_id long, doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"common words own{q}") for q in range(6)], "query_id long, text string")
     allow = docs.crossJoin(asked).where("(doc_id + query_id) % 3 = 0").select("query_id", "doc_id")
     found = lexical.bm25_topk(asked, docs, 4, allow=allow)
     assert "Generate inline(terms" not in found._jdf.queryExecution().optimizedPlan().toString()
