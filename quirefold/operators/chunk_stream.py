@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quirefold import fixed_values as fv
 from quirefold.functions.text import estimate_tokens, split_sentences
-from quirefold.session import written
+from quirefold.session import small_side, written
 
 BLOCK = 4096
 PLACED = ["page_number", "section_title", "x0", "y0", "x1", "y1"]
@@ -36,10 +36,11 @@ def document_sentences(docs: DataFrame) -> DataFrame:
 def block_sentences(blocks: DataFrame, *order: str) -> DataFrame:
     """Sentences of ordered blocks (doc_id, ``order``, text, page_number, section_title, x0, y0, x1, y1), numbered through each document.
 
-    The numbers come from a running count over one row per block without its text.
+    The numbers come from a running count over one row per block without its text. The blocks are written first, as the count and the
+    sentences both read them.
     """
     keys = ["doc_id", *order]
-    split = blocks.withColumn("sentences", split_sentences(F.col("text")))
+    split = written(blocks.select(*keys, *[c for c in PLACED if c not in keys], split_sentences(F.col("text")).alias("sentences")))
     ahead = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     counts = split.select(*keys, F.size("sentences").alias("k")).withColumn("ahead", F.coalesce(F.sum("k").over(ahead), F.lit(0)))
     joined = split.join(counts.drop("k"), keys)
@@ -167,14 +168,14 @@ def chunk_sentences(sentences: DataFrame, target: int = fv.CHUNK_TARGET, overlap
     own, place = F.expr(f"(n - 1) div {block}"), F.expr(f"(n - 1) % {block}")
     homes = F.filter(F.array(own, F.when((place < reach) & (own > 0), own - 1), F.when(place >= block - back, own + 1)), lambda b: b.isNotNull())
     laid = written(sentences.withColumn("tokens", F.col("tokens").cast("long")).select("*", F.explode(homes).alias("block")))
-    # a margin is no block of its own: the last block of a document has sentences of its own
-    lengths = sentences.groupBy("doc_id").agg(F.max("n").alias("size"))
+    # read back, as the sentences would be made once more; a margin is no block of its own: the last block of a document has sentences of its own
+    lengths = laid.groupBy("doc_id").agg(F.max("n").alias("size"))
     long = written(lengths.where(F.col("size") > block))
     most = long.agg(F.max("size")).first()[0] or 0
     entered = long.select("doc_id", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("entry"))
     if most:
         slim = laid.select("doc_id", "block", "n", "tokens").join(long, "doc_id").where(f"block <= (size - 1) div {block}")
-        sorted_ = slim.drop("size").repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "n")
+        sorted_ = slim.drop("size").repartition("block", "doc_id").sortWithinPartitions("doc_id", "block", "n")
         jumps = written(sorted_.mapInArrow(_exits(block, reach, limits), f"doc_id {kind}, block long, entry long, exit long"))
         step, blocks = 1, -(-most // block)
         while step < blocks:
@@ -186,10 +187,12 @@ def chunk_sentences(sentences: DataFrame, target: int = fv.CHUNK_TARGET, overlap
             step *= 2
     placed = "page_number" in sentences.columns
     starts = entered.join(long, "doc_id")
-    rows = laid.join(starts.select("doc_id", "block", "entry"), ["doc_id", "block"], "left").join(long.select("doc_id", F.lit(True).alias("several")), "doc_id", "left")
+    rows = laid.join(small_side(starts.select("doc_id", "block", "entry")), ["doc_id", "block"], "left").join(small_side(long.select("doc_id", F.lit(True).alias("several"))), "doc_id", "left")
     rows = rows.where("entry is not null or (several is null and block = 0)").withColumn("entry", F.coalesce("entry", F.lit(0).cast("long"))).drop("several")
     extra = "".join(f", {c} {dict(sentences.dtypes)[c]}" for c in PLACED[:2]) + "".join(f", {c} double" for c in PLACED[2:]) if placed else ""
-    sorted_ = rows.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "n")
+    # not by the join's own keys in their order: such a shuffle is left out as one too many, and a join that turns to a broadcast at run time
+    # then reads its shuffle where it lies, which would part a block
+    sorted_ = rows.repartition("block", "doc_id").sortWithinPartitions("doc_id", "block", "n")
     cut = sorted_.mapInArrow(_chunks(block, limits, placed), f"doc_id {kind}, block long, place long, first_sentence long, last_sentence long, token_count long, content string{extra}")
     if most:
         cut = written(cut)

@@ -99,3 +99,19 @@ def test_block_sentences_as_chunk_blocks(spark):
     rows = lambda df: sorted(tuple(r) for r in df.select(*fields).collect())
     stream = chunk_stream.block_sentences(ordered, "page_number", "reading_no")
     assert rows(chunk_stream.chunk_sentences(stream)) == rows(chunking.chunk_blocks(ordered))
+
+
+def test_sentences_are_made_once(spark):
+    """Numbering, lengths and cuts read what was written; the stream below them is not made again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        made.add(1)
+        return text
+
+    rows = [(d, 1, i, f"Line {i} of it. Another one here.", 0.0, 0.0, 1.0, 1.0, "s") for d in range(3) for i in range(20)]
+    blocks = spark.createDataFrame(rows, "doc_id long, page_number int, no int, text string, x0 double, y0 double, x1 double, y1 double, section_title string")
+    stream = blocks.withColumn("text", seen("text"))
+    chunks = chunk_stream.chunk_sentences(chunk_stream.block_sentences(stream, "page_number", "no"), block=512)
+    assert chunks.count() > 0 and made.value == len(rows)
