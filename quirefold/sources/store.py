@@ -19,6 +19,9 @@ from quirefold.session import small_side, written
 from quirefold.sources.sinks import bucket_of
 
 
+TASK_ROWS = 10_000
+
+
 @dataclass
 class CorpusStore:
     spark: SparkSession
@@ -59,16 +62,22 @@ class CorpusStore:
         """The version's (term, n), see :func:`quirefold.operators.lexical.corpus_counts`."""
         return self.spark.read.parquet(f"{self.path}/counts/version={self._version(version)}")
 
-    def _publish(self, version: int, chunks: DataFrame, counts: DataFrame, held: DataFrame) -> None:
-        chunks.repartition("doc_bucket").write.mode("overwrite").partitionBy("doc_bucket").parquet(f"{self.path}/chunks/version={version}")
+    def _publish(self, version: int, chunks: DataFrame, counts: DataFrame | None, held: DataFrame, rows: int) -> None:
+        """``counts`` are those of the version, taken from what was written where none are given; ``rows`` is the number of chunks."""
+        # a bucket's rows go to as many tasks as they need, so that the number of buckets does not bound the tasks
+        parts = max(1, -(-rows // (self.buckets * TASK_ROWS)))
+        dealt = chunks.repartition(self.buckets * parts, "doc_bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
+        dealt.write.mode("overwrite").partitionBy("doc_bucket").parquet(f"{self.path}/chunks/version={version}")
+        if counts is None:
+            counts = counted(self.spark.read.schema(chunks.schema).parquet(f"{self.path}/chunks/version={version}"))
         counts.write.mode("overwrite").parquet(f"{self.path}/counts/version={version}")
         held.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/version={version}")
 
     def create(self, corpus: DataFrame) -> CorpusStore:
         """The first version, from texts (chunk_id, doc_id, text)."""
-        rows = written(narrowed(corpus)).withColumn("doc_bucket", bucket_of("doc_id", self.buckets))
+        rows = narrowed(corpus).withColumn("doc_bucket", bucket_of("doc_id", self.buckets))
         held = self.spark.range(self.buckets).select(F.col("id").cast("int").alias("doc_bucket"), F.lit(0).alias("at"))
-        self._publish(0, rows, counted(rows), held)
+        self._publish(0, rows, None, held, corpus.count())
         return self
 
     def replace(self, incoming: DataFrame | None, gone: DataFrame | None = None) -> int:
@@ -91,5 +100,6 @@ class CorpusStore:
         kept = old.join(small_side(ids.select("doc_id")), "doc_id", "left_anti")
         held = self._held(last).join(touched.withColumn("new", F.lit(True)), "doc_bucket", "left")
         held = held.select("doc_bucket", F.when(F.col("new"), last + 1).otherwise(F.col("at")).alias("at"))
-        self._publish(last + 1, kept.select(*fresh.columns).unionByName(fresh), changed_counts(self.counts(last), leaving, fresh), held)
+        now_held = kept.select(*fresh.columns).unionByName(fresh)
+        self._publish(last + 1, now_held, changed_counts(self.counts(last), leaving, fresh), held, now_held.count())
         return last + 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import cells, dense, lexical, lexical_index, store
 from quirefold.plans.hybrid import hybrid_retrieve
+from quirefold.sources import store as store_files
 from quirefold.sources.store import CorpusStore
 
 
@@ -106,6 +107,15 @@ def test_store_follows_replacements(spark, tmp_path):
     assert sorted(r.chunk_id for r in held.chunks(0).collect()) == list(range(120)) and stats(held.counts(0)) == stats(lexical.corpus_counts(corpus(spark, docs)))
 
 
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_files, "TASK_ROWS", 5)
+    docs = texts(80, 12)
+    held = CorpusStore(spark, str(tmp_path), 2).create(corpus(spark, docs))
+    assert all(len(list(p.glob("*.parquet"))) > 2 for p in (tmp_path / "chunks" / "version=0").glob("doc_bucket=*"))
+    counts = lambda df: {r.term: r.n for r in df.collect()}
+    assert counts(held.counts()) == counts(lexical.counted(corpus(spark, docs))) and held.chunks().count() == 80
+
+
 def test_unfinished_version_is_not_seen(spark, tmp_path, monkeypatch):
     held = CorpusStore(spark, str(tmp_path), 4).create(corpus(spark, texts(30, 11)))
     with pytest.raises(ValueError):
