@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import unnest
 from quirefold.llm.license_texts import LICENSES, SPELLINGS
 
 COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
@@ -26,6 +27,15 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+def _units(text: Column) -> Column:
+    """(whole, c): the canonical forms of a text and of each of its lines, empty ones left out."""
+    each = F.concat(
+        F.array(F.struct(F.lit(True).alias("whole"), canonical(text).alias("c"))),
+        F.transform(F.filter(F.split(text, "\n"), lambda line: line != ""), lambda line: F.struct(F.lit(False).alias("whole"), canonical(line).alias("c"))),
+    )
+    return F.filter(each, lambda u: u["c"] != "")
+
+
 def known(spark: SparkSession, licenses: dict[str, str] = LICENSES) -> DataFrame:
     """(license_id, digest) of the given texts; texts with one digest are told as the first identifier."""
     rows = spark.createDataFrame(list(licenses.items()), "license_id string, text string")
@@ -41,7 +51,6 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     licenses = licenses.select("digest", "license_id")
     if licenses.count() <= BROADCAST_ROWS:  # 64 hex digits and a name each: some 20 MB at most
         licenses = F.broadcast(licenses)
-    texts = docs.select("doc_id", F.lit(True).alias("whole"), F.col("text").alias("unit"))
-    lines = docs.select("doc_id", F.lit(False).alias("whole"), F.explode(F.split("text", "\n")).alias("unit")).where("unit <> ''")
-    units = texts.union(lines).select("doc_id", "whole", canonical(F.col("unit")).alias("c")).where("c <> ''").select("doc_id", "whole", F.sha2("c", 256).alias("digest"))
+    # one array of units per row: a union would read the texts twice, and a condition on a computed column would compute it again on its way down
+    units = docs.select("doc_id", unnest(F.transform(_units(F.col("text")), lambda u: F.struct(u["whole"].alias("whole"), F.sha2(u["c"], 256).alias("digest"))), "whole", "digest"))
     return units.join(licenses, "digest").groupBy("doc_id", "license_id").agg(F.max("whole").alias("whole"), F.sum(F.when(F.col("whole"), 0).otherwise(1)).alias("n_lines"))

@@ -17,3 +17,11 @@ def test_variants_match_and_parts_do_not(spark):
     }
     assert L.scan(docs.limit(0), L.known(spark)).count() == 0
     assert "Python" not in L.scan(docs, L.known(spark))._jdf.queryExecution().toString()
+
+
+def test_canonical_form_is_computed_once(spark):
+    """One pattern for the texts and one for their lines; conditions on computed columns used to repeat them."""
+    docs = spark.createDataFrame([(1, "Released under the MIT License.\nmore")], "doc_id long, text string")
+    known = spark.createDataFrame([("0", "MIT notice")], "digest string, license_id string")
+    plan = L.scan(docs, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("all rights reserved") == 2
