@@ -127,33 +127,52 @@ def rate_stream(requests: DataFrame, window: str = "1 minute", slide: str | None
 ADMITTED = "request_id long, user long, scope string, us long, max_requests int, admitted boolean"
 
 
+THROTTLE_KEYS = 2048
+
+
 class _Throttle(StatefulProcessor):
-    """Per user and scope the times of the accepted requests that still count, as many as the limit at most."""
+    """For the keys (user, scope) of one bucket the times of the accepted requests that still count, as many as the limit at most for each.
+
+    A bucket's state is read and written once in a micro-batch; a list, a timer and a frame for each key would cost a call to the engine each.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.accepted = handle.getListState("accepted", T.StructType([T.StructField("us", T.LongType())]))
+        fields = [("user", T.LongType()), ("no_user", T.BooleanType()), ("scope", T.StringType()), ("us", T.LongType()), ("span", T.LongType())]
+        self.accepted = handle.getListState("accepted", T.StructType([T.StructField(n, t) for n, t in fields]))
         self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        log = pd.concat(list(rows)).sort_values(["us", "request_id"])
-        held = [r[0] for r in self.accepted.get()] if self.accepted.exists() else []
+        log = pd.concat(list(rows)).sort_values(["us", "no_id", "request_id"])
+        now = timerValues.getCurrentWatermarkInMs()
+        held: dict[tuple, list] = {}
+        for user, no_user, scope, t, span in self.accepted.get() if self.accepted.exists() else []:
+            if (t + span) // 1000 + 1 > now:  # the others count for no row that is still on time
+                held.setdefault((user, no_user, scope), []).append((t, span))
         said = []
-        for us, most, span in zip(log["us"].tolist(), log["max_requests"].tolist(), log["span"].tolist()):
-            held = [t for t in held if t > us - span]
-            said.append(len(held) < most)
+        for user, no_user, scope, us, most, span in zip(*(log[c].tolist() for c in ("user", "no_user", "scope", "us", "max_requests", "span")), strict=True):
+            mine = [h for h in held.get((user, no_user, scope), ()) if h[0] > us - span]
+            said.append(len(mine) < most)
             if said[-1]:
-                held.append(us)
-        if held:
-            self.accepted.put([(t,) for t in held])
-        # a key is forgotten once its last accepted request no longer counts
+                mine.append((us, span))
+            held[user, no_user, scope] = mine
+        left = [(*k, t, span) for k, mine in held.items() for t, span in mine]
+        if left:
+            self.accepted.put(left)
+        else:
+            self.accepted.clear()
+        # a bucket is forgotten once its last accepted request no longer counts
         if self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
-        expiry = max(int(log["us"].max() + log["span"].max()) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1)
-        self.handle.registerTimer(expiry)
-        self.timer.update((expiry,))
-        log = log.assign(admitted=said)
-        yield log[["request_id", "user", "scope", "us", "max_requests", "admitted"]]
+            self.timer.clear()
+        if left:
+            expiry = max(max(t + span for *_, t, span in left) // 1000 + 1, now + 1)
+            self.handle.registerTimer(expiry)
+            self.timer.update((expiry,))
+        out = log[["request_id", "user", "scope", "us", "max_requests"]].assign(admitted=said)
+        for name, absent in (("request_id", "no_id"), ("user", "no_user")):
+            out[name] = out[name].astype("Int64").mask(log[absent])
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.accepted.clear()
@@ -164,18 +183,21 @@ class _Throttle(StatefulProcessor):
         pass
 
 
-def admitted_stream(requests: DataFrame, limits: DataFrame, late: str = "5 minutes") -> DataFrame:
+def admitted_stream(requests: DataFrame, limits: DataFrame, late: str = "5 minutes", buckets: int = THROTTLE_KEYS) -> DataFrame:
     """Whether each request is let through when only requests that were let through count.
 
     ``requests``: request_id, user, scope, us, ts (event time); ``limits``: scope, max_requests, seconds, broadcast as they are one row per
     scope. A request passes if fewer than ``max_requests`` accepted ones lie in the ``seconds`` before it; requests of one micro-batch are taken
-    in order of time and id. State is one short list of times per user and scope, dropped by a timer. Batches must arrive in
-    order up to ``late``; the operator leaves out rows later than that, which :func:`admission_sink` tells apart beforehand.
+    in order of time and id. State is one short list of times per user and scope, kept together for the keys of one of ``buckets`` hash
+    buckets, left out when it counts no more and dropped by a timer; a checkpoint holds for the number of buckets it was made with. Batches must
+    arrive in order up to ``late``; the operator leaves out rows later than that, which :func:`admission_sink` tells apart beforehand.
     The session needs the RocksDB state store (``state_store``).
     """
     sized = requests.join(F.broadcast(limits), "scope").withColumn("span", F.col("seconds").cast("long") * 1_000_000)
-    rows = sized.select("request_id", "user", "scope", "us", "ts", "max_requests", "span").withWatermark("ts", late)
-    return rows.groupBy("user", "scope").transformWithStateInPandas(_Throttle(), ADMITTED, "Append", "eventTime")
+    bucket = F.pmod(F.xxhash64("user", "scope"), F.lit(buckets)).alias("bucket")
+    ids = [c for name, absent in (("request_id", "no_id"), ("user", "no_user")) for c in (F.coalesce(name, F.lit(0)).cast("long").alias(name), F.col(name).isNull().alias(absent))]
+    rows = sized.select(bucket, *ids, "scope", "us", "ts", "max_requests", "span").withWatermark("ts", late)
+    return rows.groupBy("bucket").transformWithStateInPandas(_Throttle(), ADMITTED, "Append", "eventTime")
 
 
 def state_store(spark: SparkSession) -> None:

@@ -209,6 +209,30 @@ def test_only_admitted_requests_count(spark, tmp_path):
     assert {r.request_id: r.admitted for r in got.collect()} == want and got.select("batch_id").distinct().count() > 2
 
 
+def test_keys_of_one_bucket_share_state_but_no_limit(spark, tmp_path):
+    """Many users in few buckets, null ids and users among them, ids beyond a double's precision, and a key that comes back after its times ran out."""
+    import random
+
+    calls = []
+    rng, big, at = random.Random(5), 1 << 60, 1_700_000_000_000_000
+    log = sorted(((at + rng.randint(0, 400) * 1_000_000, big + i, rng.choice([None, *range(20)]), rng.choice(["ask", "quiz"])) for i in range(400)), key=lambda r: r[:2])
+    rows = spark.createDataFrame([(i, u, s, us) for us, i, u, s in log] + [(None, 99, "ask", at)], "request_id long, user long, scope string, us long").withColumn("ts", F.timestamp_micros("us"))
+    files, span = jobs.staged_in_order(rows.select("request_id", "user", "scope", "ts", "us"), "us", 3, "user")
+    jobs.state_store(spark)
+    rules, out = {"ask": (2, 40), "quiz": (1, 20)}, f"{tmp_path}/out"
+    stream = spark.readStream.schema("request_id long, user long, scope string, ts timestamp, us long").option("maxFilesPerTrigger", 2).parquet(files)
+    admitted = jobs.admitted_stream(stream, gov.limits_table(spark, rules), late=f"{span // 1_000_000 + 1} seconds", buckets=2)
+    jobs.run_to_end(admitted, "append", lambda batch, no: (calls.append(no), jobs.batch_writer(out)(batch, no)), f"{tmp_path}/marks")
+    held, want = {}, {(None, 99): True}
+    for us, i, u, s in log:
+        most, seconds = rules[s]
+        live = [t for t in held.get((u, s), []) if t > us - seconds * 1_000_000]
+        want[i, u] = len(live) < most
+        held[u, s] = [*live, us] if want[i, u] else live
+    got = spark.read.parquet(out)
+    assert {(r.request_id, r.user): r.admitted for r in got.collect()} == want and len(calls) > 2
+
+
 def test_late_rows_get_a_table_of_their_own(spark, tmp_path):
     sink = jobs.admission_sink(str(tmp_path), 10)
     kind = "request_id long, us long"
