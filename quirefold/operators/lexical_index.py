@@ -1,9 +1,9 @@
 """An inverted index with block maxima, and exact BM25 top-k that skips what cannot reach a query's k-th score.
 
-Postings lie by term, the heaviest first, in blocks of ``BLOCK``; a block's row tells its largest weight. They are sorted by range parts on
-(term, weight), so a frequent term spreads over many parts and no task holds a whole list.
+The index is made in shards of at most ``SHARD`` postings of chunks that lie together in the store. In a shard postings lie by term, the heaviest
+first, in blocks of ``BLOCK``; a block's row tells its largest weight. A frequent term spreads over all shards and no task holds a whole list.
 
-A slice of queries is answered in two passes over blocks and two over the corpus store:
+A slice of queries takes the blocks of its terms out of the index and is answered in two passes over these and two over the corpus store:
 
 1. Each query's shortest lists give it ``SEEDS`` * k chunks. Their full scores, read from the store, put a floor under its k-th score.
 2. Lists whose largest contributions together stay below the floor are left out, the longest first; what is left of the
@@ -32,49 +32,61 @@ from quirefold.operators.topk import best_of, filled
 from quirefold.session import tidy, written
 
 BLOCK = 128
+SHARD = 1 << 21
 SEEDS = 3
 SEED_SHARE = 0.1
 SLACK = 1e-6
 
 
-def _blocks(block: int):
-    """Blocks of a sorted part: a term's postings, at most ``block`` of them, the heaviest first."""
+def _blocks(block: int, shard: int, weigh):
+    """Blocks of the store's rows, a shard of at most ``shard`` postings (or one row) at a time: in a shard a term's postings stand together, the heaviest first."""
 
     def run(batches):
-        held, no, part = None, 0, TaskContext.get().partitionId()
+        no, part = 0, TaskContext.get().partitionId() << 33
 
-        def cut(table: pa.Table, last: bool):
+        def cut(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             nonlocal no
-            term = table["term"].combine_chunks()
-            n = len(term)
-            new = np.ones(n, bool)
-            if n > 1:
-                new[1:] = np.not_equal(*(pc.dictionary_encode(term).indices.to_numpy()[s] for s in (slice(1, None), slice(None, -1))))
-            first = np.flatnonzero(new)
-            place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-            starts = np.flatnonzero(place % block == 0)
-            done = len(starts) if last else len(starts) - 1  # the last block may go on in the next batch
-            ends = np.append(starts, n)[1 : done + 1]
-            starts = starts[:done]
-            upto = int(ends[-1]) if done else 0
-            offsets = pa.array(np.append(starts, upto).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, table[c].combine_chunks().slice(0, upto)) for c in ("chunk_id", "weight")]
-            ids = pa.array(part * (1 << 33) + no + np.arange(done), pa.int64())
-            no += done
-            top = table["weight"].to_numpy()[starts]
-            out = pa.RecordBatch.from_arrays([term.take(pa.array(starts)), ids, pa.array(top), pa.array((ends - starts).astype(np.int32)), *lists], names=["term", "block", "top", "n", "chunk_ids", "weights"])
-            return out, table.slice(upto)
-
+            rows = pa.Table.from_batches(held).combine_chunks()
+            terms = rows["terms"].combine_chunks()
+            flat, chunk = terms.flatten(), np.repeat(np.arange(len(terms)), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            weight = weigh(flat.field("tf").to_numpy(zero_copy_only=False).astype(np.float64), rows["length"].to_numpy().astype(np.float64)[chunk])
+            coded = flat.field("term").dictionary_encode()
+            names = coded.dictionary
+            by_name = pc.sort_indices(names)
+            code = np.empty(len(names), np.int64)
+            code[by_name.to_numpy()] = np.arange(len(names))
+            code = code[coded.indices.to_numpy(zero_copy_only=False)]
+            order = np.lexsort((-weight, code))
+            code, weight, n = code[order], weight[order], len(order)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if n else np.zeros(0, np.int64)
+            starts = np.flatnonzero((np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))) % block == 0)
+            ends = np.append(starts, n)[1:]
+            offsets = pa.array(np.append(starts, n).astype(np.int32))
+            ids = pa.array(part + no + np.arange(len(starts)), pa.int64())
+            no += len(starts)
+            chunk_ids = rows["chunk_id"].combine_chunks().take(pa.array(chunk[order]))
+            lists = [pa.ListArray.from_arrays(offsets, values) for values in (chunk_ids, pa.array(weight))]
+            name = names.take(by_name.take(pa.array(code[starts])))
+            return pa.RecordBatch.from_arrays([name, ids, pa.array(weight[starts]), pa.array((ends - starts).astype(np.int32)), *lists], names=["term", "block", "top", "n", "chunk_ids", "weights"])
+
+        held, size = [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows >= 8 * block:
-                out, held = cut(held.combine_chunks(), False)
-                yield out
-        if held is not None and held.num_rows:
-            yield cut(held.combine_chunks(), True)[0]
+            count = batch.column("terms").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            total, a = np.append(0, np.cumsum(count, dtype=np.int64)), 0
+            while a < batch.num_rows:
+                b = int(np.searchsorted(total, total[a] + shard - size, "right")) - 1
+                if b <= a and held:
+                    yield cut(held)
+                    held, size = [], 0
+                    continue
+                b = max(b, a + 1)
+                held.append(batch.slice(a, b - a))
+                size += int(total[b] - total[a])
+                a = b
+        if held:
+            yield cut(held)
 
-    return run
+    return tidy(run)
 
 
 @dataclass
@@ -93,17 +105,18 @@ class LexicalIndex:
         return lambda tf, length: lx.bm25_weight(tf, length, avg_len)
 
 
-def build_index(corpus: DataFrame, counts: DataFrame | None = None, block: int = BLOCK) -> LexicalIndex:
-    """The index of texts or of a store; terms and counts alone are shuffled."""
+def build_index(corpus: DataFrame, counts: DataFrame | None = None, block: int = BLOCK, shard: int = SHARD) -> LexicalIndex:
+    """The index of texts or of a store. Postings are not shuffled: a task makes shards of the rows it reads, and counts come from the blocks."""
     store = corpus if "terms" in corpus.columns else written(termed(corpus))
-    counts = lx.corpus_counts(store) if counts is None else counts
-    avg_len = lx.corpus_size(counts).first()["avg_len"] or 1.0
-    flat = store.select("chunk_id", "length", F.inline("terms")).select("term", "chunk_id", lx.bm25_weight(F.col("tf"), F.col("length"), avg_len).alias("weight"))
-    order = ["term", F.desc("weight"), "chunk_id"]
+    lengths = store.groupBy("length").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit(lx.LENGTH_MARK), F.col("length")).alias("term"), "n")
+    lengths = written(lengths) if counts is None else counts
+    avg_len = lx.corpus_size(lengths).first()["avg_len"] or 1.0
     kind = dict(store.dtypes)["chunk_id"]
-    laid = flat.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = laid.mapInArrow(_blocks(block), f"term string, block long, top double, n int, chunk_ids array<{kind}>, weights array<double>")
-    return LexicalIndex(store, counts, avg_len, written(blocks))
+    made = _blocks(block, shard, lambda tf, length: lx.bm25_weight(tf, length, avg_len))
+    blocks = written(store.select("chunk_id", "length", "terms").mapInArrow(made, f"term string, block long, top double, n int, chunk_ids array<{kind}>, weights array<double>"))
+    if counts is None:
+        counts = written(blocks.groupBy("term").agg(F.sum("n").alias("n")).unionByName(lengths))
+    return LexicalIndex(store, counts, avg_len, blocks)
 
 
 @dataclass
@@ -118,9 +131,8 @@ class _Plan:
     top: np.ndarray
 
     @classmethod
-    def of(cls, asked: lx.QueryTerms, index: LexicalIndex) -> _Plan:
-        names = index.blocks.sparkSession.createDataFrame(pd.DataFrame({"term": asked.terms.to_pandas()}), "term string")
-        lists = index.blocks.join(F.broadcast(names), "term").groupBy("term").agg(F.sum("n").alias("n"), F.max("top").alias("top")).toPandas()
+    def of(cls, asked: lx.QueryTerms, blocks: DataFrame) -> _Plan:
+        lists = blocks.groupBy("term").agg(F.sum("n").alias("n"), F.max("top").alias("top")).toPandas()
         size, top = (dict(zip(lists["term"], lists[c], strict=True)) for c in ("n", "top"))
         term = np.repeat(np.arange(len(asked.terms)), np.diff(asked.first))
         name = asked.terms.to_pylist()
@@ -166,15 +178,15 @@ class _Plan:
         return least, rest
 
 
-def _partial(index: LexicalIndex, plan: _Plan, least: np.ndarray) -> DataFrame:
-    """(q, chunk_id, seen, n) of the blocks that reach ``least`` for a query; the slice's own (query, term) rows are what is broadcast."""
-    spark = index.blocks.sparkSession
+def _partial(blocks: DataFrame, plan: _Plan, least: np.ndarray) -> DataFrame:
+    """(q, chunk_id, seen, n) of the ``blocks`` that reach ``least`` for a query; the slice's own (query, term) rows are what is broadcast."""
+    spark = blocks.sparkSession
     use = np.isfinite(least)
     name = np.array(plan.asked.terms.to_pylist(), object)
     asked = spark.createDataFrame(
         pd.DataFrame({"term": name[plan.term[use]], "q": plan.query[use], "w": plan.weight[use], "least": least[use]}), "term string, q long, w double, least double"
     )
-    met = index.blocks.join(F.broadcast(asked), "term").where("top * w > least or least = 0")
+    met = blocks.join(F.broadcast(asked), "term").where("top * w > least or least = 0")
     each = met.select("q", "w", F.inline(F.arrays_zip("chunk_ids", "weights")))
     return each.groupBy("q", F.col("chunk_ids").alias("chunk_id")).agg(F.sum(F.col("w") * F.col("weights")).alias("seen"), F.count(F.lit(1)).alias("n"))
 
@@ -205,14 +217,17 @@ def _scored(index: LexicalIndex, asked: lx.QueryTerms, pairs: DataFrame) -> Data
 
 def _search(index: LexicalIndex, asked: lx.QueryTerms, k: int) -> DataFrame:
     """(query_id, chunk_id, score) of one slice; query_id is the query's number in it."""
-    plan = _Plan.of(asked, index)
-    seeds = _partial(index, plan, np.where(plan.seed_lists(k), 0.0, np.inf))
+    names = index.blocks.sparkSession.createDataFrame(pd.DataFrame({"term": asked.terms.to_pandas()}), "term string")
+    blocks = written(index.blocks.join(F.broadcast(names), "term"))
+    plan = _Plan.of(asked, blocks)
+    seeds = _partial(blocks, plan, np.where(plan.seed_lists(k), 0.0, np.inf))
     first = best_of(seeds.select(F.col("q").alias("query_id"), "chunk_id", F.col("seen").alias("score")), SEEDS * k).select(F.col("query_id").alias("q"), "chunk_id")
+    first = written(first)  # a few rows per query: once their size is known, the store need not be shuffled to meet them
     ranked = best_of(_scored(index, asked, first), k).where(F.col("rank") == k).select("query_id", "score").toPandas()
     floor = np.zeros(len(asked.ids))
     floor[ranked["query_id"]] = ranked["score"]
     least, rest = plan.needed(floor)
-    partial = written(_partial(index, plan, least))
+    partial = written(_partial(blocks, plan, least))
     bounds = index.blocks.sparkSession.createDataFrame(pd.DataFrame({"q": np.arange(len(floor)), "missing": floor - rest - SLACK}), "q long, missing double")
     hopeful = written(partial.join(F.broadcast(bounds), "q").where("seen >= missing").select("q", "chunk_id"))
     index.read["postings"] = index.read.get("postings", 0) + int(plan.size.sum())

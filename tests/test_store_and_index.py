@@ -68,6 +68,21 @@ def test_index_equals_scan(spark, block):
     assert held == sorted((r.term, r.chunk_id) for r in lexical.postings(docs).collect())
 
 
+def test_index_in_shards(spark, monkeypatch):
+    """Small shards, a text above a shard's bound, a null text; the build shuffles no posting."""
+    shuffled = []
+    docs, asked = corpus(spark, texts(400, 8)), questions(spark, 20, 9)
+    odd = spark.createDataFrame([(899, 7, "w0 w1 w150"), (900, 900, " ".join(f"w{i}" for i in range(200))), (901, 901, None)], docs.schema)
+    whole = docs.union(odd)
+    write = lexical_index.written
+    monkeypatch.setattr(lexical_index, "written", lambda df: (shuffled.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    index = lexical_index.build_index(whole, block=3, shard=50)
+    assert not any("Exchange" in p and "chunk_ids" in p and "MapInArrow" in p for p in shuffled) and sum("MapInArrow" in p for p in shuffled) == 1
+    assert index.blocks.agg(F.max("n")).first()[0] == 3 and index.blocks.where("term = 'w0'").count() > 50
+    assert rows(lexical_index.index_topk(asked, index, 6)) == rows(lexical.bm25_topk(asked, whole, 6))
+    assert sorted((r.term, r.n) for r in index.counts.collect()) == sorted((r.term, r.n) for r in lexical.corpus_counts(whole).collect())
+
+
 def test_tasks_without_any_match(spark):
     docs = corpus(spark, ["zz yy"] * 20 + ["aa"]).repartition(8)
     asked = spark.createDataFrame([(1, "aa bb"), (2, "qq")], "query_id long, text string")
