@@ -22,7 +22,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         .where("u > v and not x and not y").select("u", "v").distinct()
     )
     for _ in range(rounds):
-        both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
+        both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
         large = large.groupBy("u", "v").agg(F.max("moved").alias("moved"))

@@ -216,6 +216,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, n
     for c in "ba":
         pairs = pairs.join(maps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")), c)
     pairs = written(pairs.where(apart("pa", "pb") * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b"))
+    release(texts.sparkSession)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     slotted = texts.withColumn("slot", A.IdFilter.slot_column("doc_id"))
     sets = slotted.mapInArrow(A.tidy(_sets_of(width, A.IdFilter.of(ids, "doc_id"))), "doc_id long, tokens array<long>")
@@ -241,6 +242,7 @@ def link_components(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = written(texts.mapInArrow(A.tidy(_describe(width)), SETS))
     frequent = frequent_bins(described)
+    release(docs.sparkSession)
     info = described.where("slab is null").drop("slab", "counts")
     classes = info.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", *[f"p{i}" for i in range(LANES)]).agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity"))
     index = texts.where("doc_id is not null").mapInArrow(A.tidy(_index(width, num, den, frequent)), "sig long, doc_id long")
@@ -260,13 +262,17 @@ def link_components(
     placed = members.drop("lead").join(tied.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("sig")
     open_rows = written(placed.join(mixed, "sig"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = (
-        x.join(y, F.expr("x.sig = y.sig")).where("x.doc_id < y.doc_id and x.component <> y.component").where(_close("x", "y", num, den))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    )
-    more = verify(across, classes, texts, width, num, den)
-    final = components(links.union(more)).select(F.col("node").alias("rep"), "component")
+    release(docs.sparkSession)
+    final = tied
+    if not open_rows.isEmpty():
+        x, y = open_rows.alias("x"), open_rows.alias("y")
+        across = (
+            x.join(y, F.expr("x.sig = y.sig")).where("x.doc_id < y.doc_id and x.component <> y.component").where(_close("x", "y", num, den))
+            .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        )
+        more = verify(across, classes, texts, width, num, den)
+        final = components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))  # a found component enters as a star, not link by link
+    final = final.select(F.col("node").alias("rep"), "component")
     by_class = classes.select("k1", "k2", F.col("doc_id").alias("rep")).join(final, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("found"))
     return (
         info.join(by_class, ["k1", "k2"], "left")

@@ -84,3 +84,12 @@ def test_bounds_never_exceed_the_difference():
         maps = [J._long_parity(np.unique(v)) for v in (x, y)]
         apart = int(J._apart(*([m] for m in maps))[0])
         assert 0 < apart <= n // 7 + n // 20
+
+
+@pytest.mark.parametrize(("rows", "passes"), [([(0, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l")], 1), (corpus(5, 300), 2)])
+def test_members_are_compared_again_only_where_a_group_stays_open(spark, monkeypatch, rows, passes):
+    verify, calls = J.verify, []
+    monkeypatch.setattr(J, "verify", lambda *args: calls.append(1) or verify(*args))
+    got = J.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 5, 4, 5)
+    assert len(calls) == passes

@@ -1,9 +1,11 @@
 import hashlib
 import random
+import re
 
 import pytest
 
 import corpus_pipeline as P
+from quirefold import session
 from quirefold.llm import suffix_dedup
 
 
@@ -82,3 +84,14 @@ def test_empty_tables(spark, tmp_path):
     for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_release_gives_native_memory_of_the_driver_back(spark):
+    if session.trim_native(spark) is None:
+        pytest.skip("this Java has no System.trim_native_heap")
+    held = [spark.sparkContext._jvm.java.util.zip.Deflater() for _ in range(800)]  # some 200 KB outside the heap each
+    for d in held[:-1]:
+        d.end()
+    session.release(spark)
+    before, after = map(int, re.search(r"(\d+)M->(\d+)M", session.trim_native(spark)).groups())
+    assert before - after < 40
