@@ -12,7 +12,8 @@ encoded and compressed where they are read, so frames and not texts are shuffled
 quantiles (at most ``MAX_SHARDS``, then shards grow); a task writes under a name of its own and renames, so a repeated task replaces and never doubles.
 
 Encoding goes through the tokenizers library. Its pre-tokenizer never joins a character to the space behind it, so a text is cut at single
-spaces between visible characters and each different piece of a chunk of texts is encoded once.
+spaces between visible characters and each different piece is encoded once by a task's process, as long as its table (``CACHE`` pieces, by their
+64-bit hashes) has room. New pieces go through the library many at a time, put end to end; the bytes that each id stands for tell where a piece ends.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import hashlib
 import os
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +40,42 @@ SHARD_ROWS = 4096
 MAX_SHARDS = 16_384
 LEVEL = 3
 CACHE = 800_000
+JOINED = 64
 SOLID = np.zeros(256, bool)
 SOLID[33:127] = True
 
 
+class _Known:
+    """Ids of the pieces met so far, by ascending hash, and the number of bytes behind each id."""
+
+    def __init__(self, model):
+        vocab = model.get_vocab()
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.width[list(vocab.values())] = [len(t) for t in vocab]  # in byte-level pieces a character is a byte
+        self.keys, self.at, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is known) of each hash."""
+        place = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        inside = np.flatnonzero(place < len(self.keys))
+        hit[inside] = self.keys[place[inside]] == keys[inside]
+        return place, hit
+
+    def add(self, keys: np.ndarray, at: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Take in pieces; ``ids`` are the ids held so far and the new ones behind them."""
+        self.ids = ids
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.count = (np.insert(*x) for x in ((self.keys, place, keys), (self.at, place, at), (self.count, place, count)))
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread
     t = Tokenizer.from_file(path)
-    return t, [c for c, s in ((a.content, a.special) for a in t.get_added_tokens_decoder().values())], {}
+    return t, [a.content for a in t.get_added_tokens_decoder().values()], _Known(t)
 
 
 def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -71,28 +96,70 @@ def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def encode_pieces(model, special: list[bytes], width: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, count) of the ids of each piece, and these ids; up to ``JOINED`` pieces are encoded at once.
+
+    Pieces that open with a space before a visible character and end in one can stand end to end, as they do in a text. All others, those with a control
+    string, and joined ones whose ids do not part at the pieces' ends, go through the library by themselves.
+    """
+    size = end - begin
+    fits = size > 1
+    two, last = data[np.minimum(begin + 1, len(data) - 1)], data[end - 1]
+    fits &= (data[begin] == 32) & (SOLID[two] | (two == 0xC3)) & (SOLID[last] | (data[end - 2] == 0xC3))
+    body = data[A.ragged(begin, size)].tobytes()
+    stop = np.cumsum(size)
+    at, count, ids, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), [np.zeros(0, np.uint32)], 0
+    alone = np.flatnonzero(~fits)
+    fit = np.flatnonzero(fits)
+    if len(alone):
+        joined = data[A.ragged(begin[fit], size[fit])].tobytes()
+        ends = np.cumsum(size[fit])
+    else:
+        joined, ends = body, stop
+    cuts = [0, *ends[JOINED - 1 :: JOINED].tolist()]
+    cuts += [len(joined)] if cuts[-1] < len(joined) else []
+    texts = [joined[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for k, e in enumerate(model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)):
+        mine = fit[k * JOINED : (k + 1) * JOINED]
+        got = np.array(e.ids, np.uint32)
+        reach, wanted = np.cumsum(width[got]), np.cumsum(size[mine])
+        upto = np.searchsorted(reach, wanted) + 1
+        if not len(got) or reach[-1] != wanted[-1] or (reach[upto - 1] != wanted).any() or any(s in texts[k] for s in special):
+            alone = np.concatenate((alone, mine))
+            continue
+        count[mine] = np.diff(upto, prepend=0)
+        at[mine] = n + upto - count[mine]
+        ids.append(got)
+        n += len(got)
+    texts = [body[a:b].decode("utf-8", "replace") for a, b in zip((stop - size)[alone].tolist(), stop[alone].tolist(), strict=True)]
+    for k, e in zip(alone.tolist(), model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        ids.append(np.array(e.ids, np.uint32))
+        at[k], count[k] = n, len(ids[-1])
+        n += len(ids[-1])
+    return at, count, np.concatenate(ids)
+
+
 def encode(path: str, data: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of whole texts, each followed by ``end_id``."""
-    model, special, cache = tokenizer(path)
+    model, special, known = tokenizer(path)
     begin = piece_starts(data, starts)
     end = np.concatenate((begin[1:], [len(data)])) if len(begin) else begin
     first = np.searchsorted(begin, starts)
     special = [s.encode() for s in special]
     raw = data.tobytes()
     whole = [i for i in range(len(starts) - 1) if any(s in raw[starts[i] : starts[i + 1]] for s in special)] if any(s in raw for s in special) else []
-    _, one, which = np.unique(A.spans_hash(A.prefix_hash(data), begin, end), return_index=True, return_inverse=True)
-    texts = [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
-    lists = [cache.get(t) for t in texts]
-    new = [k for k, v in enumerate(lists) if v is None]
-    if new:
-        room = len(cache) < CACHE
-        for k, e in zip(new, model.encode_batch_fast([texts[k].decode("utf-8", "replace") for k in new], add_special_tokens=False), strict=True):
-            lists[k] = array("I", e.ids).tobytes()
-            if room:
-                cache[texts[k]] = lists[k]
-    count = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-    flat = np.frombuffer(b"".join(lists), np.uint32)
-    at = np.cumsum(count) - count
+    keys, one, which = np.unique(A.spans_hash(A.prefix_hash(data), begin, end), return_index=True, return_inverse=True)
+    place, hit = known.find(keys)
+    new = np.flatnonzero(~hit)
+    at, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    at[hit], count[hit] = known.at[place[hit]], known.count[place[hit]]
+    flat = known.ids
+    if len(new):
+        at[new], count[new], more = encode_pieces(model, special, known.width, data, begin[one[new]], end[one[new]])
+        at[new] += len(flat)
+        flat = np.concatenate((flat, more))
+        if len(known.keys) < CACHE:
+            known.add(keys[new], at[new], count[new], flat)
     ids = flat[A.ragged(at[which], count[which])]
     ends = np.concatenate(([0], np.cumsum(count[which])))[first]
     parts = {i: model.encode(raw[starts[i] : starts[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids for i in whole}

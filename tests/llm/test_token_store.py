@@ -57,3 +57,29 @@ def test_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     shards = S.write_store(spark.createDataFrame([], "doc_id long, text string"), folder, PATH)
     assert S.read_store(shards, folder).count() == 0
+
+
+def test_new_pieces_go_through_the_library_together(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcé日'1!ÃX") for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    texts = [" ".join(words), *TEXTS, " ".join(words[::-1]) + " 本", "<|im_start|> " + " ".join(words[:50])]
+    model, given = Tokenizer.from_file(PATH), []
+    real, special, _ = S.tokenizer(PATH)
+
+    class Counted:
+        def encode_batch_fast(self, rows, **how):
+            given.extend(rows)
+            return real.encode_batch_fast(rows, **how)
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    S.tokenizer.cache_clear()
+    fresh = S.tokenizer(PATH)
+    monkeypatch.setattr(S, "tokenizer", lambda path: (Counted(), *fresh[1:]))
+    data, starts = A.text_bytes(pa.array(texts))
+    for _ in range(2):  # the second time every piece is known
+        ids, at = S.encode(PATH, data, starts, 2)
+        for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == [*model.encode(t, add_special_tokens=False).ids, 2], t
+        assert len(given) < 2000
