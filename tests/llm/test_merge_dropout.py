@@ -76,3 +76,19 @@ def test_every_occurrence_draws_for_itself(monkeypatch):
     assert ids(texts, 3, 0.1) == whole
     monkeypatch.setattr(M, "LONG", 0)  # each occurrence is encoded by itself
     assert ids(texts, 3, 0.1) == whole
+
+
+def test_occurrences_that_draw_alike_share_one_encoding(monkeypatch):
+    text = " ".join(["antidisestablishmentarianism things are"] * 4000 + [f"once{k}" for k in range(500)])
+    whole, units, segment = ids([text], 3, 0.1), [], M.segment
+
+    def counted(table, chars, offsets, *more):
+        units.append(len(offsets) - 1)
+        return segment(table, chars, offsets, *more)
+
+    monkeypatch.setattr(M, "segment", counted)
+    assert ids([text], 3, 0.1) == whole
+    assert sum(units) < 6200  # 7,000 of the 12,500 skip something, and a word that occurs once is encoded once
+    monkeypatch.setattr(M, "OFTEN", 1 << 30)  # each occurrence by itself
+    units.clear()
+    assert ids([text], 3, 0.1) == whole and sum(units) == 12500
