@@ -29,11 +29,12 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    shifted = np.empty_like(x)
+    x ^= np.right_shift(x, np.uint64(30), out=shifted)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    x ^= np.right_shift(x, np.uint64(27), out=shifted)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x ^= np.right_shift(x, np.uint64(31), out=shifted)
     return x
 
 
@@ -55,12 +56,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_hash(data: np.ndarray, letters: np.ndarray = LETTER) -> np.ndarray:
     """h with h[j] - h[i], brought back by the power of i, as the hash of data[i:j]."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(letters[data] * powers(len(data))[0], out=out[1:])
+    body = out[1:]
+    np.take(letters, data, out=body, mode="clip")
+    body *= powers(len(data))[0]
+    np.cumsum(body, out=body)
     return out
 
 
 def spans_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
+    out = prefix[end]
+    out -= prefix[start]
+    out *= powers(len(prefix))[1][start]
+    return mix(out)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ MARK = "▁"
 BLOCK = 1 << 15
 OFTEN = 3
 NONE = np.int32((1 << 31) - 1)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 K1, K2, K3, K4 = (np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 

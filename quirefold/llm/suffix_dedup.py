@@ -42,28 +42,44 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     padded = np.full(-(-n // width) * width, ~np.uint64(0))
     padded[:n] = keys
     block = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(block, axis=1).ravel()
-    back = np.ascontiguousarray(np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1]).ravel()
-    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
+    back = np.empty_like(block)
+    np.minimum.accumulate(block[:, ::-1], axis=1, out=back[:, ::-1])
+    least = back.ravel()[: n - width + 1]
+    np.minimum.accumulate(block, axis=1, out=block)
+    return np.minimum(least, padded[width - 1 : n], out=least)
 
 
 def segments(data: np.ndarray, starts: np.ndarray, limit: int):
-    """(text, anchor, seg, lo, hi, apos) of every segment; positions count from the start of the text."""
+    """(text, anchor, seg, lo, hi, apos) of every segment; positions count from the start of the text.
+
+    A chunk's arrays have eight bytes per byte of text, so those that are done with are written over or let go.
+    """
     anchor = min(ANCHOR, limit)
     none = np.zeros(0, np.int64)
     count = np.maximum(np.diff(starts) - limit + 1, 0)
     if len(data) < limit or not count.any():
         return none, none, none, none, none, none
     prefix = A.prefix_hash(data)
-    grams = A.mix((prefix[anchor:] - prefix[:-anchor]) * A.powers(len(prefix))[1][: len(data) - anchor + 1])
-    keys = (grams & ~LOW) | (LOW - np.arange(len(grams), dtype=np.uint64))
-    at = (LOW - (sliding_least(keys, limit - anchor + 1) & LOW)).astype(np.int64)
+    grams = prefix[anchor:] - prefix[:-anchor]
+    grams *= A.powers(len(prefix))[1][: len(data) - anchor + 1]
+    grams = A.mix(grams)
+    keys = grams & ~LOW
+    keys |= np.arange(int(LOW), int(LOW) - len(grams), -1, dtype=np.int64).view(np.uint64)
+    at = sliding_least(keys, limit - anchor + 1)
+    del keys
+    at &= LOW
+    at = np.subtract(LOW, at, out=at).view(np.int64)
     place = A.ragged(starts[:-1], count)
-    text = np.repeat(np.arange(len(count)), count)
     chosen = at[place]
-    first = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]))))
+    del at
+    fresh = np.ones(len(place), bool)
+    np.not_equal(chosen[1:], chosen[:-1], out=fresh[1:])
+    ends = np.cumsum(count)
+    fresh[(ends - count)[count > 0]] = True
+    first = np.flatnonzero(fresh)
     last = np.concatenate((first[1:], [len(place)])) - 1
-    lo, hi, apos, text = place[first], place[last], chosen[first], text[first]
+    lo, hi, apos, text = place[first], place[last], chosen[first], np.searchsorted(ends, first, "right")
+    del place, chosen
     seg = A.spans_hash(prefix, lo, hi + limit)
     base = starts[text]
     return text, A.mix(grams[apos]).view(np.int64), seg.view(np.int64), lo - base, hi - base, apos - base

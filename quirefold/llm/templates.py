@@ -237,7 +237,7 @@ def _emit(read, schema: str):
         for batch in batches:
             ids = batch.column("id").to_pylist()
             data, starts = A.text_bytes(batch.column("text"))
-            for i, j in A.chunks(starts):
+            for i, j in A.chunks(starts, A.CHUNK // 4):  # all readings of a chunk are held at once
                 found = read(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
                 cols = list(zip(*found, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i + t] for t in cols[0]], types[0]), *(pa.array(c, t) for c, t in zip(cols[1:], types[1:], strict=True))], names=names)
