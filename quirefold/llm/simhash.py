@@ -9,7 +9,8 @@ At an anchor only its inhabitants are compared with its visitors.
 Copies are one fingerprint before anything is replicated. At every anchor all visitors are first compared with up to three of its
 inhabitants, which ties a dense group together at a cost linear in its size. Only visitors and inhabitants that are still in different
 components are then compared with each other. No anchor is gathered in a task: these are joins on the anchor, whose large keys
-adaptive execution splits.
+adaptive execution splits. They are marked as merge joins: the planner tells the size of the visits by the bytes of the fingerprints
+they are made from, or by those of a file in which they repeat, and would gather all of them in the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import arrays as A
 from quirefold.llm.components import components
-from quirefold.session import written
+from quirefold.session import sized_side, written
 
 SEED = 42
 APART = 3
@@ -123,7 +124,7 @@ def link_prints(prints: DataFrame) -> DataFrame:
     """(print, component) of the distinct fingerprints in ``prints`` that are linked with another one."""
     visits = anchored(prints)
     homes = visits.where("home").groupBy("anchor").agg(F.min("print").alias("l0"), F.max("print").alias("l1"), F.min_by("print", F.xxhash64("print")).alias("l2"))
-    members = written(visits.join(homes, "anchor").where("l0 <> l1 or l0 <> print"))
+    members = written(visits.join(homes.hint("merge"), "anchor").where("l0 <> l1 or l0 <> print"))
     leaders = F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("lead")
     first = members.select("print", leaders).where("print <> lead").where(_near("print", "lead")).select(F.col("print").alias("a"), F.col("lead").alias("b"))
     tied = written(components(first))
@@ -132,8 +133,8 @@ def link_prints(prints: DataFrame) -> DataFrame:
         .join(tied.select(F.col("node").alias("print"), "component"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     )
     mixed = placed.groupBy("anchor").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("anchor")
-    still = written(placed.join(mixed, "anchor"))
-    x, y = still.where("home").alias("x"), still.alias("y")
+    still = written(placed.join(mixed, "anchor", "left_semi"))
+    x, y = still.where("home").alias("x"), still.hint("merge").alias("y")
     across = (
         x.join(y, F.expr("x.anchor = y.anchor")).where(F.expr("x.component <> y.component") & _near("x.print", "y.print"))
         .select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct()
@@ -160,5 +161,5 @@ def link_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     linked = written(link_prints(classes.select("print")))
     placed = classes.join(linked, "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = placed.join(least, "component").select("print", "component_id")
-    return rows.join(found, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    found = written(placed.join(least, "component").select("print", "component_id"))
+    return rows.join(sized_side(found), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quirefold.llm import components, simhash
+from quirefold.session import written
 
 
 def plain_print(text, width=3):
@@ -105,6 +106,41 @@ def test_anchors_cover_and_meet(spark):
             assert (word ^ a % (1 << 32)).bit_count() <= (1 if a in home else 2)
 
 
+def test_visits_stay_out_of_the_driver(spark):
+    """A small file of fingerprints makes many times as many visits; none of these tables is broadcast."""
+    rng = random.Random(9)
+    prints = {rng.getrandbits(64) for _ in range(12000)}
+    prints |= {p ^ 1 << rng.randrange(64) for p in list(prints)[:3000]}
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        out = simhash.link_prints(written(spark.createDataFrame(signed, "print long"))).groupBy("component").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(out) == 3000 and {r["count"] for r in out} == {2}
+
+
+def test_dense_anchors_stay_out_of_the_driver(spark, monkeypatch):
+    """Where whole groups meet at an anchor, the planner takes a merge join on it: sizes of files say little of what they hold."""
+    plans = []
+
+    def seen(df, *by):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return written(df, *by)
+
+    def linked(edges):
+        plans.append(edges._jdf.queryExecution().sparkPlan().toString())
+        return components.components(edges)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    monkeypatch.setattr(simhash, "components", linked)
+    rng = random.Random(2)
+    prints = {7 << 32 | rng.getrandbits(8) | rng.getrandbits(8) << 40 for _ in range(2000)}
+    simhash.link_prints(written(spark.createDataFrame([(p,) for p in prints], "print long"))).collect()
+    joins = re.findall(r"(\w+Join) \[anchor#\d+L\].*?, (Inner|LeftSemi)", "\n".join(plans))
+    assert joins == [("SortMergeJoin", "Inner"), ("SortMergeJoin", "LeftSemi"), ("SortMergeJoin", "Inner")]
+
+
 def test_null_and_shared_ids(spark):
     rows = [(None, "x y z"), (7, "x y z"), (7, "other words here now"), (None, "lonely text without id"), (3, "other words here now")]
     out = simhash.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
